@@ -141,9 +141,9 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return best[capacity], used
 
 
-def _first_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _first_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
     """A basic feasible solution: each pattern is used until it has used up a length, which no later one has."""
-    left, basis, x = need.copy(), [None] * len(lengths), np.zeros(len(lengths))
+    left, basis, x, order = need.copy(), [None] * len(lengths), np.zeros(len(lengths)), []
     while (left > 0).any():
         k = int(np.flatnonzero(left > 0)[-1])
         values = np.zeros(int(lengths[-1]))
@@ -157,7 +157,15 @@ def _first_patterns(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tup
         left = left - often[out] * pattern
         left[before & (left < 1e-9)] = 1e-9  # used up by the way: its own pattern comes later
         left[out], basis[out], x[out] = 0, pattern, often[out]
-    return basis, x
+        order.append(out)
+    return basis, x, order
+
+
+def _replace(inverse: np.ndarray, step: np.ndarray, out: int) -> None:
+    """Put the column whose product with ``inverse`` is ``step`` in place ``out`` of the basis."""
+    row = inverse[out] / step[out]
+    inverse -= np.outer(step, row)
+    inverse[out] = row
 
 
 def column_generation(
@@ -175,8 +183,10 @@ def column_generation(
     if not len(kinds):
         return []
     need = histogram[kinds].astype(float)
-    basis, x = _first_patterns(kinds + 1, need, capacity)
-    inverse = np.linalg.inv(np.array(basis).T)
+    basis, x, order = _first_patterns(kinds + 1, need, capacity)
+    inverse = np.eye(len(kinds))  # of the basis, a triangle in the order in which lengths were used up
+    for k in order:
+        _replace(inverse, inverse @ basis[k], k)
     center = (kinds + 1) / capacity
     bound = need @ center
     for _ in range(rounds):
@@ -207,9 +217,7 @@ def column_generation(
         x = np.maximum(x - t * step, 0)
         x[out] = t
         basis[out] = column
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
+        _replace(inverse, step, out)
     whole = []
     for pattern, often in zip(basis, np.floor(x + 1e-6).astype(int)):
         full = np.zeros(len(histogram), int)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from briefloom.llm.ngram_join import op4_ngram_jaccard_join
 from briefloom.llm.packing import op9_packing
+from briefloom.llm.secrets import op10_secret_scan
 from briefloom.llm.token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_token_counts, op9_packing)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_token_counts, op9_packing, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
