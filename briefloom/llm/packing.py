@@ -31,10 +31,14 @@ from briefloom.llm.common import table, written
 UNIT = 8
 #: Rows of (task, length) counts up to which they are broadcast.
 BROADCAST_ROWS = 500_000
-WORDS_KEPT = 300_000
+#: Strings and words that a Python worker remembers.
+STRINGS_KEPT, WORDS_KEPT = 300_000, 200_000
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
+SPACE = regex.compile(r"\p{White_Space}+")
+SEPARATOR = regex.compile(r"[\x1c-\x1f]")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -43,23 +47,38 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids of a text, word by word: the library encodes each new word, known ones are looked up."""
+    """Ids of a text by its strings between white space: known ones are looked up, the library encodes new words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.added = {a["content"]: a["id"] for a in json.load(f)["added_tokens"]}
+            spec = json.load(f)
+        self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.known: dict[str, bytes] = {}
-
-    def _words(self, text: str) -> list[str]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # the library lower-cases letter by letter
-            text = text.replace("Σ", "σ")
-        return WORD.findall(text.lower())
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.strings: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary doesn't mark where words end")
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (ends * 4).tolist()):
+            self.words[w] = data[at:end]
+            at = end
+
+    def _learn(self, strings: set[str]) -> None:
+        cut = {s: WORD.findall(s) for s in strings}
+        if new := list({w for ws in cut.values() for w in ws}.difference(self.words)):
+            self._encode(new)
+        get = self.words.__getitem__
+        for s, ws in cut.items():
+            self.strings[s] = b"".join(map(get, ws))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -69,18 +88,20 @@ class WordEncoder:
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
-            words = self._words(part)
-            known = self.known
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                new = list({w for w in words if w not in known})
-                if len(known) + len(new) > WORDS_KEPT:
-                    known.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-                out.append(b"".join(map(known.__getitem__, words)))
+            if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+                part = unicodedata.normalize("NFC", part)
+            if "Σ" in part:  # the library lower-cases letter by letter
+                part = part.replace("Σ", "σ")
+            # split() also takes the separators \x1c to \x1f for white space; the tokenizer doesn't
+            strings = part.lower().split() if not SEPARATOR.search(part) else SPACE.split(part.lower())
+            if new := set(strings).difference(self.strings):
+                if len(self.strings) + len(new) > STRINGS_KEPT:
+                    self.strings.clear()
+                    new = set(strings)
+                if len(self.words) > WORDS_KEPT:
+                    self.words.clear()
+                self._learn(new)
+            out.append(b"".join(map(self.strings.__getitem__, strings)))
         return b"".join(out)
 
 
