@@ -12,6 +12,7 @@ and cut at sequence ends.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import unicodedata
@@ -50,9 +51,15 @@ class WordEncoder:
     """Ids of a text by its strings between white space: known ones are looked up, the library encodes new words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        #: The same merges for words that are normalized and cut already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -63,28 +70,39 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("the vocabulary doesn't mark where words end")
-        data, at = ids.tobytes(), 0
-        for w, end in zip(words, (ends * 4).tolist()):
-            self.words[w] = data[at:end]
-            at = end
+        some = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for part, e in zip(some, self.plain.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary doesn't mark where words end")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (ends * 4).tolist()):
+                self.words[w] = data[at:end]
+                at = end
 
     def _learn(self, strings: set[str]) -> None:
-        cut = {s: WORD.findall(s) for s in strings}
-        if new := list({w for ws in cut.values() for w in ws}.difference(self.words)):
+        words, alone, find = self.words, [], WORD.findall
+        cut = []
+        for s in strings:
+            ws = find(s)
+            if len(ws) == 1:
+                alone.append((s, ws[0]))
+            else:
+                cut.append((s, ws))
+        new = {w for _, w in alone}
+        new.update(w for _, ws in cut for w in ws)
+        if new := list(new.difference(words)):
             self._encode(new)
-        get = self.words.__getitem__
-        for s, ws in cut.items():
-            self.strings[s] = b"".join(map(get, ws))
+        for s, w in alone:
+            self.strings[s] = words[w]
+        for s, ws in cut:
+            self.strings[s] = b"".join([words[w] for w in ws])
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        parts = self.split.split(text) if self.split and "<|" in text else [text]
+    def _parts(self, text: str) -> list:
+        """Lists of strings between white space, and ids of special tokens in the text."""
         out = []
-        for k, part in enumerate(parts):
+        for k, part in enumerate(self.split.split(text) if self.split and "<|" in text else [text]):
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
@@ -93,16 +111,25 @@ class WordEncoder:
             if "Σ" in part:  # the library lower-cases letter by letter
                 part = part.replace("Σ", "σ")
             # split() also takes the separators \x1c to \x1f for white space; the tokenizer doesn't
-            strings = part.lower().split() if not SEPARATOR.search(part) else SPACE.split(part.lower())
-            if new := set(strings).difference(self.strings):
-                if len(self.strings) + len(new) > STRINGS_KEPT:
-                    self.strings.clear()
-                    new = set(strings)
-                if len(self.words) > WORDS_KEPT:
-                    self.words.clear()
-                self._learn(new)
-            out.append(b"".join(map(self.strings.__getitem__, strings)))
-        return b"".join(out)
+            out.append(SPACE.split(part.lower()) if SEPARATOR.search(part) else part.lower().split())
+        return out
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        parts = [self._parts(t) for t in texts]
+        lists = [x for p in parts for x in p if type(x) is list]
+        if new := set().union(*lists).difference(self.strings):
+            if len(self.strings) + len(new) > STRINGS_KEPT:
+                self.strings.clear()
+                new = set().union(*lists)
+            if len(self.words) > WORDS_KEPT:
+                self.words.clear()
+            self._learn(new)
+        get = self.strings.__getitem__
+        return [b"".join([x if type(x) is bytes else b"".join(map(get, x)) for x in p]) for p in parts]
+
+    def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
 
 
 @functools.lru_cache(2)
@@ -121,14 +148,14 @@ def tokenized(docs: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         part, enc, end, width = TaskContext.get().partitionId(), encoder(path), end_id.to_bytes(4, "little"), 4 * UNIT
-        ranks, whole = Counter(), 0
+        ranks, whole, crc32 = Counter(), 0, zlib.crc32
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                data = (enc.ids(text) if text else b"") + end
+            rows, texts = [], [t or "" for t in pdf["text"]]
+            for doc_id, ids in zip(pdf["doc_id"], (x for k in range(0, len(texts), 64) for x in enc.many(texts[k : k + 64]))):
+                data = ids + end
                 n, crc, marks = len(data) // 4, 0, []
                 for at in range(0, len(data), width):
-                    crc = zlib.crc32(data[at : at + width], crc)
+                    crc = crc32(data[at : at + width], crc)
                     marks.append(crc)
                 b = -(-(n % size) // UNIT)
                 rows.append((doc_id, n, np.array(marks, "<u4").tobytes(), part, b, ranks[b], whole))
@@ -321,7 +348,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
         histogram[r.bin - 1] = r.n
     slices, placed, base = pattern_plan(histogram, units)
     left = (histogram - placed) * np.arange(1, units + 1)
-    streamed = np.cumsum(left) - left  # units laid before each length
+    streamed = (np.cumsum(left) - left).tolist()  # units laid before each length
     first_whole = base + -(-int(left.sum()) // units)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "bin", F.coalesce(F.sum("n").over(before.partitionBy("bin")), F.lit(0)).alias("before"))
@@ -330,36 +357,35 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
     offsets = offsets.join(tasks, "part")
     if counts.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
+    placed = placed.tolist()
     ranked = tokens.join(offsets, ["part", "bin"]).select(
         "row", "doc_id", "doc_tokens", "marks", "bin", (F.col("before") + F.col("rank")).alias("rank"), (F.col("whole_first") + F.col("whole_before")).alias("whole")
     )
-    by_bin = {b: g for b, g in slices.groupby("bin")}
+    by_bin = {b: (g["lo"].tolist(), g[["lo", "per", "base", "slot"]].to_numpy().tolist()) for b, g in slices.groupby("bin")}
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            n, bins, rank = pdf["doc_tokens"].to_numpy(), pdf["bin"].to_numpy(), pdf["rank"].to_numpy()
-            whole = pdf["whole"].to_numpy()
-            for i in range(len(pdf)):
-                full = int(n[i] // size)
-                pieces = [(k * size, size, first_whole + whole[i] + k, 0) for k in range(full)]
-                at, b = full * size, int(bins[i])
-                if b and rank[i] < placed[b - 1]:
-                    g = by_bin[b]
-                    s = g.iloc[int(np.searchsorted(g["lo"].to_numpy(), rank[i], "right")) - 1]
-                    q = rank[i] - s["lo"]
-                    pieces.append((at, int(n[i] - at), int(s["base"] + q // s["per"]), int(s["slot"] + q % s["per"])))
+            out, steps = [], pdf[["doc_tokens", "bin", "rank", "whole"]].to_numpy().tolist()
+            for doc_id, marks, (n, b, rank, whole) in zip(pdf["doc_id"], pdf["marks"], steps):
+                full = n // size
+                pieces = [(k * size, size, first_whole + whole + k, 0) for k in range(full)]
+                at = full * size
+                if b and rank < placed[b - 1]:
+                    los, runs = by_bin[b]
+                    lo, per, first, slot = runs[bisect.bisect_right(los, rank) - 1]
+                    pieces.append((at, n - at, first + (rank - lo) // per, slot + (rank - lo) % per))
                 elif b:
-                    u, end = int(streamed[b - 1] + (rank[i] - placed[b - 1]) * b), 0
+                    u = streamed[b - 1] + (rank - placed[b - 1]) * b
                     end = u + b
                     while u < end:
                         stop = min(end, (u // units + 1) * units)
-                        length = int(n[i] - at) if stop == end else (stop - u) * UNIT
+                        length = n - at if stop == end else (stop - u) * UNIT
                         pieces.append((at, length, base + u // units, u % units))
                         at, u = at + length, stop
-                marks = np.concatenate([np.zeros(1, np.uint32), np.frombuffer(pdf["marks"].iloc[i], "<u4")])
+                marks = np.frombuffer(marks, "<u4").tolist()
                 for start, length, seq, slot in pieces:
-                    out.append((pdf["doc_id"].iloc[i], start, length, marks[start // UNIT], marks[-(-(start + length) // UNIT)], n[i], seq, slot))
+                    before = marks[start // UNIT - 1] if start else 0
+                    out.append((doc_id, start, length, before, marks[-(-(start + length) // UNIT) - 1], n, seq, slot))
             got = pd.DataFrame(out, columns=["doc_id", "start", "length", "a", "b", "doc_tokens", "sequence_id", "slot"])
             crc = piece_crc(got["a"].to_numpy(np.uint32), got["b"].to_numpy(np.uint32), got["length"].to_numpy(np.int64))
             yield got.assign(ids_crc32=crc.astype(np.int64)).drop(columns=["a", "b"])
