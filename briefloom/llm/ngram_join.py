@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import connected_components, table, written
+from briefloom.llm.texts import map_texts
 
 WORDS = re.compile(r"[^\W_]+")
 #: n-grams of one side of a verification task (8 bytes each), and what a text counts besides its own,
@@ -42,6 +43,10 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
+def key_of(words: list[str]) -> bytes | None:
+    return hashlib.md5("\x1f".join(words).encode("utf-8", "surrogatepass")).digest() if words else None
+
+
 def grams(words: list[str], n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams."""
     if not words:
@@ -82,21 +87,22 @@ def band_hashes(g: np.ndarray, bands: int, rows: int, perms: tuple[np.ndarray, n
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, key, n_grams, bands): ``key`` equal for equal word sequences, null for texts without words."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         perms = _permutations(bands * rows)
-        for pdf in batches:
+
+        def use(texts):
             keys, counts, hashes = [], [], []
-            for text in pdf["text"]:
+            for text in texts:
                 w = words_of(text)
                 g = grams(w, n)
                 counts.append(len(g))
-                keys.append(hashlib.md5("\x1f".join(w).encode("utf-8", "surrogatepass")).digest() if w else None)
+                keys.append(key_of(w))
                 hashes.append(band_hashes(g, bands, rows, perms) if w else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n_grams": counts, "bands": hashes})
+            return {"key": keys, "n_grams": counts, "bands": hashes}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        sign, "doc_id long, key binary, n_grams long, bands array<long>"
-    )
+        return use
+
+    return map_texts(docs, make, {"key": "binary", "n_grams": "long", "bands": "array<long>"}).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def links_within(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -213,8 +219,7 @@ def ngram_jaccard_join(
     def regram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = [words_of(t) for t in pdf["text"]]
-            key = [hashlib.md5("\x1f".join(w).encode("utf-8", "surrogatepass")).digest() if w else None for w in words]
-            mine = [a == b for a, b in zip(key, pdf["key"])]
+            mine = [key_of(w) == k for w, k in zip(words, pdf["key"])]
             pdf = pdf.assign(grams=[grams(w, n).tobytes() if ok else None for w, ok in zip(words, mine)])[mine]
             yield pdf[["doc_id", "mult", "component", "blocks", "grams"]]
 

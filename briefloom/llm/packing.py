@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import table, written
+from briefloom.llm.texts import map_texts
 
 #: Tokens of a unit of length; documents are cut at whole units only.
 UNIT = 8
@@ -144,28 +145,33 @@ def tokenized(docs: DataFrame, size: int, end_id: int, path: str) -> DataFrame:
     task's rows of that bin and ``whole_before`` its whole sequences so far.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         from pyspark import TaskContext
 
         part, enc, end, width = TaskContext.get().partitionId(), encoder(path), end_id.to_bytes(4, "little"), 4 * UNIT
-        ranks, whole, crc32 = Counter(), 0, zlib.crc32
-        for pdf in batches:
-            rows, texts = [], [t or "" for t in pdf["text"]]
-            for doc_id, ids in zip(pdf["doc_id"], (x for k in range(0, len(texts), 64) for x in enc.many(texts[k : k + 64]))):
-                data = ids + end
-                n, crc, marks = len(data) // 4, 0, []
-                for at in range(0, len(data), width):
-                    crc = crc32(data[at : at + width], crc)
-                    marks.append(crc)
-                b = -(-(n % size) // UNIT)
-                rows.append((doc_id, n, np.array(marks, "<u4").tobytes(), part, b, ranks[b], whole))
-                ranks[b] += 1
-                whole += n // size
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "marks", "part", "bin", "rank", "whole_before"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, doc_tokens long, marks binary, part int, bin int, rank long, whole_before long"
-    )
+        ranks, before, crc32 = Counter(), [0], zlib.crc32
+
+        def one(ids):
+            data = ids + end
+            n, crc, marks = len(data) // 4, 0, []
+            for at in range(0, len(data), width):
+                crc = crc32(data[at : at + width], crc)
+                marks.append(crc)
+            b = -(-(n % size) // UNIT)
+            row = n, np.array(marks, "<u4").tobytes(), part, b, ranks[b], before[0]
+            ranks[b] += 1
+            before[0] += n // size
+            return row
+
+        def use(texts):
+            texts = [t or "" for t in texts]
+            rows = [one(x) for k in range(0, len(texts), 64) for x in enc.many(texts[k : k + 64])]
+            return dict(zip(new, zip(*rows))) if rows else {k: [] for k in new}
+
+        return use
+
+    new = {"doc_tokens": "long", "marks": "binary", "part": "int", "bin": "int", "rank": "long", "whole_before": "long"}
+    return map_texts(docs, make, new)
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -338,7 +344,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
     if size % UNIT:
         raise ValueError(f"size must be a multiple of {UNIT}")
     spark, units = docs.sparkSession, size // UNIT
-    tokens = written(tokenized(docs, size, end_id, path or default_path()).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = written(tokenized(docs, size, end_id, path or default_path()), "tokens")
     # one row a task and length
     counts = written(
         tokens.groupBy("part", "bin").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / size)).alias("whole")), "counts"
@@ -359,7 +365,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
         offsets = F.broadcast(offsets)
     placed = placed.tolist()
     ranked = tokens.join(offsets, ["part", "bin"]).select(
-        "row", "doc_id", "doc_tokens", "marks", "bin", (F.col("before") + F.col("rank")).alias("rank"), (F.col("whole_first") + F.col("whole_before")).alias("whole")
+        F.col("doc_id").cast("string").alias("doc_id"), "doc_tokens", "marks", "bin", (F.col("before") + F.col("rank")).alias("rank"), (F.col("whole_first") + F.col("whole_before")).alias("whole")
     )
     by_bin = {b: (g["lo"].tolist(), g[["lo", "per", "base", "slot"]].to_numpy().tolist()) for b, g in slices.groupby("bin")}
 
@@ -391,11 +397,11 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
             yield got.assign(ids_crc32=crc.astype(np.int64)).drop(columns=["a", "b"])
 
     pieces = ranked.mapInPandas(
-        place, "doc_id long, start long, length long, doc_tokens long, sequence_id long, slot long, ids_crc32 long"
+        place, "doc_id string, start long, length long, doc_tokens long, sequence_id long, slot long, ids_crc32 long"
     )
     along = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return pieces.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(along), F.lit(0)).alias("offset")
+        F.col("doc_id").cast("long").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(along), F.lit(0)).alias("offset")
     )
 
 

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from briefloom.llm.langid import op3_language_id
+from briefloom.llm.licenses import op7_license_scan
 from briefloom.llm.ngram_join import op4_ngram_jaccard_join
 from briefloom.llm.packing import op9_packing
 from briefloom.llm.secrets import op10_secret_scan
 from briefloom.llm.token_counts import op8_token_counts
+from briefloom.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op8_token_counts, op9_packing, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_language_id,
+        op4_ngram_jaccard_join,
+        op5_toxicity,
+        op7_license_scan,
+        op8_token_counts,
+        op9_packing,
+        op10_secret_scan,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

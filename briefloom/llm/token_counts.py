@@ -11,15 +11,14 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import table
+from briefloom.llm.texts import map_texts
 
 #: The byte-level pattern; white space is Unicode's White_Space.
 PATTERN = regex.compile(
@@ -185,21 +184,21 @@ def token_counts(docs: DataFrame, limit: int = 1024, path: str | None = None, pr
     """
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = counter(path)
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            out = {"doc_id": pdf["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts]}
+
+        def use(texts):
+            texts = [t or "" for t in texts]
+            out = {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts]}
             if prefixes:
-                table_ = [c.text_prefixes(t) for t in texts]
-                out |= {"n_tokens": [int(x[-1]) for x in table_], "prefix_tokens": [x.astype("<u4").tobytes() for x in table_]}
-            else:
-                out["n_tokens"] = [c.count(t) for t in texts]
-            yield pd.DataFrame(out)
-
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        run, "doc_id long, n_bytes long, n_tokens long" + ", prefix_tokens binary" * prefixes
-    )
+                found = [c.text_prefixes(t) for t in texts]
+                return out | {"n_tokens": [int(x[-1]) for x in found], "prefix_tokens": [x.astype("<u4").tobytes() for x in found]}
+            return out | {"n_tokens": [c.count(t) for t in texts]}
+
+        return use
+
+    new = {"n_bytes": "long", "n_tokens": "long"} | ({"prefix_tokens": "binary"} if prefixes else {})
+    counted = map_texts(docs, make, new)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
