@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from briefloom.llm.blocks import block_cells, compared
 from briefloom.llm.common import connected_components, table, written
 from briefloom.llm.texts import map_texts
 
@@ -133,51 +134,6 @@ def links_within(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: flo
     return hit
 
 
-def spanning(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For rows and columns of ``hit`` the least row index of their component, -1 where there is no link."""
-    na, nb = hit.shape
-    top = na + nb
-    r, c = np.arange(na), (np.arange(na) if same else np.full(nb, top))
-    while True:
-        from_c = np.where(hit, c[None, :], top).min(axis=1, initial=top)
-        r2 = np.minimum(r, from_c)
-        c2 = np.minimum(c, np.where(hit, r2[:, None], top).min(axis=0, initial=top))
-        if same:
-            r2 = c2 = np.minimum(r2, c2)
-            r2 = c2 = np.minimum(r2, r2[np.minimum(r2, na - 1)])
-        if (r2 == r).all() and (c2 == c).all():
-            return np.where(hit.any(axis=1), r, -1), np.where(hit.any(axis=0), c, -1)
-        r, c = r2, c2
-
-
-def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, root) rows of ``members(task, sub, side, rep, mult, grams)``; a rep's links add up over its rows."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if pdf["rep"].duplicated().any():  # repeated rows
-            pdf = pdf.drop_duplicates(["sub", "side", "rep", "grams"])
-        for _, part in pdf.groupby("sub", sort=False):
-            left, right = part[part["side"] == 0], part[part["side"] == 1]
-            same = bool((part["side"] == 2).all())
-            if same:
-                left = right = part
-            if not len(left) or not len(right):
-                continue
-            a = [np.frombuffer(x, np.uint64) for x in left["grams"]]
-            hit = links_within(a, None if same else [np.frombuffer(x, np.uint64) for x in right["grams"]], threshold)
-            ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-            r, c = spanning(hit, same)
-            for ids, root, count in ((ra, r, hit @ right["mult"].to_numpy()), (rb, c, left["mult"].to_numpy() @ hit)):
-                got = root >= 0
-                out.append(pd.DataFrame({"rep": ids[got], "links": count[got].astype(np.int64), "root": ra[root[got]]}))
-                if same:
-                    break
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-
-    return members.groupBy("task").applyInPandas(compare, "rep long, links long, root long")
-
-
 def ngram_jaccard_join(
     docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6
 ) -> DataFrame:
@@ -232,18 +188,7 @@ def ngram_jaccard_join(
         .mapInPandas(regram, "doc_id long, mult long, component long, blocks int, grams binary")
     )
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = F.when(
-        F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    ).otherwise(
-        F.transform(
-            F.expr("sequence(0, blocks - 1)"),
-            lambda o: F.struct(
-                F.least("block", o).alias("i"),
-                F.greatest("block", o).alias("j"),
-                F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side"),
-            ),
-        )
-    )
+    cells = block_cells(F.col("block"), F.col("blocks"))
     dealt = (
         texts.withColumn("block", block)
         .select("doc_id", "mult", "component", "blocks", "grams", F.explode(cells).alias("cell"))
@@ -258,7 +203,11 @@ def ngram_jaccard_join(
             "grams",
         )
     )
-    found = written(verified(dealt, threshold), "links")
+    def hits(a: list[bytes], b: list[bytes] | None) -> np.ndarray:
+        read = lambda side: [np.frombuffer(x, np.uint64) for x in side]
+        return links_within(read(a), None if b is None else read(b), threshold)
+
+    found = written(compared(dealt, "grams", hits), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = (

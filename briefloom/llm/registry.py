@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from briefloom.llm import embeddings
+from briefloom.llm.decontaminate import op6_decontaminate
+from briefloom.llm.embeddings import op1_embedding_near_dedup
 from briefloom.llm.langid import op3_language_id
 from briefloom.llm.licenses import op7_license_scan
 from briefloom.llm.ngram_join import op4_ngram_jaccard_join
@@ -13,9 +16,11 @@ from briefloom.llm.toxicity import op5_toxicity
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_embedding_near_dedup,
         op3_language_id,
         op4_ngram_jaccard_join,
         op5_toxicity,
+        op6_decontaminate,
         op7_license_scan,
         op8_token_counts,
         op9_packing,
@@ -23,4 +28,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": embeddings.ORACLE}
