@@ -77,7 +77,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
     score 0, rejected; equal sizes go to the first language by name and are rejected; an
     empty table gives no rows; further columns are ignored.
     """
+    return map_texts(docs, _identifier(dictionaries, narrow), {"lang_pred": "string", "score": "double", "rejected": "boolean"}, keep)
 
+
+def _identifier(dictionaries: dict[str, bytes], narrow: float):
     def make():
         coders = {lang: compressor(d, LEVEL, WINDOW) for lang, d in dictionaries.items()}
 
@@ -100,7 +103,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NA
 
         return use
 
-    return map_texts(docs, make, {"lang_pred": "string", "score": "double", "rejected": "boolean"}, keep)
+    return make
+
+
+def identified(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
+    """``docs`` without the rows that language identification rejects; all columns as they are."""
+    columns = tuple(docs.columns)
+
+    def only_rejected(use):
+        return lambda texts: {"__rejected": use(texts)["rejected"]}
+
+    make = _identifier(dictionaries, narrow)
+    return map_texts(docs, lambda: only_rejected(make()), {"__rejected": "boolean"}, columns).where("not __rejected").select(*columns)
 
 
 def held_out(column: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -226,5 +226,22 @@ def ngram_jaccard_join(
     )
 
 
+def deduplicated(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """``docs`` with one document of each group of linked ones, the one with the smallest doc_id; columns as they are.
+
+    Rows with a null doc_id stay.  Of repeated rows (equal doc_id and text) one stays.
+    """
+    links = written(ngram_jaccard_join(docs, n, threshold, recall), "linked")
+    gone = links.where("not kept").select("doc_id").distinct()
+    repeated = links.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    few, many = gone.count(), repeated.count()
+    left = docs.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    if many:
+        some = F.broadcast(repeated) if many <= BROADCAST_ROWS else repeated
+        once = left.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(some, "doc_id", "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from briefloom.llm import embeddings
 from briefloom.llm.decontaminate import op6_decontaminate
 from briefloom.llm.embeddings import op1_embedding_near_dedup
+from briefloom.llm.html_text import op2_html_extraction
 from briefloom.llm.langid import op3_language_id
 from briefloom.llm.licenses import op7_license_scan
 from briefloom.llm.ngram_join import op4_ngram_jaccard_join
@@ -17,6 +18,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup,
+        op2_html_extraction,
         op3_language_id,
         op4_ngram_jaccard_join,
         op5_toxicity,

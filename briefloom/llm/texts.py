@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 ARROW = {
     "long": pa.int64(),
@@ -27,7 +26,8 @@ def map_texts(
 
     ``make`` runs once a task and gives a function from a list of texts (str or None) to columns.
     """
-    kept = df.select(*keep).schema
+    kept = df.select(*[df[k] for k in keep]).schema
+    at_text = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else len(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{k}` {v}" for k, v in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,12 +36,13 @@ def map_texts(
             # few texts at a time, however long they are
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                made = use(part.column(len(keep)).to_pylist())
+                made = use(part.column(at_text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(k) for k in range(len(keep))] + [pa.array(made[k], ARROW[v]) for k, v in new.items()], [*keep, *new]
                 )
 
-    return df.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    columns = [df[k] for k in keep] + ([df[text].cast("string").alias("__text")] if at_text == len(keep) else [])
+    return df.select(*columns).mapInArrow(run, schema)
 
 
 @functools.lru_cache(64)
