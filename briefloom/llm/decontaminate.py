@@ -168,7 +168,8 @@ class Items:
                 size += len(starts[some[at]])
                 at += 1
             gap = self.longest + 1
-            data = np.concatenate([x for k in take for x in (docs[k], np.zeros(gap, np.int64))])
+            # a walk goes on for at most its steps beyond the last start
+            data = np.concatenate([x for k in take for x in (docs[k], np.zeros(gap, np.int64))] + [np.zeros(self.steps, np.int64)])
             base = np.cumsum([0] + [len(docs[k]) + gap for k in take])
             all_ = np.concatenate([starts[k] + b for k, b in zip(take, base)])
             best: dict[tuple[int, int], tuple[int, int]] = {}
