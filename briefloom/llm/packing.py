@@ -34,7 +34,7 @@ UNIT = 8
 #: Rows of (task, length) counts up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 #: Strings and words that a Python worker remembers.
-STRINGS_KEPT, WORDS_KEPT = 300_000, 200_000
+STRINGS_KEPT, WORDS_KEPT = 150_000, 100_000
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 

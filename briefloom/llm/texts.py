@@ -17,6 +17,8 @@ ARROW = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
 }
+#: Rows of an Arrow batch: the setting, its default, and what whole texts take instead.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
 
 
 def map_texts(
@@ -41,6 +43,9 @@ def map_texts(
                     [part.column(k) for k in range(len(keep))] + [pa.array(made[k], ARROW[v]) for k, v in new.items()], [*keep, *new]
                 )
 
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:  # nobody has chosen another size
+        conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
     columns = [df[k] for k in keep] + ([df[text].cast("string").alias("__text")] if at_text == len(keep) else [])
     return df.select(*columns).mapInArrow(run, schema)
 
