@@ -55,7 +55,7 @@ def canonicalize_link(c: Column) -> Column:
 
 def link_domain(c: Column) -> Column:
     """Host part as written; null if there is none."""
-    return F.nullif(F.regexp_extract(_text(c), URL, 2), F.lit(""))
+    return F.nullif(F.regexp_extract(strip(_text(c)), URL, 2), F.lit(""))
 
 
 def first_link(*links: Column) -> Column:
@@ -94,7 +94,7 @@ def tokens(c: Column) -> Column:
 
 def tags(titles: Column, most: int = 5) -> Column:
     """First distinct words of a list of titles, two characters or more, case kept."""
-    words = F.flatten(F.transform(titles, lambda t: F.split(F.trim(F.regexp_replace(F.translate(t, "/|", "  "), SPACES, " ")), " ")))
+    words = F.flatten(F.transform(titles, lambda t: F.split(F.trim(F.regexp_replace(F.translate(_text(t), "/|", "  "), SPACES, " ")), " ")))
     return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 2)), 1, most)
 
 
