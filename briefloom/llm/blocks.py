@@ -14,11 +14,18 @@ def spanning(hit: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """For rows and columns of ``hit`` the least row index of their component, -1 where there is no link."""
     na, nb = hit.shape
     top = na + nb
-    r, c = np.arange(na), (np.arange(na) if same else np.full(nb, top))
+
+    def least(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The least value over each row's links, some rows at a time."""
+        out = np.full(len(matrix), top, np.int32)
+        for at in range(0, len(matrix), 256):
+            out[at : at + 256] = np.where(matrix[at : at + 256], values[None, :], np.int32(top)).min(axis=1, initial=top)
+        return out
+
+    r, c = np.arange(na, dtype=np.int32), (np.arange(na, dtype=np.int32) if same else np.full(nb, top, np.int32))
     while True:
-        from_c = np.where(hit, c[None, :], top).min(axis=1, initial=top)
-        r2 = np.minimum(r, from_c)
-        c2 = np.minimum(c, np.where(hit, r2[:, None], top).min(axis=0, initial=top))
+        r2 = np.minimum(r, least(hit, c))
+        c2 = np.minimum(c, least(hit.T, r2))
         if same:
             r2 = c2 = np.minimum(r2, c2)
             r2 = c2 = np.minimum(r2, r2[np.minimum(r2, na - 1)])

@@ -38,11 +38,22 @@ def letters_of(text: str | None) -> bytes:
     return words.encode("utf-8", "surrogatepass")
 
 
+def hash_share(key: str):
+    """A number from 0 to 1 by the hash of ``key``."""
+    return F.xxhash64(key).cast("double") / float(2**64) + 0.5
+
+
 def sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows for each value of ``by``, those with the smallest hash of ``key``."""
+    """About ``most`` rows, and no more, for each value of ``by``: those with the smallest hash of ``key``.
+
+    A share of each value's rows that holds enough is taken by hash before anything is sorted,
+    so that what one task sees doesn't grow with the table.
+    """
     ids = rows.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    counts = ids.groupBy(by).agg(F.count("*").alias("__rows"))
+    near = ids.join(counts, by).where(hash_share(key) * F.col("__rows") <= 2.0 * most)
     order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    picked = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(key).distinct()
+    picked = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(key).distinct()
     # `most` rows a value
     return rows.join(F.broadcast(picked), key)
 

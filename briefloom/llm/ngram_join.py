@@ -119,16 +119,19 @@ def links_within(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: flo
     row, col = row[order], col[order]
     na, nb = len(a), len(a) if b is None else len(b)
     inter = np.zeros((na, nb), np.float32)
-    width = max(64, min(4096, 8_000_000 // max(1, len(both))))
+    width = max(64, min(4096, 2_000_000 // max(1, len(both))))
     total = int(many.sum())
     for at in range(0, total, width):
         lo, hi = np.searchsorted(col, (at, at + width))
         dense = np.zeros((len(both), min(width, total - at)), np.float32)
         dense[row[lo:hi], col[lo:hi] - at] = 1
         inter += dense[:na] @ (dense if b is None else dense[na:]).T
-    sa, sb = sizes[:na, None].astype(np.float64), (sizes[:na] if b is None else sizes[na:])[None, :].astype(np.float64)
-    # a shared fraction as good as the threshold, in whole numbers: |x & y| >= t |x u y|
-    hit = inter * (1 + threshold) >= threshold * (sa + sb) - 1e-6
+    sa, sb = sizes[:na], sizes[:na] if b is None else sizes[na:]
+    # |x & y| >= t |x u y| without a division, some rows at a time
+    hit = np.empty((na, nb), bool)
+    for at in range(0, na, 256):
+        rows = slice(at, at + 256)
+        hit[rows] = inter[rows].astype(np.float64) * (1 + threshold) >= threshold * (sa[rows, None] + sb[None, :]) - 1e-6
     if b is None:
         np.fill_diagonal(hit, False)
     return hit
@@ -174,10 +177,9 @@ def ngram_jaccard_join(
 
     def regram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [words_of(t) for t in pdf["text"]]
-            mine = [key_of(w) == k for w, k in zip(words, pdf["key"])]
-            pdf = pdf.assign(grams=[grams(w, n).tobytes() if ok else None for w, ok in zip(words, mine)])[mine]
-            yield pdf[["doc_id", "mult", "component", "blocks", "grams"]]
+            own = [grams(w, n).tobytes() if key_of(w) == k else None for w, k in zip(map(words_of, pdf["text"]), pdf["key"])]
+            pdf = pdf.drop(columns=["text", "key"]).assign(grams=own)
+            yield pdf[pdf["grams"].notna()][["doc_id", "mult", "component", "blocks", "grams"]]
 
     cand = candidates.select("doc_id", "key", "mult", "component", "blocks")
     cand = F.broadcast(cand) if size.rows <= BROADCAST_ROWS else cand

@@ -50,7 +50,7 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-@functools.lru_cache(64)
+@functools.lru_cache(8)
 def compressor(dictionary: bytes, level: int, window: int):
     """A zstandard compressor over a raw-content dictionary; frames carry nothing but the data."""
     import zstandard as zstd

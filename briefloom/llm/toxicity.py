@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import table
-from briefloom.llm.langid import held_out
+from briefloom.llm.langid import hash_share, held_out
 from briefloom.llm.texts import compressor, map_texts
 
 NOT_WORDS = re.compile(r"[\W_]+")
@@ -151,9 +151,9 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """From a bounded sample of labelled documents: the ``SAMPLE_ROWS`` ids with the smallest hash."""
+    own = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     ids = (
-        labels.where("toxic is not null and doc_id is not null")
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        own.where(hash_share("doc_id") * own.count() <= 2.0 * SAMPLE_ROWS)  # enough, however many rows there are
         .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
         .limit(SAMPLE_ROWS)
     )

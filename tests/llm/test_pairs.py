@@ -141,3 +141,9 @@ def test_embeddings_on_hard_rows(spark):
     got = sorted(tuple(-1 if c is None else c for c in r) for r in embeddings.near_duplicates(df).collect())
     assert got == [(-1, 0, -1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 100, 3000])
+def test_a_similarity_of_just_the_threshold_links(scale):
+    a, b = np.arange(9 * scale, dtype=np.uint64), np.arange(scale, 10 * scale, dtype=np.uint64)
+    assert ngram_join.links_within([a], [b], 0.8).all() and not ngram_join.links_within([a], [b[:-1]], 0.8 + 1e-9).any()
