@@ -71,7 +71,7 @@ def units_of(words: str) -> set[str]:
 
 
 def _toxic_units(rows: list[tuple[str, int]], least: float) -> list[str]:
-    """Units that toxic texts have more often, strongest first, without parts of one another."""
+    """Units that toxic texts have more often, strongest first, without beginnings of stronger ones."""
     toxic, clean, n1, n0 = Counter(), Counter(), 0, 0
     for words, y in rows:
         if y:
@@ -91,7 +91,7 @@ def _toxic_units(rows: list[tuple[str, int]], least: float) -> list[str]:
             scored.append((-z, -len(u), u))
     picked: list[str] = []
     for _, _, u in sorted(scored):
-        if not any(u.startswith(p.strip()) or p.startswith(u) for p in picked):
+        if not any(p.startswith(u) for p in picked):
             picked.append(u)
     return picked
 
