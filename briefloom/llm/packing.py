@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import unicodedata
 import zlib
@@ -34,7 +35,7 @@ UNIT = 8
 #: Rows of (task, length) counts up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 #: Strings and words that a Python worker remembers.
-STRINGS_KEPT, WORDS_KEPT = 150_000, 100_000
+STRINGS_KEPT, WORDS_KEPT = 240_000, 20_000
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -54,8 +55,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        #: The same merges for words that are normalized and cut already.
+        #: The library's merges, for words that are normalized and cut already.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
@@ -65,7 +65,7 @@ class WordEncoder:
             spec = json.load(f)
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # tokens that end a word
+        self.ends = np.zeros(self.plain.get_vocab_size(), bool)  # tokens that end a word
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.strings: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -120,11 +120,12 @@ class WordEncoder:
         parts = [self._parts(t) for t in texts]
         lists = [x for p in parts for x in p if type(x) is list]
         if new := set().union(*lists).difference(self.strings):
+            # the oldest half stays: common words come early
             if len(self.strings) + len(new) > STRINGS_KEPT:
-                self.strings.clear()
-                new = set().union(*lists)
+                self.strings = dict(itertools.islice(self.strings.items(), STRINGS_KEPT // 2))
+                new = set().union(*lists).difference(self.strings)
             if len(self.words) > WORDS_KEPT:
-                self.words.clear()
+                self.words = dict(itertools.islice(self.words.items(), WORDS_KEPT // 2))
             self._learn(new)
         get = self.strings.__getitem__
         return [b"".join([x if type(x) is bytes else b"".join(map(get, x)) for x in p]) for p in parts]

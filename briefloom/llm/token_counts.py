@@ -10,6 +10,7 @@ are sums of word counts; budgets and truncations read them off without encoding
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -159,7 +160,10 @@ class _Sizes(dict):
 
     def __missing__(self, word: str) -> int:
         if len(self) >= WORDS_KEPT:
+            # the oldest half stays: common words come early
+            old = list(itertools.islice(self.items(), WORDS_KEPT // 2))
             self.clear()
+            self.update(old)
         n = self.counter.prefixes(word.encode("utf-8", "surrogatepass"))[-1]
         if len(word) < 100:
             self[word] = n
