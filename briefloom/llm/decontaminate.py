@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from briefloom.llm.common import table
 from briefloom.llm.ngram_join import words_of
-from briefloom.llm.texts import map_texts
+from briefloom.llm.texts import map_texts, small_batches, text_flag
 
 #: Edits allowed as a share of an item's words; items of fewer words than this are not looked for.
 EDIT_SHARE, LEAST_WORDS = 0.15, 5
@@ -198,16 +198,6 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[list[tup
         yield [(r.item_id, words_of(r.text)) for r in rows]
 
 
-def _searched(docs: DataFrame, items: list[tuple[int, list[str]]], share: float, keep: tuple[str, ...]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def make():
-        found = Items(shared.value, share)
-        return lambda texts: {"__found": found.search(texts)}
-
-    return map_texts(docs, make, {"__found": "array<long>"}, keep)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """Benchmark items inside documents: ``doc_id``, ``item_id``, ``edits``, ``first_word``, ``n_words`` of the item.
 
@@ -220,7 +210,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
     """
     out = None
     for items in item_blocks(benchmark):
-        found = _searched(docs, items, share, ("doc_id",)).where(F.size("__found") > 0)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def make(shared=shared):
+            search = Items(shared.value, share).search
+            return lambda texts: {"__found": search(texts)}
+
+        found = map_texts(docs, make, {"__found": "array<long>"}).where(F.size("__found") > 0)
         triple = F.explode(F.transform(F.sequence(F.lit(0), F.size("__found") - 3, F.lit(3)), lambda k: F.slice("__found", k + 1, 3)))
         rows = found.select("doc_id", triple.alias("m")).select(
             "doc_id", F.col("m")[0].alias("item_id"), F.col("m")[1].cast("int").alias("edits"), F.col("m")[2].alias("first_word")
@@ -231,9 +227,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """``docs`` without the documents in which a benchmark item stands; all columns as they are."""
+    small_batches(docs)
     for items in item_blocks(benchmark):
-        columns = docs.columns
-        docs = _searched(docs, items, share, tuple(columns)).where(F.size("__found") == 0).select(*columns)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def make(shared=shared):
+            search = Items(shared.value, share).search
+            return lambda texts: [x for k in range(0, len(texts), 1024) for x in search(texts[k : k + 1024])]
+
+        docs = docs.where(~text_flag(make)(F.col("text").cast("string")))
     return docs
 
 

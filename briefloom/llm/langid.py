@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import table
-from briefloom.llm.texts import compressor, map_texts
+from briefloom.llm.texts import compressor, map_texts, small_batches, text_flag
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -119,13 +119,14 @@ def _identifier(dictionaries: dict[str, bytes], narrow: float):
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """``docs`` without the rows that language identification rejects; all columns as they are."""
-    columns = tuple(docs.columns)
+    make = _identifier(dictionaries, narrow)
 
-    def only_rejected(use):
-        return lambda texts: {"__rejected": use(texts)["rejected"]}
+    def rejected():
+        use = make()
+        return lambda texts: use(texts)["rejected"]
 
-    make = _identifier(dictionaries, narrow)
-    return map_texts(docs, lambda: only_rejected(make()), {"__rejected": "boolean"}, columns).where("not __rejected").select(*columns)
+    small_batches(docs)
+    return docs.where(~text_flag(rejected)(F.col("text").cast("string")))
 
 
 def held_out(column: str = "doc_id", folds: int = 4, fold: int = 2):

@@ -5,8 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 ARROW = {
     "long": pa.int64(),
@@ -21,6 +24,13 @@ ARROW = {
 BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Set the rows of an Arrow batch for whole texts, unless somebody has chosen another size."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:
+        conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
+
+
 def map_texts(
     df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], new: dict[str, str], keep: tuple[str, ...] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
@@ -43,13 +53,23 @@ def map_texts(
                     [part.column(k) for k in range(len(keep))] + [pa.array(made[k], ARROW[v]) for k, v in new.items()], [*keep, *new]
                 )
 
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS[0]) == BATCH_ROWS[1]:  # nobody has chosen another size
-        conf.set(BATCH_ROWS[0], BATCH_ROWS[2])
+    small_batches(df)
     columns = [df[k] for k in keep] + ([df[text].cast("string").alias("__text")] if at_text == len(keep) else [])
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def text_flag(make: Callable[[], Callable[[list], list]]):
+    """A boolean UDF of a text column: only texts go to Python and only flags come back."""
+
+    @F.pandas_udf(BooleanType())
+    def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        use = make()
+        for texts in batches:
+            yield pd.Series([bool(x) for x in use([t if isinstance(t, str) else None for t in texts])], dtype=bool)
+
+    return flag
+
+
 @functools.lru_cache(8)
 def compressor(dictionary: bytes, level: int, window: int):
     """A zstandard compressor over a raw-content dictionary; frames carry nothing but the data."""
