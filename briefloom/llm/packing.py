@@ -16,6 +16,7 @@ import bisect
 import functools
 import itertools
 import json
+import os
 import unicodedata
 import zlib
 from collections import Counter
@@ -34,8 +35,8 @@ from briefloom.llm.texts import map_texts
 UNIT = 8
 #: Rows of (task, length) counts up to which they are broadcast.
 BROADCAST_ROWS = 500_000
-#: Strings and words that a Python worker remembers.
-STRINGS_KEPT, WORDS_KEPT = 240_000, 20_000
+#: Strings that a Python worker remembers, and marks that often end one.
+STRINGS_KEPT, END_MARKS = 300_000, ".,!?;:"
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -67,8 +68,10 @@ class WordEncoder:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.ends = np.zeros(self.plain.get_vocab_size(), bool)  # tokens that end a word
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.strings: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+        self._encode(list(END_MARKS))
+        self.marks = {m: self.known[m] for m in END_MARKS}
 
     def _encode(self, words: list[str]) -> None:
         some = [words[k : k + 256] for k in range(0, len(words), 256)]
@@ -79,26 +82,29 @@ class WordEncoder:
                 raise ValueError("the vocabulary doesn't mark where words end")
             data, at = ids.tobytes(), 0
             for w, end in zip(part, (ends * 4).tolist()):
-                self.words[w] = data[at:end]
+                self.known[w] = data[at:end]
                 at = end
 
     def _learn(self, strings: set[str]) -> None:
-        words, alone, find = self.words, [], WORD.findall
-        cut = []
+        """Strings of letters are words, most others are words with a mark after them; the rest is cut by the pattern."""
+        known, marked, rest = self.known, [], []
+        words = set()
         for s in strings:
-            ws = find(s)
-            if len(ws) == 1:
-                alone.append((s, ws[0]))
+            if s.isalpha():
+                words.add(s)
+            elif s[-1:] in self.marks and s[:-1].isalpha():
+                marked.append(s)
+                words.add(s[:-1])
             else:
-                cut.append((s, ws))
-        new = {w for _, w in alone}
-        new.update(w for _, ws in cut for w in ws)
-        if new := list(new.difference(words)):
+                ws = WORD.findall(s)
+                rest.append((s, ws))
+                words.update(ws)
+        if new := list(words.difference(known)):
             self._encode(new)
-        for s, w in alone:
-            self.strings[s] = words[w]
-        for s, ws in cut:
-            self.strings[s] = b"".join([words[w] for w in ws])
+        for s in marked:
+            known[s] = known[s[:-1]] + self.marks[s[-1]]
+        for s, ws in rest:
+            known[s] = b"".join([known[w] for w in ws])
 
     def _parts(self, text: str) -> list:
         """Lists of strings between white space, and ids of special tokens in the text."""
@@ -119,15 +125,13 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [self._parts(t) for t in texts]
         lists = [x for p in parts for x in p if type(x) is list]
-        if new := set().union(*lists).difference(self.strings):
-            # the oldest half stays: common words come early
-            if len(self.strings) + len(new) > STRINGS_KEPT:
-                self.strings = dict(itertools.islice(self.strings.items(), STRINGS_KEPT // 2))
-                new = set().union(*lists).difference(self.strings)
-            if len(self.words) > WORDS_KEPT:
-                self.words = dict(itertools.islice(self.words.items(), WORDS_KEPT // 2))
+        if new := set().union(*lists).difference(self.known):
+            if len(self.known) + len(new) > STRINGS_KEPT:
+                # the oldest half stays: common words come early
+                self.known = dict(itertools.islice(self.known.items(), STRINGS_KEPT // 2))
+                new = set().union(*lists).difference(self.known)
             self._learn(new)
-        get = self.strings.__getitem__
+        get = self.known.__getitem__
         return [b"".join([x if type(x) is bytes else b"".join(map(get, x)) for x in p]) for p in parts]
 
     def ids(self, text: str) -> bytes:
