@@ -20,7 +20,6 @@ from briefloom.operators import aggregates as A
 from briefloom.operators import grouping as G
 from briefloom.operators import joins as J
 from briefloom.operators import lookup as L
-from briefloom.operators import ranking as R
 from briefloom.schemas import market_order
 from briefloom.sources import feeds, tables as S
 from briefloom.sources.tables import Tables

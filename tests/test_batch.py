@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from briefloom.operators import validators
 from briefloom.plans import reads, steps
