@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from briefloom.llm import embeddings
+from briefloom.llm import embeddings, oracles
 from briefloom.llm.decontaminate import op6_decontaminate
 from briefloom.llm.embeddings import op1_embedding_near_dedup
 from briefloom.llm.html_text import op2_html_extraction
@@ -30,4 +30,7 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": embeddings.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": embeddings.ORACLE,
+    "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+}
