@@ -25,3 +25,38 @@ FROM d JOIN (SELECT a, MIN(b) AS class_id FROM reach GROUP BY a) c ON c.a = d.do
 LEFT JOIN (SELECT a, CAST(COUNT(*) AS BIGINT) AS n_links FROM links GROUP BY a) k ON k.a = d.doc_id
 LEFT JOIN same ON same.w = d.w
 """
+
+#: op10: matches and their places by splitting, entropy over every window of a candidate.
+SECRET_SCAN = r"""
+WITH kinds(kind, ord, pat) AS (VALUES
+  ('assign', 0, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{32,}'), ('entropy', 3, '[A-Za-z0-9+/_=-]{24,}')
+), m AS (
+  SELECT doc_id, kind, ord, pat, regexp_extract_all(coalesce(text, ''), pat) AS hits, regexp_split_to_array(coalesce(text, ''), pat) AS gaps FROM documents, kinds
+), u AS (
+  SELECT doc_id, kind, ord, pat, hits, gaps, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM m WHERE len(hits) > 0
+), s AS (
+  SELECT doc_id, kind, ord, pat, hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS start,
+    CASE WHEN regexp_full_match(hit, '[0-9a-fA-F]+') THEN 32 ELSE 24 END AS size
+  FROM u
+), f AS (
+  SELECT doc_id, kind, ord, start, start + length(hit) AS stop FROM s WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(hit, pat, 2)) >= 8 WHEN 'access' THEN length(hit) >= 16 WHEN 'hex' THEN true
+    ELSE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+      AND NOT regexp_matches(hit, '(?i)(example|placeholder|changeme|dummy|redacted|lorem|xxxx|0123456789|abcdefgh)')
+      AND NOT regexp_matches(hit, '^[A-Za-z]*([-_/=+][A-Za-z]+)*[-_/=+]*[0-9]{0,4}$')
+      AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')
+      AND coalesce(list_max(list_transform(range(1, length(hit) - size + 2), lambda k: list_aggregate(string_split(substr(hit, k, size), ''), 'entropy'))), 0)
+        >= CASE size WHEN 32 THEN 3.0 ELSE 3.9 END
+    END
+), spans AS (
+  SELECT * FROM f WHERE ord < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.ord < 3 AND b.start <= f.start AND b.stop >= f.stop)
+), byd AS (
+  SELECT doc_id, COUNT(*) FILTER (WHERE ord = 0) AS n_assign, COUNT(*) FILTER (WHERE ord = 1) AS n_access, COUNT(*) FILTER (WHERE ord = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) FILTER (WHERE ord < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN byd ON byd.doc_id = d.doc_id
+"""

@@ -33,4 +33,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": embeddings.ORACLE,
     "op4_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op10_secret_scan": oracles.SECRET_SCAN,
 }
