@@ -93,13 +93,13 @@ def is_secret(hit: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
     return F.when(mixed & ~let_go, high).otherwise(False)
 
 
-def with_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
-    """``docs`` and a column ``found``: array of (start, order, end, kind), sorted.
+def with_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED, name: str = "found") -> DataFrame:
+    """``docs`` and a column ``name``: array of (start, order, end, kind), sorted.
 
     Kinds in order: assign, access, hex, entropy; an entropy span inside another isn't given.
 
     Defined cases: a null or empty text has no spans; null ids, repeated rows and further
-    columns are carried (a column named ``found`` is replaced); an empty table gives no rows.
+    columns are carried (one called ``name`` is replaced); an empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     assign = F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 8)
@@ -122,7 +122,7 @@ def with_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame
             )
         ),
     )
-    return docs.withColumn("found", both)
+    return docs.withColumn(name, both)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", classes=CLASSES, allowed=ALLOWED) -> DataFrame:
@@ -130,7 +130,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", classes=CLASSES, allowed=A
 
     Overlapping spans become one mark.  Texts without spans, null ones included, stay as they are.
     """
-    found = with_secrets(docs, classes, allowed)
+    spans = "__spans"
+    found = with_secrets(docs, classes, allowed, spans)
 
     def cut(x: Column) -> Column:
         def step(acc, s):
@@ -145,9 +146,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", classes=CLASSES, allowed=A
         end = F.aggregate(x, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
         return _bound(end, lambda e: F.concat(e["out"], F.substring(F.col("text"), e["pos"] + 1, F.length("text"))))
 
-    out = found.withColumn("text", F.when(F.size("found") > 0, _bound(F.col("found"), cut)).otherwise(F.col("text")))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, _bound(F.col(spans), cut)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -292,6 +292,7 @@ def test_secrets_equal_brute_force(spark, hard):
             pos = max(pos, int(b))
         assert row.text == (None if t is None else out + t[pos:]) and row.n_chars == (None if t is None else len(row.text))
     assert ids(by_row(secrets.scan_secrets(hard))) == ALL_IDS and secrets.redacted(hard).columns == hard.columns
+    assert all((r.found, r.score) == (1, "x") for r in secrets.redacted(hard).collect())
     assert secrets.scan_secrets(hard.limit(0)).count() == 0
 
 
