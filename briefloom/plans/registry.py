@@ -171,6 +171,15 @@ def asof_prev(spark, d):
     return got.select("user_id", V.quantized(F.col("close")).cast("double").alias("close_price"), diff.cast("double").alias("change_value"))
 
 
+@query()
+def asof_percent(spark, d):
+    """The change in percent of the value before; not SQL (decimal division): tested against decimals."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.struct("ts", "event_id").alias("at"), F.col("value").cast("decimal(20,8)").alias("close"))
+    got = J.as_of(e.where(F.col("ts") <= F.lit("2024-06-30").cast("timestamp")), ["user_id"], F.col("at"), "at", ["close"])
+    _, percent = V.change(F.col("close"), F.coalesce("previous_close", "close"))
+    return got.select("user_id", percent.alias("change_percent"))
+
+
 @query("""SELECT event_id, user_id, ts FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER
 (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stop FROM events) WHERE stop = 0""")
 def take_while(spark, d):
@@ -206,6 +215,12 @@ def dedupe_hash(spark, d):
     return plain.select("doc_id", X.dedupe_hash(F.translate("text", "|", " "), F.col("source")).alias("hash"))
 
 
+@query()
+def dedupe_hash_all(spark, d):
+    """X1, X5, on all documents; not SQL (tags and entities): tested against a plain model."""
+    return table(spark, d, "documents").select("doc_id", X.dedupe_hash(F.translate("text", "|", " "), F.col("source")).alias("hash"))
+
+
 @query("SELECT MIN(doc_id) AS doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL GROUP BY text")
 def dedupe_first(spark, d):
     """The first document of each digest."""
@@ -226,6 +241,12 @@ def tokens(spark, d):
     return table(spark, d, "documents").where(~F.col("text").rlike("[<&]")).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query()
+def tokens_all(spark, d):
+    """X1, X8, on all documents; not SQL (tags and entities): tested against a plain model."""
+    return table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_field(spark, d):
     """X18."""
@@ -363,6 +384,18 @@ def tag_counts(spark, d):
     return grouped.select("source", F.size(X.tags(F.col("titles"), 1000)).cast("long").alias("n_tags"))
 
 
+@query()
+def first_tags(spark, d):
+    """A source's first five distinct words over its texts in order of doc_id; not SQL: tested against a plain model.
+
+    A source's first five are among the first five of the texts they first stand in.
+    """
+    own = table(spark, d, "documents").select("source", "doc_id", F.posexplode(X.tags(F.array("text"))).alias("place", "tag"))
+    first = own.groupBy("source", "tag").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    five = R.ranked(first, ["source"], [F.col("at"), F.col("tag")], "n").where("n <= 5")
+    return A.grouped_lists(five, ["source"], ["n"], "tag", "tags")
+
+
 @query("""SELECT event_type, COUNT(*) AS n, CAST(SUM(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS fallback_count FROM events GROUP BY event_type""")
 def fallback_counts(spark, d):
     """Rows and flags of each group."""

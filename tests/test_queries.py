@@ -62,3 +62,40 @@ def test_entry_gives_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_whole_documents_equal_plain_models(spark, tmp_path):
+    """Marked-up and null texts included, which the SQL of dedupe_hash and tokens leaves out."""
+    import hashlib
+    import html
+    import re
+
+    def title(v):
+        return " ".join(html.unescape(re.sub("<[^>]+>", "", v or "")).split())
+
+    texts = ["<b>Rates</b> &amp; bonds|yields", "a < b > c", None, "", "plain plain Text", "&lt;i&gt; up", "AI/chips | AI x up down more"]
+    docs = spark.createDataFrame([(k, t, "s" if k % 2 else "r") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = lambda name: {r[0]: r[1] for r in registry.QUERIES[name](spark, f"file://{tmp_path}").select(*columns[name]).collect()}
+    columns = {"dedupe_hash_all": ("doc_id", "hash"), "tokens_all": ("doc_id", "tokens"), "first_tags": ("source", "tags")}
+    source = {k: "s" if k % 2 else "r" for k in range(len(texts))}
+    want = {k: hashlib.sha256(f"{title((t or '').replace('|', ' '))}|{source[k]}".encode()).hexdigest() for k, t in enumerate(texts)}
+    assert rows("dedupe_hash_all") == want
+    assert rows("tokens_all") == {k: list(dict.fromkeys(re.findall("[0-9A-Za-z가-힣]{2,}", title(t).lower()))) for k, t in enumerate(texts)}
+    tags = {}
+    for k, t in enumerate(texts):
+        own = tags.setdefault(source[k], [])
+        own += [w for w in dict.fromkeys((t or "").replace("/", " ").replace("|", " ").split()) if len(w) >= 2 and w not in own]
+    assert rows("first_tags") == {k: v[:5] for k, v in tags.items()}
+
+
+def test_percent_equals_decimals(spark, small):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    by_user, want = {}, {}
+    for r in spark.read.parquet(f"{small}/events.parquet").where("ts <= timestamp'2024-06-30'").collect():
+        by_user.setdefault(r.user_id, []).append((r.ts, r.event_id, Decimal(str(r.value))))
+    for user, rows in by_user.items():
+        last, before = ([v for *_, v in sorted(rows, reverse=True)] * 2)[:2] if len(rows) > 1 else (rows[0][2], rows[0][2])
+        want[user] = ((last - before) * 100 / before if before else Decimal(0)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)
+    assert {r.user_id: r.change_percent for r in registry.QUERIES["asof_percent"](spark, small).collect()} == want
