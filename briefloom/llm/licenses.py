@@ -1,9 +1,9 @@
 """License scans over a positional rare-token index.
 
-The licence templates' words are indexed with their positions.  A file's rarest licence words
-(by document frequency over the whole corpus) look up template postings; postings that agree
-on the relative position of file and template mark a place, whose share of matching words is
-the score.  A template counts only where its mandatory key phrase stands.
+The licence templates' words are indexed with their positions.  Each template's rarest words
+(by document frequency over the whole corpus) are looked up in a file; file and template
+positions give a place, whose share of matching words is the score.  So many words of each
+template are looked up that a place with the least share must hold one of them.  A template counts only where its mandatory key phrase stands.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
 )
-#: Rarest licence words of a file that are looked up, and the share of a template that must match.
+#: Rarest words of a template that are looked up at least, and the share of it that must match.
 RARE_WORDS, LEAST_SHARE = 8, 0.75
 
 NEW = {
@@ -81,16 +81,28 @@ class Index:
             found += [(p, label) for p in where.get(phrase[0], ()) if tuple(words[p : p + n]) == phrase]
         return sorted(found)
 
-    def match(self, where: dict[str, list[int]], words: list[str], idf: dict[str, float]) -> tuple[set[str], float]:
+    def rarest(self, idf: dict[str, float]) -> list[list[str]]:
+        """Each template's words to look up: the rarest ones, on more positions than may differ at a place."""
+        out = []
+        for text in self.texts:
+            may_differ = len(text) - math.ceil(LEAST_SHARE * len(text))
+            picked, covered, count = [], 0, Counter(text)
+            for w in sorted(count, key=lambda w: (-idf.get(w, math.inf), w)):
+                if len(picked) >= RARE_WORDS and covered > may_differ:
+                    break
+                picked.append(w)
+                covered += count[w]
+            out.append(picked)
+        return out
+
+    def match(self, where: dict[str, list[int]], words: list[str], rarest: list[list[str]]) -> tuple[set[str], float]:
         """Labels of the templates found, and the best share of a template that matches."""
         able = {k for k, key in enumerate(self.keys) if all(w in where for w in key)}
         if not able:
             return set(), 0.0
-        useful = {w for k in able for w in self.texts[k]}
-        rare = sorted((w for w in useful if w in where), key=lambda w: (-idf.get(w, math.inf), w))[:RARE_WORDS]
-        places = Counter((k, p - q) for w in rare for k, q in self.postings[w] if k in able for p in where[w])
+        places = dict.fromkeys((k, p - q) for k in sorted(able) for w in rarest[k] for j, q in self.postings[w] if j == k for p in where.get(w, ()))
         labels, best = set(), 0.0
-        for (k, at), _ in places.items():
+        for k, at in places:
             text, key = self.texts[k], self.keys[k]
             share = sum(words[at + i] == w for i, w in enumerate(text) if 0 <= at + i < len(words)) / len(text)
             if share <= best and self.labels[k] in labels or share < LEAST_SHARE:
@@ -140,14 +152,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     repeated doc_ids are carried; an empty table gives no rows; further columns are ignored.
     """
     index = Index(templates)
-    idf = licence_word_idf(docs, index)
+    rarest = index.rarest(licence_word_idf(docs, index))
 
     def make():
         def one(text):
             words = words_of(text)
             where = where_of(words, index.words)
             base = index.base(where, words)
-            labels, score = index.match(where, words, idf)
+            labels, score = index.match(where, words, rarest)
             own = {label for _, label in base}
             first, last = (base[0][0], base[-1][0]) if base else (None, None)
             return len(words), len(base), first, last, ",".join(sorted(own)), ",".join(sorted(own | labels)), max(score, 0.5 if base else 0.0)

@@ -246,6 +246,39 @@ def test_licences(spark, hard):
     assert ids(by_row(licenses.scan_licenses(hard))) == ALL_IDS and licenses.scan_licenses(hard.limit(0)).count() == 0
 
 
+def test_two_licences_under_a_skewed_idf(spark):
+    """The words of one licence don't crowd out another's, however common those are; equal to trying every place."""
+    bsd, cc = " ".join(licenses.TEMPLATES[8][1].split()), "Licensed under CC BY-NC 4.0."
+    r, texts = random.Random(9), [f"{bsd} {cc}", f"{cc} {bsd}"] + [f"note {k} {cc}" if k % 3 == 0 else f"plain row {k}" for k in range(60)]
+    for _ in range(150):
+        parts = []
+        for _, text, _ in r.sample(licenses.TEMPLATES, 3):
+            words = text.split()
+            for _ in range(int(r.choice((0, 0.2, 0.3)) * len(words))):
+                words[r.randrange(len(words))] = r.choice(("other", "license", "the", "of", "permitted", "by"))
+            parts += words + ["x"] * r.randint(0, 3)
+        texts.append(" ".join(parts))
+    index = licenses.Index()
+
+    def brute(words):
+        labels, best = set(), 0.0
+        for label, text, key in zip(index.labels, index.texts, index.keys):
+            for at in range(-len(text), len(words)):
+                share = sum(0 <= at + i < len(words) and words[at + i] == w for i, w in enumerate(text)) / len(text)
+                near = words[max(0, at) : max(0, at + len(text) + 1)]
+                if share >= licenses.LEAST_SHARE and any(near[i : i + len(key)] == key for i in range(len(near))):
+                    labels.add(label)
+                    best = max(best, share)
+        return labels | {label for _, label in brute_base(" ".join(words))[1]}, best
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_row(licenses.scan_licenses(df))
+    assert got[0].labels == got[1].labels == "bsd,cc-by-nc"
+    for row, t in zip(got, texts):
+        labels, best = brute(licenses.words_of(t))
+        assert row.labels == ",".join(sorted(labels)) and row.score == max(best, 0.5 if row.n_base else 0.0), t
+
+
 # secrets
 
 ASSIGN = re.compile(
