@@ -22,8 +22,9 @@ from briefloom.llm.texts import map_texts
 
 #: Labelled pages of the training set, steps of the ascent.
 TRAINING_PAGES, STEPS = 400, 150
-#: Elements whose content is never text.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|video|audio|canvas"
+#: Elements whose content is never text: those that run to the page's end without an end tag, and those that need one.
+RAW, DROPPED = "script|style|noscript|template|textarea|title|iframe", "svg|math|object|select|button|video|audio|canvas"
+DROPPED_TAGS, SELF_CLOSED = frozenset(DROPPED.split("|")), frozenset({"svg", "math"})
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,10 +34,16 @@ VOID_TAGS = frozenset("hr".split())
 SELF_NESTED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SECTIONS = frozenset("article aside body footer form header main nav section table".split())
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""",
     re.S | re.I,
 )
+#: Tags of the dropped elements, outside comments and raw elements.
+DROPPED_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"""|<(/?)({DROPPED})(?=[\s/>])((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)({DROPPED})(?=[\s/>])([^>]*)>""",
+    re.S | re.I,
+)
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -48,6 +55,21 @@ class Block:
         self.path, self.marks, self.text, self.linked = path, marks, text, linked
 
 
+def dropped_ends(page: str) -> dict[int, int]:
+    """Where the dropped elements with an end tag start: where they end."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in DROPPED_TAG.finditer(page):
+        if name := m[3] or m[6]:
+            name = name.lower()
+            if not (m[2] or m[5]):
+                if not (name in SELF_CLOSED and page[m.end() - 2] == "/"):
+                    opened.setdefault(name, []).append(m.start())
+            elif opened.get(name):
+                ends[opened[name].pop()] = m.end()
+    return ends
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: ancestors' tags, their class words, text, share of it in links."""
     blocks: list[Block] = []
@@ -72,15 +94,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if in_link:
                 linked += len(raw.strip())
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, ends = 0, None
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         name = m[3] or m[6]
         if not name:
             continue
         name, closing = name.lower(), bool(m[2] or m[5])
-        if name == "a":
+        if name in DROPPED_TAGS:
+            if not closing:
+                ends = dropped_ends(page) if ends is None else ends
+                at = ends.get(m.start(), at)
+        elif name == "a":
             in_link = not closing
         elif name == "br":
             parts.append(" ")

@@ -469,5 +469,20 @@ def test_hard_pages(spark):
     assert html.unescape("&nbsp;") == "\xa0"
 
 
+@pytest.mark.parametrize(
+    "part, left",
+    [
+        ("<video-player src=x></video-player>", ""), ("<button-group>Go</button-group>", "Go"), ("<title-bar>Bar</title-bar>", "Bar"), ("<object-x></object-x>", ""),
+        ("<svg width='1'/>", ""), ("<math/>", ""), ("<button>Menu", "Menu"), ("<object data=x>", ""), ("<video controls>", ""), ("<audio src=x>", ""), ("<svg>", ""), ("<math>", ""),
+        ("<svg><g/><svg>in</svg>out</svg>", ""), ("<svg><!-- <svg> -->x</svg>", ""), ("<svg title='a>b'><text>x</text></svg>", ""), ("<BUTTON>Go</BUTTON>", ""),
+        ("<script>'<button>'</script>", ""), ("<video><source/>old</video>", ""),
+    ],
+)
+def test_elements_that_hold_no_text_take_nothing_else(part, left):
+    for end in ("", "<button>Share</button>", "<video>old</video><object>o</object><audio>a</audio>"):
+        blocks = html_text.leaf_blocks(f"<article><p>One.</p>{part}<p>Two.</p><p>Three.</p>{end}</article>")
+        assert [b.text for b in blocks] == ["One.", *[left] * bool(left), "Two.", "Three."]
+
+
 def test_rule_of_words():
     assert ngram_join.words_of("A_b, C1! é") == ["a", "b", "c1", "é"] and ngram_join.words_of(None) == []
