@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from briefloom.llm.blocks import block_cells, compared
 from briefloom.llm.common import connected_components, table, written
@@ -151,24 +152,42 @@ def ngram_jaccard_join(
     of different texts gets the links of all of them; an empty table gives no rows; further
     columns are ignored.
     """
+    sig, linked = _linked(docs, n, threshold, recall, rows)
+    return sig.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(linked, "key", "left").select(
+        "doc_id",
+        F.coalesce("class", "doc_id").alias("class_id"),
+        F.coalesce("rep", "doc_id").alias("text_class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("class", "doc_id"))).alias("kept"),
+    )
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float, rows: int = 6, by_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """:func:`signatures`, and (key, rep, links, class) of the word sequences on several rows or with links.
+
+    ``rep`` is the smallest doc_id of a word sequence.  Texts of one ``rep`` are one node of the
+    links and ``class`` is its component's smallest doc_id; with ``by_text`` each text is a node
+    of its own, and ``class`` is a number of the component.
+    """
     spark = docs.sparkSession
     bands, rows = band_plan(threshold, recall, rows)
     sig = written(signatures(docs, n, bands, rows), "signatures")
     full = sig.where("doc_id is not null and key is not null")
+    node = F.monotonically_increasing_id() if by_text else F.col("rep")
     classes = written(
-        full.groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")
-        ),
+        full.groupBy("key")
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        .withColumn("node", node),
         "classes",
     )
-    banded = classes.select("rep", F.explode("bands").alias("h"))
+    banded = classes.select(F.col("node").alias("rep"), F.explode("bands").alias("h"))
     shared = banded.groupBy("h").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").select("h", "m")
     groups = connected_components(banded.join(shared, "h").select(F.col("rep").alias("u"), F.col("m").alias("v")))
-    grouped = classes.select("key", "rep", "mult", "n_grams").join(groups.withColumnRenamed("id", "rep"), "rep")
+    grouped = classes.select("key", "rep", "node", "mult", "n_grams").join(groups.withColumnRenamed("id", "node"), "node")
     weight = grouped.groupBy("component").agg(F.sum(F.col("n_grams") + TEXT_GRAMS).alias("w"))
     candidates = written(
         grouped.join(weight, "component").select(
-            F.col("rep").alias("doc_id"), "key", "mult", "component", F.ceil(F.col("w") / BLOCK_GRAMS).cast("int").alias("blocks"), "n_grams"
+            F.col("rep").alias("doc_id"), "node", "key", "mult", "component", F.ceil(F.col("w") / BLOCK_GRAMS).cast("int").alias("blocks"), "n_grams"
         ),
         "candidates",
     )
@@ -179,28 +198,28 @@ def ngram_jaccard_join(
         for pdf in batches:
             own = [grams(w, n).tobytes() if key_of(w) == k else None for w, k in zip(map(words_of, pdf["text"]), pdf["key"])]
             pdf = pdf.drop(columns=["text", "key"]).assign(grams=own)
-            yield pdf[pdf["grams"].notna()][["doc_id", "mult", "component", "blocks", "grams"]]
+            yield pdf[pdf["grams"].notna()][["node", "mult", "component", "blocks", "grams"]]
 
-    cand = candidates.select("doc_id", "key", "mult", "component", "blocks")
+    cand = candidates.select("doc_id", "node", "key", "mult", "component", "blocks")
     cand = F.broadcast(cand) if size.rows <= BROADCAST_ROWS else cand
     texts = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .where("doc_id is not null and text is not null")
         .join(cand, "doc_id")
-        .mapInPandas(regram, "doc_id long, mult long, component long, blocks int, grams binary")
+        .mapInPandas(regram, "node long, mult long, component long, blocks int, grams binary")
     )
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cells = block_cells(F.col("block"), F.col("blocks"))
     dealt = (
         texts.withColumn("block", block)
-        .select("doc_id", "mult", "component", "blocks", "grams", F.explode(cells).alias("cell"))
+        .select("node", "mult", "component", "blocks", "grams", F.explode(cells).alias("cell"))
         .select(
             F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(bins))))
             .otherwise(F.concat_ws("-", "component", "cell.i", "cell.j"))
             .alias("task"),
             F.col("component").alias("sub"),
             F.col("cell.side").alias("side"),
-            F.col("doc_id").alias("rep"),
+            F.col("node").alias("rep"),
             "mult",
             "grams",
         )
@@ -213,35 +232,46 @@ def ngram_jaccard_join(
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = (
-        classes.select("key", "rep", "mult")
-        .join(counts, "rep", "left")
-        .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+        classes.select("key", "rep", "node", "mult")
+        .join(counts.withColumnRenamed("rep", "node"), "node", "left")
+        .join(parts.withColumnRenamed("id", "node"), "node", "left")
         .where("mult > 1 or links is not null")
-        .select("key", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("class"))
-    )
-    return sig.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(linked, "key", "left").select(
-        "doc_id",
-        F.coalesce("class", "doc_id").alias("class_id"),
-        F.coalesce("rep", "doc_id").alias("text_class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("class", "doc_id"))).alias("kept"),
+        .select("key", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("class"))
     )
+    return sig, linked
+
+
+@F.pandas_udf(BinaryType())
+def _key(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: key_of(words_of(t)))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """``docs`` with one document of each group of linked ones, the one with the smallest doc_id; columns as they are.
+    """``docs`` with one row of each group of linked texts, one with the smallest doc_id; columns as they are.
 
-    Rows with a null doc_id stay.  Of repeated rows (equal doc_id and text) one stays.
+    Rows with a null doc_id stay, as do wordless texts but for repeated rows (equal doc_id and
+    text), of which one stays.  Texts are told apart by their words, also where they share a doc_id.
     """
-    links = written(ngram_jaccard_join(docs, n, threshold, recall), "linked")
-    gone = links.where("not kept").select("doc_id").distinct()
-    repeated = links.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    few, many = gone.count(), repeated.count()
+    sig, linked = _linked(docs, n, threshold, recall, by_text=True)
+    linked = written(linked.select("key", "rep", "class"), "linked")
+    first = linked.groupBy("class").agg(F.min(F.struct("rep", "key")).alias("first"))
+    winner = linked.join(first, "class").select("key", F.when(F.col("key") == F.col("first.key"), F.col("rep")).alias("winner"), F.lit(True).alias("in_group"))
+    rows = sig.where("doc_id is not null").select("doc_id", "key").join(winner, "key", "left")
+    kept = F.col("in_group").isNull() | F.coalesce(F.col("doc_id") == F.col("winner"), F.lit(False))
+    rows = written(rows.select("doc_id", "key", kept.alias("kept")), "kept")
+    # doc_ids with a row that goes, which is all of their rows or needs a look at the texts
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count(F.when(F.col("kept"), 1)).alias("kept"))
+    ids = written(ids.where("rows > 1 or kept = 0"), "gone")
+    gone, mixed = ids.where("kept = 0").select("doc_id"), ids.where("kept > 0").select("doc_id")
+    few, many = gone.count(), mixed.count()
     left = docs.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
     if many:
-        some = F.broadcast(repeated) if many <= BROADCAST_ROWS else repeated
-        once = left.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        left = left.join(some, "doc_id", "left_anti").unionByName(once)
+        some = F.broadcast(mixed) if many <= BROADCAST_ROWS else mixed
+        drop = rows.where("not kept").join(some, "doc_id", "left_semi").select("doc_id", F.col("key").alias("__key")).distinct()
+        text = F.col("text").cast("string")
+        own = left.join(some, "doc_id", "left_semi").withColumn("__key", _key(text)).join(drop, ["doc_id", "__key"], "left_anti")
+        once = own.withColumn("__key", F.coalesce("__key", F.encode(text, "UTF-8"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
+        left = left.join(some, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
     return left.select(*docs.columns)
 
 

@@ -88,6 +88,26 @@ def test_join_on_hard_rows(spark):
     assert sorted((r.doc_id for r in left.collect()), key=lambda i: (i is None, i)) == [1, 3, 4, 5, 6, 8, 9, 10, None]
 
 
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    """No text goes that nothing else holds, and one of each group stays."""
+    words = lambda k, n=60: [f"{k}w{i}" for i in range(n)]
+    a, b, c, d = (" ".join(words(k)) for k in "abcd")
+    near_b = " ".join([*words("b")[:-1], "other"])
+    cases = [
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(2, near_b), (5, a), (5, b)], [(2, near_b), (5, a)]),
+        ([(5, b), (5, near_b), (7, b)], None),
+        ([(5, a), (5, b), (7, a), (7, c), (7, c), (None, a), (8, None), (8, None), (8, d)], [(5, a), (5, b), (7, c), (None, a), (8, None), (8, d)]),
+    ]
+    for rows, want in cases:
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+        got = [(r.doc_id, r.text) for r in ngram_join.deduplicated(df).collect()]
+        if want is None:
+            assert len(got) == 1 and got[0][0] == 5
+        else:
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_spanning_joins_rows_and_columns():
     hit = np.array([[0, 1, 0], [0, 1, 1], [0, 0, 0], [0, 0, 1]], bool)
     rows, columns = blocks.spanning(hit, same=False)
