@@ -23,7 +23,7 @@ from briefloom.llm.langid import hash_share, held_out
 from briefloom.llm.texts import compressor, map_texts
 
 NOT_WORDS = re.compile(r"[\W_]+")
-#: Labelled rows of the training sample and characters taken of one of them.
+#: Labelled rows of the training sample (half of each label; what one label lacks goes to the other), characters taken of one.
 SAMPLE_ROWS, ROW_CHARS = 4000, 50_000
 #: Bytes of a window (it ends with a word), level, words of ordinary text, savings that count.
 WINDOW, LEVEL, ORDINARY_WORDS, TOP = 64, 9, 4000, 5
@@ -108,20 +108,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
-    """From (text, toxic) rows; near repetitions of a beginning count once.
+def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> ToxicityModel:
+    """From (text, toxic) rows; repetitions of a whole text with its label count once.
 
-    Two thirds of the rows give the dictionaries, the rest the threshold.  Without both labels
-    the score is the share of toxic rows.
+    Two thirds of each label's rows give the dictionaries, the rest the threshold.  Without both
+    labels the score is the share of toxic rows.  ``shift`` is added to the log odds, for rows
+    whose share of toxic ones isn't the true one.
     """
-    seen, own = set(), []
-    for text, y in rows:
-        words = words_of(text)
-        if words[:60] not in seen:
-            seen.add(words[:60])
-            own.append((words, int(y)))
-    cut = len(own) * 2 // 3
-    first, rest = own[:cut], own[cut:]
+    own = list(dict.fromkeys((words_of(text), int(y)) for text, y in rows))
+    number = Counter(y for _, y in own)
+    cut = {y: min(max(1, n * 2 // 3), n - 1) for y, n in number.items()}
+    at, first, rest = Counter(), [], []
+    for words, y in own:
+        (first if at[y] < cut[y] else rest).append((words, y))
+        at[y] += 1
     common = Counter()
     for words, y in first:
         if not y:
@@ -145,25 +145,35 @@ def fit(rows: list[tuple[str, int]]) -> ToxicityModel:
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
         known[units] = loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
         if best is None or loss < best[0]:
-            best = loss, ToxicityModel(ordinary, toxic, tuple(w))
+            best = loss, ToxicityModel(ordinary, toxic, (*w[:-1], w[-1] + shift))
     return best[1]
 
 
+def shares(counts: dict[int, int], most: int) -> dict[int, int]:
+    """Rows to take of labels 0 and 1: half of ``most`` each, and what one lacks from the other."""
+    toxic = min(counts.get(1, 0), max(most // 2, most - counts.get(0, 0)))
+    return {0: min(counts.get(0, 0), most - toxic), 1: toxic}
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """From a bounded sample of labelled documents: the ``SAMPLE_ROWS`` ids with the smallest hash."""
-    own = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    ids = (
-        own.where(hash_share("doc_id") * own.count() <= 2.0 * SAMPLE_ROWS)  # enough, however many rows there are
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-        .limit(SAMPLE_ROWS)
-    )
+    """From a bounded sample of labelled documents: of each label the ids with the smallest hash, ``SAMPLE_ROWS`` in all."""
+    own = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic").cast("int") != 0).cast("int").alias("toxic"))
+    counts = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
+    ids, taken = None, shares(counts, SAMPLE_ROWS)
+    for y, most in taken.items():
+        # enough, however many rows there are
+        near = own.where((F.col("toxic") == y) & (hash_share("doc_id") * counts.get(y, 0) <= 2.0 * most))
+        part = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        ids = part if ids is None else ids.unionByName(part)
     rows = (
         docs.select("doc_id", F.substring("text", 1, ROW_CHARS).alias("text"))
         .join(F.broadcast(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .collect()
     )
-    return fit([(r.text, r.toxic) for r in rows])
+    # the sample's log odds against those of all labelled rows
+    shift = math.log(counts[1] * taken[0] / (counts[0] * taken[1])) if len(counts) == 2 else 0.0
+    return fit([(r.text, r.toxic) for r in rows], shift)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

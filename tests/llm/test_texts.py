@@ -211,6 +211,18 @@ def test_toxicity_of_hard_rows(hard):
     assert toxicity.score(hard.limit(0), toxicity.train(hard, labels)).count() == 0
 
 
+def test_toxicity_behind_a_shared_beginning_and_of_rare_rows():
+    """Rows of one beginning are all learned from, and toxic rows that all stand late in the sample too."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    text = lambda y: " ".join(["banner"] * 12 + [r.choice(vocabulary) for _ in range(30)] + ["zzkraw", "gwympo"] * 2 * y)
+    model = toxicity.fit([(text(0), 0) for _ in range(400)] + [(text(1), 1) for _ in range(40)])
+    p = [1 / (1 + math.exp(-float(np.dot(toxicity.features(t, *(toxicity.compressor(d, toxicity.LEVEL, 2 * toxicity.WINDOW) for d in (model.ordinary, model.toxic))), model.weights)))) for t in (text(0), text(1))]
+    assert p[0] < 0.5 < p[1]
+    assert toxicity.shares({0: 10**6, 1: 30}, 4000) == {0: 3970, 1: 30} and toxicity.shares({0: 9000, 1: 9000}, 4000) == {0: 2000, 1: 2000}
+    assert toxicity.shares({0: 5, 1: 9}, 4000) == {0: 5, 1: 9} and toxicity.shares({}, 4000) == {0: 0, 1: 0}
+
+
 def test_windows_cover_the_text():
     text = " ".join("abcdefg"[: k % 7 + 1] for k in range(200)) + " " + "y" * 300 + " end"
     parts = toxicity.windows_of(text)
