@@ -4,16 +4,25 @@ The CGK embedding walks along a sequence of words, at each step writing the word
 and moving on or staying by a random bit of that word and step.  Sequences a few edits apart
 mostly write the same words at the same steps, so edit distance becomes Hamming distance and
 bit sampling (the words at a few steps) is a locality-sensitive hash for it.  Item-sized
-windows of each document are hashed so, with several walks for recall; what shares a hash with
-an item is verified by exact edit distance.
-
-A window within k edits of an item of L words shares L // (k + 1) words in a row with it, so
-windows that hold no such run of any item are left out; that loses nothing.
+windows of each document are hashed so; what shares a hash with an item is verified by exact
+edit distance.
+
+The walks part for ever longer after each edit, so that long items would need ever more of them.  An
+item of more than ``PIECE`` words is therefore cut in pieces: of an item with at most k edits, one
+piece has no more than its share of them (were all above it, they would add up to more than k).
+Pieces are looked for, with as many walks as a piece of that length at its bound needs for the
+target recall, and around a piece the whole item is verified.  Where no edit is allowed the words
+are looked up as they are.
+
+A window within k edits of a piece of L words shares L // (k + 1) words in a row with it, so
+windows that hold no such run of any piece are left out; that loses nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +32,22 @@ from briefloom.llm.common import table
 from briefloom.llm.ngram_join import words_of
 from briefloom.llm.texts import map_texts, small_batches, text_flag
 
-#: Edits allowed as a share of an item's words; items of fewer words than this are not looked for.
-EDIT_SHARE, LEAST_WORDS = 0.15, 5
-#: Walks, steps sampled from each, hashes a walk.
-WALKS, SAMPLED, HASHES = 6, 3, 4
+#: Edits allowed as a share of an item's words, recall of a piece at its bound, words of a piece at most.
+EDIT_SHARE, RECALL, PIECE = 0.15, 0.98, 40
+#: Steps of a walk a word: few walks are past the window's end by then, where all windows look alike.
+STEPS = 1.5
+#: Steps sampled for a hash, hashes a walk, walks at most (the target is reached long before), simulated pieces.
+SAMPLED, HASHES, WALKS, TRIALS = 3, 4, 64, 300
 #: Items of one pass over the documents (they are broadcast), windows embedded at once.
 BLOCK_ITEMS, BLOCK_WINDOWS = 20_000, 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Scripts written without spaces: each character is a unit of its own.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def units_of(text: str | None) -> list[str]:
+    """Words as in the n-gram join; characters of unspaced scripts are words of their own."""
+    return words_of(UNSPACED.sub(r" \g<0> ", text) if text and UNSPACED.search(text) else text)
 
 
 def edits_allowed(n_words: int, share: float = EDIT_SHARE) -> int:
@@ -59,11 +77,84 @@ def edit_search(item: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def _random_bits() -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers by walk and step, sampled places by walk and hash."""
+    r = np.random.RandomState(7)
+    odd = r.randint(0, 2**62, (WALKS, int(STEPS * PIECE))).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd, np.sort(r.random_sample((WALKS, HASHES, SAMPLED)), axis=2)
+
+
+ODD, PLACES = _random_bits()
+
+
+def walk_along(data: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words written at each step, and words gone by then."""
+    wrote, went = np.empty((steps, len(starts)), np.int32), np.empty((steps, len(starts)), np.int32)
+    at, mixed = starts.copy(), data.astype(np.uint64) * MIX + np.uint64(walk)
+    mixed ^= mixed >> np.uint64(29)
+    for j in range(steps):
+        wrote[j], went[j] = data[at], at - starts
+        at += (mixed[at] * ODD[walk, j] >> np.uint64(63)).astype(np.int64)
+    return wrote, went
+
+
+def sampled_key(wrote: np.ndarray, went: np.ndarray, length: int, walk: int, h: int) -> np.ndarray:
+    """Hash of the words at the sampled steps; past the window's end there is no word."""
+    key = np.zeros(wrote.shape[1], np.uint64)
+    for u in PLACES[walk, h]:
+        j = int(u * int(STEPS * length))
+        key = (key + np.where(went[j] < length, wrote[j], -1).astype(np.uint64)) * MIX
+        key ^= key >> np.uint64(32)
+    return key
+
+
+@functools.lru_cache(4096)
+def walks_needed(length: int, edits: int, recall: float = RECALL) -> int:
+    """Walks that find ``recall`` of random pieces with exactly ``edits`` random edits, where the window starts with the piece."""
+    r = np.random.RandomState(1000 * length + edits)
+    size = 4 * length
+    pieces = r.randint(1, 2**30, (TRIALS, length))
+    texts = np.zeros((TRIALS, size), np.int64)
+    for k in range(TRIALS):
+        words = pieces[k].tolist()
+        for _ in range(edits):
+            at, kind = r.randint(len(words)) if words else 0, r.randint(3)
+            if kind < 2 and words:
+                del words[at]
+            if kind > 0:
+                words.insert(at, int(r.randint(2**30, 2**31)))
+        words = words[:size] + r.randint(2**30, 2**31, size).tolist()
+        texts[k] = words[:size]
+    found = np.zeros(TRIALS, bool)
+    own = np.concatenate([pieces, np.zeros((TRIALS, size - length), np.int64)], axis=1)
+    starts = np.arange(TRIALS) * size
+    data = np.concatenate([own.ravel(), texts.ravel()]).astype(np.int64)
+    for walk in range(WALKS):
+        wrote, went = walk_along(data, np.concatenate([starts, starts + own.size]), walk, int(STEPS * length))
+        for h in range(HASHES):
+            key = sampled_key(wrote, went, length, walk, h)
+            found |= key[:TRIALS] == key[TRIALS:]
+        if found.mean() >= recall:
+            return walk + 1
+    return WALKS
+
+
+def runs_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words."""
+    count = len(words) - n + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    key = np.zeros(count, np.uint64)
+    for k in range(n):
+        key = key * MIX + words[k : k + count].astype(np.uint64) + np.uint64(1)
+    return key ^ key >> np.uint64(31)
+
+
 class Items:
-    """Hashes of a block of benchmark items, and the search for them."""
+    """Hashes of a block of benchmark items' pieces, and the search for the items.  Made once, broadcast to the workers."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], share: float = EDIT_SHARE):
-        items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
+    def __init__(self, items: list[tuple[int, list[str]]], share: float = EDIT_SHARE, recall: float = RECALL):
+        items = [(i, w) for i, w in items if w]
         self.ids = [i for i, _ in items]
         self.number: dict[str, int] = {}
         for _, words in items:
@@ -71,62 +162,46 @@ class Items:
                 self.number.setdefault(w, len(self.number) + 1)
         self.words = [np.array([self.number[w] for w in words], np.int64) for _, words in items]
         self.allowed = [edits_allowed(len(w), share) for w in self.words]
-        self.run = min((len(w) // (k + 1) for w, k in zip(self.words, self.allowed)), default=1)
-        self.longest = max(map(len, self.words), default=0)
-        self.runs = np.unique(np.concatenate([self._runs(w) for w in self.words])) if items else np.empty(0, np.uint64)
-        r = np.random.RandomState(7)
-        self.steps = 2 * self.longest
-        self.odd = r.randint(0, 2**62, (WALKS, max(1, self.steps))).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.at = np.sort(r.random_sample((WALKS, HASHES, SAMPLED)), axis=2)
-        self.by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            self.by_length.setdefault(len(w), []).append(k)
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for length, own in self.by_length.items():
-            data = np.concatenate([self.words[k] for k in own] + [np.zeros(self.longest + 1, np.int64)])
+        #: (item, first word, words, edits) of each piece
+        self.pieces: list[tuple[int, int, np.ndarray, int]] = []
+        near: dict[int, list[int]] = {}
+        exact: dict[int, list[int]] = {}
+        for k, (words, edits) in enumerate(zip(self.words, self.allowed)):
+            cuts = np.linspace(0, len(words), math.ceil(len(words) / PIECE) + 1).astype(int)
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = edits * int(hi - lo) // len(words)
+                (near if own else exact).setdefault(int(hi - lo), []).append(len(self.pieces))
+                self.pieces.append((k, int(lo), words[lo:hi], own))
+        self.longest = max(near, default=0)
+        self.run = min((n // (self.pieces[p][3] + 1) for n, ps in near.items() for p in ps), default=1)
+        self.runs = np.unique(np.concatenate([runs_of(self.pieces[p][2], self.run) for ps in near.values() for p in ps] or [np.empty(0, np.uint64)]))
+        #: by length, walk and hash: sorted keys and their pieces
+        self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        self.walks: dict[int, int] = {}
+        for length, own in near.items():
+            data = np.concatenate([self.pieces[p][2] for p in own] + [np.zeros(2 * PIECE, np.int64)])
             starts = np.arange(len(own)) * length
-            for walk in range(WALKS):
-                wrote, went = self._walk(data, starts, walk, 2 * length)
+            self.walks[length] = max(walks_needed(length, e, recall) for e in {self.pieces[p][3] for p in own})
+            for walk in range(self.walks[length]):
+                wrote, went = walk_along(data, starts, walk, int(STEPS * length))
                 for h in range(HASHES):
-                    keys = self._key(wrote, went, length, walk, h)
+                    keys = sampled_key(wrote, went, length, walk, h)
                     order = np.argsort(keys, kind="stable")
-                    self.tables[length, walk * HASHES + h] = keys[order], np.array(own)[order]
-
-    def _runs(self, words: np.ndarray) -> np.ndarray:
-        n = len(words) - self.run + 1
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        key = np.zeros(n, np.uint64)
-        for k in range(self.run):
-            key = key * MIX + words[k : k + n].astype(np.uint64) + np.uint64(1)
-        return key ^ key >> np.uint64(31)
-
-    def _walk(self, data: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words written at each step, and words gone by then."""
-        wrote, went = np.empty((steps, len(starts)), np.int32), np.empty((steps, len(starts)), np.int32)
-        at, mixed = starts.copy(), data.astype(np.uint64) * MIX + np.uint64(walk)
-        mixed ^= mixed >> np.uint64(29)
-        for j in range(steps):
-            wrote[j], went[j] = data[at], at - starts
-            at += (mixed[at] * self.odd[walk, j] >> np.uint64(63)).astype(np.int64)
-        return wrote, went
-
-    def _key(self, wrote: np.ndarray, went: np.ndarray, length: int, walk: int, h: int) -> np.ndarray:
-        """Hash of the words at the sampled steps; past the window's end there is no word."""
-        key = np.zeros(wrote.shape[1], np.uint64)
-        for u in self.at[walk, h]:
-            j = int(u * 2 * length)
-            key = (key + np.where(went[j] < length, wrote[j], -1).astype(np.uint64)) * MIX
-            key ^= key >> np.uint64(32)
-        return key
+                    self.tables[length, walk, h] = keys[order], np.array(own)[order]
+        #: by length: sorted hashes of whole pieces that must stand as they are
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for length, own in exact.items():
+            keys = np.concatenate([runs_of(self.pieces[p][2], length) for p in own])
+            order = np.argsort(keys, kind="stable")
+            self.exact[length] = keys[order], np.array(own)[order]
 
     def numbered(self, words: list[str]) -> np.ndarray:
         get = self.number.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
     def windows(self, data: np.ndarray) -> np.ndarray:
-        """Starts of windows that hold a run of some item."""
-        keys = self._runs(data)
+        """Starts of windows that hold a run of some piece."""
+        keys = runs_of(data, self.run)
         if not len(keys) or not len(self.runs):
             return np.empty(0, np.int64)
         found = np.searchsorted(self.runs, keys)
@@ -141,25 +216,36 @@ class Items:
         return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
 
     def candidates(self, data: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that share a hash."""
+        """(start, piece) pairs that share a hash."""
         found: set[tuple[int, int]] = set()
-        for walk in range(WALKS):
-            wrote, went = self._walk(data, starts, walk, self.steps)
-            for length in self.by_length:
+        for walk in range(max(self.walks.values(), default=0)):
+            lengths = [n for n, most in self.walks.items() if walk < most]
+            wrote, went = walk_along(data, starts, walk, int(STEPS * max(lengths)))
+            for length in lengths:
                 for h in range(HASHES):
-                    keys = self._key(wrote, went, length, walk, h)
-                    table_, own = self.tables[length, walk * HASHES + h]
-                    lo, hi = np.searchsorted(table_, keys, "left"), np.searchsorted(table_, keys, "right")
-                    for k in np.flatnonzero(hi > lo):
-                        found.update((int(starts[k]), int(i)) for i in own[lo[k] : hi[k]])
+                    keys = sampled_key(wrote, went, length, walk, h)
+                    _paired(*self.tables[length, walk, h], keys, starts, found)
+        return found
+
+    def as_they_are(self, data: np.ndarray) -> set[tuple[int, int]]:
+        """(start, piece) pairs of pieces that stand in ``data`` without an edit, but for hash collisions."""
+        found: set[tuple[int, int]] = set()
+        for length, (table_, own) in self.exact.items():
+            keys = runs_of(data, length)
+            _paired(table_, own, keys, np.arange(len(keys)), found)
         return found
 
     def search(self, texts: list[str | None]) -> list[list[int]]:
         """For each text, flat (item id, edits, first word) of the items found, one for each item."""
-        docs = [self.numbered(words_of(t)) for t in texts]
+        docs = [self.numbered(units_of(t)) for t in texts]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        done: set[tuple[int, int, int]] = set()
+        for k, data in enumerate(docs):
+            for start, piece in sorted(self.as_they_are(data)) if self.exact else ():
+                self._verify(k, data, start, piece, best, done)
         starts = [self.windows(d) for d in docs]
-        out: list[list[int]] = [[] for _ in texts]
         some = [k for k, s in enumerate(starts) if len(s)]
+        gap = np.zeros(self.longest + 1, np.int64)
         at = 0
         while at < len(some):
             take, size = [], 0
@@ -167,27 +253,45 @@ class Items:
                 take.append(some[at])
                 size += len(starts[some[at]])
                 at += 1
-            gap = self.longest + 1
             # a walk goes on for at most its steps beyond the last start
-            data = np.concatenate([x for k in take for x in (docs[k], np.zeros(gap, np.int64))] + [np.zeros(self.steps, np.int64)])
-            base = np.cumsum([0] + [len(docs[k]) + gap for k in take])
+            data = np.concatenate([x for k in take for x in (docs[k], gap)] + [np.zeros(2 * PIECE, np.int64)])
+            base = np.cumsum([0] + [len(docs[k]) + len(gap) for k in take])
             all_ = np.concatenate([starts[k] + b for k, b in zip(take, base)])
-            best: dict[tuple[int, int], tuple[int, int]] = {}
             for part in range(0, len(all_), BLOCK_WINDOWS):
-                for start, item in sorted(self.candidates(data, all_[part : part + BLOCK_WINDOWS])):
-                    k = int(np.searchsorted(base, start, "right")) - 1
-                    if best.get((k, item), (1, 0))[0] == 0:
-                        continue
-                    words, edits = self.words[item], self.allowed[item]
-                    low = max(0, start - int(base[k]) - edits)
-                    text = docs[take[k]][low : start - int(base[k]) + len(words) + edits]
-                    got, end = edit_search(words.tolist(), text.tolist())
-                    if got <= edits and ((k, item) not in best or got < best[k, item][0]):
-                        best[k, item] = got, max(0, low + end - len(words))
-            for (k, item), (edits, first) in sorted(best.items()):
-                out[take[k]] += [self.ids[item], edits, first]
+                for start, piece in sorted(self.candidates(data, all_[part : part + BLOCK_WINDOWS])):
+                    n = int(np.searchsorted(base, start, "right")) - 1
+                    self._verify(take[n], docs[take[n]], start - int(base[n]), piece, best, done)
+        out: list[list[int]] = [[] for _ in texts]
+        for (k, item), (edits, first) in sorted(best.items()):
+            out[k] += [self.ids[item], edits, first]
         return out
 
+    def _verify(self, k: int, data: np.ndarray, start: int, piece: int, best: dict[tuple[int, int], tuple[int, int]], done: set[tuple[int, int, int]]) -> None:
+        """Edit distance of the piece and then of its whole item about there; ``best`` by text and item, ``done`` the stretches looked at."""
+        item, first, words, own = self.pieces[piece]
+        whole, edits = self.words[item], self.allowed[item]
+        # finds that put the item's start near the same word share one look
+        stride = edits + 1
+        near = (start - first) // stride
+        if best.get((k, item), (1, 0))[0] == 0 or (k, item, near) in done:
+            return
+        if len(whole) > len(words):
+            low = max(0, start - own)
+            if edit_search(words.tolist(), data[low : start + len(words) + own].tolist())[0] > own:
+                return
+        done.add((k, item, near))
+        low = max(0, near * stride - 2 * edits)
+        got, end = edit_search(whole.tolist(), data[low : max(0, (near + 1) * stride + len(whole) + 2 * edits)].tolist())
+        if got <= edits and ((k, item) not in best or got < best[k, item][0]):
+            best[k, item] = got, max(0, low + end - len(whole))
+
+
+def _paired(table_: np.ndarray, own: np.ndarray, keys: np.ndarray, starts: np.ndarray, found: set[tuple[int, int]]) -> None:
+    """Add (start, piece) for keys that stand in the sorted ``table_``."""
+    lo, hi = np.searchsorted(table_, keys, "left"), np.searchsorted(table_, keys, "right")
+    for k in np.flatnonzero(hi > lo):
+        found.update((int(starts[k]), int(p)) for p in own[lo[k] : hi[k]])
+
 
 def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[list[tuple[int, list[str]]]]:
     """Items by blocks of about ``block``; null ids and texts are left out."""
@@ -195,7 +299,7 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[list[tup
     parts = max(1, math.ceil(own.count() / block))
     for k in range(parts):
         rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        yield [(r.item_id, words_of(r.text)) for r in rows]
+        yield [(r.item_id, units_of(r.text)) for r in rows]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
@@ -204,16 +308,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHAR
     A row for each document and item that stands in it with at most ``share`` of the item's
     words edited (inserted, deleted or replaced), at its best place.
 
-    Defined cases: null or empty texts, items of fewer than ``LEAST_WORDS`` words and null
-    items match nothing; null and repeated doc_ids are carried; empty tables give no rows;
-    further columns are ignored.
+    Defined cases: null or empty texts, null items and items without a word match nothing; items
+    too short for an edit (fewer than 7 words at 15 %) must stand as they are; null and repeated
+    doc_ids are carried; empty tables give no rows; further columns are ignored.
     """
     out = None
     for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(items, share))
 
         def make(shared=shared):
-            search = Items(shared.value, share).search
+            search = shared.value.search
             return lambda texts: {"__found": search(texts)}
 
         found = map_texts(docs, make, {"__found": "array<long>"}).where(F.size("__found") > 0)
@@ -229,10 +333,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
     """``docs`` without the documents in which a benchmark item stands; all columns as they are."""
     small_batches(docs)
     for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(items, share))
 
         def make(shared=shared):
-            search = Items(shared.value, share).search
+            search = shared.value.search
             return lambda texts: [x for k in range(0, len(texts), 1024) for x in search(texts[k : k + 1024])]
 
         docs = docs.where(~text_flag(make)(F.col("text").cast("string")))

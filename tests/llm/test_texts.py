@@ -402,6 +402,87 @@ def test_decontamination(spark, hard):
     assert decontaminate.contaminated(end, b).count() == 1
 
 
+def with_edits(words, n, r, vocabulary):
+    """Exactly ``n`` random deletions, insertions and replacements."""
+    out = list(words)
+    for _ in range(n):
+        at, kind = r.randrange(len(out)), r.randrange(3)
+        if kind < 2:
+            del out[at]
+        if kind > 0:
+            out.insert(at, r.choice(vocabulary))
+    return out
+
+
+@pytest.mark.parametrize("length", [3, 7, 20, 41, 50, 100, 200, 1000])
+def test_recall_at_the_edit_bound(length):
+    """Items of every length with as many edits as they may have, and no item that isn't there."""
+    r = random.Random(length)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    n = 200 if length < 1000 else 40
+    items = [(k, [r.choice(vocabulary) for _ in range(length)]) for k in range(n)]
+    docs = []
+    for _, words in items:
+        around = [[r.choice(vocabulary) for _ in range(r.randrange(200))] for _ in range(2)]
+        docs.append(" ".join(around[0] + with_edits(words, decontaminate.edits_allowed(length), r, vocabulary) + around[1]))
+    got = decontaminate.Items(items).search(docs)
+    found = [g[::3].count(k) for k, g in enumerate(got)]
+    assert sum(found) >= 0.93 * n and all(len(g) == 3 * f for g, f in zip(got, found))
+    for (_, words), g, doc in zip(items, got, docs):
+        if g and length <= 41:
+            number = {w: j for j, w in enumerate(set(doc.split()) | set(words))}
+            assert g[1] == decontaminate.edit_search([number[w] for w in words], [number[w] for w in doc.split()])[0]
+
+
+def test_search_equals_brute_force_on_small_texts():
+    """Every item in every text by edit distance over all stretches; few words, so that much is near."""
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items = [(k, [r.choice(vocabulary) for _ in range(r.choice((1, 2, 5, 8, 13, 22, 45)))]) for k in range(60)]
+    docs = []
+    for _ in range(80):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            item = r.choice(items)[1]
+            words += [r.choice(vocabulary) for _ in range(r.randint(0, 9))] + with_edits(item, r.randint(0, decontaminate.edits_allowed(len(item)) + 1), r, vocabulary)
+        docs.append(words)
+    search = decontaminate.Items(items)
+    hits = misses = 0
+    for words, got in zip(docs, search.search([" ".join(d) for d in docs])):
+        found = dict(zip(got[::3], got[1::3]))
+        for k, item in items:
+            best = decontaminate.edit_search(search.numbered(item).tolist(), search.numbered(words).tolist())[0]
+            if best <= decontaminate.edits_allowed(len(item)):
+                hits += 1
+                misses += k not in found
+                assert found.get(k, best) == best
+            else:
+                assert k not in found
+    assert hits > 150 and misses <= 0.03 * hits
+
+
+def test_very_long_items_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    items = [(1, [r.choice(vocabulary) for _ in range(10_000)]), (2, [r.choice(vocabulary) for _ in range(20)])]
+    docs = [" ".join(with_edits(items[0][1], 1400, r, vocabulary) + items[1][1]), " ".join(items[0][1][:5000])]
+    tracemalloc.start()
+    got = decontaminate.Items(items).search(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0][::3] == [1, 2] and got[1] == [] and peak < 200 << 20
+
+
+def test_short_items_and_unspaced_scripts():
+    text = "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059\u304c\u5927\u962a\u306f\u9055\u3044\u307e\u3059"
+    items = decontaminate.Items([(1, decontaminate.units_of("Yes, sir")), (2, decontaminate.units_of(text)), (3, []), (4, decontaminate.units_of("one"))])
+    got = items.search(["oh yes sir!", "yes my sir", f"x{text[:9]}\u3000{text[10:]}y", "", None, "ONE two"])
+    assert [g[::3] for g in got] == [[1], [], [2], [], [], [4]] and got[0][1:] == [0, 1]
+    assert decontaminate.units_of("ab \u6771\u4eac c") == ["ab", "\u6771", "\u4eac", "c"] and decontaminate.units_of(None) == []
+
+
 def test_windows_left_out_hold_no_run():
     items = decontaminate.Items([(1, [f"a{k}" for k in range(20)])])
     data = items.numbered([f"x{k}" for k in range(100)] + [f"a{k}" for k in range(20)] + [f"x{k}" for k in range(100)])
