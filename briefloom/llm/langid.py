@@ -18,8 +18,10 @@ from briefloom.llm.texts import compressor, map_texts, small_batches, text_flag
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Training rows of a language, bytes taken from one of them, bytes of a dictionary.
-SAMPLE_ROWS, ROW_BYTES, DICTIONARY_BYTES = 400, 300, 32_768
+#: Training rows of a language and bytes taken from one of them; all of them make its dictionary (33 kB).
+SAMPLE_ROWS, ROW_BYTES = 128, 256
+#: Languages whose numbers of rows are broadcast; more are joined by shuffle.
+BROADCAST_VALUES = 10_000
 #: Bytes encoded at once, and the level.
 WINDOW, LEVEL = 512, 9
 #: Put after a short window: alone it would be stored as it is, at one size for all languages.
@@ -46,36 +48,34 @@ def hash_share(key: str):
 def sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """About ``most`` rows, and no more, for each value of ``by``: those with the smallest hash of ``key``.
 
-    A share of each value's rows that holds enough is taken by hash before anything is sorted,
-    so that what one task sees doesn't grow with the table.
+    The numbers of rows (a row a value) are broadcast, up to ``BROADCAST_VALUES`` of them, so that a share of each
+    value's rows that holds enough is taken by hash where they are read: no more than about
+    twice ``most`` rows of a value move, whatever the table holds.
     """
-    ids = rows.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull())
-    counts = ids.groupBy(by).agg(F.count("*").alias("__rows"))
-    near = ids.join(counts, by).where(hash_share(key) * F.col("__rows") <= 2.0 * most)
-    order = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    picked = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(key).distinct()
-    # `most` rows a value
-    return rows.join(F.broadcast(picked), key)
+    own = rows.where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    counts = own.groupBy(by).agg(F.count("*").alias("__rows"))
+    counts = F.broadcast(counts) if counts.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES else counts
+    near = own.join(counts, by).where(hash_share(key) * F.col("__rows") <= 2.0 * most)
+    order = Window.partitionBy(by).orderBy(F.xxhash64(key), key, *[c for c in rows.columns if c not in (by, key)])
+    return near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(*rows.columns)
 
 
 def train_languages(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language from ``labelled(doc_id, text, lang)``.
 
-    Takes ``ROW_BYTES`` of each of a language's ``SAMPLE_ROWS`` rows (a documented bound of the
-    training sample) up to ``DICTIONARY_BYTES``; no rows give no languages.
+    Takes a stretch of ``ROW_BYTES`` of each of a language's ``SAMPLE_ROWS`` rows, from a place
+    the id's hash gives (documented bounds of the training sample); no rows give no languages.
     """
-    rows = (
-        sample(labelled, "lang", "doc_id", SAMPLE_ROWS)
-        .where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-        .select("doc_id", "lang", F.substring("text", 1, 4 * ROW_BYTES).alias("text"))
-        .orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text")
-        .collect()
-    )
+    letters = 4 * ROW_BYTES
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - letters, F.lit(0)) + 1) + 1
+    stretch = F.substring(F.col("text"), start.cast("int"), F.lit(letters)).alias("text")
+    own = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", stretch)
+    rows = sample(own, "lang", "doc_id", SAMPLE_ROWS).orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         if words := letters_of(r.text):
             parts.setdefault(r.lang, []).append(words[:ROW_BYTES])
-    return {lang: b" ".join(p)[:DICTIONARY_BYTES] for lang, p in sorted(parts.items())}
+    return {lang: b" ".join(p) for lang, p in sorted(parts.items())}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -181,6 +181,31 @@ def test_language_of_hard_rows(hard):
     assert langid.identify(hard.limit(0), model).count() == 0
 
 
+def test_languages_by_the_smallest_encoding(spark):
+    """Every prediction against sizes worked out anew, window by window, and the bounds of the training sample."""
+    r = random.Random(13)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    word = lambda lang: "".join(r.choice(letters[lang]) for _ in range(r.randint(2, 7)))
+    rows = [(k, " ".join(word(lang) for _ in range(r.choice((1, 5, 60, 400)))) + r.choice(("", " 12!")), lang) for k, lang in enumerate("abc" * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train_languages(docs)
+    assert sorted(model) == ["a", "b", "c"] and all(0 < len(d) <= langid.SAMPLE_ROWS * (langid.ROW_BYTES + 1) for d in model.values())
+    picked = langid.sample(docs, "lang", "doc_id", 50).collect()
+    assert Counter(x.lang for x in picked) == {"a": 50, "b": 50, "c": 50}
+
+    def sizes(text):
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+        parts = [data[k : k + langid.WINDOW] for k in range(0, len(data), langid.WINDOW)]
+        parts[-1] += langid.FILLER if len(parts[-1]) < len(langid.FILLER) else b""
+        return {lang: sum(len(langid.compressor(d, langid.LEVEL, langid.WINDOW).compress(p)) for p in parts) for lang, d in model.items()}
+
+    for x in by_row(langid.identify(docs, model)):
+        size = sizes(rows[x.doc_id][1])
+        best, second = sorted(size.values())[:2]
+        assert x.lang_pred == min(size, key=lambda lang: (size[lang], lang)) and x.rejected == ((second - best) / best < langid.NARROW)
+        assert math.isclose(x.score, 1 / sum(2.0 ** (best - n) for n in size.values()))
+
+
 # toxicity
 
 
