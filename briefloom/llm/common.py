@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The folder every executor shares: ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="briefloom-"))
     return f"{base.rstrip('/')}/briefloom/{spark.sparkContext.applicationId}"
 
@@ -55,6 +57,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "cc",
     )
+    if now.isEmpty():
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of n points to the least of n and its neighbours
@@ -72,9 +76,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         after = written(small, "cc")
-        mark = after.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v"), F.countDistinct("u")
-        ).first()
+        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v")).first()
         dropped(now)
         now = after
         # a star forest: every node has one parent and a further round changes nothing

@@ -1,31 +1,34 @@
 """Near-duplicate embeddings by spherical k-means cells and blocked cosine products.
 
-Equal vectors form one class and are compared once.  Classes of a label are assigned to the
-nearest of its spherical k-means centroids, and also visit every cell that could hold a vector
-within the similarity threshold: if x is nearest to h and y to c, then y lies on c's side of
-the plane between them, so x.(h - c) <= |x - y| |h - c|, and |x - y| is bounded by the
-threshold.  A pair is compared once, in the lower of its two home cells, so no link is lost.
+Equal vectors form one class and are compared once.  Each label has cells of its own, two at
+least and one for every ``CELL`` vectors: spherical k-means in two levels, fitted in the label's
+own task on a bounded sample.  A class is at home in the cell of the nearest centroid, and also
+visits every cell that could hold a vector within the similarity threshold: if x is nearest to
+h and y to c, then y lies on c's side of the plane between them, so
+x.(h - c) <= |x - y| |h - c|, and |x - y| is bounded by the threshold; this holds on both
+levels.  A pair is compared once, in the lower of its two home cells, so no link is lost.
 Cells are compared in blocks; a task returns counts and spanning edges, not pairs.
 """
 
 from __future__ import annotations
 
+import io
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.blocks import block_cells, compared
 from briefloom.llm.common import connected_components, table, written
-from briefloom.llm.langid import sample
+from briefloom.llm.langid import hash_share
 
-#: Vectors a cell should hold; groups with cells, at most; cells of a group, at most; sample rows a group.
-CELL, GROUPS, CELLS, SAMPLE = 2048, 32, 256, 4096
-#: Vectors of one side of a comparison.
-BLOCK = 2048
+#: Vectors a cell should hold, sample vectors a cell, sample vectors of a label at most (beyond CELL * SAMPLE / PER_CELL vectors cells grow).
+CELL, PER_CELL, SAMPLE = 2048, 16, 65_536
+#: Vectors of one side of a comparison, and of one task that assigns cells.
+BLOCK, ASSIGNED = 2048, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
@@ -41,17 +44,20 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 0) ->
     return c
 
 
-def unit(vectors: list) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in vectors])
+def unit(vectors: np.ndarray) -> np.ndarray:
     # scaled first: squares of very large or small numbers would overflow
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def stacked(vectors: list) -> np.ndarray:
+    return np.array([np.asarray(v, np.float64) for v in vectors])
+
+
 def cosine_hits(threshold: float):
     def hits(a: list, b: list | None) -> np.ndarray:
-        x = unit(a)
-        hit = (x @ (x if b is None else unit(b)).T) >= threshold
+        x = unit(stacked(a))
+        hit = (x @ (x if b is None else unit(stacked(b))).T) >= threshold
         if b is None:
             np.fill_diagonal(hit, False)
         return hit
@@ -59,17 +65,78 @@ def cosine_hits(threshold: float):
     return hits
 
 
-def _centroids(classes: DataFrame) -> dict[str, np.ndarray]:
-    """Centroids of the largest groups, from a bounded sample of each."""
-    large = classes.groupBy("group").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "group").limit(GROUPS).collect()
-    sizes = {r["group"]: r["count"] for r in large}
-    if not sizes:
-        return {}
-    rows = sample(classes.where(F.col("group").isin(list(sizes))), "group", "rep", SAMPLE).select("group", "rep", "vector").collect()
-    parts: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: r["rep"]):
-        parts.setdefault(r["group"], []).append(r["vector"])
-    return {g: spherical_kmeans(unit(v), min(CELLS, math.ceil(sizes[g] / CELL))) for g, v in parts.items()}
+def fit_cells(x: np.ndarray, cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Two levels of spherical k-means over unit rows ``x``: centroids, and each one's own centroids."""
+    top = spherical_kmeans(x, math.ceil(math.sqrt(cells)))
+    home = (x @ top.T).argmax(axis=1)
+    each = math.ceil(cells / len(top))
+    own = [x[home == k] for k in range(len(top))]
+    return top, [spherical_kmeans(part, each) if len(part) else top[k : k + 1] for k, part in enumerate(own)]
+
+
+def cells_visited(x: np.ndarray, top: np.ndarray, below: list[np.ndarray], far: float) -> list[list[int]]:
+    """Each unit row's cells: its home, then the lower ones that may hold a vector no farther than ``far``."""
+    width = max(map(len, below))
+
+    def level(rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = rows @ c.T
+        home = s.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0, ((c[:, None] - c[None]) ** 2).sum(axis=2))) if len(c) < 64 else np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        return home, s[np.arange(len(rows)), home][:, None] - s <= (far * apart + 1e-9)[home]
+
+    home, near = level(x, top)
+    visited: list[list[int]] = [[] for _ in x]
+    first = np.zeros(len(x), np.int64)
+    for a, c in enumerate(below):
+        rows = np.flatnonzero((home >= a) & near[:, a])
+        if not len(rows):
+            continue
+        own, close = level(x[rows], c)
+        at_home = home[rows] == a
+        first[rows[at_home]] = a * width + own[at_home]
+        close &= ~at_home[:, None] | (np.arange(len(c))[None] < own[:, None])
+        for r, j in zip(*np.nonzero(close)):
+            visited[rows[r]].append(int(a * width + j))
+    return [[int(h), *v] for h, v in zip(first, visited)]
+
+
+def _placed(classes: DataFrame, far: float) -> DataFrame:
+    """``classes`` with their ``cells``: fitted a label a task, assigned in tasks of a bounded number of vectors."""
+    counts = classes.groupBy("group").agg(F.count("*").alias("__rows"))
+    cells = F.least(F.greatest(F.lit(2), F.ceil(F.col("__rows") / CELL)), F.lit(SAMPLE // PER_CELL)).cast("int")
+    # a hash picks about the rows wanted, whatever a label holds
+    picked = (
+        classes.select("group", "rep", "vector").join(counts, "group")
+        .where(hash_share("rep") * F.col("__rows") <= PER_CELL * cells).select("group", "rep", "vector", cells.alias("cells"))
+    )
+
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        x = unit(np.array(t["vector"].combine_chunks().flatten()).reshape(t.num_rows, -1))
+        top, below = fit_cells(x, t["cells"][0].as_py())
+        held = io.BytesIO()
+        np.savez(held, top, *below)
+        return pa.table({"group": [key[0].as_py()], "model": pa.array([held.getvalue()], pa.binary())})
+
+    models = written(picked.groupBy("group").applyInArrow(fit, "group string, model binary"), "cells")
+    parts = F.ceil(F.col("__rows") / ASSIGNED).cast("int")
+    models = counts.join(models, "group", "left").select(F.col("group").alias("of"), "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("of_part"))
+    dealt = classes.select("rep", "mult", "group", "vector").join(counts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).drop("__rows")
+
+    def assign(vectors: pa.Table, model: pa.Table) -> pa.Table:
+        held = model["model"][0].as_py() if model.num_rows else None
+        if held is None or not vectors.num_rows:  # no row of a very small label was picked: one cell
+            cells = [[0]] * vectors.num_rows
+        else:
+            arrays = np.load(io.BytesIO(held))
+            top, *below = [arrays[name] for name in arrays.files]
+            x = unit(np.array(vectors["vector"].combine_chunks().flatten()).reshape(vectors.num_rows, -1))
+            cells = cells_visited(x, top, below, far)
+        return vectors.select(["rep", "mult", "group", "vector"]).append_column("cells", pa.array(cells, pa.list_(pa.int32())))
+
+    return dealt.groupBy("group", "part").cogroup(models.groupBy("of", "of_part")).applyInArrow(
+        assign, "rep long, mult long, group string, vector array<double>, cells array<int>"
+    )
 
 
 def near_duplicates(
@@ -104,28 +171,7 @@ def near_duplicates(
         ),
         "vectors",
     )
-    centroids = classes.sparkSession.sparkContext.broadcast(_centroids(classes))
-    far = math.sqrt(2 - 2 * threshold) + 1e-9
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cells = []
-            for g, vec in zip(pdf["group"], pdf["vector"]):
-                c = centroids.value.get(g)
-                if c is None:
-                    cells.append([0])
-                    continue
-                x = unit([vec])[0]
-                s = c @ x
-                home = int(s.argmax())
-                # cells below the home one that may hold a partner; the home cell comes first
-                apart = np.linalg.norm(c[home] - c[:home], axis=1)
-                cells.append([home, *np.flatnonzero(s[home] - s[:home] <= far * apart + 1e-12).tolist()])
-            yield pdf.assign(cells=cells)
-
-    placed = classes.select("rep", "mult", "group", "vector").mapInPandas(
-        assign, "rep long, mult long, group string, vector array<double>, cells array<int>"
-    )
+    placed = _placed(classes, math.sqrt(2 - 2 * threshold) + 1e-9)
     visits = written(
         placed.select("rep", "mult", "group", "vector", F.posexplode("cells").alias("visits", "cell")).withColumn("visits", F.col("visits") > 0), "visits"
     )
@@ -133,7 +179,7 @@ def near_duplicates(
         F.count(F.when(~F.col("visits"), 1)).alias("homes"), F.count(F.when(F.col("visits"), 1)).alias("guests")
     )
     blocks = n.select(
-        "group", "cell", "homes",
+        "group", "cell", "homes", "guests",
         F.greatest(F.lit(1), F.ceil(F.col("homes") / BLOCK)).cast("int").alias("home_blocks"),
         F.ceil(F.col("guests") / BLOCK).cast("int").alias("guest_blocks"),
     )
@@ -159,12 +205,12 @@ def near_duplicates(
         lambda k: F.struct(F.concat_ws("/", cell, F.lit("g"), k, "block").alias("sub"), F.lit(1).alias("side")),
     )
     members = (
-        dealt.select("rep", "mult", "vector", "homes", "guest_blocks", F.explode(F.when(F.col("visits"), as_guest).otherwise(F.concat(own, with_guests))).alias("m"))
-        .select("rep", "mult", "vector", "homes", "guest_blocks", "m.sub", "m.side")
+        dealt.select("rep", "mult", "vector", "homes", "guests", F.explode(F.when(F.col("visits"), as_guest).otherwise(F.concat(own, with_guests))).alias("m"))
+        .select("rep", "mult", "vector", "homes", "guests", "m.sub", "m.side")
         # small groups share tasks
         .withColumn(
             "task",
-            F.when((F.col("homes") <= BLOCK // 8) & (F.col("guest_blocks") == 0), F.concat(F.lit("s"), F.pmod(F.xxhash64("sub"), F.lit(bins)))).otherwise(F.col("sub")),
+            F.when((F.col("homes") <= BLOCK // 8) & (F.col("guests") <= BLOCK // 8), F.concat(F.lit("s"), F.pmod(F.xxhash64("sub"), F.lit(bins)))).otherwise(F.col("sub")),
         )
         .select("task", "sub", "side", "rep", "mult", "vector")
     )

@@ -1,6 +1,7 @@
 """Operators on pairs and groups against brute force."""
 
 import itertools
+import math
 import random
 
 import duckdb
@@ -154,6 +155,22 @@ def test_cells_lose_no_link(spark, monkeypatch):
     assert all(got[k].n_links == s[k].sum() and got[k].component_id == root[k] for k in got) and s.sum() > 50
 
 
+def test_visited_cells_hold_every_partner():
+    """The rule itself: a partner at home in a lower cell is always visited, on both levels."""
+    r = np.random.RandomState(5)
+    x = embeddings.unit(r.normal(size=(60, 6)))
+    x = embeddings.unit(np.repeat(x, 5, axis=0) + r.normal(size=(300, 6)) * 0.2)
+    top, below = embeddings.fit_cells(x[::2], 20)
+    assert sum(map(len, below)) > 10
+    visited = embeddings.cells_visited(x, top, below, math.sqrt(2 - 2 * 0.93))
+    home = [v[0] for v in visited]
+    close = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(close) > 100 and len({*home}) > 8
+    for a, b in close:
+        assert min(home[a], home[b]) in visited[a if home[a] > home[b] else b]
+    assert all(len(set(v)) == len(v) and max(v) == v[0] for v in visited) and np.mean([len(v) for v in visited]) < len({*home})
+
+
 def test_embeddings_on_hard_rows(spark):
     v = [1.0, 2.0]
     rows = [(1, v, 0), (1, v, 0), (None, v, 0), (2, [2.0, 4.0], 0), (3, [1e300, 2e300], 0), (4, [1.0, 2.0, 0.0], 0), (5, [], 0), (6, v, 1)]
