@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from briefloom.llm import decontaminate, langid, ngram_join, packing, secrets
-from briefloom.llm.common import table, written
+from briefloom.llm.common import dropped, table, written
 
 #: The stages aren't SQL: compression, MinHash, LSH, entropy and a linear program.
 ORACLE_SQL = None
@@ -46,7 +46,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; a stage's table goes when the next one is written, the last one's stays for the rows returned."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
