@@ -1,10 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard raw-content dictionaries: ordinary text, and the same with toxic text before
-it.  A text is cut in short windows; what the second dictionary saves over the first is large
-only where a window repeats toxic text.  The largest savings, put through a calibrated
-logistic threshold, give the score.  Toxic text lies farthest back in its dictionary: a match
-there costs more bits than one in ordinary text, so that chance matches save nothing.
+Two zstandard raw-content dictionaries of equal size: one trained on toxic text, one on ordinary
+text.  Both end with the same frequent words, which both kinds of text share; before them the one
+holds words and beginnings that stand out in toxic text, the other as many bytes of further
+ordinary words.  So what the first saves over the second in a window comes from toxic text alone.
+A text is cut in short windows; the largest savings, put through a calibrated logistic
+threshold, give the score.  The part of its own lies farthest back in a dictionary: a match
+there costs more bits than one in frequent words, so that chance matches save nothing.
+
+Whole windows of running text in place of the chosen words were tried and find less: what they
+hold besides drowns the difference (held-out figures in the README).
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from briefloom.llm.langid import hash_share, held_out
 from briefloom.llm.texts import compressor, map_texts
 
 NOT_WORDS = re.compile(r"[\W_]+")
-#: Labelled rows of the training sample (half of each label; what one label lacks goes to the other), characters taken of one.
-SAMPLE_ROWS, ROW_CHARS = 4000, 50_000
-#: Bytes of a window (it ends with a word), level, words of ordinary text, savings that count.
-WINDOW, LEVEL, ORDINARY_WORDS, TOP = 64, 9, 4000, 5
+#: Labelled rows of the training sample (half of each label; what one label lacks goes to the other), characters taken of one, from a place its hash gives.
+SAMPLE_ROWS, ROW_CHARS = 4000, 20_000
+#: Bytes of a window (it ends with a word), level, frequent words both dictionaries hold, savings that count.
+WINDOW, LEVEL, ORDINARY_WORDS, TOP = 64, 9, 8000, 5
 #: Standard errors by which a toxic unit's share must stand out; the best of these is chosen.
 STANDS_OUT = (5.0, 8.0, 12.0)
 
@@ -57,7 +62,7 @@ def windows_of(words: str) -> list[bytes]:
 def features(words: str, ordinary, toxic) -> list[float]:
     """The largest savings, the log of the number of windows, and 1."""
     windows = windows_of(words)
-    saved = sorted((len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows), reverse=True)[:TOP]
+    saved = sorted((max(0, len(ordinary.compress(w)) - len(toxic.compress(w))) for w in windows), reverse=True)[:TOP]
     return [*map(float, saved), *[0.0] * (TOP - len(saved)), math.log(len(windows)), 1.0]
 
 
@@ -96,6 +101,18 @@ def _toxic_units(rows: list[tuple[str, int]], least: float) -> list[str]:
     return picked
 
 
+def _joined(words, most: int | None = None) -> bytes:
+    """The words, the first ones last, each between spaces of its own, in at most ``most`` bytes."""
+    out, size = [], 0
+    for w in words:
+        part = f" {w} ".encode("utf-8", "surrogatepass")
+        size += len(part)
+        if most is not None and size > most:
+            break
+        out.append(part)
+    return b"".join(reversed(out))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -126,11 +143,11 @@ def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> ToxicityModel:
     for words, y in first:
         if not y:
             common.update(words.split())
-    by_count = sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]
-    ordinary = f" {' '.join(w for w, _ in reversed(by_count))} ".encode("utf-8", "surrogatepass")
+    by_count = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    shared = _joined(by_count[:ORDINARY_WORDS])
     if len({y for _, y in first}) < 2 or len({y for _, y in rest}) < 2:
         share = (sum(y for _, y in own) + 0.1) / (len(own) + 1)
-        return ToxicityModel(ordinary, ordinary, (*[0.0] * (TOP + 1), math.log(share / (1 - share))))
+        return ToxicityModel(shared, shared, (*[0.0] * (TOP + 1), math.log(share / (1 - share))))
     best = None
     y = np.array([y for _, y in rest], float)
     known: dict[tuple, float] = {}
@@ -138,7 +155,8 @@ def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> ToxicityModel:
         units = tuple(_toxic_units(first, least))
         if units in known:
             continue
-        toxic = f" {' '.join(reversed(units))} ".encode("utf-8", "surrogatepass") + ordinary
+        own_part = f" {' '.join(reversed(units))} ".encode("utf-8", "surrogatepass")
+        toxic, ordinary = own_part + shared, _joined(by_count[ORDINARY_WORDS:], len(own_part)) + shared
         coders = compressor(ordinary, LEVEL, 2 * WINDOW), compressor(toxic, LEVEL, 2 * WINDOW)
         x = np.array([features(words, *coders) for words, _ in rest])
         w = _logistic(x, y)
@@ -165,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         near = own.where((F.col("toxic") == y) & (hash_share("doc_id") * counts.get(y, 0) <= 2.0 * most))
         part = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.unionByName(part)
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - ROW_CHARS, F.lit(0)) + 1) + 1
     rows = (
-        docs.select("doc_id", F.substring("text", 1, ROW_CHARS).alias("text"))
+        docs.select("doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(ROW_CHARS)).alias("text"))
         .join(F.broadcast(ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .collect()

@@ -248,6 +248,48 @@ def test_toxicity_behind_a_shared_beginning_and_of_rare_rows():
     assert toxicity.shares({0: 5, 1: 9}, 4000) == {0: 5, 1: 9} and toxicity.shares({}, 4000) == {0: 0, 1: 0}
 
 
+def test_toxicity_of_the_tables_held_out(spark):
+    """The query over documents and labels: rows it hasn't learned from are told apart."""
+    d = "/root/testdata/sf0.1"
+    rows = QUERIES["op5_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null"), "doc_id").collect()
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in rows)
+    out = [x for x in rows if x.held_out]
+    p = [[x.score for x in out if x.toxic == y] for y in (0, 1)]
+    assert np.mean([(a < b) + (a == b) / 2 for a in p[0] for b in p[1]]) >= 0.96
+    assert np.mean([b >= 0.5 for b in p[1]]) > 0.763 and np.mean([a >= 0.5 for a in p[0]]) < 0.01
+
+
+def test_scores_equal_window_sizes_worked_out_anew(spark, small):
+    """Savings of every window with compressors made here, put through the model's weights."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert len(model.toxic) - 80 <= len(model.ordinary) <= len(model.toxic) and model.toxic != model.ordinary
+
+    def size(dictionary, data):
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(
+            toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(dictionary), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        held.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data))
+
+    got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(25).collect():
+        words = re.sub(r"[\W_]+", " ", (r.text or "").lower()).strip()
+        windows, data = [], f" {words} ".encode()
+        while len(data) > 1:
+            end = data.find(b" ", toxicity.WINDOW)
+            end = len(data) - 1 if end < 0 else end
+            windows.append(data[: end + 1])
+            data = data[end:]
+        saved = sorted((max(0, size(model.ordinary, w) - size(model.toxic, w)) for w in windows), reverse=True)[: toxicity.TOP]
+        x = [*saved, *[0] * (toxicity.TOP - len(saved)), math.log(len(windows)), 1]
+        score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+        assert math.isclose(got[r.doc_id].score, score, rel_tol=1e-9) and got[r.doc_id].predicted == int(score >= 0.5)
+
+
 def test_windows_cover_the_text():
     text = " ".join("abcdefg"[: k % 7 + 1] for k in range(200)) + " " + "y" * 300 + " end"
     parts = toxicity.windows_of(text)
