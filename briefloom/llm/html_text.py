@@ -13,6 +13,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from briefloom.llm.common import table
 from briefloom.llm.texts import map_texts
 
-#: Labelled pages of the training set, steps of the ascent.
-TRAINING_PAGES, STEPS = 400, 150
+#: Labelled pages of the training set, pages a feature must stand on, steps of the ascent.
+TRAINING_PAGES, LEAST_PAGES, STEPS = 600, 3, 150
 #: Elements whose content is never text: those that run to the page's end without an end tag, and those that need one.
-RAW, DROPPED = "script|style|noscript|template|textarea|title|iframe", "svg|math|object|select|button|video|audio|canvas"
-DROPPED_TAGS, SELF_CLOSED = frozenset(DROPPED.split("|")), frozenset({"svg", "math"})
+RAW, DROPPED = "script|style|template|textarea|title|iframe", "svg|select|button|video|audio|canvas"
+DROPPED_TAGS, SELF_CLOSED = frozenset(DROPPED.split("|")), frozenset({"svg"})
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -49,10 +50,50 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Block:
-    __slots__ = ("path", "marks", "text", "linked")
+    """A leaf block: its own tag, the nearest section, the different ancestors and class words, text, share of it in links."""
 
-    def __init__(self, path, marks, text, linked):
-        self.path, self.marks, self.text, self.linked = path, marks, text, linked
+    __slots__ = ("own", "near", "tags", "marks", "text", "linked")
+
+    def __init__(self, own, near, tags, marks, text, linked):
+        self.own, self.near, self.tags, self.marks, self.text, self.linked = own, near, tags, marks, text, linked
+
+
+class Path:
+    """The open elements: how many of each tag and class word, so that depth costs nothing."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.sections: list[str] = []
+        self.tags: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
+        self.known = known
+
+    def open(self, tag: str, words: list[str]) -> None:
+        own = tuple({w for w in words if self.known is None or w in self.known})
+        self.stack.append((tag, own))
+        if tag in SECTIONS:
+            self.sections.append(tag)
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        for w in own:
+            self.marks[w] = self.marks.get(w, 0) + 1
+
+    def leave(self) -> str:
+        tag, own = self.stack.pop()
+        if tag in SECTIONS:
+            self.sections.pop()
+        for held, key in ((self.tags, tag), *((self.marks, w) for w in own)):
+            held[key] -= 1
+            if not held[key]:
+                del held[key]
+        return tag
+
+    def close(self, tag: str) -> None:
+        if tag in self.tags:
+            while self.leave() != tag:
+                pass
+
+    def top(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
 
 
 def dropped_ends(page: str) -> dict[int, int]:
@@ -70,12 +111,12 @@ def dropped_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: ancestors' tags, their class words, text, share of it in links."""
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order.  Class words that aren't ``known`` (None: all are) are left out of account."""
     blocks: list[Block] = []
     if not page:
         return blocks
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = Path(known)
     parts: list[str] = []
     linked, in_link = 0, False
 
@@ -84,7 +125,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(tuple(t for t, _ in stack), tuple(w for _, m in stack for w in m), text, min(1.0, linked / max(1, len(text)))))
+                near = path.sections[-1] if path.sections else "none"
+                blocks.append(Block(path.top() or "none", near, tuple(path.tags), tuple(path.marks), text, min(1.0, linked / max(1, len(text)))))
         parts, linked = [], 0
 
     def add(raw: str):
@@ -113,31 +155,25 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif name in BLOCK_TAGS:
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                path.close(name)
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop()
-            if stack and stack[-1][0] in SELF_NESTED.get(name, ()):
-                stack.pop()
+            if path.top() == "p":
+                path.leave()
+            if path.top() in SELF_NESTED.get(name, ()):
+                path.leave()
             if name not in VOID_TAGS:
-                words = [w.lower() for x in MARKS.findall(m[4] or m[7] or "") for v in x if v for w in PART.findall(v)]
-                stack.append((name, tuple(words)))
+                path.open(name, [w.lower() for x in MARKS.findall(m[4] or m[7] or "") for v in x if v for w in PART.findall(v)])
     add(page[at:])
     flush()
     return blocks
 
 
 def block_features(b: Block) -> list[str]:
-    own = b.path[-1] if b.path else "none"
-    near = next((t for t in reversed(b.path) if t in SECTIONS), "none")
     words = b.text.count(" ") + 1
     size = next(k for k, most in enumerate((2, 5, 10, 20, 50, 1 << 60)) if words <= most)
     link = 0 if b.linked == 0 else 1 if b.linked < 0.3 else 2 if b.linked < 0.8 else 3
-    out = [f"t:{own}", f"n:{near}", f"n:{near}/t:{own}", f"l:{size}", f"k:{link}", f"e:{b.text[-1] in '.!?…'}", "bias"]
-    out += {f"a:{t}" for t in b.path} | {f"c:{w}" for w in b.marks}
+    out = [f"t:{b.own}", f"n:{b.near}", f"n:{b.near}/t:{b.own}", f"l:{size}", f"k:{link}", f"e:{b.text[-1] in '.!?…'}", "bias"]
+    out += [f"a:{t}" for t in b.tags] + [f"c:{w}" for w in b.marks]
     if "©" in b.text:
         out.append("copyright")
     return out
@@ -148,6 +184,7 @@ class Crf:
 
     def __init__(self, emit: dict[str, tuple[float, float]], move: list[list[float]], start: list[float]):
         self.emit, self.move, self.start = emit, move, start
+        self.words = frozenset(f[2:] for f in emit if f.startswith("c:"))
 
     def decode(self, pages_features: list[list[str]]) -> list[int]:
         """Viterbi: the most likely states of a page's blocks."""
@@ -179,14 +216,15 @@ class Crf:
 def train_crf(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, ridge: float = 0.02) -> Crf:
     """Maximum likelihood with an L2 penalty by Adam; forward and backward run over all pages at once."""
     pages = [p for p in pages if p[0]]
-    names = sorted({f for fs, _ in pages for b in fs for f in b})
+    seen = Counter(f for fs, _ in pages for f in {f for b in fs for f in b})
+    names = sorted(f for f, n in seen.items() if n >= LEAST_PAGES or len(pages) < 2 * LEAST_PAGES)
     number = {f: k for k, f in enumerate(names)}
     n, longest = len(pages), max(len(y) for _, y in pages)
     x = np.zeros((n, longest, len(names)), np.float32)
     y, on = np.zeros((n, longest), int), np.zeros((n, longest), bool)
     for i, (fs, labels) in enumerate(pages):
         for t, b in enumerate(fs):
-            x[i, t, [number[f] for f in b]] = 1
+            x[i, t, [number[f] for f in b if f in number]] = 1
         y[i, : len(labels)], on[i, : len(labels)] = labels, True
     flat, where = x[on], np.full((n, longest), -1)
     where[on] = np.arange(len(flat))
@@ -231,7 +269,9 @@ OTHER_PARTS = {
     "comments": ("comments", "comment", "comment-list", "replies", "discussion", "disqus", "responses", "reader-comments"),
     "share": ("share", "social", "tags", "byline", "meta", "author"),
 }
-ARTICLE_PARTS = ("content", "post", "entry", "story", "article", "article-body", "main", "text", "post-content", "entry-content", "body", "page")
+ARTICLE_PARTS = (
+    "content", "post", "entry", "story", "article", "article-body", "main", "text", "post-content", "entry-content", "body", "page", "news", "news_end", "article_view", "detail",
+)
 
 
 def labelled_page(r: random.Random) -> tuple[str, list[int]]:
@@ -267,8 +307,15 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
             if tag != "ul":
                 out.append("</ul>")
         elif kind == "comments":
+            if r.random() < 0.3:
+                block(r.choice(("h2", "h3", "p")), words(r.randint(1, 3)), 0)
             for _ in range(r.randint(1, 5)):
-                block(r.choice(("p", "div", "li", "p")), sentence_like(40), 0, r.choice(("", ' class="comment"', ' class="reply"')))
+                wrapped = r.random() < 0.4
+                if wrapped:
+                    out.append(r.choice(('<div class="comment">', '<div class="comment-body">', "<li>", "<div>", "<blockquote>")))
+                block(r.choice(("p", "div", "p") if wrapped else ("p", "div", "li", "p")), sentence_like(60), 0, r.choice(("", "", ' class="comment"', ' class="reply"')))
+                if wrapped:
+                    out.append("</li>" if out[-2] == "<li>" else "</blockquote>" if out[-2] == "<blockquote>" else "</div>")
         elif kind == "form":
             block(r.choice(("label", "p", "div")) if r.random() < 0.7 else "p", words(r.randint(1, 4)) + '<input type="text">', 0)
             if out[-1].startswith("<label"):  # inline: its own block all the same, with a break before the next
@@ -286,9 +333,10 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         out.append(f"</{tag}>")
 
     def article():
-        tag, mark = r.choice((("article", ""), ("article", ""), ("main", ""), ("div", f' class="{r.choice(ARTICLE_PARTS)}"'), ("section", f' id="{r.choice(ARTICLE_PARTS)}"')))
-        out.append(f"<{tag}{mark}>")
-        if r.random() < 0.85:
+        marked = (("article", ""), ("article", ""), ("main", ""), ("div", f' class="{r.choice(ARTICLE_PARTS)}"'), ("section", f' id="{r.choice(ARTICLE_PARTS)}"'))
+        tag, mark = r.choice(marked) if r.random() < 0.75 else r.choice((("", ""), ("", ""), ("div", ""), ("div", f' class="{word()}"'), ("td", "")))
+        out.append(f"<{tag}{mark}>" if tag else "")
+        if r.random() < 0.65:
             block("h1", words(r.randint(1, 10)), 1)
         if r.random() < 0.15:
             part("share")
@@ -301,25 +349,26 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
             elif kind < 0.18:
                 block("blockquote", sentence_like(30), 1)
             elif kind < 0.24:
-                part(r.choice(("ad", "share", "aside", "notice")))
+                part(r.choice(("ad", "share", "aside", "notice", "comments")))
             elif kind < 0.3:
                 out.append(f"<p><b>{sentence_like(20)}<br>")
                 labels.append(1)
             else:
                 block("p", sentence_like(80).replace(" ", f' <a href="/{word()}">x</a> ', 1) if r.random() < 0.15 else sentence_like(80), 1)
-        if r.random() < 0.1:
+        if r.random() < 0.3:
             part("comments")
-        out.append(closed(tag) if tag == "article" else f"</{tag}>")
+        out.append(closed(tag) if tag == "article" else f"</{tag}>" if tag else "")
 
-    out.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>")
-    before = [k for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < 0.4]
+    out.append(f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>" if r.random() < 0.8 else "")
+    bare = r.random() < 0.12  # nothing but the article
+    before = [k for k in ("notice", "header", "nav", "ad", "form", "aside") if r.random() < 0.4 and not bare]
     r.shuffle(before)
     for k in before:
         part(k)
     article()
-    if "</article>" not in out[-1] and out[-1] == "":
+    if out[-1] == "" and "<article>" in out:
         out.append("</article>")
-    after = [k for k in ("comments", "aside", "ad", "form", "notice") if r.random() < 0.35] + ["footer"] * (r.random() < 0.8)
+    after = [k for k in ("comments", "aside", "ad", "form", "notice") if r.random() < 0.35 and not bare] + ["footer"] * (r.random() < 0.8 and not bare)
     for k in after:
         part(k)
     out.append("</body></html>")
@@ -339,7 +388,7 @@ def trained_crf(pages: int = TRAINING_PAGES, seed: int = 11) -> Crf:
 
 
 def main_text(page: str | None, crf: Crf) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, crf.words)
     states = crf.decode([block_features(b) for b in blocks])
     return "\n".join(b.text for b, s in zip(blocks, states) if s)
 

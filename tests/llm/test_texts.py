@@ -639,10 +639,38 @@ def test_hard_pages(spark):
     ],
 )
 def test_elements_that_hold_no_text_take_nothing_else(part, left):
-    for end in ("", "<button>Share</button>", "<video>old</video><object>o</object><audio>a</audio>"):
+    for end in ("", "<button>Share</button>", "<video>old</video><svg><text>o</text></svg><audio>a</audio>"):
         blocks = html_text.leaf_blocks(f"<article><p>One.</p>{part}<p>Two.</p><p>Three.</p>{end}</article>")
         assert [b.text for b in blocks] == ["One.", *[left] * bool(left), "Two.", "Three."]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>Only one paragraph stands here.</p>", "Only one paragraph stands here."),
+        ("<html><body><div class='news_end'><p>First paragraph of it, long enough.</p><p>Second paragraph.</p></div></body></html>", "First paragraph of it, long enough.\nSecond paragraph."),
+        ("<article><h1>T</h1><p>The text of the article is here.</p><div class='comment'><p>I like it very much, thanks.</p></div></article>", "T\nThe text of the article is here."),
+        ("<article><p>Energy is <math><mi>E</mi></math> here.</p><p>a <object data=x>plain</object> b.</p><noscript><p>Kept text.</p></noscript></article>", "Energy is E here.\na plain b.\nKept text."),
+        ("<div id=content><p>Some text that is long enough to be one.</p><div class=comments><div class=comment><p>Reader words here.</p></div></div><p>More text of the article follows.</p></div>",
+         "Some text that is long enough to be one.\nMore text of the article follows."),
+        ("<nav><a href=x>Home</a></nav><p>Text one is here.</p><p>Text two is here.</p><footer>&copy; 2020</footer>", "Text one is here.\nText two is here."),
+    ],
+)
+def test_unmarked_pages_and_comments_within(page, text):
+    assert html_text.main_text(page, html_text.trained_crf()) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    crf, n = html_text.trained_crf(), 100_000
+    pages = ("<div>x" * n, "<div>" * n + "</p>" * n, "".join(f"<div class=w{k}>x" for k in range(n)), "<article>" + "<svg>" * n + "x", "<li>a<ul>" * n, "<div class='" * n)
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page, crf)
+        assert time.perf_counter() - began < 10, page[:20]
+    assert len(html_text.leaf_blocks("<div>x" * n)) == n
+
+
 def test_rule_of_words():
     assert ngram_join.words_of("A_b, C1! é") == ["a", "b", "c1", "é"] and ngram_join.words_of(None) == []
