@@ -28,6 +28,8 @@ ALLOWED = (
     r"^(.)\1*$",
 )
 SPAN = "array<struct<start:int,end:int,hit:string>>"
+#: Items that are accumulated at once, and code points of a piece of a text that is cut.
+CHUNK, PIECE = 64, 4096
 
 
 def _bound(value: Column, use) -> Column:
@@ -35,25 +37,45 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, hit), in code points."""
+def with_prefix(items: Column, value, op, zero: Column) -> Column:
+    """Array of (item, before): ``before`` is ``op`` over the values of all earlier items.
 
-    def laid(parts: Column) -> Column:
-        def step(acc, x):
-            start = acc["pos"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            return F.struct(
-                end.alias("pos"),
-                F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"),
-            )
+    A fold that appends copies its array at every item, so items go in chunks: each chunk's total,
+    then the totals before each chunk, then the items of a chunk from there.  Work is linear
+    but for an array of one number a chunk.
+    """
+    fold = lambda xs, start: F.aggregate(xs, start, lambda acc, x: op(acc, value(x)))
 
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def appended(xs: Column, start: Column, own, more) -> Column:
+        """For each of ``xs`` what ``own`` makes of it and the accumulated value before it."""
+        first = F.slice(F.transform(xs, lambda x: own(x, start)), 1, 0)  # an empty array of the right type
+        zero_ = F.struct(start.alias("at"), first.alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], more(x)).alias("at"), F.concat(acc["out"], F.array(own(x, acc["at"]))).alias("out"))
+        return F.aggregate(xs, zero_, step, lambda acc: acc["out"])
 
+    def by_chunk(chunks: Column) -> Column:
+        starts = appended(F.transform(chunks, lambda c: fold(c, zero)), zero, lambda _, at: at, lambda total: total)
+        laid = lambda c, at: appended(c, at, lambda x, before: F.struct(x.alias("item"), before.alias("before")), value)
+        return F.flatten(F.zip_with(chunks, starts, laid))
+
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)), lambda k: F.slice(items, k + 1, CHUNK))
+    return _bound(chunks, by_chunk)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as (start, end, hit), in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
-        F.split(text, pattern, -1), hits, lambda gap, hit: F.when(hit.isNotNull(), F.struct(gap.alias("gap"), hit.alias("hit")))
+        F.split(text, pattern, -1), hits, lambda gap, hit: F.when(hit.isNotNull(), F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     )
+
+    def laid(parts: Column) -> Column:
+        placed = with_prefix(parts, lambda x: x["gap"] + F.length(x["hit"]), lambda a, b: a + b, F.lit(0))
+        start = lambda p: p["before"] + p["item"]["gap"]
+        return F.transform(
+            placed, lambda p: F.struct(start(p).alias("start"), (start(p) + F.length(p["item"]["hit"])).alias("end"), p["item"]["hit"].alias("hit"))
+        )
+
     found = _bound(F.filter(pairs, lambda x: x.isNotNull()), laid)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
@@ -113,15 +135,10 @@ def with_secrets(docs: DataFrame, classes=CLASSES, allowed=ALLOWED, name: str =
         )
 
     base = F.concat(named(assign, 0, "assign"), named(access, 1, "access"), named(hexes, 2, "hex"))
-    both = _bound(
-        F.struct(base.alias("base"), named(entropy, 3, "entropy").alias("more")),
-        lambda x: F.array_sort(
-            F.concat(
-                x["base"],
-                F.filter(x["more"], lambda e: ~F.exists(x["base"], lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"]))),
-            )
-        ),
-    )
+    # in order of start (fixed kinds first), a span lies in a fixed one if those before it reach its end
+    reach = lambda s: F.when(s["order"] < 3, s["end"]).otherwise(F.lit(0))
+    placed = _bound(F.array_sort(F.concat(base, named(entropy, 3, "entropy"))), lambda spans: with_prefix(spans, reach, F.greatest, F.lit(0)))
+    both = F.transform(F.filter(placed, lambda p: (p["item"]["order"] < 3) | (p["before"] < p["item"]["end"])), lambda p: p["item"])
     return docs.withColumn(name, both)
 
 
@@ -134,17 +151,24 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", classes=CLASSES, allowed=A
     found = with_secrets(docs, classes, allowed, spans)
 
     def cut(x: Column) -> Column:
-        def step(acc, s):
-            fresh = s["start"] >= acc["pos"]
-            return F.struct(
-                F.greatest(acc["pos"], s["end"]).alias("pos"),
-                F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark)))
-                .otherwise(acc["out"])
-                .alias("out"),
-            )
+        """Text between spans, by pieces, so that no place is counted from the text's start."""
 
-        end = F.aggregate(x, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-        return _bound(end, lambda e: F.concat(e["out"], F.substring(F.col("text"), e["pos"] + 1, F.length("text"))))
+        def between(pieces: Column, low: Column, high: Column) -> Column:
+            part = lambda k: F.substring(
+                pieces[k], F.greatest(low - k * PIECE, F.lit(0)) + 1, F.least(high - k * PIECE, F.lit(PIECE)) - F.greatest(low - k * PIECE, F.lit(0))
+            )
+            whole = F.array_join(F.transform(F.sequence(F.floor(low / PIECE).cast("int"), F.floor((high - 1) / PIECE).cast("int")), part), "")
+            return F.when(high > low, whole).otherwise("")
+
+        def joined(b: Column) -> Column:
+            fresh = F.filter(b["placed"], lambda p: p["item"]["start"] >= p["before"])
+            marked = F.transform(fresh, lambda p: F.concat(between(b["pieces"], p["before"], p["item"]["start"]), F.lit(mark)))
+            end = F.array_max(F.transform(b["placed"], lambda p: p["item"]["end"]))
+            return F.concat(F.array_join(marked, ""), between(b["pieces"], end, F.length("text")))
+
+        pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+        placed = with_prefix(x, lambda s: s["end"], F.greatest, F.lit(0))
+        return _bound(F.struct(placed.alias("placed"), pieces.alias("pieces")), joined)
 
     out = found.withColumn("text", F.when(F.size(spans) > 0, _bound(F.col(spans), cut)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
