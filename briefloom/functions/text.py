@@ -9,6 +9,7 @@ from briefloom.functions.html import unescape
 
 #: Python's white space, as one character class of a Java pattern.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+#: Fixed value: what counts as a word of a title.
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
 URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -42,7 +43,7 @@ def normalize_title(c: Column) -> Column:
 
 def canonicalize_link(c: Column) -> Column:
     """Scheme and host in lower case, no slash at the path's end, no fragment, query kept; null to ''."""
-    link = strip(_text(c))
+    link = F.translate(strip(_text(c)), "\t\r\n", "")
     part = lambda k: F.regexp_extract(link, URL, k)
     scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""), part(4)
     return F.concat(
@@ -55,7 +56,7 @@ def canonicalize_link(c: Column) -> Column:
 
 def link_domain(c: Column) -> Column:
     """Host part as written; null if there is none."""
-    return F.nullif(F.regexp_extract(strip(_text(c)), URL, 2), F.lit(""))
+    return F.nullif(F.regexp_extract(F.translate(strip(_text(c)), "\t\r\n", ""), URL, 2), F.lit(""))
 
 
 def first_link(*links: Column) -> Column:
@@ -113,9 +114,17 @@ def json_row(*columns: Column) -> Column:
 
 
 def model_answer(c: Column, schema: str) -> Column:
-    """A model's JSON answer, code fences taken off; null unless it is an object."""
-    bare = F.trim(F.regexp_replace(F.trim(_text(c)), r"^```(?:json)?\s*|\s*```$", ""))
-    return F.when(bare.startswith("{"), F.from_json(bare, schema, {"mode": "PERMISSIVE"}))
+    """A model's JSON answer, code fences taken off; null unless the whole text is one JSON object.
+
+    ``from_json`` alone takes a text that breaks off, or that goes on after the object.
+    """
+    text = strip(_text(c))
+    inner = strip(F.regexp_replace(text, "^`+|`+$", ""))
+    inner = F.when(inner.startswith("json"), strip(F.substring(inner, 5, 2**31 - 1))).otherwise(inner)
+    bare = F.when(text.startswith("```"), inner).otherwise(text)
+    whole = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
+    one = bare.startswith("{") & whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(one, F.from_json(bare, schema))
 
 
 def keyword_key(c: Column) -> Column:

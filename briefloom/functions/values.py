@@ -12,11 +12,44 @@ CLUSTER_LABELS = ("미국", "한국")
 PAGE_TITLE = "글로벌 시장 일간 요약 - "
 
 
+#: Zone names of RFC 2822 dates and their hours from UTC, month names.
+ZONES = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "ast": -4, "adt": -3, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+PUB_DATE = r"(?i)^\s*(?:[a-z]+\.?\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*\.?,?[\s-]+(\d{2}|\d{4})\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s*([+-]\d{4}|[a-z]+)?\s*(?:\(.*\))?\s*$"
+
+
+def pub_offset(c: Column) -> Column:
+    """Seconds from UTC of an RFC 2822 date; null without an offset, with an unknown zone and with ``-0000``, which states none."""
+    zone = F.lower(F.regexp_extract(c, PUB_DATE, 7))
+    number = lambda at: F.substring(zone, at, 2).try_cast("int")
+    seconds = F.when(zone.startswith("-"), -1).otherwise(1) * (number(2) * 3600 + number(4) * 60)
+    out = F.when(zone.rlike(r"^[+-]\d{4}$") & (zone != "-0000"), seconds)
+    for name, hours in ZONES.items():
+        out = out.when(zone == name, hours * 3600)
+    return out
+
+
 def parse_pub_date(c: Column) -> Column:
-    """Instant of an RFC 2822 date; null if it can't be read or has no offset."""
-    bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
-    zoned = F.regexp_replace(bare, r"\s(GMT|UTC|UT)$", " +0000")
-    return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")))
+    """Instant of an RFC 2822 date; null if it can't be read or has no offset.
+
+    Day names and seconds may be missing; two digits of a year are 1969 to 2068.
+    """
+    part = lambda k: F.nullif(F.regexp_extract(c, PUB_DATE, k), F.lit("")).try_cast("int")
+    place = F.instr(F.lit(MONTHS), F.lower(F.nullif(F.regexp_extract(c, PUB_DATE, 2), F.lit(""))))
+    month = F.when((place > 0) & (place % 3 == 1), F.floor((place + 2) / 3).cast("int"))
+    year = F.when(part(3) >= 100, part(3)).when(part(3) > 68, part(3) + 1900).otherwise(part(3) + 2000)
+    second = F.coalesce(part(6), F.lit(0))
+    local = F.try_make_timestamp(year, month, part(1), part(4), part(5), F.when(second < 60, second), F.lit("UTC"))
+    return F.timestamp_micros(F.unix_micros(local) - pub_offset(c).cast("long") * 1_000_000)
+
+
+def pub_iso(c: Column) -> Column:
+    """An RFC 2822 date as ISO text with the offset it came with."""
+    offset = pub_offset(c)
+    local = F.timestamp_micros(F.unix_micros(parse_pub_date(c)) + offset.cast("long") * 1_000_000)
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    sign, size = F.when(offset < 0, "-").otherwise("+"), F.abs(offset)
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, two(F.floor(size / 3600)), F.lit(":"), two(F.floor(size % 3600 / 60)))
 
 
 def business_date(instant: Column) -> Column:
@@ -47,10 +80,20 @@ def quantized(c: Column) -> Column:
 
 
 def change(close: Column, previous: Column) -> tuple[Column, Column]:
-    """(difference, percent of the previous close); 0 percent where that is 0."""
-    diff = (close.cast("decimal(20,8)") - previous.cast("decimal(20,8)")).cast("decimal(20,8)")
-    percent = F.when(previous == 0, F.lit(0)).otherwise((diff * 100).cast("decimal(24,8)") / F.nullif(previous.cast("decimal(20,8)"), F.lit(0)))
-    return quantized(diff), F.bround(percent.cast("decimal(38,12)"), 4).cast("decimal(10,4)")
+    """(difference, percent of the previous close), each rounded once, half to even; 0 percent where that is 0.
+
+    A decimal division would round before: the percent is a whole quotient of ten-thousandths and
+    its remainder.  Prices have 14 digits before and after the point.
+    """
+    before = previous.cast("decimal(28,14)")
+    diff = close.cast("decimal(28,14)") - before
+    divisor = F.nullif(before, F.lit(0).cast("decimal(28,14)"))
+    scaled = diff * F.lit(1_000_000).cast("decimal(7,0)")
+    whole, rest = F.call_function("div", scaled, divisor), F.abs(scaled % divisor) * 2
+    up = (rest > F.abs(divisor)) | ((rest == F.abs(divisor)) & (whole % 2 != 0))
+    away = F.when((scaled < 0) != (divisor < 0), -1).otherwise(1)
+    percent = (whole + F.when(up, away).otherwise(0)).cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")
+    return quantized(diff), F.when(before == 0, F.lit(0)).otherwise(percent).cast("decimal(10,4)")
 
 
 def page_label(market: Column) -> Column:

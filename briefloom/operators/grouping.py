@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefloom.functions import text as X
+from briefloom.operators.joins import nested
+from briefloom.operators.ranking import ranked
 
 
 def greedy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], tokens: str, id_column: str, least: int = 2) -> DataFrame:
@@ -15,31 +19,34 @@ def greedy_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], toke
 
     A group's words are those of all its rows so far; rows that fit none open a group.  Rows come
     back with ``group_no``, 1, 2, ... by first row.  The order matters, so a key (a market's
-    day) is folded in sequence, in one expression.
+    day) is read in sequence; rows stream through sorted, and only the groups' words are held.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(id_column).alias("__id"), F.col(tokens).alias("__words"))))
     kinds = dict(df.dtypes)
-    empty = F.array().cast(f"array<struct<words:array<string>,ids:array<{kinds[id_column]}>>>")
-
-    def step(groups: Column, row: Column) -> Column:
-        place = F.array_position(F.transform(groups, lambda g: F.size(F.array_intersect(g["words"], row["__words"])) >= least), True)
-        own = F.struct(row["__words"].alias("words"), F.array(row["__id"]).alias("ids"))
-
-        def with_row(at: Column) -> Column:
-            grown = F.transform(
-                groups,
-                lambda g, k: F.when(
-                    k == at - 1,
-                    F.struct(F.array_union(g["words"], row["__words"]).alias("words"), F.concat(g["ids"], F.array(row["__id"])).alias("ids")),
-                ).otherwise(g),
-            )
-            return F.when(at == 0, F.concat(groups, F.array(own))).otherwise(grown)
-
-        return F.transform(F.array(place), with_row)[0]
-
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, empty, step).alias("__groups"))
-    flat = folded.select(*keys, F.posexplode("__groups").alias("__k", "__g"))
-    return flat.select(*keys, (F.col("__k") + 1).alias("group_no"), F.explode("__g.ids").alias(id_column))
+    columns = [*keys, "group_no", id_column]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, groups, number = None, {}, 0
+        for pdf in batches:
+            out = []
+            for *key, words in zip(*[pdf[k] for k in keys], pdf["__words"]):
+                key = [None if v != v else v for v in key]
+                if key != now:  # the next key: words of its groups, from nothing
+                    now, groups, number = key, {}, 0
+                own = dict.fromkeys(() if words is None else words)
+                hits = Counter(g for w in own for g in groups.get(w, ()))
+                at = min((g for g, n in hits.items() if n >= least), default=None)
+                if at is None:
+                    number += 1
+                    at = number
+                for w in own:
+                    groups.setdefault(w, set()).add(at)
+                out.append(at)
+            yield pdf[[*keys, id_column]].assign(group_no=out)[columns]
+
+    rows = df.select(*keys, id_column, F.col(tokens).alias("__words"), F.struct(*order, id_column).alias("__order"))
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "__order").drop("__order")
+    schema = ", ".join(f"`{c}` {'int' if c == 'group_no' else kinds[c]}" for c in columns)
+    return placed.mapInPandas(fold, schema)
 
 
 def one_group(df: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:
@@ -51,43 +58,52 @@ def described(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Title, summaries, tags, paragraphs and representative of each group, from its articles alone.
 
     ``members`` are processed articles with their group; newest first, undated last, then the
-    larger id.  ``article_ids`` holds them in that order.
+    larger id.  ``article_ids`` holds them in that order.  Only ids are gathered for a whole group;
+    of texts no more than the three and of words no more than the five that are shown.
     """
-    newest = F.array_sort(
-        F.collect_list(
-            F.struct(
-                (-F.coalesce(F.unix_micros("published_at"), F.lit(-(2**62)))).alias("a"), (-F.col("id")).alias("b"), F.struct("*").alias("row")
-            )
-        )
-    )
-    grouped = members.groupBy(*keys).agg(F.transform(newest, lambda x: x["row"]).alias("rows"))
-    rows, first = F.col("rows"), F.col("rows")[0]
+    keys = list(keys)
     filled = lambda c: F.nullif(c, F.lit(""))
-    summaries = F.filter(F.transform(rows, lambda r: r["source_summary"]), lambda s: filled(s).isNotNull())
-    long = filled(F.array_join(F.slice(summaries, 1, 3), " / "))
-    best = F.transform(F.slice(rows, 1, 3), lambda r: F.coalesce(filled(r["source_summary"]), r["article_body_excerpt"]))
-    return grouped.select(
+    newest = [F.col("published_at").desc_nulls_last(), F.col("id").desc()]
+    rows = ranked(members.select(*keys, "id", "published_at", "canonical_title", "source_summary", "article_body_excerpt"), keys, newest, "place")
+
+    def first(df: DataFrame, most: int, *fields: Column) -> DataFrame:
+        return nested(ranked(df, keys, [F.col("place")], "n").where(F.col("n") <= most), keys, ["place"], fields, "first")
+
+    head = first(rows, 3, F.col("id"), F.col("canonical_title").alias("title"), F.col("source_summary").alias("summary"), F.col("article_body_excerpt").alias("excerpt"))
+    long = first(rows.where(filled(F.col("source_summary")).isNotNull()), 3, F.col("source_summary").alias("summary"))
+    words = rows.select(*keys, "place", F.posexplode(X.tags(F.array("canonical_title"))).alias("at", "word"))
+    words = words.groupBy(*keys, "word").agg(F.min(F.struct("place", "at")).alias("place"))
+    tags = first(words, 5, F.col("word"))
+    ids = nested(rows, keys, ["place"], [F.col("id")], "ids")
+    texts = lambda column, f: F.transform(F.coalesce(column, F.array().cast("array<struct<summary:string>>")), f)
+    joined = (
+        ids.join(head.withColumnRenamed("first", "head"), keys)
+        .join(long.withColumnRenamed("first", "long"), keys, "left")
+        .join(tags.withColumnRenamed("first", "words"), keys, "left")
+    )
+    best, top = F.col("head"), F.col("head")[0]
+    return joined.select(
         *keys,
-        X.normalize_title(first["canonical_title"]).alias("title"),
-        F.coalesce(filled(first["source_summary"]), first["article_body_excerpt"]).alias("summary_short"),
-        F.coalesce(long, first["article_body_excerpt"]).alias("summary_long"),
-        X.tags(F.transform(rows, lambda r: r["canonical_title"])).alias("tags_json"),
-        F.filter(best, lambda s: filled(s).isNotNull()).alias("analysis_paragraphs_json"),
-        first["id"].alias("representative_article_id"),
-        F.size(rows).alias("article_count"),
-        F.transform(rows, lambda r: r["id"]).alias("article_ids"),
+        X.normalize_title(top["title"]).alias("title"),
+        F.coalesce(filled(top["summary"]), top["excerpt"]).alias("summary_short"),
+        F.coalesce(filled(F.array_join(texts(F.col("long"), lambda x: x["summary"]), " / ")), top["excerpt"]).alias("summary_long"),
+        F.coalesce(F.transform("words", lambda x: x["word"]), F.array().cast("array<string>")).alias("tags_json"),
+        F.filter(F.transform(best, lambda r: F.coalesce(filled(r["summary"]), r["excerpt"])), lambda s: filled(s).isNotNull()).alias("analysis_paragraphs_json"),
+        top["id"].alias("representative_article_id"),
+        F.size("ids").alias("article_count"),
+        F.transform("ids", lambda x: x["id"]).alias("article_ids"),
     )
 
 
 def answered(groups: DataFrame, answers: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups with a model's answers where there are any, field by field.
 
-    ``answers`` has the keys and ``title, summary_short, summary_long, tags,
-    analysis_paragraphs, representative_article_index``; empty fields count as missing, an index
-    outside the group as 0.  ``fallback_used`` says where there is no answer.
+    ``answers`` has the keys, a struct ``a`` of ``title, summary_short, summary_long, tags,
+    analysis_paragraphs, representative_article_index`` (null: no answer) and ``error``, as
+    :func:`briefloom.sources.feeds.model_answers` gives them; empty fields count as missing, an
+    index outside the group as 0.  ``fallback_used`` says where there is no answer, ``error`` why.
     """
-    a = answers.select(*keys, F.struct(*[c for c in answers.columns if c not in keys]).alias("a"))
-    got = groups.join(a, list(keys), "left")
+    got = groups.join(answers.select(*keys, "a", "error"), list(keys), "left")
     word = lambda c: F.nullif(F.col(f"a.{c}"), F.lit(""))
     some = lambda c: F.when(F.size(f"a.{c}") > 0, F.col(f"a.{c}"))
     index = F.coalesce(F.col("a.representative_article_index"), F.lit(0))
@@ -101,4 +117,5 @@ def answered(groups: DataFrame, answers: DataFrame, keys: Sequence[str]) -> Data
         "article_count",
         "article_ids",
         F.col("a").isNull().alias("fallback_used"),
+        "error",
     )

@@ -37,10 +37,10 @@ def cluster_article_links(clusters: DataFrame, members: DataFrame, articles: Dat
     return joined.orderBy(market_order(), "cluster_rank", "article_rank", F.col("published_at").desc_nulls_first(), "processed_article_id")
 
 
-def nested(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str | Column], name: str) -> DataFrame:
+def nested(children: DataFrame, key: str | Sequence[str], order: Sequence[str], fields: Sequence[str | Column], name: str) -> DataFrame:
     """One row a parent key: its children as an array of structs in the given order."""
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("__child"))))
-    return children.groupBy(key).agg(F.transform(ordered, lambda x: x["__child"]).alias(name))
+    return children.groupBy(*([key] if isinstance(key, str) else key)).agg(F.transform(ordered, lambda x: x["__child"]).alias(name))
 
 
 def with_nested(parents: DataFrame, key: str, kids: DataFrame, name: str) -> DataFrame:

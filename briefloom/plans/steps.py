@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,14 @@ MARKET_TITLE = " 시장 핵심 이슈 요약"
 NO_CLUSTERS = "요약 생성에 필요한 클러스터가 없습니다."
 NO_SNAPSHOT = "스냅샷 생성에 필요한 클러스터 데이터가 없습니다."
 NO_INDICES = "No market index data was collected."
+NO_ANSWER = "The model gave no answer."
+#: Fields of a model's answers.
+CLUSTER_FIELDS = "title string, summary_short string, summary_long string, tags array<string>, analysis_paragraphs array<string>, representative_article_index int"
+HEADLINE_FIELDS = CARD_FIELDS = "title string, body string"
+MARKET_FIELDS = "title string, body string, background array<string>, key_themes array<string>, outlook string"
+DETAIL_FIELDS = "title string, body string, paragraphs array<string>"
 JOB_NAME, SCOPE = "market_daily_batch", "GLOBAL"
-REASON = '{"reason":"llm_fallback"}'
+REASON, ANSWERED = '{"reason":"llm_fallback"}', '{"reason":"llm"}'
 
 
 class JobRejected(Exception):
@@ -66,13 +73,24 @@ class Context:
 
 @dataclass
 class Inputs:
-    """What a run takes in; None where there is nothing."""
+    """What a run takes in; None where there is nothing.
+
+    Answers are a model's raw texts in a column ``answer`` (and, where a call failed, ``error``): one row
+    for the headline, and by ``market_type``, or ``market_type`` and the cluster's rank in
+    ``group_no``, for the others.  A table says that a model is set up; where a row is missing or
+    unreadable the fallbacks apply.
+    """
 
     items: DataFrame | None = None
     fetched_pages: DataFrame | None = None
     history: DataFrame | None = None
-    cluster_answers: DataFrame | None = None
     grouping: bool = False
+    cluster_answers: DataFrame | None = None
+    headline_answers: DataFrame | None = None
+    market_answers: DataFrame | None = None
+    card_answers: DataFrame | None = None
+    detail_answers: DataFrame | None = None
+    model_name: str = "model"
 
 
 def _event(t: Tables, c: Context, step: str, level: str, message: str, context_json: str | None = None) -> None:
@@ -196,19 +214,23 @@ def build_clusters_step(t: Tables, c: Context, inputs: Inputs) -> None:
         groups = G.one_group(articles, ["market_type"], "id")
     described = G.described(articles.drop("market_type").join(groups, "id"), keys)
     if inputs.cluster_answers is not None:
-        described = G.answered(described, inputs.cluster_answers, keys)
+        described = G.answered(described, feeds.model_answers(inputs.cluster_answers, CLUSTER_FIELDS, keys), keys)
+    else:
+        described = described.withColumns({"fallback_used": F.lit(True), "error": F.lit(None).cast("string")})
     clusters, members = t.read("news_cluster"), t.read("news_cluster_article")
     now = F.current_timestamp()
     rows = described.withColumn("business_date", F.lit(c.business_date)).withColumn("__order", market_order())
-    digest = F.md5(F.concat_ws("|", F.col("business_date").cast("string"), "market_type", "group_no"))
+    # a rebuild makes new clusters: their uids are new too
+    digest = F.md5(F.concat_ws("|", F.lit(c.job_id), F.col("business_date").cast("string"), "market_type", "group_no"))
     uid = F.regexp_replace(digest, r"^(.{8})(.{4}).(.{3})(.{4})(.{12})$", "$1-$2-4$3-$4-$5")
     rows = S.with_ids(rows, clusters, ["__order", "group_no"]).select(
         "id", uid.alias("cluster_uid"), "business_date", "market_type", F.col("group_no").alias("cluster_rank"), "title", "summary_short", "summary_long",
         "analysis_paragraphs_json", "tags_json", "representative_article_id", "article_count", now.alias("created_at"), now.alias("updated_at"), "article_ids",
+        (F.col("fallback_used") & (F.col("error").isNotNull() | F.lit(inputs.cluster_answers is not None))).alias("__fell_back"), "error",
     )
     markets = articles.select("market_type").distinct()
     old = J.only_in(clusters.where(F.col("business_date") == F.lit(c.business_date)), markets, ["market_type"]).select("id")
-    rows = rows.persist()
+    rows = S.staged(rows)
     new_members = S.members_of(rows.select(F.col("id").alias("cluster_id"), "article_ids")).withColumn("created_at", now)
     kept_members = S.delete(members, old, "cluster_id").unionByName(new_members.select(*members.columns))
     summaries, cards, links = t.read("ai_summary"), t.read("market_daily_page_market_cluster"), t.read("market_daily_page_article_link")
@@ -219,11 +241,34 @@ def build_clusters_step(t: Tables, c: Context, inputs: Inputs) -> None:
         if changed:
             t.overwrite(name, df)
     t.overwrite("news_cluster_article", kept_members)
-    t.overwrite("news_cluster", S.delete(clusters, old).unionByName(rows.drop("article_ids")))
-    rows.unpersist()
+    t.overwrite("news_cluster", S.delete(clusters, old).unionByName(rows.select(*clusters.columns)))
+    _cluster_events(t, c, rows)
     c.log_messages.append(f"Created {c.cluster_count} clusters.")
 
 
+def _cluster_events(t: Tables, c: Context, clusters: DataFrame) -> None:
+    """An INFO event for each new cluster, before it a WARN where the model's answer was missing or unreadable."""
+    error = F.coalesce("error", F.lit(NO_ANSWER))
+    fell_back = X.json_row(
+        F.col("market_type").alias("marketType"), F.col("cluster_rank").alias("clusterRank"), F.col("representative_article_id").alias("representativeArticleId"),
+        F.lit("llm_fallback").alias("fallbackReason"), F.struct(error.alias("message")).alias("error"),
+    )
+    made = X.json_row(
+        F.col("market_type").alias("marketType"), F.col("id").alias("clusterId"), F.col("cluster_rank").alias("clusterRank"), F.col("article_count").alias("articleCount")
+    )
+    event = lambda place, level, message, context: F.struct(
+        F.lit(place).alias("place"), F.lit(level).alias("level"), F.lit(message).alias("message"), context.alias("context_json")
+    )
+    both = F.array(
+        F.when(F.col("__fell_back"), event(0, "WARN", "Cluster enrichment used the fallback.", fell_back)), event(1, "INFO", "Cluster created.", made)
+    )
+    rows = clusters.select(market_order().alias("__market"), "cluster_rank", F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e"))
+    rows = rows.select("__market", "cluster_rank", "e.*").withColumns(
+        {"batch_job_id": F.lit(c.job_id), "step_code": F.lit("BUILD_CLUSTERS"), "created_at": F.current_timestamp()}
+    )
+    t.append("batch_job_event", S.with_ids(rows, t.read("batch_job_event"), ["__market", "cluster_rank", "place"]))
+
+
 def index_quotes(history: DataFrame, tickers: DataFrame, day: dt.date) -> DataFrame:
     """A quote per ticker: the last row up to the day, and its change on the one before (else on its open)."""
     got = J.as_of(feeds.history_window(history, day), ["ticker"], F.lit(day), "date", ["close"])
@@ -257,11 +302,40 @@ def collect_indices_step(t: Tables, c: Context, inputs: Inputs) -> None:
     c.log_messages.append("Collected market indices.")
 
 
-def summaries_of(clusters: DataFrame) -> DataFrame:
-    """The rows that stand in for model summaries: one headline, one a market, two a cluster.
+def _with_answers(rows: DataFrame, raw: DataFrame | None, fields: str, keys: list[str], model_name: str, metadata=None, body_falls_back: bool = True) -> DataFrame:
+    """Fallback rows with a model's answers over them, field by field; what the answer leaves empty stays.
+
+    ``metadata`` gives the metadata of an answered row from its struct ``a``.
+    """
+    none = F.lit(None).cast("string")
+    if raw is None:
+        return rows.withColumns({"model_name": none, "status": F.lit("FALLBACK"), "fallback_used": F.lit(True), "error_message": none})
+    answers = feeds.model_answers(raw, fields, keys)
+    got = rows.join(answers, keys, "left") if keys else rows.join(F.broadcast(answers.limit(1)), F.lit(True), "left")
+    ok, a, filled = F.col("a").isNotNull(), F.col("a"), lambda c: F.nullif(c, F.lit(""))
+    error = F.coalesce("error", F.lit(NO_ANSWER))
+    told = F.concat(F.regexp_replace("metadata_json", r"\}$", ","), F.substring(X.json_row(F.struct(error.alias("message")).alias("error")), 2, 2**31 - 1))
+    paragraphs = F.when(F.size(a["paragraphs"]) > 0, a["paragraphs"]).otherwise(F.col("paragraphs_json")) if "paragraphs" in fields else F.col("paragraphs_json")
+    return got.withColumns(
+        {
+            "title": F.when(ok, F.coalesce(filled(a["title"]), "title")).otherwise(F.col("title")),
+            "body": F.when(ok, F.coalesce(filled(a["body"]), F.col("body")) if body_falls_back else a["body"]).otherwise(F.col("body")),
+            "paragraphs_json": F.when(ok, paragraphs).otherwise(F.col("paragraphs_json")),
+            "metadata_json": F.when(ok, F.lit(ANSWERED) if metadata is None else metadata(a)).otherwise(told),
+            "model_name": F.when(ok, F.lit(model_name)),
+            "status": F.when(ok, "SUCCESS").otherwise("FALLBACK"),
+            "fallback_used": ~ok,
+            "error_message": F.when(~ok, error),
+        }
+    ).drop("a", "error")
+
+
+def summaries_of(clusters: DataFrame, inputs: Inputs | None = None) -> DataFrame:
+    """A day's summaries: one headline, one a market, two a cluster, each the model's answer or what stands in for it.
 
     ``clusters`` are a day's, with market and rank.  Rows come with ``place``, their order.
     """
+    inputs = inputs or Inputs()
     by_rank = lambda *fields: F.array_sort(F.collect_list(F.struct(market_order().alias("m"), F.col("cluster_rank").alias("r"), *fields)))
     filled = lambda c: F.nullif(c, F.lit("")).isNotNull()
     none = lambda kind: F.lit(None).cast(kind)
@@ -273,26 +347,39 @@ def summaries_of(clusters: DataFrame) -> DataFrame:
     )
     own = clusters.groupBy("market_type").agg(by_rank(F.col("summary_short").alias("s"), F.col("summary_long").alias("l"), F.col("tags_json").alias("g")).alias("c"))
     two = F.slice("c", 1, 2)
+    background = F.filter(F.transform(two, lambda x: x["s"]), filled)
+    themes = F.slice(F.flatten(F.transform(two, lambda x: F.coalesce(x["g"], F.array().cast("array<string>")))), 1, 5)
     market = own.select(
         F.lit("MARKET_SUMMARY").alias("summary_type"), "market_type", none("long").alias("cluster_id"),
         F.concat("market_type", F.lit(MARKET_TITLE)).alias("title"), F.col("c")[0]["s"].alias("body"), F.array().cast("array<string>").alias("paragraphs_json"),
         X.json_row(
-            F.lit("llm_fallback").alias("reason"), F.filter(F.transform(two, lambda x: x["s"]), filled).alias("background"),
-            F.slice(F.flatten(F.transform(two, lambda x: F.coalesce(x["g"], F.array().cast("array<string>")))), 1, 5).alias("keyThemes"),
-            F.col("c")[0]["l"].alias("outlook"),
+            F.lit("llm_fallback").alias("reason"), background.alias("background"), themes.alias("keyThemes"), F.col("c")[0]["l"].alias("outlook")
         ).alias("metadata_json"),
-        F.array(market_order(), F.lit(0), F.lit(0)).alias("place"),
+        F.array(market_order(), F.lit(0), F.lit(0)).alias("place"), background.alias("__background"), themes.alias("__themes"), F.col("c")[0]["l"].alias("__outlook"),
+    )
+    some = lambda a, b: F.when(F.size(a) > 0, a).otherwise(F.col(b))
+    of_market = lambda a: X.json_row(
+        some(a["background"], "__background").alias("background"), some(a["key_themes"], "__themes").alias("keyThemes"),
+        F.coalesce(F.nullif(a["outlook"], F.lit("")), "__outlook").alias("outlook"),
     )
     card = clusters.select(
         F.lit("CLUSTER_CARD_SUMMARY").alias("summary_type"), "market_type", F.col("id").alias("cluster_id"), "title", F.col("summary_short").alias("body"),
-        F.array().cast("array<string>").alias("paragraphs_json"), F.lit(REASON).alias("metadata_json"), F.array(market_order(), F.col("cluster_rank"), F.lit(1)).alias("place"),
+        F.array().cast("array<string>").alias("paragraphs_json"), F.lit(REASON).alias("metadata_json"), F.array(market_order(), F.col("cluster_rank"), F.lit(1)).alias("place"), F.col("cluster_rank").alias("group_no"),
     )
     detail = clusters.select(
         F.lit("CLUSTER_DETAIL_ANALYSIS").alias("summary_type"), "market_type", F.col("id").alias("cluster_id"), "title",
         F.coalesce(F.nullif("summary_long", F.lit("")), "summary_short").alias("body"), F.col("analysis_paragraphs_json").alias("paragraphs_json"),
-        F.lit(REASON).alias("metadata_json"), F.array(market_order(), F.col("cluster_rank"), F.lit(2)).alias("place"),
+        F.lit(REASON).alias("metadata_json"), F.array(market_order(), F.col("cluster_rank"), F.lit(2)).alias("place"), F.col("cluster_rank").alias("group_no"),
     )
-    return head.unionByName(market).unionByName(card).unionByName(detail)
+    name, cluster = inputs.model_name, ["market_type", "group_no"]
+    head = _with_answers(head, inputs.headline_answers, HEADLINE_FIELDS, [], name, body_falls_back=False)
+    columns = head.columns
+    parts = (
+        _with_answers(market, inputs.market_answers, MARKET_FIELDS, ["market_type"], name, of_market),
+        _with_answers(card, inputs.card_answers, CARD_FIELDS, cluster, name),
+        _with_answers(detail, inputs.detail_answers, DETAIL_FIELDS, cluster, name),
+    )
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts], head)
 
 
 def summaries_step(t: Tables, c: Context, inputs: Inputs) -> None:
@@ -301,11 +388,8 @@ def summaries_step(t: Tables, c: Context, inputs: Inputs) -> None:
         c.partial_reasons.append(NO_CLUSTERS)
         return
     table = t.read("ai_summary")
-    rows = summaries_of(clusters).withColumns(
-        {
-            "batch_job_id": F.lit(c.job_id), "business_date": F.lit(c.business_date), "model_name": F.lit(None).cast("string"), "prompt_version": F.lit("v1"),
-            "status": F.lit("FALLBACK"), "fallback_used": F.lit(True), "error_message": F.lit(None).cast("string"), "generated_at": F.current_timestamp(),
-        }
+    rows = summaries_of(clusters, inputs).withColumns(
+        {"batch_job_id": F.lit(c.job_id), "business_date": F.lit(c.business_date), "prompt_version": F.lit("v1"), "generated_at": F.current_timestamp()}
     )
     t.append("ai_summary", S.with_ids(rows, table, ["place"]).drop("place"))
     own = L.by_value(t.read("ai_summary"), "batch_job_id", c.job_id)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions import text as X
@@ -26,11 +26,22 @@ TICKERS = (
     ("KR", "^KQ11", "KOSDAQ", "KRW"),
 )
 DAYS_BACK = 7
+NOT_AN_OBJECT = "The answer is not a JSON object."
 
 
 def served(items: DataFrame) -> DataFrame:
-    """Items of ``(keyword_id, place, item json)`` that paging reaches: no more than the last page's end."""
-    return items.where(F.col("place") < LAST_START + PAGE_SIZE)
+    """Items of ``(keyword_id, place, item json)`` that paging reaches.
+
+    Pages start at 1, 101, ... up to ``LAST_START``; a page that isn't full, or is missing, ends the scan.
+    """
+    own = items.where(F.col("place") < (LAST_START - 1) // PAGE_SIZE * PAGE_SIZE + PAGE_SIZE).withColumn("__page", F.floor(F.col("place") / PAGE_SIZE))
+    # ten rows a keyword
+    pages = own.groupBy("keyword_id", "__page").agg(F.count("*").alias("__items"))
+    w = Window.partitionBy("keyword_id").orderBy("__page")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("__full", F.coalesce(F.min("__items").over(before) >= PAGE_SIZE, F.lit(True))).withColumn("__n", F.row_number().over(w) - 1)
+    reached = pages.where(F.col("__full") & (F.col("__n") == F.col("__page"))).select("keyword_id", "__page")
+    return own.join(reached, ["keyword_id", "__page"], "left_semi").drop("__page")
 
 
 def articles_of_day(items: DataFrame, keywords: DataFrame, day: dt.date) -> DataFrame:
@@ -43,16 +54,11 @@ def articles_of_day(items: DataFrame, keywords: DataFrame, day: dt.date) -> Data
     own = own.withColumn("day", V.business_date(F.col("published_at")))
     kept = take_while(own, ["keyword_id"], "place", F.col("day") < F.lit(day)).where(F.col("day") == F.lit(day))
     k = keywords.select(F.col("id").alias("keyword_id"), "provider_name", "market_type", F.col("keyword").alias("search_keyword"))
-    # the key holds the date with the offset it came with
-    raw = field("pubDate")
-    offset = F.regexp_replace(F.regexp_extract(raw, r"([+-]\d{4})\s*$", 1), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    offset = F.when(offset == "", "+00:00").otherwise(offset)
-    local = F.date_format(F.from_utc_timestamp("published_at", offset), "yyyy-MM-dd'T'HH:mm:ss")
     return kept.join(F.broadcast(k) if keywords.limit(10_001).count() <= 10_000 else k, "keyword_id").select(
         "keyword_id",
         "place",
         "provider_name",
-        X.provider_key(field("originallink"), field("link"), field("title"), F.concat(local, offset)).alias("provider_article_key"),
+        X.provider_key(field("originallink"), field("link"), field("title"), V.pub_iso(field("pubDate"))).alias("provider_article_key"),
         "market_type",
         F.lit(day).alias("business_date"),
         "search_keyword",
@@ -91,5 +97,10 @@ def history_window(history: DataFrame, day: dt.date) -> DataFrame:
 
 
 def model_answers(raw: DataFrame, schema: str, keys: list[str]) -> DataFrame:
-    """Parsed ``answer`` objects by key; what isn't an object is left out, so that fallbacks apply."""
-    return raw.select(*keys, X.model_answer(F.col("answer"), schema).alias("a")).where("a is not null").select(*keys, "a.*")
+    """By key the parsed ``answer`` as a struct ``a``, null where fallbacks apply, and then ``error``, why.
+
+    ``raw`` may tell in a column ``error`` of its own that a call failed.
+    """
+    told = F.col("error").cast("string") if "error" in raw.columns else F.lit(None).cast("string")
+    a = F.when(F.nullif(told, F.lit("")).isNull(), X.model_answer(F.col("answer"), schema))
+    return raw.select(*keys, a.alias("a"), F.when(a.isNull(), F.coalesce(F.nullif(told, F.lit("")), F.lit(NOT_AN_OBJECT))).alias("error"))

@@ -7,13 +7,17 @@ swaps it in.
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefloom.schemas import SCHEMAS
+from briefloom.functions.text import keyword_key
+from briefloom.functions.values import whole_seconds
+from briefloom.operators.lookup import by_value
+from briefloom.schemas import ENUMS, SCHEMAS
 
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -26,21 +30,31 @@ def qualified(name: str, schema: str | None = None) -> str:
     return f"{schema}.{name}" if schema else name
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, in the shared folder of ``spark.checkpoint.dir`` (a temporary one only in local mode)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="briefloom-"))
+    return df.checkpoint()
+
+
 # What a table holds after a write ---------------------------------------------------------
 
 
 def with_ids(rows: DataFrame, existing: DataFrame, order: Sequence[str], column: str = "id") -> DataFrame:
     """New rows numbered on from the greatest id, by ``order``.
 
-    Rows are counted by range first, so that no task has to see all of them.
+    Rows are counted by range first, so that no task has to see all of them; the ranges are
+    staged, so that both looks see the same ones.
     """
     top = existing.agg(F.max(column)).first()[0] or 0
-    placed = rows.drop(column).repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("__part", F.spark_partition_id()).withColumn(
-        "__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    )
-    # a row a task
-    before = placed.groupBy("__part").agg(F.max("__n").alias("__size")).withColumn(
+    ranges = rows.drop(column).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    placed = staged(ranges).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    # a row a range
+    before = placed.groupBy("__part").agg(F.count("*").alias("__size")).withColumn(
         "__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     out = placed.join(F.broadcast(before.select("__part", "__before")), "__part")
@@ -106,13 +120,42 @@ def patch(existing: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame
     return joined.select(*[F.coalesce(f"__{n}", n).alias(n) if n in new else F.col(n) for n in existing.columns])
 
 
+def case_update(df: DataFrame, key: str, **values: dict) -> DataFrame:
+    """The table with columns set by key where a value is given for it, other rows as they are."""
+    kinds = dict(df.dtypes)
+
+    def cases(column: str, by_key: dict) -> Column:
+        out = F.col(column)
+        for k, v in by_key.items():
+            out = F.when(F.col(key) == F.lit(k), F.lit(v).cast(kinds[column])).otherwise(out)
+        return out
+
+    return df.withColumns({c: cases(c, v) for c, v in values.items()})
+
+
+def new_keyword(keywords: DataFrame, provider_name: str, market_type: str, keyword: str, now: Column, is_active: bool = True, priority: int = 1) -> DataFrame:
+    """The row to append for a search keyword, with its id; ValueError where the table's rules forbid it."""
+    if not provider_name.strip() or not keyword.strip() or priority <= 0 or market_type not in ENUMS["market_type"]:
+        raise ValueError("a provider, a keyword, a known market and a priority above 0 are needed")
+    key = keyword_key(F.lit(keyword))
+    same = (F.col("provider_name") == F.lit(provider_name)) & (F.col("market_type") == F.lit(market_type)) & (keyword_key(F.col("keyword")) == key)
+    if not keywords.where(same).isEmpty():
+        raise ValueError(f"the keyword is there already: {keyword!r}")
+    top = keywords.agg(F.max("id")).first()[0] or 0
+    row = keywords.sparkSession.createDataFrame(
+        [(top + 1, provider_name, market_type, keyword, is_active, priority)],
+        "id long, provider_name string, market_type string, keyword string, is_active boolean, priority int",
+    )
+    return row.withColumns({"created_at": now, "updated_at": now})
+
+
 def complete_job(jobs: DataFrame, job_id: int, now: Column, **values) -> DataFrame:
     """The jobs with one of them ended: its values, end and rounded duration."""
     mine = F.col("job_id") == job_id
     ended = {k: F.lit(v) for k, v in values.items()} | {
         "ended_at": now,
         "updated_at": now,
-        "duration_seconds": F.greatest(F.round((F.unix_micros(now) - F.unix_micros("started_at")) / 1_000_000).cast("int"), F.lit(0)),
+        "duration_seconds": whole_seconds(now, F.col("started_at")),
     }
     kinds = dict(jobs.dtypes)
     return jobs.select(*[F.when(mine, ended[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in ended else F.col(c) for c in jobs.columns])
@@ -131,20 +174,55 @@ class Tables:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{qualified(name)}")
 
+    def _rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"can't rename {old} to {new} in {self.root}")
+
+    def _recover(self, name: str) -> None:
+        """Put back the old table where a swap broke off in between."""
+        if not self._fs.exists(self._path(name)) and self._fs.exists(self._path(f"__old_{name}")):
+            self._rename(f"__old_{name}", name)
+
     def read(self, name: str) -> DataFrame:
+        self._recover(name)
         if not self._fs.exists(self._path(name)):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{qualified(name)}")
 
     def append(self, name: str, rows: DataFrame) -> None:
+        self._recover(name)
         self._fit(name, rows).write.mode("append").parquet(f"{self.root}/{qualified(name)}")
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Staged beside the table and swapped in: a failed write leaves the old table."""
-        staged = f"__staged_{uuid.uuid4().hex}"
-        self._fit(name, rows).write.parquet(f"{self.root}/{staged}")
-        self._fs.delete(self._path(name), True)
-        self._fs.rename(self._path(staged), self._path(name))
+        """Staged beside the table and swapped in: the old table stays until the new one is in its place."""
+        self._recover(name)
+        new, old = f"__staged_{uuid.uuid4().hex}", f"__old_{name}"
+        self._fit(name, rows).write.parquet(f"{self.root}/{new}")
+        self._fs.delete(self._path(old), True)
+        if self._fs.exists(self._path(name)):
+            self._rename(name, old)
+        try:
+            self._rename(new, name)
+        except OSError:
+            self._recover(name)
+            raise
+        self._fs.delete(self._path(old), True)
 
     def _fit(self, name: str, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+
+    def create_keyword(self, provider_name: str, market_type: str, keyword: str, is_active: bool = True, priority: int = 1) -> DataFrame:
+        """Append a search keyword and return its row."""
+        row = new_keyword(self.read("news_search_keyword"), provider_name, market_type, keyword, F.current_timestamp(), is_active, priority)
+        self.append("news_search_keyword", row)
+        return by_value(self.read("news_search_keyword"), "id", row.first().id)
+
+    def load_seed(self, frames: dict[str, DataFrame]) -> None:
+        """Append given rows to their tables, parents before children; columns a frame lacks are null."""
+        unknown = set(frames) - set(SCHEMAS)
+        if unknown:
+            raise ValueError(f"no such tables: {sorted(unknown)}")
+        for name in SCHEMAS:
+            if name in frames:
+                missing = {f.name: F.lit(None) for f in SCHEMAS[name] if f.name not in frames[name].columns}
+                self.append(name, frames[name].withColumns(missing) if missing else frames[name])

@@ -7,6 +7,7 @@ import pytest
 
 from briefloom.operators import validators
 from briefloom.plans import reads, steps
+from briefloom.sources import tables as S
 from briefloom.sources.tables import Tables
 from briefloom.streaming.ingest import ingest
 
@@ -80,12 +81,18 @@ def test_daily_batch(spark, tables, inputs):
     uid = us.topClusters[0].clusterId
     detail = reads.cluster_detail(tables, uid).first()
     assert detail.marketLabel == "미국" and [a.title for a in detail.articles] == ["Fed rate cut hopes"]
+    told = [(r.level, json.loads(r.context_json)) for r in tables.read("batch_job_event").where("message = 'Cluster created.'").orderBy("id").collect()]
+    assert [(level, x["marketType"], x["clusterRank"], x["articleCount"]) for level, x in told] == [("INFO", "US", 1, 1), ("INFO", "US", 2, 1), ("INFO", "KR", 1, 1)]
     # once more: nothing new is collected, clusters get new ids, a version is added, old cards lose their cluster
     again = steps.run_daily(tables, steps.start_job(tables, DAY, force=True), inputs)
     assert (again.raw_news_count, again.processed_news_count, again.page_version_no) == (0, 3, 2)
     assert tables.read("news_cluster").count() == 3 and tables.read("news_article_processed").count() == 3
     old = tables.read("market_daily_page_market_cluster").where("id <= 3")
     assert old.where("cluster_id is not null").isEmpty() and old.where("cluster_uid is null").isEmpty()
+    now = {r.cluster_uid for r in tables.read("news_cluster").collect()}
+    assert len(now) == 3 and not now & {r.cluster_uid for r in old.collect()}
+    with pytest.raises(reads.NotFound, match="CLUSTER_NOT_FOUND"):
+        reads.cluster_detail(tables, uid)
     items, total = reads.archive(tables, status="PARTIAL")
     assert total.first()[0] == 1 and [r.versionNo for r in items.collect()] == [2]
     listed, summary = reads.job_list(tables)
@@ -130,3 +137,70 @@ def test_streaming_intake_is_idempotent(spark, tables, tmp_path):
         ingest(spark.readStream.schema(raw.schema).parquet(source), tables, f"file://{tmp_path}/{run}").awaitTermination(120)
         got = tables.read("news_article_raw").select("id", "provider_article_key").collect()
         assert sorted(tuple(r) for r in got) == [(1, "a"), (2, "b")]
+
+
+def test_a_day_answered_by_the_model_is_a_success(spark, tables, inputs):
+    """Answers field by field over the fallbacks; what is missing or breaks off falls back and is told."""
+    raw = lambda rows, keys: spark.createDataFrame(rows, f"{keys}answer string, error string")
+    cluster = "market_type string, group_no int, "
+    inputs.history = inputs.history.where("ticker = '^GSPC'")
+    inputs.model_name = "m1"
+    inputs.cluster_answers = raw(
+        [("US", 1, '```json\n{"title":"Fed eyes cuts","tags":["fed"],"representative_article_index":7}\n```', None), ("US", 2, '{"summary_short":"Chips up"}', None),
+         ("KR", 1, '{"title":""}', None)], cluster,
+    )
+    inputs.headline_answers = raw([('{"title":"Markets rise","body":"b"}', None)], "")
+    inputs.market_answers = raw([("US", '{"body":"US body","key_themes":["rates"]}', None), ("KR", '{"title":"KR title","outlook":"up"}', None)], "market_type string, ")
+    inputs.card_answers = raw([("US", 1, '{"body":"card"}', None), ("US", 2, "{}", None), ("KR", 1, '{"title":"k"}', None)], cluster)
+    inputs.detail_answers = raw([("US", 1, '{"paragraphs":["p1","p2"]}', None), ("US", 2, "{}", None), ("KR", 1, "{}", None)], cluster)
+    c = steps.run_daily(tables, steps.start_job(tables, DAY), inputs)
+    assert (steps.status_of(c), c.fallback_count, c.generated_summary_count) == ("SUCCESS", 0, 9)
+    page = reads.latest_page(tables).first()
+    us, kr = page.markets
+    assert (page.status, page.globalHeadline, us.summaryBody, us.analysis.keyThemes, kr.summaryTitle, kr.analysis.outlook) == (
+        "READY", "Markets rise", "US body", ["rates"], "KR title", "up"
+    )
+    assert [(x.title, x.summary) for x in us.topClusters] == [("Fed eyes cuts", "card"), ("Chip fund rate rally", "Chips up")] and us.topClusters[0].tags == ["fed"]
+    rows = tables.read("ai_summary").collect()
+    assert {(r.status, r.fallback_used, r.model_name, r.error_message) for r in rows} == {("SUCCESS", False, "m1", None)}
+    assert [r.paragraphs_json for r in rows if r.summary_type == "CLUSTER_DETAIL_ANALYSIS"][0] == ["p1", "p2"]
+    assert json.loads(next(r.metadata_json for r in rows if r.summary_type == "GLOBAL_HEADLINE")) == {"reason": "llm"}
+    # the same day once more with answers that break off, fail or are missing
+    inputs.cluster_answers = raw([("US", 1, '{"title":', None)], cluster)
+    inputs.headline_answers = raw([(None, "timeout")], "")
+    inputs.detail_answers = raw([("US", 1, "[1]", None)], cluster)
+    again = steps.run_daily(tables, steps.start_job(tables, DAY, force=True), inputs)
+    assert steps.status_of(again) == "PARTIAL" and again.fallback_count == 1 + 3
+    head = tables.read("ai_summary").where(f"batch_job_id = {again.job_id} and summary_type = 'GLOBAL_HEADLINE'").first()
+    assert (head.status, head.error_message, head.model_name) == ("FALLBACK", "timeout", None)
+    assert json.loads(head.metadata_json) == {"reason": "llm_fallback", "error": {"message": "timeout"}}
+    warned = tables.read("batch_job_event").where(f"batch_job_id = {again.job_id} and message = 'Cluster enrichment used the fallback.'").orderBy("id").collect()
+    assert [json.loads(r.context_json)["error"]["message"] for r in warned][:1] == ["The answer is not a JSON object."] and len(warned) == 3
+
+
+def test_keywords_and_seed(spark, tables):
+    row = tables.create_keyword("FEED", "KR", " KOSDAQ ", priority=3).first()
+    assert (row.id, row.keyword, row.priority, row.is_active) == (4, " KOSDAQ ", 3, True)
+    for bad in (("FEED", "KR", "kosdaq"), (" ", "KR", "x"), ("FEED", "JP", "x"), ("FEED", "KR", "  ")):
+        with pytest.raises(ValueError):
+            tables.create_keyword(*bad)
+    with pytest.raises(ValueError):
+        tables.create_keyword("FEED", "KR", "y", priority=0)
+    assert tables.read("news_search_keyword").count() == 4
+    jobs = [(1001, "J", DAY, "SUCCESS", 851), (1002, "J", DAY, "PARTIAL", 1275), (1003, "J", DAY, "FAILED", 132), (1004, "J", DAY, "SUCCESS", 894)]
+    seed = spark.createDataFrame(jobs, "job_id long, job_name string, business_date date, status string, duration_seconds int")
+    tables.load_seed({"batch_job": seed})
+    got = reads.job_list(tables)[1].first()
+    assert (got.total_count, got.success_count, got.partial_count, got.failed_count, got.avg_duration_seconds) == (4, 2, 1, 1, 788)
+    paged = S.case_update(tables.read("batch_job"), "job_id", page_id={1001: 2001, 1004: 2002}, page_version_no={1001: 1, 1004: 1})
+    assert [(r.job_id, r.page_id, r.page_version_no) for r in paged.orderBy("job_id").collect()] == [(1001, 2001, 1), (1002, None, None), (1003, None, None), (1004, 2002, 1)]
+    with pytest.raises(ValueError):
+        tables.load_seed({"no_such_table": seed})
+
+
+def test_a_swap_that_broke_off_is_put_right(tables):
+    name = "news_search_keyword"
+    tables._rename(name, f"__old_{name}")  # between the two renames
+    assert tables.read(name).count() == 3
+    tables.overwrite(name, tables.read(name).where("id = 1"))
+    assert tables.read(name).count() == 1 and not tables._fs.exists(tables._path(f"__old_{name}"))

@@ -19,7 +19,7 @@ TEXTS = [
 ]
 LINKS = [
     None, "", "HTTPS://News.Example.com/A/b//?Q=1#frag", " http://x.com/ ", "http://x.com", "//host/path/", "mailto:a@b", "/only/path/", "http://한글.kr/기사?a=b c",
-    "http://u:P@Host:80/p?x=/y/", "ftp://h/;p?", "no scheme here", "?q=1", "http://x.com/a#",
+    "http://u:P@Host:80/p?x=/y/", "http://x.com/a\tb/\n", "ftp://h/;p?", "no scheme here", "?q=1", "http://x.com/a#",
 ]
 
 
@@ -84,19 +84,43 @@ def test_json(spark):
     assert column(spark, ['["a","b"]', None], X.json_texts) == [["a", "b"], []]
     got = column(spark, ['```json\n{"a":1}\n```', '{"a":2}', "[1]", "no", None], lambda c: X.model_answer(c, "a int"))
     assert [g and g.a for g in got] == [1, 2, None, None, None]
+    raw = ['{"a":', '{"a":1} x', '{"a":1},{"a":2}', '``` {"a":3}```', '```\n{"b":1}\n```', "  {\"a\":4} ", "{}", "```json\n[]```", ""]
+    got = column(spark, raw, lambda c: X.model_answer(c, "a int"))
+    assert [g if g is None else g.a for g in got] == [None, None, None, 3, None, 4, None, None, None] and got[4] is not None and got[6] is not None
 
 
 def test_dates(spark):
     raw = ["Tue, 17 Mar 2026 09:01:02 +0900", "17 Mar 2026 00:00:00 GMT", "Tue, 17 Mar 2026 09:01:02", "nonsense", None]
     got = column(spark, raw, lambda c: V.iso_utc(V.parse_pub_date(c)))
     assert got == ["2026-03-17T00:01:02Z", "2026-03-17T00:00:00Z", None, None, None]
+    from email.utils import parsedate_to_datetime
+
+    raw = [
+        "Tue, 17 Mar 2026 09:01:02 EST", "Tue,17 Mar 2026 9:00:00 +0900", "17 Mar 26 09:01 PDT", "Tue, 17 March 1999 09:01:02 -0330", "17 Mar 75 01:02:03 Z",
+        "Tue, 17 Mar 2026 09:01:02 -0000", "Tue, 31 Feb 2026 09:01:02 +0900", "Tue, 17 Mar 2026 25:01:02 +0900", "Tue, 17 Mar 2026 09:01:60 +0900", "tue, 1 dec 2026 00:00:00 gmt", "", "x",
+    ]
+
+    def plain(v):
+        try:
+            d = parsedate_to_datetime(v)
+        except (TypeError, ValueError, IndexError):
+            return None
+        return d if d.tzinfo else None
+
+    got = column(spark, raw, lambda c: F.struct(V.iso_utc(V.parse_pub_date(c)).alias("at"), V.pub_iso(c).alias("iso")))
+    for v, g in zip(raw, got):
+        want = plain(v)
+        assert (g.at, g.iso) == ((None, None) if want is None else (want.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), want.isoformat())), v
     late = dt.datetime(2026, 3, 16, 15, 0)
     assert column(spark, [late, late - dt.timedelta(seconds=1)], V.business_date, "timestamp_ntz") == [dt.date(2026, 3, 17), dt.date(2026, 3, 16)]
 
 
 def test_change_is_half_even(spark):
-    rows = [("1.00005", "0"), ("100.00015", "100"), ("3", "7"), ("2", "-8")]
-    df = spark.createDataFrame(rows, "a string, b string").select(F.col("a").cast("decimal(20,8)").alias("a"), F.col("b").cast("decimal(20,8)").alias("b"))
+    rows = [
+        ("1.00005", "0"), ("100.00015", "100"), ("3", "7"), ("2", "-8"), ("1.000149999999", "0"), ("-1.00005", "1"), ("1.000001500001", "1"), ("1.0000015", "1"),
+        ("1.0000025", "1"), ("5021.123456789012", "4999.98765432101"), ("0.9999985", "1"), ("-2", "-1.99999")
+    ]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.col("a").cast("decimal(28,14)").alias("a"), F.col("b").cast("decimal(28,14)").alias("b"))
     q = lambda d: d.quantize(Decimal("0.0001"), ROUND_HALF_EVEN)
     got = df.select(V.quantized(F.col("a")), *V.change(F.col("a"), F.col("b"))).collect()
     for (a, b), r in zip(rows, got):

@@ -110,6 +110,7 @@ def test_described_group(spark):
     assert (r.title, r.summary_short, r.summary_long) == ("New one", "e3", "s4 / s1")
     assert r.analysis_paragraphs_json == ["e3", "s4", "s1"] and r.tags_json == ["<b>New<", "b>", "one", "Tie", "up"]
     answers = spark.createDataFrame([("US", 1, "T", "", None, [], ["p"], 9)], "market_type string, group_no int, title string, summary_short string, summary_long string, tags array<string>, analysis_paragraphs array<string>, representative_article_index int")
+    answers = answers.select("market_type", "group_no", F.struct(*answers.columns[2:]).alias("a"), F.lit(None).cast("string").alias("error"))
     a = G.answered(g, answers, ["market_type", "group_no"]).first()
     assert (a.title, a.summary_short, a.analysis_paragraphs_json, a.representative_article_id, a.fallback_used) == ("T", "e3", ["p"], 3, False)
     assert G.answered(g, answers.limit(0), ["market_type", "group_no"]).first().fallback_used
