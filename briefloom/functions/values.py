@@ -62,6 +62,7 @@ def iso_utc(instant: Column) -> Column:
 
 def iso(instant: Column) -> Column:
     """ISO text with offset, micros only where there are any."""
+    instant = instant.cast("timestamp")
     return F.concat(
         F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"),
         F.when(F.expr("0") == F.pmod(F.unix_micros(instant), F.lit(1_000_000)), "").otherwise(F.date_format(instant, ".SSSSSS")),

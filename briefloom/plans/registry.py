@@ -207,17 +207,9 @@ def link_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", X.canonicalize_link(F.col("url")).alias("link"), X.link_domain(F.col("url")).alias("domain"))
 
 
-@query(f"""SELECT doc_id, sha256(trim(regexp_replace(replace(text, '|', ' '), '{SQL_SPACE}', ' ', 'g'), ' ') || '|' || source) AS hash FROM documents
-WHERE NOT regexp_matches(text, '[<&]')""")
+@query(f"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), '|', ' '), '<[^>]+>', '', 'g'), '{SQL_SPACE}', ' ', 'g'), ' ') || '|' || source) AS hash FROM documents""")
 def dedupe_hash(spark, d):
-    """X5, on texts without markup or entities."""
-    plain = table(spark, d, "documents").where(~F.col("text").rlike("[<&]"))
-    return plain.select("doc_id", X.dedupe_hash(F.translate("text", "|", " "), F.col("source")).alias("hash"))
-
-
-@query()
-def dedupe_hash_all(spark, d):
-    """X1, X5, on all documents; not SQL (tags and entities): tested against a plain model."""
+    """X5, over all documents; the SQL takes out tags, entities are decoded in the tests' plain model."""
     return table(spark, d, "documents").select("doc_id", X.dedupe_hash(F.translate("text", "|", " "), F.col("source")).alias("hash"))
 
 
@@ -225,7 +217,7 @@ def dedupe_hash_all(spark, d):
 def dedupe_first(spark, d):
     """The first document of each digest."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    return S.insert_ignore(docs, docs.limit(0), ["hash"], [F.col("doc_id")])
 
 
 @query(f"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{SQL_SPACE}', ' ', 'g'), ' ') AS x, text FROM documents)
@@ -235,15 +227,15 @@ def excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", X.body_excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]{2,}'))) AS n_tokens FROM documents WHERE NOT regexp_matches(text, '[<&]')""")
+@query("""SELECT doc_id, len(list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g')), '[0-9A-Za-z가-힣]{2,}'))) AS n_tokens FROM documents""")
 def tokens(spark, d):
-    """Number of distinct words."""
-    return table(spark, d, "documents").where(~F.col("text").rlike("[<&]")).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    """Number of distinct words, over all documents."""
+    return table(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
 @query()
 def tokens_all(spark, d):
-    """X1, X8, on all documents; not SQL (tags and entities): tested against a plain model."""
+    """X1, X8, on all documents, the words in order; tested against a plain model."""
     return table(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
@@ -350,28 +342,28 @@ def keyword_counts(spark, d):
 
 
 GREEDY_SQL = """WITH RECURSIVE t AS (
-  SELECT CAST(user_id % 50 AS BIGINT) AS market, event_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n,
+  SELECT CAST(user_id % 50 AS BIGINT) AS market, CAST(ts AS DATE) AS day, event_id, row_number() OVER (PARTITION BY user_id % 50, CAST(ts AS DATE) ORDER BY ts, event_id) AS n,
     ['u' || (user_id % 3), event_type, 'd' || extract('day' FROM ts), 'h' || extract('hour' FROM ts)] AS words FROM events
 ), g AS (
-  SELECT market, 1 AS n, [{'words': words, 'ids': [event_id]}] AS groups FROM t WHERE n = 1
+  SELECT market, day, 1 AS n, [{'words': words, 'ids': [event_id]}] AS groups FROM t WHERE n = 1
   UNION ALL
-  SELECT t.market, t.n, CASE WHEN hit IS NULL THEN list_append(g.groups, {'words': t.words, 'ids': [t.event_id]})
+  SELECT t.market, t.day, t.n, CASE WHEN hit IS NULL THEN list_append(g.groups, {'words': t.words, 'ids': [t.event_id]})
     ELSE list_transform(g.groups, lambda x, k: CASE WHEN k = hit THEN {'words': list_distinct(list_concat(x.words, t.words)), 'ids': list_append(x.ids, t.event_id)} ELSE x END) END
-  FROM g JOIN t ON t.market = g.market AND t.n = g.n + 1,
+  FROM g JOIN t ON t.market = g.market AND t.day = g.day AND t.n = g.n + 1,
   LATERAL (SELECT list_position(list_transform(g.groups, lambda x: len(list_intersect(x.words, t.words)) >= 2), true) AS hit)
-), last AS (SELECT market, arg_max(groups, n) AS groups FROM g GROUP BY market),
-flat AS (SELECT market, unnest(groups) AS grp, generate_subscripts(groups, 1) AS group_no FROM last)
-SELECT market, CAST(group_no AS INT) AS group_no, unnest(grp.ids) AS event_id FROM flat"""
+), last AS (SELECT market, day, arg_max(groups, n) AS groups FROM g GROUP BY market, day),
+flat AS (SELECT market, day, unnest(groups) AS grp, generate_subscripts(groups, 1) AS group_no FROM last)
+SELECT market, day, CAST(group_no AS INT) AS group_no, unnest(grp.ids) AS event_id FROM flat"""
 
 
 @query(GREEDY_SQL)
 def greedy_cluster(spark, d):
-    """First-match greedy groups within each key, over all events."""
+    """G1: first-match greedy groups within each market's day, over all events."""
     e = table(spark, d, "events").select(
-        F.pmod("user_id", F.lit(50)).alias("market"), "event_id", "ts",
+        F.pmod("user_id", F.lit(50)).alias("market"), F.to_date("ts").alias("day"), "event_id", "ts",
         F.array(F.concat(F.lit("u"), F.pmod("user_id", F.lit(3))), "event_type", F.concat(F.lit("d"), F.dayofmonth("ts")), F.concat(F.lit("h"), F.hour("ts"))).alias("words"),
     )
-    return G.greedy_groups(e, ["market"], ["ts", "event_id"], "words", "event_id")
+    return G.greedy_groups(e, ["market", "day"], ["ts", "event_id"], "words", "event_id")
 
 
 @query("""WITH w AS (SELECT source, doc_id, unnest(string_split(trim(regexp_replace(translate(substring(text, 1, 0) || lang || ' ' || source || '/' || lang || ' x', '/|', '  '), ' +', ' ', 'g')), ' ')) AS t
@@ -408,3 +400,7 @@ def rounded_duration(spark, d):
     """Rounded seconds, not below 0."""
     end = F.col("o_orderdate") + F.expr("INTERVAL 1500 MILLISECONDS")
     return table(spark, d, "orders").select("o_orderkey", V.whole_seconds(end, F.col("o_orderdate")).alias("seconds"))
+
+
+# the queries over the briefing's shapes register themselves
+from briefloom.plans import briefing_queries  # noqa: E402, F401

@@ -77,10 +77,10 @@ def test_whole_documents_equal_plain_models(spark, tmp_path):
     docs = spark.createDataFrame([(k, t, "s" if k % 2 else "r") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     rows = lambda name: {r[0]: r[1] for r in registry.QUERIES[name](spark, f"file://{tmp_path}").select(*columns[name]).collect()}
-    columns = {"dedupe_hash_all": ("doc_id", "hash"), "tokens_all": ("doc_id", "tokens"), "first_tags": ("source", "tags")}
+    columns = {"dedupe_hash": ("doc_id", "hash"), "tokens_all": ("doc_id", "tokens"), "first_tags": ("source", "tags")}
     source = {k: "s" if k % 2 else "r" for k in range(len(texts))}
     want = {k: hashlib.sha256(f"{title((t or '').replace('|', ' '))}|{source[k]}".encode()).hexdigest() for k, t in enumerate(texts)}
-    assert rows("dedupe_hash_all") == want
+    assert rows("dedupe_hash") == want
     assert rows("tokens_all") == {k: list(dict.fromkeys(re.findall("[0-9A-Za-z가-힣]{2,}", title(t).lower()))) for k, t in enumerate(texts)}
     tags = {}
     for k, t in enumerate(texts):
