@@ -21,7 +21,7 @@ from briefloom.plans.shapes import Shapes, over
 from briefloom.sources import feeds
 from briefloom.sources import tables as S
 
-DAY = dt.date(1997, 8, 23)
+DAY = dt.date(1995, 6, 19)
 CLUSTER_DAY = dt.date(2026, 3, 17)
 MARKET = "CASE {} WHEN 'US' THEN 1 WHEN 'KR' THEN 2 END"
 
@@ -63,7 +63,7 @@ def read_latest_page(spark, d):
     return _flat(reads.latest_page(Shapes(spark, d)))
 
 
-@query(_page_sql("SELECT * FROM market_daily_page WHERE business_date = DATE '1997-08-23' ORDER BY version_no DESC LIMIT 1"))
+@query(_page_sql("SELECT * FROM market_daily_page WHERE business_date = DATE '1995-06-19' ORDER BY version_no DESC LIMIT 1"))
 def read_page_by_date(spark, d):
     """A day's latest version."""
     return _flat(reads.page_by_date(Shapes(spark, d), DAY))
@@ -158,7 +158,7 @@ def _placed(df: DataFrame, *columns: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(df.select(*columns).limit(1000).collect())], "place long, " + df.select(*columns).schema.simpleString()[7:-1])
 
 
-@query(over(f"SELECT row_number() OVER (ORDER BY {MARKET.format('market_type')}, published_at DESC NULLS LAST, id) - 1 AS place, id, market_type FROM news_article_processed WHERE business_date = DATE '1997-08-23'", "news_article_processed"))
+@query(over(f"SELECT row_number() OVER (ORDER BY {MARKET.format('market_type')}, published_at DESC NULLS LAST, id) - 1 AS place, id, market_type FROM news_article_processed WHERE business_date = DATE '1995-06-19'", "news_article_processed"))
 def articles_listed(spark, d):
     """F8: a day's articles, US first, newest first, undated last."""
     return _placed(L.list_articles(Shapes(spark, d).read("news_article_processed"), DAY), "id", "market_type")
@@ -170,7 +170,7 @@ def keywords_listed(spark, d):
     return L.list_keywords(Shapes(spark, d).read("news_search_keyword"), "BUILDING", "KR", True).select("id", "keyword", "priority")
 
 
-@query(over("SELECT index_code, market_type, close_price FROM market_index_daily WHERE business_date = DATE '1997-08-23'", "market_index_daily"))
+@query(over("SELECT index_code, market_type, close_price FROM market_index_daily WHERE business_date = DATE '1995-06-19'", "market_index_daily"))
 def indices_listed(spark, d):
     """F9."""
     return L.list_indices(Shapes(spark, d).read("market_index_daily"), DAY).select("index_code", "market_type", "close_price")
@@ -212,7 +212,7 @@ def markets_of_page(spark, d):
     return _placed(L.page_markets(Shapes(spark, d).read("market_daily_page_market"), 1203), "id", "market_type")
 
 
-@query(over("SELECT EXISTS (SELECT 1 FROM market_daily_page WHERE business_date = DATE '1997-08-23') AS page, EXISTS (SELECT 1 FROM batch_job WHERE business_date = DATE '1997-08-23' AND status IN ('PENDING', 'RUNNING')) AS active", "market_daily_page", "batch_job"))
+@query(over("SELECT EXISTS (SELECT 1 FROM market_daily_page WHERE business_date = DATE '1995-06-19') AS page, EXISTS (SELECT 1 FROM batch_job WHERE business_date = DATE '1995-06-19' AND status IN ('PENDING', 'RUNNING')) AS active", "market_daily_page", "batch_job"))
 def day_is_taken(spark, d):
     """F4, F5."""
     t = Shapes(spark, d)
