@@ -71,10 +71,14 @@ def daily_page(header: DataFrame, markets: DataFrame, indices: DataFrame, cluste
 
 
 def _page(t, header: DataFrame, code: str) -> DataFrame:
-    if header.isEmpty():
+    """One page.  Its id and its markets' (one for each market) are read first, so that every scan is filtered by them."""
+    found = header.select("id").head(1)
+    if not found:
         raise NotFound(code)
-    children = [t.read(f"market_daily_page_{n}") for n in ("market", "market_index", "market_cluster", "article_link")]
-    return daily_page(header, *children)
+    page = L.by_value(t.read("market_daily_page"), "id", found[0].id)
+    markets = L.by_value(t.read("market_daily_page_market"), "page_id", found[0].id)
+    own = F.col("page_market_id").isin([r.id for r in markets.select("id").collect()])
+    return daily_page(page, markets, *[t.read(f"market_daily_page_{n}").where(own) for n in ("market_index", "market_cluster", "article_link")])
 
 
 def latest_page(t) -> DataFrame:
