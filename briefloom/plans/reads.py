@@ -23,7 +23,7 @@ class NotFound(Exception):
 
 
 def _fields(**names: str | Column) -> list[Column]:
-    return [(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in names.items()]
+    return [F.expr(f"`{v}` AS `{k}`".replace(".", "`.`")) if isinstance(v, str) else v.alias(k) for k, v in names.items()]
 
 
 def daily_page(header: DataFrame, markets: DataFrame, indices: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFrame:

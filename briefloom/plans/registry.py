@@ -366,14 +366,17 @@ def greedy_cluster(spark, d):
     return G.greedy_groups(e, ["market", "day"], ["ts", "event_id"], "words", "event_id")
 
 
-@query("""WITH w AS (SELECT source, doc_id, unnest(string_split(trim(regexp_replace(translate(substring(text, 1, 0) || lang || ' ' || source || '/' || lang || ' x', '/|', '  '), ' +', ' ', 'g')), ' ')) AS t
-FROM documents), f AS (SELECT DISTINCT source, t FROM w WHERE length(t) >= 2) SELECT source, COUNT(*) AS n_tags FROM f GROUP BY source""")
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, p_name || '/' || p_type || '|' || p_brand AS title FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT l_orderkey, string_split(string_agg(translate(title, '/|', '  '), ' ' ORDER BY l_linenumber, title), ' ') AS s FROM w GROUP BY l_orderkey),
+u AS (SELECT l_orderkey, unnest(s) AS t, generate_subscripts(s, 1) AS k FROM g), f AS (SELECT l_orderkey, t, min(k) AS k FROM u WHERE length(t) >= 2 GROUP BY l_orderkey, t),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS r FROM f) SELECT l_orderkey, string_agg(t, ',' ORDER BY k) AS tags FROM n WHERE r <= 5 GROUP BY l_orderkey""")
 def tag_counts(spark, d):
-    """Distinct words of a source's titles."""
-    title = F.concat(F.col("lang"), F.lit(" "), F.col("source"), F.lit("/"), F.col("lang"), F.lit(" x"))
-    titles = table(spark, d, "documents").select("source", title.alias("title")).distinct()
-    grouped = A.grouped_lists(titles, ["source"], ["title"], "title", "titles")
-    return grouped.select("source", F.size(X.tags(F.col("titles"), 1000)).cast("long").alias("n_tags"))
+    """The first five distinct words of the titles of an order's lines, in order of line."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    title = F.concat("p_name", F.lit("/"), "p_type", F.lit("|"), "p_brand")
+    titles = lines.join(parts, lines.l_partkey == parts.p_partkey).select("l_orderkey", "l_linenumber", title.alias("title"))
+    grouped = A.grouped_lists(titles, ["l_orderkey"], ["l_linenumber"], "title", "titles")
+    return grouped.select("l_orderkey", F.array_join(X.tags(F.col("titles")), ",").alias("tags"))
 
 
 @query()
