@@ -60,3 +60,44 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN byd ON byd.doc_id = d.doc_id
 """
+
+_TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text"
+
+#: op11: rebuilt conversations as lists, every beginning of them grouped; crc32 bit by bit.
+PREFIX_TRIE = rf"""
+WITH t AS ({_TURNS} FROM conversations WHERE conv_id IS NOT NULL
+), l AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY place) AS own,
+    flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])) AS bits FROM t GROUP BY conv_id
+), h AS (
+  SELECT conv_id, own, xor(list_reduce(bits, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x::BIGINT) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295) % 6 AS h FROM l
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS s FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 100
+), m AS (
+  SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM r
+), n AS (
+  SELECT s[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = depth), '') AS ends FROM m GROUP BY 1, 2
+), k AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS c FROM n WHERE depth > 0 GROUP BY 1
+), u AS (
+  SELECT n.p, depth, (n_convs - 1) * coalesce(length(n.p[depth].t), 0) AS s, CASE WHEN k.c IS NULL THEN 1 ELSE 0 END AS leaf FROM n LEFT JOIN k ON k.p = n.p
+), v AS (
+  SELECT p[1:d] AS p, CAST(sum(s) AS BIGINT) AS saved_tokens, CAST(sum(leaf) AS BIGINT) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM u) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.c, 0) AS n_children, v.n_leaves, v.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN v ON v.p = n.p LEFT JOIN k ON k.p = n.p LEFT JOIN n o ON n.depth > 0 AND o.p = n.p[1:n.depth - 1]
+"""
+
+#: op12: turns as they are; the template adds 32 characters a turn and one for each control string.
+CHAT_FORMATTING = rf"""
+WITH t AS ({_TURNS} FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 1, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 2, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|/?SYS>>?)')) + 32 AS c FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(c) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
