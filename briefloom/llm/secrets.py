@@ -8,6 +8,8 @@ Strings that match the allow-list are let go.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,12 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}"
 #: (class, its characters, window, least bits a character); the first class that fits counts.
 CLASSES = (("hex", "[0-9a-fA-F]+", 32, 3.0), ("base64", "[A-Za-z0-9+/_=-]+", 24, 3.9))
-#: No secrets: placeholders, hyphenated or snake-case words, paths of words, UUIDs, one character over and over.
+#: No secrets: placeholders, hyphenated or snake-case words, paths of words, UUIDs.  Repeated groups are possessive: Java
+#: tries others by recursion, as deep as there are repetitions.
 ALLOWED = (
     "(?i)(example|placeholder|changeme|dummy|redacted|lorem|xxxx|0123456789|abcdefgh)",
-    "^[A-Za-z]*([-_/=+][A-Za-z]+)*[-_/=+]*[0-9]{0,4}$",
+    "^[A-Za-z]*+(?:[-_/=+][A-Za-z]++)*+[-_/=+]*+[0-9]{0,4}$",
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^(.)\1*$",
 )
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 #: Items that are accumulated at once, and code points of a piece of a text that is cut.
@@ -40,9 +42,9 @@ def _bound(value: Column, use) -> Column:
 def with_prefix(items: Column, value, op, zero: Column) -> Column:
     """Array of (item, before): ``before`` is ``op`` over the values of all earlier items.
 
-    A fold that appends copies its array at every item, so items go in chunks: each chunk's total,
-    then the totals before each chunk, then the items of a chunk from there.  Work is linear
-    but for an array of one number a chunk.
+    A fold that appends copies its array at every item, so more than a chunk of items go in
+    chunks: each chunk's total, then the totals before each chunk, then the items of a chunk
+    from there.  Work is linear but for an array of one number a chunk.
     """
     fold = lambda xs, start: F.aggregate(xs, start, lambda acc, x: op(acc, value(x)))
 
@@ -53,13 +55,14 @@ def with_prefix(items: Column, value, op, zero: Column) -> Column:
         step = lambda acc, x: F.struct(op(acc["at"], more(x)).alias("at"), F.concat(acc["out"], F.array(own(x, acc["at"]))).alias("out"))
         return F.aggregate(xs, zero_, step, lambda acc: acc["out"])
 
+    laid = lambda c, at: appended(c, at, lambda x, before: F.struct(x.alias("item"), before.alias("before")), value)
+
     def by_chunk(chunks: Column) -> Column:
         starts = appended(F.transform(chunks, lambda c: fold(c, zero)), zero, lambda _, at: at, lambda total: total)
-        laid = lambda c, at: appended(c, at, lambda x, before: F.struct(x.alias("item"), before.alias("before")), value)
         return F.flatten(F.zip_with(chunks, starts, laid))
 
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)), lambda k: F.slice(items, k + 1, CHUNK))
-    return _bound(chunks, by_chunk)
+    return F.when(F.size(items) <= CHUNK, laid(items, zero)).otherwise(_bound(chunks, by_chunk))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -80,8 +83,13 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
-def peak_entropy(text: Column, window: int) -> Column:
-    """Greatest entropy, in bits a character, of ``window`` consecutive characters of an ASCII string."""
+def peak_entropy(text: Column, window: int, enough: float = math.inf) -> Column:
+    """Greatest entropy, in bits a character, of ``window`` consecutive characters of an ASCII string.
+
+    A step looks up how often the character that comes and the one that goes stand in the window,
+    and corrects the sum for these two.  From the first window with ``enough`` bits on nothing is
+    worked out any more, and that window's entropy is the result.
+    """
 
     def plogp(c: Column) -> Column:
         return F.when(c <= 1, F.lit(0.0)).otherwise(c * F.log2(c.cast("double")))
@@ -89,15 +97,21 @@ def peak_entropy(text: Column, window: int) -> Column:
     def slide(codes: Column) -> Column:
         def step(acc, i):
             new, old = codes[i], F.when(i >= window, codes[i - window])
-            n = acc["n"]
-            more = plogp(n[new] + 1) - plogp(n[new])
-            less = F.when(old.isNull(), 0.0).otherwise(plogp(n[old] - 1) - plogp(n[old]))
-            s = acc["s"] + F.when(old == new, 0.0).otherwise(more + less)
-            counts = F.transform(n, lambda v, k: v + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-            bits = F.log2(F.lit(float(window))) - s / window
-            return F.struct(counts.alias("n"), s.alias("s"), F.when(i >= window - 1, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
-
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+            seen = F.slice(codes, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
+
+            def corrected(w: Column) -> Column:
+                count = lambda c: F.size(F.filter(w, lambda x: x == c))
+                more = _bound(count(new), lambda n: plogp(n + 1) - plogp(n))
+                less = F.when(old.isNull(), 0.0).otherwise(_bound(count(old), lambda n: plogp(n - 1) - plogp(n)))
+                return acc["s"] + F.when(old == new, 0.0).otherwise(more + less)
+
+            def next_(s: Column) -> Column:
+                bits = F.log2(F.lit(float(window))) - s / window
+                return F.struct(s.alias("s"), F.when(i >= window - 1, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
+
+            return F.when(acc["best"] >= enough, acc).otherwise(_bound(_bound(seen, corrected), next_))
+
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["best"])
 
     return F.when(F.length(text) >= window, _bound(F.transform(F.split(text, ""), F.ascii), slide)).otherwise(0.0)
@@ -107,7 +121,7 @@ def is_secret(hit: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
     """Whether a candidate string's windowed entropy is high for its class and no allow-list pattern fits."""
     high = F.lit(False)
     for _, chars, window, bits in reversed(classes):
-        high = F.when(hit.rlike(f"^{chars}$"), peak_entropy(hit, window) >= bits).otherwise(high)
+        high = F.when(hit.rlike(f"^{chars}$"), peak_entropy(hit, window, bits) >= bits).otherwise(high)
     mixed = hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
     let_go = F.lit(False)
     for a in allowed:

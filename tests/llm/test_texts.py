@@ -435,6 +435,26 @@ def test_many_secrets_take_linear_time(spark):
     assert took[25_000] < 8 * took[6_250] + 5, took
 
 
+@pytest.mark.parametrize(
+    "part, spans",
+    [
+        ("a-", ""), ("ab_cd/", ""), ("=a", ""), ("x", ""), (" ", ""), ("password ", ""), ("xy1", ""), ("-/", ""), ("AKIA", "access:0:{n}"), ("Zk9vQ2x7TnB4LmW1rYc8hGfD", "entropy:0:{n}"),
+        ("xy1" * 1000 + "Zk9vQ2x7TnB4LmW1rYc8hGfD", "entropy:0:{n}"), ("0123456789abcdef", "hex:0:{n}"), ("1" * 32, "hex:0:{n}"), ("token=", "assign:0:{n}"),
+    ],
+)
+def test_one_long_candidate(spark, part, spans):
+    """A megabyte of one candidate: no recursion in patterns, no work after the first window that decides."""
+    import time
+
+    text = part * (1_000_000 // len(part)) + "1" * part.startswith("a-")
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secrets.scan_secrets(df).first().spans == spans.format(n=len(text))
+    masked = secrets.redacted(df).first().text
+    assert masked == ("[SECRET]" if spans else text)
+    assert time.perf_counter() - began < 60
+
+
 def test_secret_scan_runs_no_python(spark, small):
     plan = QUERIES["op10_secret_scan"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
