@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from briefloom.functions.html import unescape
+from briefloom.functions.html import bound, unescape
 
 #: Python's white space, as one character class of a Java pattern.
-SPACES = r"(?U)[\s\x1c-\x1f]+"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of it other than one plain space.
+SPACES = rf"(?:\x20{SPACE}|{SPACE[:-1]}&&[^\x20]]){SPACE}*+"
 #: Fixed value: what counts as a word of a title.
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
-URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*+):)?(?://([^/?#]*+))?([^?#]*+)(?:\?([^#]*+))?(?:#.*)?$"
 
 
 def _text(c: Column) -> Column:
@@ -19,8 +21,8 @@ def _text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space at the ends, Unicode-aware."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without white space at the ends, Unicode-aware.  A run is only looked at from its beginning."""
+    return F.regexp_replace(c, rf"^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def normalize_whitespace(c: Column) -> Column:
@@ -28,24 +30,35 @@ def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(_text(c), SPACES, " "))
 
 
-def strip_html(c: Column, decode=unescape) -> Column:
-    """Tags out first, then entities decoded, then stripped; null to ''.
+def without_tags(c: Column) -> Column:
+    """Without ``<...>``.  Behind the last ``>`` nothing is looked for, so every ``<`` that is tried has an end."""
 
-    ``decode`` is only asked for texts with an ampersand in them.
-    """
-    bare = F.regexp_replace(_text(c), "<[^>]+>", "")
-    return strip(F.when(bare.contains("&"), decode(bare)).otherwise(bare))
+    def cut(x: Column) -> Column:
+        return F.concat(F.regexp_replace(F.left(x["t"], F.length(x["t"]) - F.length(x["rest"])), "<[^>]+>", ""), x["rest"])
+
+    parts = F.struct(c.alias("t"), F.substring_index(c, ">", -1).alias("rest"))
+    return F.when(c.contains("<"), bound(parts, cut)).otherwise(c)
+
+
+def strip_html(c: Column) -> Column:
+    """Tags out first, then entities decoded, then stripped; null to ''."""
+    return strip(_plain(c))
+
+
+def _plain(c: Column) -> Column:
+    return bound(without_tags(_text(c)), unescape)
 
 
 def normalize_title(c: Column) -> Column:
-    return normalize_whitespace(strip_html(c))
+    """:func:`strip_html`, then white space normalised, which strips as well."""
+    return normalize_whitespace(_plain(c))
 
 
 def canonicalize_link(c: Column) -> Column:
     """Scheme and host in lower case, no slash at the path's end, no fragment, query kept; null to ''."""
     link = F.translate(strip(_text(c)), "\t\r\n", "")
     part = lambda k: F.regexp_extract(link, URL, k)
-    scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""), part(4)
+    scheme, host, path, query = F.lower(part(1)), F.lower(part(2)), F.rtrim(part(3), F.lit("/")), part(4)
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
         F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
@@ -74,8 +87,8 @@ def provider_key(origin: Column, link: Column, title: Column, published_iso: Col
 
 
 def _cut(c: Column, limit: int) -> Column:
-    short = F.regexp_replace(F.substring(c, 1, limit - 1), r"(?U)[\s\x1c-\x1f]+$", "")
-    return F.when(F.length(c) > limit, F.concat(short, F.lit("…"))).otherwise(c)
+    short = lambda t: F.regexp_replace(F.substring(t, 1, limit - 1), rf"{SPACE}++\z", "")
+    return bound(c, lambda t: F.when(F.length(t) > limit, F.concat(short(t), F.lit("…"))).otherwise(t))
 
 
 def excerpt(c: Column, limit: int = 240) -> Column:
@@ -119,7 +132,7 @@ def model_answer(c: Column, schema: str) -> Column:
     ``from_json`` alone takes a text that breaks off, or that goes on after the object.
     """
     text = strip(_text(c))
-    inner = strip(F.regexp_replace(text, "^`+|`+$", ""))
+    inner = strip(F.btrim(text, F.lit("`")))
     inner = F.when(inner.startswith("json"), strip(F.substring(inner, 5, 2**31 - 1))).otherwise(inner)
     bare = F.when(text.startswith("```"), inner).otherwise(text)
     whole = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))

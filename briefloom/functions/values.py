@@ -15,7 +15,7 @@ PAGE_TITLE = "글로벌 시장 일간 요약 - "
 #: Zone names of RFC 2822 dates and their hours from UTC, month names.
 ZONES = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "ast": -4, "adt": -3, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-PUB_DATE = r"(?i)^\s*(?:[a-z]+\.?\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*\.?,?[\s-]+(\d{2}|\d{4})\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s*([+-]\d{4}|[a-z]+)?\s*(?:\(.*\))?\s*$"
+PUB_DATE = r"(?i)^\s*+(?:[a-z]++\.?\s*+,?\s*+)?(\d{1,2})[\s-]++([a-z]{3})[a-z]*+\.?,?[\s-]++(\d{2}|\d{4})\s++(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s*+([+-]\d{4}|[a-z]++)?\s*+(?:\(.*\))?\s*$"
 
 
 def pub_offset(c: Column) -> Column:

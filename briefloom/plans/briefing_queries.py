@@ -154,8 +154,8 @@ def read_job_detail(spark, d):
 
 
 def _placed(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows with their place; for lists of a bounded length."""
-    return df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(df.select(*columns).limit(1000).collect())], "place long, " + df.select(*columns).schema.simpleString()[7:-1])
+    """The rows with their place in the order they come in, from 0."""
+    return S.in_place(df, "place").select("place", *columns)
 
 
 @query(over(f"SELECT row_number() OVER (ORDER BY {MARKET.format('market_type')}, published_at DESC NULLS LAST, id) - 1 AS place, id, market_type FROM news_article_processed WHERE business_date = DATE '1995-06-19'", "news_article_processed"))
@@ -176,9 +176,9 @@ def indices_listed(spark, d):
     return L.list_indices(Shapes(spark, d).read("market_index_daily"), DAY).select("index_code", "market_type", "close_price")
 
 
-@query(over("SELECT row_number() OVER (ORDER BY cluster_rank) - 1 AS place, id FROM news_cluster WHERE business_date = DATE '2026-03-17' AND market_type = 'KR' ORDER BY cluster_rank LIMIT 1000", "news_cluster"))
+@query(over("SELECT row_number() OVER (ORDER BY cluster_rank) - 1 AS place, id FROM news_cluster WHERE business_date = DATE '2026-03-17' AND market_type = 'KR'", "news_cluster"))
 def cluster_ids_listed(spark, d):
-    """the first thousand of a market's day, by rank."""
+    """a market's day, by rank."""
     return _placed(L.list_cluster_ids(Shapes(spark, d).read("news_cluster"), CLUSTER_DAY, "KR"), "id")
 
 
@@ -188,7 +188,7 @@ def article_by_hash(spark, d):
     return L.by_value(Shapes(spark, d).read("news_article_processed"), "dedupe_hash", "h203").select("id", "canonical_title")
 
 
-@query(over("SELECT row_number() OVER (ORDER BY generated_at, id) - 1 AS place, id FROM ai_summary WHERE batch_job_id = 7 ORDER BY generated_at, id LIMIT 1000", "ai_summary"))
+@query(over("SELECT row_number() OVER (ORDER BY generated_at, id) - 1 AS place, id FROM ai_summary WHERE batch_job_id = 7", "ai_summary"))
 def summaries_of_job(spark, d):
     """F16."""
     return _placed(L.job_summaries(Shapes(spark, d).read("ai_summary"), 7), "id")

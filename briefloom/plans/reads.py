@@ -71,22 +71,22 @@ def daily_page(header: DataFrame, markets: DataFrame, indices: DataFrame, cluste
 
 
 def _page(t, header: DataFrame, code: str) -> DataFrame:
-    """One page.  Its id and its markets' (one for each market) are read first, so that every scan is filtered by them."""
-    found = header.select("id").head(1)
+    """One page.  Its id, its day and its markets' ids (one for each market) are read first, so that every scan is of their partitions and filtered by them."""
+    found = header.select("id", "business_date").head(1)
     if not found:
         raise NotFound(code)
-    page = L.by_value(t.read("market_daily_page"), "id", found[0].id)
-    markets = L.by_value(t.read("market_daily_page_market"), "page_id", found[0].id)
-    own = F.col("page_market_id").isin([r.id for r in markets.select("id").collect()])
-    return daily_page(page, markets, *[t.read(f"market_daily_page_{n}").where(own) for n in ("market_index", "market_cluster", "article_link")])
+    page = L.by_value(L.by_value(t.read("market_daily_page", [found[0].business_date]), "business_date", found[0].business_date), "id", found[0].id)
+    markets = L.by_value(t.read("market_daily_page_market", [found[0].id]), "page_id", found[0].id)
+    ids = [r.id for r in markets.select("id").collect()]
+    return daily_page(page, markets, *[t.read(f"market_daily_page_{n}", ids).where(F.col("page_market_id").isin(ids)) for n in ("market_index", "market_cluster", "article_link")])
 
 
 def latest_page(t) -> DataFrame:
-    return _page(t, R.latest_page(t.read("market_daily_page")), "LATEST_PAGE_NOT_FOUND")
+    return _page(t, R.latest_page(t.read("market_daily_page", t.days("market_daily_page")[-1:] or None)), "LATEST_PAGE_NOT_FOUND")
 
 
 def page_by_date(t, day: dt.date, version_no: int | None = None) -> DataFrame:
-    return _page(t, R.page_of_day(t.read("market_daily_page"), day, version_no), "PAGE_NOT_FOUND")
+    return _page(t, R.page_of_day(t.read("market_daily_page", [day]), day, version_no), "PAGE_NOT_FOUND")
 
 
 def page_by_id(t, page_id: int) -> DataFrame:
@@ -108,9 +108,10 @@ def archive(t, from_date=None, to_date=None, status: str | None = None, page: in
 def cluster_detail(t, uid: str) -> DataFrame:
     """A cluster with its representative and its articles in rank order."""
     cluster = L.by_uid(t.read("news_cluster"), uid)
-    if cluster.isEmpty():
+    found = cluster.select("id", "business_date").head(1)
+    if not found:
         raise NotFound("CLUSTER_NOT_FOUND")
-    articles, members = t.read("news_article_processed"), t.read("news_cluster_article")
+    articles, members = t.read("news_article_processed", [found[0].business_date]), t.read("news_cluster_article", [found[0].id])
     shown = _fields(
         processedArticleId="id", title="canonical_title", publisherName="publisher_name", publishedAt=V.iso(F.col("published_at")),
         originLink="origin_link", naverLink="naver_link",

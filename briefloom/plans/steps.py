@@ -1,13 +1,16 @@
 """The daily batch: eight steps over :class:`~briefloom.sources.tables.Tables`.
 
-A step reads tables, writes what it makes and adds to the job's context; the driver holds only
-counters and messages.  Inputs from outside (feed items, fetched pages, price history, model
-answers) come as DataFrames; where model answers are missing the fallbacks apply.
+A step reads the day's partitions, writes what it makes and adds to the job's run; the driver holds
+only counters, which the writes themselves report, and notes.  What a step writes is published
+as one version of all tables when it ends, or not at all.  Inputs from outside (feed items,
+fetched pages, price history, model answers) come as DataFrames; where model answers are
+missing the fallbacks apply.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +26,7 @@ from briefloom.operators import joins as J
 from briefloom.operators import lookup as L
 from briefloom.schemas import market_order
 from briefloom.sources import feeds, tables as S
-from briefloom.sources.tables import Tables
+from briefloom.sources.store import Tables
 
 #: Texts of fallbacks and reasons.
 HEADLINE = "시장 주요 이슈를 종합한 글로벌 일간 요약"
@@ -50,25 +53,33 @@ class JobRejected(Exception):
 
 
 @dataclass
-class Context:
-    """One job's counters and messages."""
+class Run:
+    """One job as it goes: counts by name, notes in the order they were made, and how it ended."""
 
     job_id: int
-    business_date: dt.date
+    day: dt.date
     rebuild_page_only: bool = False
-    raw_news_count: int = 0
-    processed_news_count: int = 0
-    cluster_count: int = 0
-    generated_summary_count: int = 0
-    fallback_count: int = 0
-    page_id: int | None = None
-    page_version_no: int | None = None
-    partial_message: str | None = None
-    error_code: str | None = None
-    error_message: str | None = None
-    partial_reasons: list[str] = field(default_factory=list)
-    warning_messages: list[str] = field(default_factory=list)
-    log_messages: list[str] = field(default_factory=list)
+    counts: Counter = field(default_factory=Counter)
+    notes: list[tuple[str, str]] = field(default_factory=list)
+    page: tuple[int, int] | None = None
+    failure: tuple[str, str] | None = None
+
+    def note(self, kind: str, text: str) -> None:
+        """``kind`` is one of reason and warning, which make the job a partial one, and log."""
+        self.notes.append((kind, text))
+
+    def told(self, kind: str) -> list[str]:
+        return [text for k, text in self.notes if k == kind]
+
+    @property
+    def partial_message(self) -> str | None:
+        return "; ".join(self.told("reason")[:3]) or None
+
+    @property
+    def status(self) -> str:
+        if self.failure or self.page is None:
+            return "FAILED"
+        return "PARTIAL" if self.told("reason") or self.told("warning") or self.counts["fallbacks"] else "SUCCESS"
 
 
 @dataclass
@@ -93,20 +104,11 @@ class Inputs:
     model_name: str = "model"
 
 
-def _event(t: Tables, c: Context, step: str, level: str, message: str, context_json: str | None = None) -> None:
-    now = dt.datetime.now(dt.timezone.utc)
-    events = t.read("batch_job_event")
-    last = events.agg(F.max("id")).first()[0] or 0
-    row = [(last + 1, c.job_id, step, level, message, context_json, now)]
+def _event(t: Tables, c: Run, step: str, level: str, message: str, context_json: str | None = None) -> None:
+    row = [(t.top("batch_job_event") + 1, c.job_id, step, level, message, context_json, dt.datetime.now(dt.timezone.utc))]
     t.append("batch_job_event", t.spark.createDataFrame(row, "id long, batch_job_id long, step_code string, level string, message string, context_json string, created_at timestamp"))
 
 
-def status_of(c: Context) -> str:
-    if c.error_code or c.error_message or c.page_id is None:
-        return "FAILED"
-    return "PARTIAL" if c.partial_message or c.partial_reasons or c.warning_messages or c.fallback_count else "SUCCESS"
-
-
 def status_policy(df: DataFrame) -> DataFrame:
     """The same policy over rows with the columns of a context."""
     filled = lambda c: F.nullif(F.col(c), F.lit("")).isNotNull()
@@ -115,14 +117,14 @@ def status_policy(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.when(failed, "FAILED").when(partial, "PARTIAL").otherwise("SUCCESS"))
 
 
-def start_job(t: Tables, day: dt.date, user: str | None = None, force: bool = False, rebuild_page_only: bool = False) -> Context:
+def start_job(t: Tables, day: dt.date, user: str | None = None, force: bool = False, rebuild_page_only: bool = False) -> Run:
     """A RUNNING job of the day; rejected if one is active, or a page exists and ``force`` isn't given."""
-    jobs = t.read("batch_job")
+    jobs = t.read("batch_job", [day])
     if L.has_active_job(jobs, day):
         raise JobRejected("BATCH_ALREADY_RUNNING")
-    if not force and L.has_page(t.read("market_daily_page"), day):
+    if not force and L.has_page(t.read("market_daily_page", [day]), day):
         raise JobRejected("PAGE_ALREADY_EXISTS")
-    job_id = (jobs.agg(F.max("job_id")).first()[0] or 0) + 1
+    job_id = t.top("batch_job") + 1
     now = dt.datetime.now(dt.timezone.utc)
     row = {
         "job_id": job_id, "job_name": JOB_NAME, "business_date": day, "status": "RUNNING", "trigger_type": "MANUAL", "triggered_by_user_id": user,
@@ -130,43 +132,42 @@ def start_job(t: Tables, day: dt.date, user: str | None = None, force: bool = Fa
         "processed_news_count": 0, "cluster_count": 0, "created_at": now, "updated_at": now,
     }
     schema = jobs.schema
-    t.append("batch_job", t.spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema))
-    c = Context(job_id, day, rebuild_page_only)
-    _event(t, c, "CREATE_JOB", "INFO", "Batch job created.")
+    c = Run(job_id, day, rebuild_page_only)
+    with t.transaction():
+        t.append("batch_job", t.spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema))
+        _event(t, c, "CREATE_JOB", "INFO", "Batch job created.")
     return c
 
 
-def create_job_step(t: Tables, c: Context, inputs: Inputs) -> None:
-    c.log_messages.append(f"Job {c.job_id} created.")
+def create_job_step(t: Tables, c: Run, inputs: Inputs) -> None:
+    c.note("log", f"Job {c.job_id} created.")
 
 
-def collect_news_step(t: Tables, c: Context, inputs: Inputs) -> None:
+def collect_news_step(t: Tables, c: Run, inputs: Inputs) -> None:
     keywords = L.list_keywords(t.read("news_search_keyword"), is_active=True)
     if keywords.isEmpty():
         _event(t, c, "COLLECT_NEWS", "WARN", "No active keywords.")
         return
     if inputs.items is None:
         raise ValueError("active keywords but no feed items")
-    raw, now = t.read("news_article_raw"), F.current_timestamp()
-    found = feeds.articles_of_day(inputs.items, keywords, c.business_date)
+    now = F.current_timestamp()
+    found = feeds.articles_of_day(inputs.items, keywords, c.day)
     keys = ["provider_name", "provider_article_key"]
-    new = S.insert_ignore(found, raw, keys, [F.col("keyword_id"), F.col("place")])
-    rows = S.with_ids(new.withColumn("collected_at", now).withColumn("created_at", now), raw, ["keyword_id", "place"]).drop("keyword_id", "place")
-    before = raw.count()
-    t.append("news_article_raw", rows)
-    added = t.read("news_article_raw").count() - before
-    c.raw_news_count += added
-    c.log_messages.append(f"Collected {added} new raw articles.")
+    new = S.insert_ignore(found, t.read("news_article_raw"), keys, [F.col("keyword_id"), F.col("place")])
+    rows = S.with_ids(new.withColumn("collected_at", now).withColumn("created_at", now), t.top("news_article_raw"), ["keyword_id", "place"]).drop("keyword_id", "place")
+    added = t.append("news_article_raw", rows).rows
+    c.counts["raw_news"] += added
+    c.note("log", f"Collected {added} new raw articles.")
 
 
-def dedupe_articles_step(t: Tables, c: Context, inputs: Inputs) -> None:
+def dedupe_articles_step(t: Tables, c: Run, inputs: Inputs) -> None:
     if c.rebuild_page_only:
-        c.log_messages.append("Deduplication skipped: page rebuild.")
+        c.note("log", "Deduplication skipped: page rebuild.")
         return
-    raw = L.list_articles(t.read("news_article_raw"), c.business_date)
+    raw = L.list_articles(t.read("news_article_raw", [c.day]), c.day)
     if raw.isEmpty():
         _event(t, c, "DEDUPE_ARTICLES", "WARN", "No raw articles.")
-        c.log_messages.append("No raw articles to deduplicate.")
+        c.note("log", "No raw articles to deduplicate.")
         return
     link = X.first_link(F.col("origin_link"), F.col("naver_link"))
     hashed = raw.withColumn("dedupe_hash", X.dedupe_hash(F.col("title"), link)).withColumn("__order", market_order())
@@ -186,23 +187,23 @@ def dedupe_articles_step(t: Tables, c: Context, inputs: Inputs) -> None:
         ).alias("content_json"),
         now.alias("created_at"), now.alias("updated_at"), F.col("id").alias("__raw"),
     )
-    t.append("news_article_processed", S.with_ids(made, existing, ["__raw"]).drop("__raw"))
+    t.append("news_article_processed", S.with_ids(made, t.top("news_article_processed"), ["__raw"]).drop("__raw"))
     ids = t.read("news_article_processed").select("dedupe_hash", F.col("id").alias("processed_article_id"))
     links = hashed.select(F.col("id").alias("raw_article_id"), "dedupe_hash").join(ids, "dedupe_hash")
     known = t.read("news_article_raw_processed_map")
     t.append("news_article_raw_processed_map", J.not_in(links, known, ["raw_article_id", "processed_article_id"]).withColumn("created_at", now))
-    c.processed_news_count += links.agg(F.countDistinct("processed_article_id")).first()[0]
-    c.log_messages.append(f"Deduplicated into {c.processed_news_count} articles.")
+    c.counts["processed_news"] += links.agg(F.countDistinct("processed_article_id")).first()[0]
+    c.note("log", f"Deduplicated into {c.counts['processed_news']} articles.")
 
 
-def build_clusters_step(t: Tables, c: Context, inputs: Inputs) -> None:
+def build_clusters_step(t: Tables, c: Run, inputs: Inputs) -> None:
     if c.rebuild_page_only:
-        c.log_messages.append("Clustering skipped: page rebuild.")
+        c.note("log", "Clustering skipped: page rebuild.")
         return
-    articles = t.read("news_article_processed").where(F.col("business_date") == F.lit(c.business_date))
+    articles = t.read("news_article_processed", [c.day]).where(F.col("business_date") == F.lit(c.day))
     if articles.isEmpty():
         _event(t, c, "BUILD_CLUSTERS", "WARN", "No processed articles.")
-        c.log_messages.append("No processed articles to cluster.")
+        c.note("log", "No processed articles to cluster.")
         return
     keys = ["market_type", "group_no"]
     if inputs.grouping:
@@ -217,36 +218,37 @@ def build_clusters_step(t: Tables, c: Context, inputs: Inputs) -> None:
         described = G.answered(described, feeds.model_answers(inputs.cluster_answers, CLUSTER_FIELDS, keys), keys)
     else:
         described = described.withColumns({"fallback_used": F.lit(True), "error": F.lit(None).cast("string")})
-    clusters, members = t.read("news_cluster"), t.read("news_cluster_article")
-    now = F.current_timestamp()
-    rows = described.withColumn("business_date", F.lit(c.business_date)).withColumn("__order", market_order())
+    day, now = [c.day], F.current_timestamp()
+    clusters = t.read("news_cluster", day)
+    rows = described.withColumn("business_date", F.lit(c.day)).withColumn("__order", market_order())
     # a rebuild makes new clusters: their uids are new too
     digest = F.md5(F.concat_ws("|", F.lit(c.job_id), F.col("business_date").cast("string"), "market_type", "group_no"))
     uid = F.regexp_replace(digest, r"^(.{8})(.{4}).(.{3})(.{4})(.{12})$", "$1-$2-4$3-$4-$5")
-    rows = S.with_ids(rows, clusters, ["__order", "group_no"]).select(
+    rows = S.with_ids(rows, t.top("news_cluster"), ["__order", "group_no"]).select(
         "id", uid.alias("cluster_uid"), "business_date", "market_type", F.col("group_no").alias("cluster_rank"), "title", "summary_short", "summary_long",
         "analysis_paragraphs_json", "tags_json", "representative_article_id", "article_count", now.alias("created_at"), now.alias("updated_at"), "article_ids",
         (F.col("fallback_used") & (F.col("error").isNotNull() | F.lit(inputs.cluster_answers is not None))).alias("__fell_back"), "error",
     )
     markets = articles.select("market_type").distinct()
-    old = J.only_in(clusters.where(F.col("business_date") == F.lit(c.business_date)), markets, ["market_type"]).select("id")
+    old = J.only_in(clusters.where(F.col("business_date") == F.lit(c.day)), markets, ["market_type"]).select("id")
     rows = S.staged(rows)
-    new_members = S.members_of(rows.select(F.col("id").alias("cluster_id"), "article_ids")).withColumn("created_at", now)
-    kept_members = S.delete(members, old, "cluster_id").unionByName(new_members.select(*members.columns))
-    summaries, cards, links = t.read("ai_summary"), t.read("market_daily_page_market_cluster"), t.read("market_daily_page_article_link")
-    kept = (S.delete(summaries, old, "cluster_id"), S.set_null(cards, old, "cluster_id"), S.set_null(links, old, "cluster_id"))
-    c.cluster_count += rows.count()
-    changed = not old.isEmpty()
-    for name, df in zip(("ai_summary", "market_daily_page_market_cluster", "market_daily_page_article_link"), kept):
-        if changed:
-            t.overwrite(name, df)
-    t.overwrite("news_cluster_article", kept_members)
-    t.overwrite("news_cluster", S.delete(clusters, old).unionByName(rows.select(*clusters.columns)))
+    if not old.isEmpty():  # all that hangs on the day's old clusters lies in partitions of the day, or of their ids
+        own = t.parents("news_cluster_article", old)
+        t.replace("news_cluster_article", S.delete(t.read("news_cluster_article", own), old, "cluster_id"), own)
+        t.replace("ai_summary", S.delete(t.read("ai_summary", day), old, "cluster_id"), day)
+        pages = t.read("market_daily_page", day).select("id")
+        markets_of = L.children_of(t.read("market_daily_page_market", t.parents("market_daily_page_market", pages)), pages, "page_id").select("id")
+        for name in ("market_daily_page_market_cluster", "market_daily_page_article_link"):
+            own = t.parents(name, markets_of)
+            t.replace(name, S.set_null(t.read(name, own), old, "cluster_id"), own)
+    t.append("news_cluster_article", S.members_of(rows.select(F.col("id").alias("cluster_id"), "article_ids")).withColumn("created_at", now))
+    t.replace("news_cluster", S.delete(clusters, old).unionByName(rows.select(*clusters.columns)), day)
+    c.counts["clusters"] += rows.count()
     _cluster_events(t, c, rows)
-    c.log_messages.append(f"Created {c.cluster_count} clusters.")
+    c.note("log", f"Created {c.counts['clusters']} clusters.")
 
 
-def _cluster_events(t: Tables, c: Context, clusters: DataFrame) -> None:
+def _cluster_events(t: Tables, c: Run, clusters: DataFrame) -> None:
     """An INFO event for each new cluster, before it a WARN where the model's answer was missing or unreadable."""
     error = F.coalesce("error", F.lit(NO_ANSWER))
     fell_back = X.json_row(
@@ -266,7 +268,7 @@ def _cluster_events(t: Tables, c: Context, clusters: DataFrame) -> None:
     rows = rows.select("__market", "cluster_rank", "e.*").withColumns(
         {"batch_job_id": F.lit(c.job_id), "step_code": F.lit("BUILD_CLUSTERS"), "created_at": F.current_timestamp()}
     )
-    t.append("batch_job_event", S.with_ids(rows, t.read("batch_job_event"), ["__market", "cluster_rank", "place"]))
+    t.append("batch_job_event", S.with_ids(rows, t.top("batch_job_event"), ["__market", "cluster_rank", "place"]))
 
 
 def index_quotes(history: DataFrame, tickers: DataFrame, day: dt.date) -> DataFrame:
@@ -285,21 +287,18 @@ def index_quotes(history: DataFrame, tickers: DataFrame, day: dt.date) -> DataFr
     )
 
 
-def collect_indices_step(t: Tables, c: Context, inputs: Inputs) -> None:
+def collect_indices_step(t: Tables, c: Run, inputs: Inputs) -> None:
     tickers = t.spark.createDataFrame(list(feeds.TICKERS), "market_type string, ticker string, index_name string, currency_code string")
-    quotes = [] if inputs.history is None else [index_quotes(inputs.history, tickers, c.business_date).persist()]
-    if not quotes or quotes[0].isEmpty():
-        c.partial_reasons.append(NO_INDICES)
+    quotes = None if inputs.history is None else S.staged(index_quotes(inputs.history, tickers, c.day))  # a row a ticker
+    if quotes is None or quotes.isEmpty():
+        c.note("reason", NO_INDICES)
         return
-    q, table, now = quotes[0], t.read("market_index_daily"), F.current_timestamp()
-    late = q.where(F.col("source_date") != F.lit(c.business_date)).select("index_code").orderBy("index_code").collect()  # at most a row a ticker
-    c.warning_messages += [f"{r.index_code} is of an earlier day." for r in late]
-    rows = q.withColumn("business_date", F.lit(c.business_date)).withColumn("provider_name", F.lit("HISTORY")).withColumn("collected_at", now).withColumn("created_at", now)
-    keys = ["business_date", "market_type", "index_code"]
-    merged = S.upsert(table, S.with_ids(rows.drop("source_date"), table, keys).select(*table.columns), keys)
-    t.overwrite("market_index_daily", merged)
-    q.unpersist()
-    c.log_messages.append("Collected market indices.")
+    late = quotes.where(F.col("source_date") != F.lit(c.day)).select("index_code").orderBy("index_code").collect()
+    c.notes += [("warning", f"{r.index_code} is of an earlier day.") for r in late]
+    now, keys, table = F.current_timestamp(), ["business_date", "market_type", "index_code"], t.read("market_index_daily", [c.day])
+    rows = quotes.drop("source_date").withColumns({"business_date": F.lit(c.day), "provider_name": F.lit("HISTORY"), "collected_at": now, "created_at": now})
+    t.replace("market_index_daily", S.upsert(table, S.with_ids(rows, t.top("market_index_daily"), keys).select(*table.columns), keys), [c.day])
+    c.note("log", "Collected market indices.")
 
 
 def _with_answers(rows: DataFrame, raw: DataFrame | None, fields: str, keys: list[str], model_name: str, metadata=None, body_falls_back: bool = True) -> DataFrame:
@@ -382,46 +381,43 @@ def summaries_of(clusters: DataFrame, inputs: Inputs | None = None) -> DataFrame
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts], head)
 
 
-def summaries_step(t: Tables, c: Context, inputs: Inputs) -> None:
-    clusters = t.read("news_cluster").where(F.col("business_date") == F.lit(c.business_date))
+def summaries_step(t: Tables, c: Run, inputs: Inputs) -> None:
+    clusters = t.read("news_cluster", [c.day]).where(F.col("business_date") == F.lit(c.day))
     if clusters.isEmpty() and not c.rebuild_page_only:
-        c.partial_reasons.append(NO_CLUSTERS)
+        c.note("reason", NO_CLUSTERS)
         return
-    table = t.read("ai_summary")
     rows = summaries_of(clusters, inputs).withColumns(
-        {"batch_job_id": F.lit(c.job_id), "business_date": F.lit(c.business_date), "prompt_version": F.lit("v1"), "generated_at": F.current_timestamp()}
+        {"batch_job_id": F.lit(c.job_id), "business_date": F.lit(c.day), "prompt_version": F.lit("v1"), "generated_at": F.current_timestamp()}
     )
-    t.append("ai_summary", S.with_ids(rows, table, ["place"]).drop("place"))
-    own = L.by_value(t.read("ai_summary"), "batch_job_id", c.job_id)
-    got = own.agg(F.count("*"), F.coalesce(F.sum(F.col("fallback_used").cast("int")), F.lit(0))).first()
-    c.generated_summary_count, c.fallback_count = got[0], c.fallback_count + got[1]
-    if c.fallback_count:
-        _event(t, c, "GENERATE_SUMMARIES", "WARN", "Summaries are fallbacks.", f'{{"fallbackCount":{c.fallback_count}}}')
-    c.log_messages.append(f"Made {c.generated_summary_count} summaries.")
+    c.counts["summaries"] = t.append("ai_summary", S.with_ids(rows, t.top("ai_summary"), ["place"]).drop("place")).rows
+    c.counts["fallbacks"] += A.fallback_count(L.by_value(t.read("ai_summary", [c.day]), "batch_job_id", c.job_id)).first()[0]
+    if c.counts["fallbacks"]:
+        _event(t, c, "GENERATE_SUMMARIES", "WARN", "Summaries are fallbacks.", f'{{"fallbackCount":{c.counts["fallbacks"]}}}')
+    c.note("log", f"Made {c.counts['summaries']} summaries.")
 
 
-def snapshot_step(t: Tables, c: Context, inputs: Inputs) -> None:
+def snapshot_step(t: Tables, c: Run, inputs: Inputs) -> None:
     """Freeze the day's page under the next version: header, two markets, their cards and links."""
-    day, now = F.lit(c.business_date), F.current_timestamp()
-    clusters = J.clusters_with_representative(t.read("news_cluster"), t.read("news_article_processed"), c.business_date)
+    day, now, own = F.lit(c.day), F.current_timestamp(), [c.day]
+    articles, of_day = t.read("news_article_processed", own), t.read("news_cluster", own)
+    clusters = J.clusters_with_representative(of_day, articles, c.day)
     if clusters.isEmpty() and not c.rebuild_page_only:
-        c.error_code, c.error_message = "SNAPSHOT_SOURCE_MISSING", NO_SNAPSHOT
+        c.failure = ("SNAPSHOT_SOURCE_MISSING", NO_SNAPSHOT)
         return
-    links = J.cluster_article_links(t.read("news_cluster"), t.read("news_cluster_article"), t.read("news_article_processed"), c.business_date)
-    indices = L.list_indices(t.read("market_index_daily"), c.business_date)
-    summaries = J.last_of(L.job_summaries(t.read("ai_summary"), c.job_id), ["summary_type", "market_type", "cluster_id"], ["generated_at", "id"])
-    pages, markets = t.read("market_daily_page"), t.read("market_daily_page_market")
-    version = A.next_number(L.by_value(pages, "business_date", c.business_date)).first()[0]
-    page_id = (pages.agg(F.max("id")).first()[0] or 0) + 1
-    status = "PARTIAL" if c.partial_reasons or c.warning_messages else "READY"
+    links = J.cluster_article_links(of_day, t.read("news_cluster_article", t.parents("news_cluster_article", of_day.select("id"))), articles, c.day)
+    indices = L.list_indices(t.read("market_index_daily", own), c.day)
+    summaries = J.last_of(L.job_summaries(t.read("ai_summary", own), c.job_id), ["summary_type", "market_type", "cluster_id"], ["generated_at", "id"])
+    version = A.next_number(L.by_value(t.read("market_daily_page", own), "business_date", c.day)).first()[0]
+    page_id = t.top("market_daily_page") + 1
+    status = "PARTIAL" if c.told("reason") or c.told("warning") else "READY"
     head = summaries.where(F.col("summary_type") == "GLOBAL_HEADLINE").agg(F.max("title").alias("global_headline"))
-    counts = {"raw_news_count": F.lit(c.raw_news_count), "processed_news_count": F.lit(c.processed_news_count)}
+    counts = {"raw_news_count": F.lit(c.counts["raw_news"]), "processed_news_count": F.lit(c.counts["processed_news"])}
     t.append("market_daily_page", head.withColumns(counts | {
         "id": F.lit(page_id), "business_date": day, "version_no": F.lit(version), "page_title": V.page_title(day), "status": F.lit(status),
-        "partial_message": F.lit(c.partial_message).cast("string"), "cluster_count": F.lit(c.cluster_count), "batch_job_id": F.lit(c.job_id),
-        "metadata_json": X.json_row(F.array(*[F.lit(w) for w in c.warning_messages]).cast("array<string>").alias("warnings")), "generated_at": now, "last_updated_at": now,
+        "partial_message": F.lit(None).cast("string"), "cluster_count": F.lit(c.counts["clusters"]), "batch_job_id": F.lit(c.job_id),
+        "metadata_json": X.json_row(F.array(*[F.lit(w) for w in c.told("warning")]).cast("array<string>").alias("warnings")), "generated_at": now, "last_updated_at": now,
     }))
-    first = (markets.agg(F.max("id")).first()[0] or 0) + 1
+    first = t.top("market_daily_page_market") + 1
     two = t.spark.createDataFrame([(first, "US", 1), (first + 1, "KR", 2)], "id long, market_type string, display_order short")
     s = summaries.where(F.col("summary_type") == "MARKET_SUMMARY").select(
         "market_type", F.col("title").alias("summary_title"), F.col("body").alias("summary_body"),
@@ -440,36 +436,36 @@ def snapshot_step(t: Tables, c: Context, inputs: Inputs) -> None:
         return df.join(of_market, "market_type").withColumn("display_order", F.row_number().over(Window.partitionBy("page_market_id").orderBy(*order)))
 
     def add(name: str, rows: DataFrame) -> None:
-        t.append(name, S.with_ids(rows, t.read(name), ["page_market_id", "display_order"]))
+        t.append(name, S.with_ids(rows, t.top(name), ["page_market_id", "display_order"]))
 
     add("market_daily_page_market_index", placed(indices.withColumnRenamed("id", "market_index_daily_id"), ["index_code"]))
     cards = summaries.where(F.col("summary_type") == "CLUSTER_CARD_SUMMARY").select(F.col("cluster_id"), F.nullif("body", F.lit("")).alias("card"))
     shown = clusters.withColumnRenamed("id", "cluster_id").join(cards, "cluster_id", "left").withColumn("summary", F.coalesce("card", "summary_short"))
     add("market_daily_page_market_cluster", placed(shown, ["cluster_rank"]))
     add("market_daily_page_article_link", placed(links, ["cluster_rank", "article_rank", F.col("published_at").desc_nulls_first(), "processed_article_id"]))
-    c.page_id, c.page_version_no = page_id, version
+    c.page = (page_id, version)
     if status == "PARTIAL":
         _event(t, c, "BUILD_SNAPSHOT", "WARN", "The page is partial.")
-    c.log_messages.append(f"Built page {page_id}, version {version}.")
+    c.note("log", f"Built page {page_id}, version {version}.")
 
 
-def finalize_step(t: Tables, c: Context, inputs: Inputs) -> None:
-    if not c.partial_message and c.partial_reasons:
-        c.partial_message = "; ".join(c.partial_reasons[:3])
-    _complete(t, c, status_of(c))
-    _event(t, c, "FINALIZE_JOB", "INFO", f"Job ended as {status_of(c)}.")
+def finalize_step(t: Tables, c: Run, inputs: Inputs) -> None:
+    _complete(t, c)
+    _event(t, c, "FINALIZE_JOB", "INFO", f"Job ended as {c.status}.")
 
 
-def _complete(t: Tables, c: Context, status: str) -> None:
+def _complete(t: Tables, c: Run) -> None:
+    page_id, version = c.page or (None, None)
+    code, message = c.failure or (None, None)
     jobs = S.complete_job(
-        t.read("batch_job"), c.job_id, F.current_timestamp(), status=status, raw_news_count=c.raw_news_count, processed_news_count=c.processed_news_count,
-        cluster_count=c.cluster_count, page_id=c.page_id, page_version_no=c.page_version_no, partial_message=c.partial_message, error_code=c.error_code,
-        error_message=c.error_message, log_summary=" ".join(c.log_messages) or None,
+        t.read("batch_job", [c.day]), c.job_id, F.current_timestamp(), status=c.status, raw_news_count=c.counts["raw_news"], processed_news_count=c.counts["processed_news"],
+        cluster_count=c.counts["clusters"], page_id=page_id, page_version_no=version, partial_message=c.partial_message, error_code=code, error_message=message,
+        log_summary=" ".join(c.told("log")) or None,
     )
-    t.overwrite("batch_job", jobs)
+    t.replace("batch_job", jobs, [c.day])
 
 
-STEPS: list[tuple[str, Callable[[Tables, Context, Inputs], None]]] = [
+STEPS: list[tuple[str, Callable[[Tables, Run, Inputs], None]]] = [
     ("CREATE_JOB", create_job_step),
     ("COLLECT_NEWS", collect_news_step),
     ("DEDUPE_ARTICLES", dedupe_articles_step),
@@ -481,16 +477,21 @@ STEPS: list[tuple[str, Callable[[Tables, Context, Inputs], None]]] = [
 ]
 
 
-def run_daily(t: Tables, c: Context, inputs: Inputs, steps=STEPS) -> Context:
-    """All steps, an event before and after each; a failing one fails the job and is raised, what earlier ones wrote stays."""
+def run_daily(t: Tables, c: Run, inputs: Inputs, steps=STEPS) -> Run:
+    """All steps, an event before and after each, published step by step.
+
+    A failing step leaves the tables as the one before it did; its job fails, and the error is raised.
+    """
     for name, step in steps:
         try:
-            _event(t, c, name, "INFO", "Step started.")
-            step(t, c, inputs)
-            _event(t, c, name, "INFO", "Step completed.")
+            with t.transaction():
+                _event(t, c, name, "INFO", "Step started.")
+                step(t, c, inputs)
+                _event(t, c, name, "INFO", "Step completed.")
         except Exception as e:
-            c.error_code, c.error_message = "BATCH_FAILED", str(e)[:500]
-            _event(t, c, name, "ERROR", "Step failed.")
-            _complete(t, c, "FAILED")
+            c.failure = ("BATCH_FAILED", str(e)[:500])
+            with t.transaction():
+                _event(t, c, name, "ERROR", "Step failed.")
+                _complete(t, c)
             raise
     return c

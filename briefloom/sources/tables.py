@@ -1,23 +1,21 @@
 """Tables by validated name, and the writes the briefing makes to them.
 
-Each write is a DataFrame of what the table holds afterwards; :class:`Tables` stages it and
-swaps it in.
+Each write is a DataFrame of what a table, or the partitions it touches, hold afterwards;
+:class:`~briefloom.sources.store.Tables` puts it down and publishes it.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions.text import keyword_key
 from briefloom.functions.values import whole_seconds
-from briefloom.operators.lookup import by_value
-from briefloom.schemas import ENUMS, SCHEMAS
+from briefloom.schemas import ENUMS
 
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -31,7 +29,10 @@ def qualified(name: str, schema: str | None = None) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the shared folder of ``spark.checkpoint.dir`` (a temporary one only in local mode)."""
+    """``df`` as it is now, in the shared folder of ``spark.checkpoint.dir`` (a temporary one only in local mode).
+
+    The files go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else with the folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -44,13 +45,28 @@ def staged(df: DataFrame) -> DataFrame:
 # What a table holds after a write ---------------------------------------------------------
 
 
-def with_ids(rows: DataFrame, existing: DataFrame, order: Sequence[str], column: str = "id") -> DataFrame:
-    """New rows numbered on from the greatest id, by ``order``.
+def in_place(df: DataFrame, name: str) -> DataFrame:
+    """The rows of an ordered DataFrame with their place, from 0.
+
+    Its sorted partitions are staged as they are and counted; nothing is sorted or brought together again.
+    """
+    seen = staged(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    # a row a partition
+    before = seen.groupBy(part.alias("__part")).agg(F.count("*").alias("__size")).select(
+        "__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    )
+    placed = seen.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return placed.select((F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name), *df.columns)
+
+
+def with_ids(rows: DataFrame, existing: DataFrame | int, order: Sequence[str], column: str = "id") -> DataFrame:
+    """New rows numbered on from the greatest id, by ``order``; ``existing`` is the table or that id.
 
     Rows are counted by range first, so that no task has to see all of them; the ranges are
     staged, so that both looks see the same ones.
     """
-    top = existing.agg(F.max(column)).first()[0] or 0
+    top = existing if isinstance(existing, int) else existing.agg(F.max(column)).first()[0] or 0
     ranges = rows.drop(column).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     placed = staged(ranges).withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     # a row a range
@@ -159,70 +175,3 @@ def complete_job(jobs: DataFrame, job_id: int, now: Column, **values) -> DataFra
     }
     kinds = dict(jobs.dtypes)
     return jobs.select(*[F.when(mine, ended[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in ended else F.col(c) for c in jobs.columns])
-
-
-# Where tables are -------------------------------------------------------------------------
-
-
-class Tables:
-    """The briefing's tables as Parquet under one root."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{qualified(name)}")
-
-    def _rename(self, old: str, new: str) -> None:
-        if not self._fs.rename(self._path(old), self._path(new)):
-            raise OSError(f"can't rename {old} to {new} in {self.root}")
-
-    def _recover(self, name: str) -> None:
-        """Put back the old table where a swap broke off in between."""
-        if not self._fs.exists(self._path(name)) and self._fs.exists(self._path(f"__old_{name}")):
-            self._rename(f"__old_{name}", name)
-
-    def read(self, name: str) -> DataFrame:
-        self._recover(name)
-        if not self._fs.exists(self._path(name)):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{qualified(name)}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._recover(name)
-        self._fit(name, rows).write.mode("append").parquet(f"{self.root}/{qualified(name)}")
-
-    def overwrite(self, name: str, rows: DataFrame) -> None:
-        """Staged beside the table and swapped in: the old table stays until the new one is in its place."""
-        self._recover(name)
-        new, old = f"__staged_{uuid.uuid4().hex}", f"__old_{name}"
-        self._fit(name, rows).write.parquet(f"{self.root}/{new}")
-        self._fs.delete(self._path(old), True)
-        if self._fs.exists(self._path(name)):
-            self._rename(name, old)
-        try:
-            self._rename(new, name)
-        except OSError:
-            self._recover(name)
-            raise
-        self._fs.delete(self._path(old), True)
-
-    def _fit(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
-
-    def create_keyword(self, provider_name: str, market_type: str, keyword: str, is_active: bool = True, priority: int = 1) -> DataFrame:
-        """Append a search keyword and return its row."""
-        row = new_keyword(self.read("news_search_keyword"), provider_name, market_type, keyword, F.current_timestamp(), is_active, priority)
-        self.append("news_search_keyword", row)
-        return by_value(self.read("news_search_keyword"), "id", row.first().id)
-
-    def load_seed(self, frames: dict[str, DataFrame]) -> None:
-        """Append given rows to their tables, parents before children; columns a frame lacks are null."""
-        unknown = set(frames) - set(SCHEMAS)
-        if unknown:
-            raise ValueError(f"no such tables: {sorted(unknown)}")
-        for name in SCHEMAS:
-            if name in frames:
-                missing = {f.name: F.lit(None) for f in SCHEMAS[name] if f.name not in frames[name].columns}
-                self.append(name, frames[name].withColumns(missing) if missing else frames[name])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from briefloom.functions import text as X
 from briefloom.functions import values as V
-from briefloom.functions.html import body_text_of
+from briefloom.functions.html import body_text_of, unescape
 
 TEXTS = [
     None, "", " a  b ", "<b>Samsung</b> &amp; &lt;b&gt; up", "  wide　space \x1c end", "AI/chips | <i>AI</i> 반도체 반도체 a", "x" * 300,
@@ -64,6 +64,42 @@ def test_text(spark):
     assert column(spark, TEXTS, X.tokens) == [distinct_tokens(t) for t in TEXTS]
 
 
+def test_entities_equal_the_standard_decoder(spark):
+    from html.entities import html5
+
+    names = [f"x&{n} {n}&{n}b;&{n}=&{n}1" for n in html5] + [f"&{n[:-1]}" for n in html5 if n.endswith(";")]
+    numbers = [*range(0x200), *range(0xD7F0, 0xE010), *range(0xFDC0, 0xFE00), *range(0xFFF0, 0x10010), 0x1FFFE, 0x1FFFF, 0x10FFFE, 0x10FFFF, 0x110000, 10**12]
+    refs = [f"a&#{n};b&#{n}c&#x{n:x};&#X{n:X}g" for n in numbers]
+    odd = ["&", "&&", "&&&amp;&", "&#", "&#;", "&#x", "&#xg;", "&#00000000000038;", "&#x0000000026", "& amp;", "&amp;lt;", "&ampamp;", "&notit;", "&notin;", "&no", "&a" * 40, "&" + "a" * 40, "&é;", "&lt&gt", "a &unknown; b",
+           "&AMP", "&Aacute", "&aacutex", None, "", "\ud7ff&#55296;"]
+    every = names + refs + odd
+    assert column(spark, every, unescape) == [t if t is None else html.unescape(t) for t in every]
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of blanks, brackets, ampersands and the like, at the ends and within."""
+    import time
+
+    parts = [" ", "\u3000", "\n", "<", ">", "<>", "<a", "&", "&amp;", "&#", "&a;", "`", "/", "Mon ", "a,"]
+    runs = lambda n: [f"{a}{p * (n // len(p))}{b}" for p in parts for a, b in (("", ""), ("x", "y"))]
+    assert column(spark, runs(600), X.strip_html) == [strip_html(t) for t in runs(600)]
+    assert column(spark, runs(600), X.normalize_title) == [title(t) for t in runs(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(runs(1_000_000))], "k int, v string").repartition(4).cache()
+    df.count()
+    answer = lambda c: X.model_answer(c, "a int")
+    for make in (X.strip_html, X.normalize_title, X.tokens, X.canonicalize_link, X.body_excerpt, V.parse_pub_date, answer):
+        began = time.perf_counter()
+        df.select(make(F.col("v")).alias("out")).write.format("noop").mode("overwrite").save()
+        assert time.perf_counter() - began < 40, make
+
+
+def test_titles_and_hashes_run_no_python(spark):
+    df = spark.createDataFrame([("a", "b")], "t string, l string")
+    for c in (X.normalize_title(F.col("t")), X.dedupe_hash(F.col("t"), F.col("l")), X.tokens(F.col("t")), X.excerpt(F.col("t"))):
+        plan = df.select(c)._jdf.queryExecution().executedPlan()
+        assert not re.search("EvalPython|MapIn", plan.nodeName() + plan.children().mkString())
+
+
 def test_links(spark):
     assert column(spark, LINKS, X.canonicalize_link) == [link(t) for t in LINKS]
     assert column(spark, LINKS, X.link_domain) == [urlsplit((t or "").strip()).netloc or None for t in LINKS]
