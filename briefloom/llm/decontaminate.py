@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ EDIT_SHARE, RECALL, PIECE = 0.15, 0.98, 40
 STEPS = 1.5
 #: Steps sampled for a hash, hashes a walk, walks at most (the target is reached long before), simulated pieces.
 SAMPLED, HASHES, WALKS, TRIALS = 3, 4, 64, 300
-#: Items of one pass over the documents (they are broadcast), windows embedded at once.
-BLOCK_ITEMS, BLOCK_WINDOWS = 20_000, 20_000
+#: Words of the items of one pass over the documents: a block is broadcast, and takes about 35 bytes a word (70 MB).
+BLOCK_WORDS = 2_000_000
+#: Windows embedded at once.
+BLOCK_WINDOWS = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Scripts written without spaces: each character is a unit of its own.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -99,13 +102,13 @@ def walk_along(data: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> t
 
 
 def sampled_key(wrote: np.ndarray, went: np.ndarray, length: int, walk: int, h: int) -> np.ndarray:
-    """Hash of the words at the sampled steps; past the window's end there is no word."""
+    """Hash of the words at the sampled steps, 32 bits (what shares one is verified); past the window's end there is no word."""
     key = np.zeros(wrote.shape[1], np.uint64)
     for u in PLACES[walk, h]:
         j = int(u * int(STEPS * length))
         key = (key + np.where(went[j] < length, wrote[j], -1).astype(np.uint64)) * MIX
         key ^= key >> np.uint64(32)
-    return key
+    return key.astype(np.uint32)
 
 
 @functools.lru_cache(4096)
@@ -187,13 +190,13 @@ class Items:
                 for h in range(HASHES):
                     keys = sampled_key(wrote, went, length, walk, h)
                     order = np.argsort(keys, kind="stable")
-                    self.tables[length, walk, h] = keys[order], np.array(own)[order]
+                    self.tables[length, walk, h] = keys[order], np.array(own, np.int32)[order]
         #: by length: sorted hashes of whole pieces that must stand as they are
         self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length, own in exact.items():
             keys = np.concatenate([runs_of(self.pieces[p][2], length) for p in own])
             order = np.argsort(keys, kind="stable")
-            self.exact[length] = keys[order], np.array(own)[order]
+            self.exact[length] = keys[order], np.array(own, np.int32)[order]
 
     def numbered(self, words: list[str]) -> np.ndarray:
         get = self.number.get
@@ -235,8 +238,9 @@ class Items:
             _paired(table_, own, keys, np.arange(len(keys)), found)
         return found
 
-    def search(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text, flat (item id, edits, first word) of the items found, one for each item."""
+    def search(self, texts: list[str | None], any_item: bool = False) -> list[list[int]]:
+        """For each text, flat (item id, edits, first word) of the items found, one for each item; with ``any_item`` no further ones are looked for."""
+        self.any_item, self.hit = any_item, set()
         docs = [self.numbered(units_of(t)) for t in texts]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         done: set[tuple[int, int, int]] = set()
@@ -268,6 +272,8 @@ class Items:
 
     def _verify(self, k: int, data: np.ndarray, start: int, piece: int, best: dict[tuple[int, int], tuple[int, int]], done: set[tuple[int, int, int]]) -> None:
         """Edit distance of the piece and then of its whole item about there; ``best`` by text and item, ``done`` the stretches looked at."""
+        if self.any_item and k in self.hit:
+            return
         item, first, words, own = self.pieces[piece]
         whole, edits = self.words[item], self.allowed[item]
         # finds that put the item's start near the same word share one look
@@ -284,6 +290,7 @@ class Items:
         got, end = edit_search(whole.tolist(), data[low : max(0, (near + 1) * stride + len(whole) + 2 * edits)].tolist())
         if got <= edits and ((k, item) not in best or got < best[k, item][0]):
             best[k, item] = got, max(0, low + end - len(whole))
+            self.hit.add(k)
 
 
 def _paired(table_: np.ndarray, own: np.ndarray, keys: np.ndarray, starts: np.ndarray, found: set[tuple[int, int]]) -> None:
@@ -293,13 +300,26 @@ def _paired(table_: np.ndarray, own: np.ndarray, keys: np.ndarray, starts: np.nd
         found.update((int(starts[k]), int(p)) for p in own[lo[k] : hi[k]])
 
 
-def item_blocks(benchmark: DataFrame, block: int = BLOCK_ITEMS) -> list[list[tuple[int, list[str]]]]:
-    """Items by blocks of about ``block``; null ids and texts are left out."""
+def item_blocks(benchmark: DataFrame, block: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items by blocks of at most ``block`` words, an item of more alone; null ids and texts are left out.
+
+    The driver holds the items of one bucket, of about half a block, at a time.
+    """
     own = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = max(1, math.ceil(own.count() / block))
-    for k in range(parts):
-        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        yield [(r.item_id, units_of(r.text)) for r in rows]
+    spaced = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    unspaced = F.length("text") - F.length(F.regexp_replace("text", UNSPACED.pattern, ""))
+    buckets = max(1, math.ceil(2 * (own.agg(F.sum(spaced + unspaced)).first()[0] or 0) / block))
+    for k in range(buckets):
+        held, size = [], 0
+        for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets)) == k).orderBy("item_id", "text").collect():
+            words = units_of(r.text)
+            if held and size + len(words) > block:
+                yield held
+                held, size = [], 0
+            held.append((r.item_id, words))
+            size += len(words)
+        if held or not k:
+            yield held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
@@ -337,7 +357,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
 
         def make(shared=shared):
             search = shared.value.search
-            return lambda texts: [x for k in range(0, len(texts), 1024) for x in search(texts[k : k + 1024])]
+            return lambda texts: [x for k in range(0, len(texts), 1024) for x in search(texts[k : k + 1024], any_item=True)]
 
         docs = docs.where(~text_flag(make)(F.col("text").cast("string")))
     return docs

@@ -597,6 +597,28 @@ def test_short_items_and_unspaced_scripts():
     assert decontaminate.units_of("ab \u6771\u4eac c") == ["ab", "\u6771", "\u4eac", "c"] and decontaminate.units_of(None) == []
 
 
+def test_blocks_are_bounded_by_words(spark, monkeypatch):
+    """Every item in one block, blocks of few words but for an item of more; results are the same in one block and in many."""
+    import pickle
+
+    r = random.Random(3)
+    rows = [(k, " ".join(f"w{r.randrange(500)}" for _ in range(r.choice([3, 10, 30, 200])))) for k in range(80)] + [(90, "漢字" * 60), (91, ""), (None, "a b"), (92, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, 300))
+    assert sorted(i for b in blocks for i, _ in b) == [*range(80), 90, 91] and len(blocks) > 5
+    assert all(len(b) == 1 or sum(len(w) for _, w in b) <= 300 for b in blocks)
+    assert list(decontaminate.item_blocks(items.limit(0))) == [[]]
+    docs = spark.createDataFrame([(k, f"x y {t} z") for k, t in rows], "doc_id long, text string")
+    found = lambda: sorted(map(tuple, decontaminate.contaminated(docs, items).collect()))
+    left = lambda: sorted(x.doc_id or -1 for x in decontaminate.decontaminated(docs, items).collect())
+    whole = found(), left()
+    few = decontaminate.item_blocks
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b: few(b, 2000))
+    assert (found(), left()) == whole and len(whole[0]) >= 81
+    big = decontaminate.Items([(k, [f"w{r.randrange(20_000)}" for _ in range(2000)]) for k in range(50)])
+    assert len(pickle.dumps(big)) < 35 * 50 * 2000
+
+
 def test_windows_left_out_hold_no_run():
     items = decontaminate.Items([(1, [f"a{k}" for k in range(20)])])
     data = items.numbered([f"x{k}" for k in range(100)] + [f"a{k}" for k in range(20)] + [f"x{k}" for k in range(100)])
