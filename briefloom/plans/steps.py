@@ -24,6 +24,7 @@ from briefloom.operators import aggregates as A
 from briefloom.operators import grouping as G
 from briefloom.operators import joins as J
 from briefloom.operators import lookup as L
+from briefloom.operators import ranking as R
 from briefloom.schemas import market_order
 from briefloom.sources import feeds, tables as S
 from briefloom.sources.store import Tables
@@ -153,7 +154,7 @@ def collect_news_step(t: Tables, c: Run, inputs: Inputs) -> None:
     now = F.current_timestamp()
     found = feeds.articles_of_day(inputs.items, keywords, c.day)
     keys = ["provider_name", "provider_article_key"]
-    new = S.insert_ignore(found, t.read("news_article_raw"), keys, [F.col("keyword_id"), F.col("place")])
+    new = t.unknown("news_article_raw", R.first_per_key(found, keys, [F.col("keyword_id"), F.col("place")]))
     rows = S.with_ids(new.withColumn("collected_at", now).withColumn("created_at", now), t.top("news_article_raw"), ["keyword_id", "place"]).drop("keyword_id", "place")
     added = t.append("news_article_raw", rows).rows
     c.counts["raw_news"] += added
@@ -172,8 +173,9 @@ def dedupe_articles_step(t: Tables, c: Run, inputs: Inputs) -> None:
     link = X.first_link(F.col("origin_link"), F.col("naver_link"))
     hashed = raw.withColumn("dedupe_hash", X.dedupe_hash(F.col("title"), link)).withColumn("__order", market_order())
     order = [F.col("__order"), F.col("published_at").desc_nulls_last(), F.col("id")]
-    existing = t.read("news_article_processed")
-    first = S.insert_ignore(hashed, existing, ["dedupe_hash"], order)
+    hashed = S.staged(hashed)
+    had = S.staged(t.known_ids("news_article_processed", hashed))
+    first = J.not_in(R.first_per_key(hashed, ["dedupe_hash"], order), had, ["dedupe_hash"])
     pages = inputs.fetched_pages if inputs.fetched_pages is not None else t.spark.createDataFrame([], "url string, html string")
     content = feeds.article_content(first, pages, X.excerpt(X.json_field(F.col("payload_json"), "description")))
     now = F.current_timestamp()
@@ -188,9 +190,11 @@ def dedupe_articles_step(t: Tables, c: Run, inputs: Inputs) -> None:
         now.alias("created_at"), now.alias("updated_at"), F.col("id").alias("__raw"),
     )
     t.append("news_article_processed", S.with_ids(made, t.top("news_article_processed"), ["__raw"]).drop("__raw"))
-    ids = t.read("news_article_processed").select("dedupe_hash", F.col("id").alias("processed_article_id"))
+    added = t.read("news_article_processed", [c.day]).select("dedupe_hash", "id")
+    ids = J.not_in(added, had, ["dedupe_hash"]).unionByName(had).select("dedupe_hash", F.col("id").alias("processed_article_id"))
     links = hashed.select(F.col("id").alias("raw_article_id"), "dedupe_hash").join(ids, "dedupe_hash")
-    known = t.read("news_article_raw_processed_map")
+    own = t.parents("news_article_raw_processed_map", ids.select("processed_article_id"))
+    known = t.read("news_article_raw_processed_map", own)
     t.append("news_article_raw_processed_map", J.not_in(links, known, ["raw_article_id", "processed_article_id"]).withColumn("created_at", now))
     c.counts["processed_news"] += links.agg(F.countDistinct("processed_article_id")).first()[0]
     c.note("log", f"Deduplicated into {c.counts['processed_news']} articles.")

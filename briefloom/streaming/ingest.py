@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from briefloom.operators.ranking import first_per_key
 from briefloom.sources.store import Tables
-from briefloom.sources.tables import insert_ignore, with_ids
+from briefloom.sources.tables import with_ids
 
 KEYS = ["provider_name", "provider_article_key"]
 
 
 def append_new(tables: Tables, batch: DataFrame) -> None:
     """Append a batch's new raw articles; running it twice appends nothing more."""
-    known = tables.read("news_article_raw")
     rows = batch.withColumn("collected_at", F.current_timestamp()).withColumn("created_at", F.current_timestamp())
-    new = with_ids(insert_ignore(rows, known, KEYS, [F.col("published_at").desc_nulls_last(), F.col("title")]), tables.top("news_article_raw"), KEYS)
+    first = first_per_key(rows, KEYS, [F.col("published_at").desc_nulls_last(), F.col("title")])
+    new = with_ids(tables.unknown("news_article_raw", first), tables.top("news_article_raw"), KEYS)
     tables.append("news_article_raw", new)
 
 
