@@ -1,8 +1,15 @@
-"""Integrity rules as DataFrames of the rows that break them: (rule, detail)."""
+"""Integrity rules as a DataFrame of what breaks them: (rule, detail, n_rows).
+
+Every table is read once: a row gives a record for each rule of its table (its key, a key it
+refers to, a key it offers to others, or a condition it fails), and one aggregation over the
+records of all tables, by rule and key, decides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,16 +17,92 @@ from pyspark.sql import functions as F
 from briefloom.schemas import ENUMS
 
 
+@dataclass(frozen=True)
+class Unique:
+    """No two rows with equal ``keys``, among those for which ``when`` holds; null keys don't count."""
+
+    rule: str
+    table: str
+    keys: tuple
+    when: str | None = None
+
+
+@dataclass(frozen=True)
+class Belongs:
+    """Non-null ``keys`` of a row are the ``parent_keys`` of some row of ``parent``; the detail is the first key."""
+
+    rule: str
+    table: str
+    keys: tuple
+    parent: str
+    parent_keys: tuple = ("id",)
+
+
+@dataclass(frozen=True)
+class Holds:
+    """``condition`` isn't false; ``detail`` names the row."""
+
+    rule: str
+    table: str
+    condition: str
+    detail: str = "id"
+
+
+def _enum(table: str, column: str, enum: str) -> Holds:
+    return Holds(f"{table} {column}", table, f"{column} IN ({', '.join(repr(x) for x in ENUMS[enum])})", column)
+
+
+COUNTS = "raw_news_count >= 0 AND processed_news_count >= 0 AND cluster_count >= 0"
+KEYWORD = "lower(trim(keyword))"
+_SHOWN = tuple(f"market_daily_page_{n}" for n in ("market_index", "market_cluster", "article_link"))
+RULES: tuple = (
+    Unique("one active job a day", "batch_job", ("business_date",), "status IN ('PENDING', 'RUNNING')"),
+    Unique("raw key", "news_article_raw", ("provider_name", "provider_article_key")),
+    Unique("dedupe hash", "news_article_processed", ("dedupe_hash",)),
+    Unique("cluster rank", "news_cluster", ("business_date", "market_type", "cluster_rank")),
+    Unique("cluster uid", "news_cluster", ("cluster_uid",)),
+    Belongs("representative is a member", "news_cluster", ("id", "representative_article_id"), "news_cluster_article", ("cluster_id", "processed_article_id")),
+    Unique("article rank", "news_cluster_article", ("cluster_id", "article_rank")),
+    Unique("member", "news_cluster_article", ("cluster_id", "processed_article_id")),
+    Unique("page version", "market_daily_page", ("business_date", "version_no")),
+    Unique("market order", "market_daily_page_market", ("page_id", "display_order")),
+    Unique("page market", "market_daily_page_market", ("page_id", "market_type")),
+    *(Unique(f"{n} order", n, ("page_market_id", "display_order")) for n in _SHOWN),
+    *(Belongs(f"{n} parent", n, ("page_market_id",), "market_daily_page_market") for n in _SHOWN),
+    Unique("keyword", "news_search_keyword", ("provider_name", "market_type", KEYWORD)),
+    Holds("keyword not blank", "news_search_keyword", "trim(keyword) <> '' AND trim(provider_name) <> ''"),
+    Holds("priority above 0", "news_search_keyword", "priority > 0"),
+    Holds("job counts", "batch_job", f"{COUNTS} AND coalesce(duration_seconds >= 0, true)", "job_id"),
+    Holds("job times", "batch_job", "ended_at >= started_at", "job_id"),
+    Holds("job scope", "batch_job", "market_scope = 'GLOBAL'", "job_id"),
+    Holds("page counts", "market_daily_page", f"{COUNTS} AND version_no > 0"),
+    Holds("market counts", "market_daily_page_market", f"{COUNTS} AND display_order > 0"),
+    Belongs("event job", "batch_job_event", ("batch_job_id",), "batch_job", ("job_id",)),
+    Belongs("member cluster", "news_cluster_article", ("cluster_id",), "news_cluster"),
+    Belongs("member article", "news_cluster_article", ("processed_article_id",), "news_article_processed"),
+    Belongs("market page", "market_daily_page_market", ("page_id",), "market_daily_page"),
+    *(
+        _enum(*x)
+        for x in (
+            ("batch_job", "status", "job_status"), ("batch_job", "trigger_type", "trigger_type"), ("batch_job_event", "level", "event_level"),
+            ("news_article_raw", "market_type", "market_type"), ("news_cluster", "market_type", "market_type"), ("market_daily_page", "status", "page_status"),
+            ("ai_summary", "status", "summary_status"), ("ai_summary", "summary_type", "summary_type"),
+        )
+    ),
+)
+
+
+# One rule by itself, a row for each row that breaks it: (rule, detail)
+
+
 def _out(df: DataFrame, rule: str, detail: Column) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
 
 
-def repeated(df: DataFrame, rule: str, keys: Sequence[str | Column]) -> DataFrame:
+def repeated(df: DataFrame, rule: str, keys: Sequence[str]) -> DataFrame:
     """Keys that stand on more than one row; null keys don't count."""
-    named = [F.col(k) if isinstance(k, str) else k for k in keys]
-    own = df.select(*[c.alias(f"k{i}") for i, c in enumerate(named)]).dropna()
-    names = own.columns
-    return _out(own.groupBy(*names).count().where("count > 1"), rule, F.concat_ws("|", *[F.col(c).cast("string") for c in names]))
+    own = df.select(*keys).dropna().groupBy(*keys).count().where("count > 1")
+    return _out(own, rule, F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
 
 
 def orphans(df: DataFrame, rule: str, key: str, parents: DataFrame, parent_key: str = "id") -> DataFrame:
@@ -36,60 +119,50 @@ def outside_enum(df: DataFrame, rule: str, column: str, labels: Sequence[str]) -
     return broken(df, rule, F.col(column).isin(*labels), F.col(column))
 
 
-def violations(t: dict[str, DataFrame]) -> DataFrame:
-    """All rules over the tables given by name; rules whose tables are missing are left out."""
-    out = []
+# All rules in one pass
 
-    def rule(needs: str, make):
-        if all(n in t for n in needs.split()):
-            out.append(make(*[t[n] for n in needs.split()]))
-
-    rule("batch_job", lambda j: repeated(j.where(F.col("status").isin("PENDING", "RUNNING")), "one active job a day", ["business_date"]))
-    rule("news_article_raw", lambda r: repeated(r, "raw key", ["provider_name", "provider_article_key"]))
-    rule("news_article_processed", lambda p: repeated(p, "dedupe hash", ["dedupe_hash"]))
-    rule("news_cluster", lambda c: repeated(c, "cluster rank", ["business_date", "market_type", "cluster_rank"]))
-    rule("news_cluster", lambda c: repeated(c, "cluster uid", ["cluster_uid"]))
-    rule(
-        "news_cluster news_cluster_article",
-        lambda c, m: _out(
-            c.select(F.col("id").alias("cluster_id"), F.col("representative_article_id").alias("processed_article_id")).join(
-                m.select("cluster_id", "processed_article_id"), ["cluster_id", "processed_article_id"], "left_anti"
-            ),
-            "representative is a member",
-            F.col("cluster_id"),
-        ),
-    )
-    rule("news_cluster_article", lambda m: repeated(m, "article rank", ["cluster_id", "article_rank"]))
-    rule("news_cluster_article", lambda m: repeated(m, "member", ["cluster_id", "processed_article_id"]))
-    rule("market_daily_page", lambda p: repeated(p, "page version", ["business_date", "version_no"]))
-    rule("market_daily_page_market", lambda m: repeated(m, "market order", ["page_id", "display_order"]))
-    rule("market_daily_page_market", lambda m: repeated(m, "page market", ["page_id", "market_type"]))
-    for child in ("market_index", "market_cluster", "article_link"):
-        name = f"market_daily_page_{child}"
-        rule(name, lambda c, n=name: repeated(c, f"{n} order", ["page_market_id", "display_order"]))
-        rule(f"{name} market_daily_page_market", lambda c, p, n=name: orphans(c, f"{n} parent", "page_market_id", p))
-    rule("news_search_keyword", lambda k: repeated(k, "keyword", ["provider_name", "market_type", F.lower(F.trim("keyword"))]))
-    rule("news_search_keyword", lambda k: broken(k, "keyword not blank", (F.trim("keyword") != "") & (F.trim("provider_name") != ""), F.col("id")))
-    rule("news_search_keyword", lambda k: broken(k, "priority above 0", F.col("priority") > 0, F.col("id")))
-    counts = (F.col("raw_news_count") >= 0) & (F.col("processed_news_count") >= 0) & (F.col("cluster_count") >= 0)
-    rule("batch_job", lambda j: broken(j, "job counts", counts & F.coalesce(F.col("duration_seconds") >= 0, F.lit(True)), F.col("job_id")))
-    rule("batch_job", lambda j: broken(j, "job times", F.col("ended_at") >= F.col("started_at"), F.col("job_id")))
-    rule("batch_job", lambda j: broken(j, "job scope", F.col("market_scope") == "GLOBAL", F.col("job_id")))
-    rule("market_daily_page", lambda p: broken(p, "page counts", counts & (F.col("version_no") > 0), F.col("id")))
-    rule("market_daily_page_market", lambda m: broken(m, "market counts", counts & (F.col("display_order") > 0), F.col("id")))
-    rule("batch_job_event batch_job", lambda e, j: orphans(e, "event job", "batch_job_id", j, "job_id"))
-    rule("news_cluster_article news_cluster", lambda m, c: orphans(m, "member cluster", "cluster_id", c))
-    rule("news_cluster_article news_article_processed", lambda m, p: orphans(m, "member article", "processed_article_id", p))
-    rule("market_daily_page_market market_daily_page", lambda m, p: orphans(m, "market page", "page_id", p))
-    for name, column, enum in (
-        ("batch_job", "status", "job_status"), ("batch_job", "trigger_type", "trigger_type"), ("batch_job_event", "level", "event_level"),
-        ("news_article_raw", "market_type", "market_type"), ("news_cluster", "market_type", "market_type"),
-        ("market_daily_page", "status", "page_status"), ("ai_summary", "status", "summary_status"), ("ai_summary", "summary_type", "summary_type"),
-    ):
-        rule(name, lambda d, n=name, c=column, e=enum: outside_enum(d, f"{n} {c}", c, ENUMS[e]))
+
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one text, joined by bars (a bar within a key gets a backslash); null if one of them is null."""
+    parts = [F.replace(F.replace(F.expr(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) if len(keys) > 1 else F.expr(k).cast("string") for k in keys]
+    return F.concat(*[p for k, p in enumerate(parts) for p in ([F.lit("|"), p] if k else [p])])
+
+
+def _record(rule: str, role: str, key: Column, when: Column | None = None) -> Column:
+    made = F.struct(F.lit(rule).alias("rule"), F.lit(role).alias("role"), key.alias("key"))
+    counts = key.isNotNull() if when is None else key.isNotNull() & F.coalesce(when, F.lit(False))
+    return F.when(counts, made)
+
+
+def records_of(name: str, rows: DataFrame, rules: Sequence) -> DataFrame | None:
+    """(rule, role, key) of one table's rows, from one scan; None if no rule is about it."""
+    out = []
+    for r in rules:
+        if isinstance(r, Unique) and r.table == name:
+            out.append(_record(r.rule, "own", _key(r.keys), None if r.when is None else F.expr(r.when)))
+        if isinstance(r, Belongs):
+            if r.table == name:
+                out.append(_record(r.rule, "refers", _key(r.keys)))
+            if r.parent == name:
+                out.append(_record(r.rule, "offers", _key(r.parent_keys)))
+        if isinstance(r, Holds) and r.table == name:
+            out.append(_record(r.rule, "fails", F.coalesce(F.expr(r.detail).cast("string"), F.lit("")), ~F.expr(r.condition)))
     if not out:
+        return None
+    return rows.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("r")).select("r.*")
+
+
+def violations(t: dict[str, DataFrame], rules: Sequence = RULES) -> DataFrame:
+    """What breaks the rules in the tables given by name, and in how many rows; rules whose tables are missing are left out."""
+    able = [r for r in rules if r.table in t and (not isinstance(r, Belongs) or r.parent in t)]
+    parts = [p for p in (records_of(n, df, able) for n, df in t.items()) if p is not None]
+    if not parts:
         raise ValueError("no table to validate")
-    found = out[0]
-    for df in out[1:]:
-        found = found.unionByName(df)
-    return found
+    count = lambda role: F.count(F.when(F.col("role") == role, 1))
+    seen = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(
+        count("own").alias("own"), count("refers").alias("refers"), count("offers").alias("offers"), count("fails").alias("fails")
+    )
+    n = F.when(F.col("own") > 1, F.col("own")).when((F.col("refers") > 0) & (F.col("offers") == 0), F.col("refers")).otherwise(F.col("fails"))
+    first = F.col("rule").isin([r.rule for r in able if isinstance(r, Belongs) and len(r.keys) > 1])
+    detail = F.when(first, F.substring_index("key", "|", 1)).otherwise(F.col("key"))
+    return seen.select("rule", detail.alias("detail"), n.alias("n_rows")).where("n_rows > 0")

@@ -411,6 +411,53 @@ def fallbacks_counted(spark, d):
 def rules_broken(spark, d):
     """A representative that is no member; a count outside its range."""
     t = Shapes(spark, d)
-    found = validators.violations({n: t.read(n) for n in ("news_cluster", "news_cluster_article")}).where("rule = 'representative is a member'")
+    found = validators.violations({n: t.read(n) for n in ("news_cluster", "news_cluster_article")}).where("rule = 'representative is a member'").drop("n_rows")
     jobs = validators.broken(t.read("batch_job"), "counts", F.col("raw_news_count") <= 50, F.col("job_id"))
     return jobs.unionByName(found.withColumn("rule", F.lit("member")))
+
+
+def _repeats(rule: str, t: str, *keys: str, where: str = "true") -> str:
+    full = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return f"SELECT '{rule}' AS rule, concat_ws('|', {', '.join(keys)}) AS detail, COUNT(*) AS n_rows FROM {t} WHERE {where} AND {full} GROUP BY {', '.join(keys)} HAVING COUNT(*) > 1"
+
+
+def _lacks(rule: str, t: str, keys: str, parent: str, parents: str = "id") -> str:
+    ks, ps = keys.split(), parents.split()
+    on, full = " AND ".join(f"p.{b} = c.{a}" for a, b in zip(ks, ps)), " AND ".join(f"c.{k} IS NOT NULL" for k in ks)
+    return f"SELECT '{rule}', CAST(c.{ks[0]} AS VARCHAR), COUNT(*) FROM {t} c WHERE {full} AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE {on}) GROUP BY {', '.join('c.' + k for k in ks)}"
+
+
+def _fails(rule: str, t: str, condition: str, detail: str) -> str:
+    return f"SELECT '{rule}', CAST({detail} AS VARCHAR), COUNT(*) FROM {t} WHERE NOT ({condition}) GROUP BY {detail}"
+
+
+_N = "raw_news_count >= 0 AND processed_news_count >= 0 AND cluster_count >= 0"
+_ON_PAGE = ("market_daily_page_market_index", "market_daily_page_market_cluster", "market_daily_page_article_link")
+VALIDATED = ("batch_job", "news_article_processed", "news_cluster", "news_cluster_article", "news_search_keyword", "ai_summary", *PAGE_TABLES)
+_VIOLATIONS = " UNION ALL ".join(
+    (
+        _repeats("one active job a day", "batch_job", "business_date", where="status IN ('PENDING', 'RUNNING')"), _repeats("dedupe hash", "news_article_processed", "dedupe_hash"),
+        _repeats("cluster rank", "news_cluster", "business_date", "market_type", "cluster_rank"), _repeats("cluster uid", "news_cluster", "cluster_uid"),
+        _lacks("representative is a member", "news_cluster", "id representative_article_id", "news_cluster_article", "cluster_id processed_article_id"),
+        _repeats("article rank", "news_cluster_article", "cluster_id", "article_rank"), _repeats("member", "news_cluster_article", "cluster_id", "processed_article_id"),
+        _repeats("page version", "market_daily_page", "business_date", "version_no"), _repeats("market order", "market_daily_page_market", "page_id", "display_order"),
+        _repeats("page market", "market_daily_page_market", "page_id", "market_type"), *(_repeats(f"{n} order", n, "page_market_id", "display_order") for n in _ON_PAGE),
+        *(_lacks(f"{n} parent", n, "page_market_id", "market_daily_page_market") for n in _ON_PAGE), _repeats("keyword", "news_search_keyword", "provider_name", "market_type", "lower(trim(keyword))"),
+        _fails("keyword not blank", "news_search_keyword", "trim(keyword) <> '' AND trim(provider_name) <> ''", "id"), _fails("priority above 0", "news_search_keyword", "priority > 0", "id"),
+        _fails("job counts", "batch_job", f"{_N} AND duration_seconds >= 0", "job_id"), _fails("job times", "batch_job", "ended_at >= started_at", "job_id"),
+        _fails("job scope", "batch_job", "market_scope = 'GLOBAL'", "job_id"), _fails("page counts", "market_daily_page", f"{_N} AND version_no > 0", "id"),
+        _fails("market counts", "market_daily_page_market", f"{_N} AND display_order > 0", "id"), _lacks("member cluster", "news_cluster_article", "cluster_id", "news_cluster"),
+        _lacks("member article", "news_cluster_article", "processed_article_id", "news_article_processed"), _lacks("market page", "market_daily_page_market", "page_id", "market_daily_page"),
+        _fails("batch_job status", "batch_job", "status IN ('PENDING', 'RUNNING', 'SUCCESS', 'PARTIAL', 'FAILED')", "status"), _fails("batch_job trigger_type", "batch_job", "trigger_type IN ('SCHEDULED', 'MANUAL', 'ADMIN_REBUILD')", "trigger_type"),
+        _fails("news_cluster market_type", "news_cluster", "market_type IN ('US', 'KR')", "market_type"), _fails("market_daily_page status", "market_daily_page", "status IN ('READY', 'PARTIAL', 'FAILED')", "status"),
+        _fails("ai_summary status", "ai_summary", "status IN ('SUCCESS', 'FAILED', 'FALLBACK')", "status"),
+        _fails("ai_summary summary_type", "ai_summary", "summary_type IN ('GLOBAL_HEADLINE', 'MARKET_SUMMARY', 'CLUSTER_CARD_SUMMARY', 'CLUSTER_DETAIL_ANALYSIS')", "summary_type"),
+    )
+)
+
+
+@query(over(_VIOLATIONS, *VALIDATED))
+def violations_listed(spark, d):
+    """Every rule over all tables that the shapes have, one scan a table."""
+    t = Shapes(spark, d)
+    return validators.violations({n: t.read(n) for n in VALIDATED})

@@ -157,3 +157,23 @@ def test_violations(spark):
         ("cluster rank", "2026-03-17|US|1"), ("representative is a member", "2"), ("representative is a member", "3"),
         ("article rank", "1|1"), ("member cluster", "9"), ("news_cluster market_type", "XX"),
     }
+
+
+def test_violations_read_each_table_once(spark, small):
+    """Planted rows of every kind of rule, keys with bars, nulls; and the plan of all rules."""
+    from briefloom.operators.validators import Belongs, Holds, Unique
+    from briefloom.plans.briefing_queries import VALIDATED
+    from briefloom.plans.shapes import Shapes
+
+    rules = (Unique("u", "a", ("x", "y")), Unique("w", "a", ("x",), "y = 'q'"), Belongs("b", "a", ("x",), "p", ("id",)), Holds("h", "a", "y <> 'bad'", "x"))
+    a = spark.createDataFrame([("1|2", "3"), ("1", "2|3"), ("1", "2|3"), ("1", "q"), ("1", "q"), ("7", "bad"), ("7", "bad"), (None, "bad"), ("8", None)], "x string, y string")
+    p = spark.createDataFrame([("1",), ("8",), (None,)], "id string")
+    got = sorted(map(tuple, validators.violations({"a": a, "p": p}, rules).collect()))
+    assert got == [
+        ("b", "1|2", 1), ("b", "7", 2), ("h", "", 1), ("h", "7", 2), ("u", "1|2\\|3", 2), ("u", "1|q", 2), ("u", "7|bad", 2), ("w", "1", 2)
+    ]
+    t = Shapes(spark, small)
+    plan = validators.violations({n: t.read(n) for n in VALIDATED})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == len(VALIDATED) and plan.count("hashpartitioning(rule") == 1
+    with pytest.raises(ValueError):
+        validators.violations({})
