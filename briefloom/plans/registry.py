@@ -406,4 +406,4 @@ def rounded_duration(spark, d):
 
 
 # the queries over the briefing's shapes register themselves
-from briefloom.plans import briefing_queries  # noqa: E402, F401
+from briefloom.plans import briefing_queries, store_queries  # noqa: E402, F401

@@ -10,7 +10,7 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions.text import keyword_key
@@ -28,17 +28,22 @@ def qualified(name: str, schema: str | None = None) -> str:
     return f"{schema}.{name}" if schema else name
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="briefloom-")
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, in the shared folder of ``spark.checkpoint.dir`` (a temporary one only in local mode).
+    """``df`` as it is now, in the shared folder.
 
     The files go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; else with the folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="briefloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -177,3 +177,27 @@ def test_violations_read_each_table_once(spark, small):
     assert plan.count("Scan parquet") == len(VALIDATED) and plan.count("hashpartitioning(rule") == 1
     with pytest.raises(ValueError):
         validators.violations({})
+
+
+@pytest.mark.parametrize("most", [5, 40, 10_000])
+def test_deep_pages_equal_a_sort(spark, most):
+    """Any page, through ties, nulls, one frequent value, both directions."""
+    import random
+
+    r = random.Random(most)
+    rows = [(r.choice([None, 1.5, 2.5, 2.5, 2.5, 2.5, r.random()]), r.choice([dt.date(2026, 1, 1 + r.randrange(5)), None]), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a double, b date, k long")
+    for up_a, up_b in ((True, False), (False, True)):
+        order = [("a", up_a), ("b", up_b), ("k", True)]
+        want = [x.k for x in df.orderBy(*R._in_order(order)).collect()]
+        for page, size in ((1, 7), (13, 11), (30, 10), (31, 10), (150, 2)):
+            assert [x.k for x in R.deep_page(df, order, page, size, most).collect()] == want[(page - 1) * size : page * size], (page, size)
+    assert R.deep_page(df.limit(0), [("k", True)], 3, 5).count() == 0
+
+
+def test_a_deep_page_sorts_its_range_only(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("x"))
+    got = R.deep_page(df, [("x", True)], 1500, 100, 20_000)
+    assert [r.x for r in got.limit(3).collect()] == [r.x for r in df.orderBy("x").offset(149_900).limit(3).collect()]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and int(plan.split("Offset ")[1].split()[0].rstrip(",")) < 20_000
