@@ -358,6 +358,30 @@ def test_two_licences_under_a_skewed_idf(spark):
         assert row.labels == ",".join(sorted(labels)) and row.score == max(best, 0.5 if row.n_base else 0.0), t
 
 
+def test_whole_texts_and_variants(spark):
+    """Whole licences, those of several sentences also with a tenth of their words edited; versions and clauses told apart; SPDX lines."""
+    r = random.Random(4)
+
+    def edited(text):
+        words = text.replace(".", " ").split()
+        for k in r.sample(range(len(words)), len(words) // 10):
+            words[k] = r.choice(("other", "words", words[k] + " too"))
+        return " ".join(words)
+
+    whole = {label: text for label, text in licenses.WHOLE if label not in ("0bsd", "gpl-2.0", "gpl-3.0")}
+    rows = [(label, make(text)) for label, text in whole.items() for make in (str, str.upper, *[edited] * (text.count(". ") > 2))]
+    rows += [("bsd,bsd-3-clause", f"{whole['bsd']} {whole['bsd-3-clause']}"), ("bsd", whole["bsd"])]
+    notice = "under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    rows += [(f"gpl,gpl-{v}.0", f"This program is free software; you can redistribute it and/or modify it {notice.format(v)}") for v in (2, 3)]
+    rows += [(label, f"/* SPDX-License-Identifier: {name} */") for name, label in (("GPL-2.0-only", "gpl-2.0"), ("BSD-3-Clause", "bsd-3-clause"), ("MS-PL", "ms-pl"), ("CC-BY-SA-4.0", "cc-by-sa"), ("0BSD", "0bsd"))]
+    rows += [("cc-by-sa", "To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/."), ("", "spdx license identifier none"), ("", "this software is provided to all of you")]
+    got = by_row(licenses.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")))
+    wrong = [(want, g.labels, t[:60]) for (want, t), g in zip(rows, got) if not set(filter(None, want.split(","))) <= set(g.labels.split(","))]
+    assert not wrong
+    exact = [(want, g.labels, t[:60]) for (want, t), g in zip(rows[-12:], got[-12:]) if want != g.labels]
+    assert not exact
+
+
 # secrets
 
 ASSIGN = re.compile(
