@@ -2,8 +2,8 @@
 
 Two zstandard raw-content dictionaries of equal size: one trained on toxic text, one on ordinary
 text.  Both end with the same frequent words, which both kinds of text share; before them the one
-holds words and beginnings that stand out in toxic text, the other as many bytes of further
-ordinary words.  So what the first saves over the second in a window comes from toxic text alone.
+holds words, beginnings of words and stretches of two and three words that stand out in toxic text,
+the other as many bytes of further ordinary words.  So what the first saves over the second in a window comes from toxic text alone.
 A text is cut in short windows; the largest savings, put through a calibrated logistic
 threshold, give the score.  The part of its own lies farthest back in a dictionary: a match
 there costs more bits than one in frequent words, so that chance matches save nothing.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,10 +31,11 @@ from briefloom.llm.texts import compressor, map_texts
 NOT_WORDS = re.compile(r"[\W_]+")
 #: Labelled rows of the training sample (half of each label; what one label lacks goes to the other), characters taken of one, from a place its hash gives.
 SAMPLE_ROWS, ROW_CHARS = 4000, 20_000
-#: Bytes of a window (it ends with a word), level, frequent words both dictionaries hold, savings that count.
-WINDOW, LEVEL, ORDINARY_WORDS, TOP = 64, 9, 8000, 5
-#: Standard errors by which a toxic unit's share must stand out; the best of these is chosen.
-STANDS_OUT = (5.0, 8.0, 12.0)
+#: Bytes of a window (it ends with a word), level, savings that count.
+WINDOW, LEVEL, TOP = 64, 9, 5
+#: Frequent words both dictionaries hold, and standard errors by which a toxic unit's share must stand out: of these, what tells
+#: a third of the training rows apart best once the other two thirds have given the dictionaries.
+ORDINARY_WORDS, STANDS_OUT, RUN_STANDS_OUT = (4000, 8000), (5.0, 8.0, 12.0), 8.0
 
 
 @dataclass(frozen=True)
@@ -75,29 +77,55 @@ def units_of(words: str) -> set[str]:
     return out
 
 
-def _toxic_units(rows: list[tuple[str, int]], least: float) -> list[str]:
-    """Units that toxic texts have more often, strongest first, without beginnings of stronger ones."""
-    toxic, clean, n1, n0 = Counter(), Counter(), 0, 0
+def runs_of(words: str) -> set[str]:
+    """Stretches of two and three words of the running text."""
+    own = words.split()
+    return {" ".join([*own[i : i + n], ""]) for n in (2, 3) for i in range(len(own) - n + 1)}
+
+
+def _frequent_runs(texts: list[str], least: int = 3) -> Counter:
+    """Stretches that ``least`` texts hold, and in how many; counted by hash first, so that rare ones take no memory."""
+    spot = lambda run: zlib.crc32(run.encode("utf-8", "surrogatepass")) & (1 << 22) - 1
+    seen = np.zeros(1 << 22, np.uint16)
+    for words in texts:
+        seen[list({spot(run) for run in runs_of(words)})] += 1
+    return Counter(run for words in texts for run in runs_of(words) if seen[spot(run)] >= least)
+
+
+def _toxic_units(rows: list[tuple[str, int]]) -> list[tuple[float, str]]:
+    """(z, unit) of words, beginnings and stretches that toxic texts have more often, strongest first."""
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+    toxic = _frequent_runs([words for words, y in rows if y])
     for words, y in rows:
         if y:
             toxic.update(units_of(words))
-            n1 += 1
-        else:
-            clean.update(units_of(words))
-            n0 += 1
+    toxic = {u: a for u, a in toxic.items() if a >= 3}
+    clean = Counter(u for words, y in rows if not y for own in (units_of(words), runs_of(words)) for u in own if u in toxic)
     scored = []
     for u, a in toxic.items():
-        b = clean[u]
-        p = (a + b) / (n1 + n0)
-        if a < 3 or not n0 or p >= 1:
-            continue
-        z = (a / n1 - b / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        if z >= least:
-            scored.append((-z, -len(u), u))
+        p = (a + clean[u]) / (n1 + n0)
+        if n0 and p < 1:
+            scored.append(((a / n1 - clean[u] / n0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)), u))
+    return sorted((x for x in scored if x[0] >= min(STANDS_OUT)), key=lambda x: (-x[0], -len(x[1]), x[1]))
+
+
+def _chosen(scored: list[tuple[float, str]], least: float) -> list[str]:
+    """The units from ``least`` on, without those that stronger ones begin with.
+
+    Stretches count from ``RUN_STANDS_OUT`` on, since there are far more of them to stand out by chance, and
+    only where none of their words does: what they add is passages of ordinary words.
+    """
     picked: list[str] = []
-    for _, _, u in sorted(scored):
-        if not any(p.startswith(u) for p in picked):
+    begun: set[str] = set()
+    alone = [(z, u) for z, u in scored if " " not in u[:-1] and z >= least]
+    told = {u for _, u in alone}
+    among = lambda u: any(f"{w} " in told or any(w[:n] in told for n in (4, 5, 6)) for w in u.split())
+    runs = [(z, u) for z, u in scored if " " in u[:-1] and z >= max(least, RUN_STANDS_OUT) and not among(u)]
+    for _, u in sorted(alone + runs, key=lambda x: (-x[0], -len(x[1]), x[1])):
+        if u not in begun:
             picked.append(u)
+            begun.update(u[:n] for n in range(1, len(u) + 1))
     return picked
 
 
@@ -144,26 +172,26 @@ def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> ToxicityModel:
         if not y:
             common.update(words.split())
     by_count = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
-    shared = _joined(by_count[:ORDINARY_WORDS])
     if len({y for _, y in first}) < 2 or len({y for _, y in rest}) < 2:
-        share = (sum(y for _, y in own) + 0.1) / (len(own) + 1)
+        shared, share = _joined(by_count[: max(ORDINARY_WORDS)]), (sum(y for _, y in own) + 0.1) / (len(own) + 1)
         return ToxicityModel(shared, shared, (*[0.0] * (TOP + 1), math.log(share / (1 - share))))
-    best = None
+    best, scored, seen = None, _toxic_units(first), set()
     y = np.array([y for _, y in rest], float)
-    known: dict[tuple, float] = {}
-    for least in STANDS_OUT:
-        units = tuple(_toxic_units(first, least))
-        if units in known:
-            continue
-        own_part = f" {' '.join(reversed(units))} ".encode("utf-8", "surrogatepass")
-        toxic, ordinary = own_part + shared, _joined(by_count[ORDINARY_WORDS:], len(own_part)) + shared
-        coders = compressor(ordinary, LEVEL, 2 * WINDOW), compressor(toxic, LEVEL, 2 * WINDOW)
-        x = np.array([features(words, *coders) for words, _ in rest])
-        w = _logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        known[units] = loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-        if best is None or loss < best[0]:
-            best = loss, ToxicityModel(ordinary, toxic, (*w[:-1], w[-1] + shift))
+    for most in ORDINARY_WORDS:
+        for least in STANDS_OUT:
+            units = tuple(_chosen(scored, least))
+            if (most, units) in seen:
+                continue
+            seen.add((most, units))
+            own_part, shared = f" {' '.join(reversed(units))} ".encode("utf-8", "surrogatepass"), _joined(by_count[:most])
+            toxic, ordinary = own_part + shared, _joined(by_count[most:], len(own_part)) + shared
+            coders = compressor(ordinary, LEVEL, 2 * WINDOW), compressor(toxic, LEVEL, 2 * WINDOW)
+            x = np.array([features(words, *coders) for words, _ in rest])
+            w = _logistic(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
+            loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+            if best is None or loss < best[0]:
+                best = loss, ToxicityModel(ordinary, toxic, (*w[:-1], w[-1] + shift))
     return best[1]
 
 

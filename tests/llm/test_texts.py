@@ -248,6 +248,27 @@ def test_toxicity_behind_a_shared_beginning_and_of_rare_rows():
     assert toxicity.shares({0: 5, 1: 9}, 4000) == {0: 5, 1: 9} and toxicity.shares({}, 4000) == {0: 0, 1: 0}
 
 
+def test_toxic_passages_of_ordinary_words():
+    """A passage whose words all stand in clean texts too, in another order, is told by its stretches."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(3, 8))) for _ in range(200)]
+    passage = vocabulary[5:11]
+
+    def text(y):
+        words = [r.choice(vocabulary) for _ in range(r.randint(30, 80))]
+        for _ in range(3 if y else 0):
+            at = r.randrange(len(words))
+            words[at:at] = passage
+        return " ".join(words if y else words + r.sample(passage * 3, 18))
+
+    rows = [(text(k % 4 == 0), int(k % 4 == 0)) for k in range(1200)]
+    model = toxicity.fit(rows[:800])
+    coders = [toxicity.compressor(d, toxicity.LEVEL, 2 * toxicity.WINDOW) for d in (model.ordinary, model.toxic)]
+    p = [1 / (1 + math.exp(-float(np.dot(toxicity.features(t, *coders), model.weights)))) for t, _ in rows[800:]]
+    told = [(x >= 0.5) == bool(y) for x, (_, y) in zip(p, rows[800:])]
+    assert np.mean(told) > 0.95
+
+
 def test_toxicity_of_the_tables_held_out(spark):
     """The query over documents and labels: rows it hasn't learned from are told apart."""
     d = "/root/testdata/sf0.1"
