@@ -126,6 +126,12 @@ def json_row(*columns: Column) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def market_fields(metadata: Column) -> Column:
+    """Background, key themes and outlook out of a market summary's metadata; missing lists are empty."""
+    m, empty = F.from_json(metadata, "background array<string>, keyThemes array<string>, outlook string"), F.array().cast("array<string>")
+    return F.struct(F.coalesce(m["background"], empty).alias("background"), F.coalesce(m["keyThemes"], empty).alias("keyThemes"), m["outlook"].alias("outlook"))
+
+
 def model_answer(c: Column, schema: str) -> Column:
     """A model's JSON answer, code fences taken off; null unless the whole text is one JSON object.
 

@@ -43,4 +43,9 @@ def keyword_counts(items: DataFrame, inserted: DataFrame) -> DataFrame:
 
 
 def fallback_count(summaries: DataFrame) -> DataFrame:
-    return summaries.agg(F.coalesce(F.sum(F.col("fallback_used").cast("int")), F.lit(0)).alias("fallback_count"))
+    return fallback_counts(summaries, []).select("fallback_count")
+
+
+def fallback_counts(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows and fallbacks of each group; one row without keys, whatever there is."""
+    return summaries.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("fallback_used").cast("int")), F.lit(0)).alias("fallback_count"))

@@ -24,12 +24,25 @@ def by_uid(df: DataFrame, value: str, column: str = "cluster_uid") -> DataFrame:
     return by_value(df, column, str(uuid.UUID(value)))
 
 
+def active_jobs(jobs: DataFrame, day: dt.date) -> DataFrame:
+    return jobs.where((F.col("business_date") == F.lit(day)) & F.col("status").isin(*ACTIVE))
+
+
+def pages_of(pages: DataFrame, day: dt.date) -> DataFrame:
+    return pages.where(F.col("business_date") == F.lit(day))
+
+
+def any_row(df: DataFrame, name: str) -> DataFrame:
+    """One row: whether there is one; no more than one is read."""
+    return df.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+
+
 def has_active_job(jobs: DataFrame, day: dt.date) -> bool:
-    return not jobs.where((F.col("business_date") == F.lit(day)) & F.col("status").isin(*ACTIVE)).limit(1).isEmpty()
+    return not active_jobs(jobs, day).limit(1).isEmpty()
 
 
 def has_page(pages: DataFrame, day: dt.date) -> bool:
-    return not pages.where(F.col("business_date") == F.lit(day)).limit(1).isEmpty()
+    return not pages_of(pages, day).limit(1).isEmpty()
 
 
 def conjunction(*parts: Column | None) -> Column:
@@ -80,10 +93,12 @@ def page_markets(markets: DataFrame, page_id: int) -> DataFrame:
     return by_value(markets, "page_id", page_id).orderBy("display_order")
 
 
-def in_request_order(df: DataFrame, ids: list[int], column: str = "id") -> DataFrame:
-    """Rows by a list of ids, in its order; unknown ids are left out, repeated ones repeat."""
-    asked = df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids)], f"{column} long, __place int")
-    return df.join(asked, column).orderBy("__place").drop("__place")
+def in_request_order(df: DataFrame, ids: list[int], column: str = "id", place: str | None = None) -> DataFrame:
+    """Rows by a list of ids, in its order, if asked for with their place in it; unknown ids are left out, repeated ones repeat."""
+    name = place or "__place"
+    asked = df.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids)], f"{column} long, {name} int")
+    got = df.join(asked, column).orderBy(name)
+    return got if place else got.drop(name)
 
 
 def renamed(df: DataFrame, **names: str) -> DataFrame:

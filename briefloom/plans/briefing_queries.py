@@ -216,7 +216,8 @@ def markets_of_page(spark, d):
 def day_is_taken(spark, d):
     """F4, F5."""
     t = Shapes(spark, d)
-    return spark.createDataFrame([(L.has_page(t.read("market_daily_page"), DAY), L.has_active_job(t.read("batch_job"), DAY))], "page boolean, active boolean")
+    page, active = L.any_row(L.pages_of(t.read("market_daily_page"), DAY), "page"), L.any_row(L.active_jobs(t.read("batch_job"), DAY), "active")
+    return page.join(F.broadcast(active), F.lit(True))  # a row each
 
 
 @query("SELECT p.p_partkey, p.p_name, r.place FROM (VALUES (7, 0), (3, 1), (11, 2), (3, 3)) r(k, place) JOIN part p ON p.p_partkey = r.k")
@@ -323,6 +324,38 @@ def json_arrays(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(F.array(k, F.lit("x")), "/").alias("joined"), F.size(X.json_texts(raw)).alias("n"))
 
 
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN '' ELSE CAST(json_extract(props, '$.k') AS VARCHAR) || ',b' END AS background, CASE WHEN event_type = 'click' THEN 2 ELSE 0 END AS themes,
+CASE WHEN event_id % 3 = 0 THEN 'up' END AS outlook FROM events""")
+def market_fields(spark, d):
+    """Background, key themes and outlook out of a market summary's metadata."""
+    e, k = table(spark, d, "events"), F.get_json_object("props", "$.k")
+    raw = F.to_json(
+        F.struct(
+            F.when(F.col("event_type") != "view", F.array(k, F.lit("b"))).alias("background"), F.when(F.col("event_type") == "click", F.array(k, k)).alias("keyThemes"),
+            F.when(F.col("event_id") % 3 == 0, "up").alias("outlook"),
+        )
+    )
+    m = e.select("event_id", X.market_fields(raw).alias("m"))
+    return m.select("event_id", F.array_join("m.background", ",").alias("background"), F.size("m.keyThemes").alias("themes"), "m.outlook")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Body ' || page_id WHEN 1 THEN 'Portal ' || page_id || ' & more' ELSE 'summary ' || page_id END AS body_text,
+CASE page_id % 4 WHEN 1 THEN 'http://portal/' || page_id ELSE url END AS fetched_url, page_id % 4 > 1 AS content_fallback_used,
+CASE page_id % 4 WHEN 1 THEN 'portal' ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) END AS source_domain FROM pages""")
+def article_bodies(spark, d):
+    """An article's body from its origin, else from the portal, else its summary."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    number, portal = F.col("page_id").cast("string"), F.concat(F.lit("http://portal/"), "page_id")
+    articles = p.select("page_id", F.col("url").alias("origin_link"), portal.alias("naver_link"))
+    own = F.concat(F.lit("<html><nav>n</nav><article>Body <b>"), number, F.lit("</b><script>x()</script><template>no</template></article>"))
+    other = F.concat(F.lit("<div class='a article_view'>Portal "), number, F.lit(" &amp; more</div>"))
+    empty = F.lit("<html><body><p>nothing</p></body></html>")
+    fetched = p.where("page_id % 4 < 3").select(F.col("url"), F.when(F.col("page_id") % 4 == 0, own).otherwise(empty).alias("html"))
+    fetched = fetched.unionByName(p.where("page_id % 4 = 1").select(portal.alias("url"), other.alias("html")))
+    got = feeds.article_content(articles, fetched.dropDuplicates(["url"]), F.concat(F.lit("summary "), number))
+    return got.select("page_id", "body_text", "fetched_url", "content_fallback_used", "source_domain")
+
+
 # Writes ------------------------------------------------------------------------------------
 
 
@@ -357,6 +390,20 @@ def job_completed(spark, d):
     return S.complete_job(jobs, 1203, F.lit(began + dt.timedelta(seconds=851, milliseconds=500)), status="SUCCESS").select("job_id", "status", "duration_seconds")
 
 
+@query(over("SELECT MAX(id) + 1 AS id, ' Bonds ' AS keyword, 'KR' AS market_type, 3 AS priority, true AS is_active FROM news_search_keyword", "news_search_keyword"))
+def keyword_created(spark, d):
+    """A new keyword's row, numbered on from the greatest id."""
+    row = S.new_keyword(Shapes(spark, d).read("news_search_keyword"), "FEED", "KR", " Bonds ", F.current_timestamp(), priority=3)
+    return row.select("id", "keyword", "market_type", "priority", "is_active")
+
+
+@query(over("SELECT job_id, CASE job_id WHEN 7 THEN 70 WHEN 1203 THEN 12030 ELSE page_id END AS page_id, CASE job_id WHEN 7 THEN 2 ELSE page_version_no END AS page_version_no FROM batch_job", "batch_job"))
+def seed_cased(spark, d):
+    """Columns set by key where a value is given."""
+    jobs = Shapes(spark, d).read("batch_job")
+    return S.case_update(jobs, "job_id", page_id={7: 70, 1203: 12030}, page_version_no={7: 2}).select("job_id", "page_id", "page_version_no")
+
+
 # Batch parts -------------------------------------------------------------------------------
 
 
@@ -401,6 +448,35 @@ def groups_described(spark, d):
     return got.select("business_date", "market_type", "title", "summary_short", "summary_long", "representative_article_id", "article_count", ids)
 
 
+_ANSWER = "date_part('day', business_date) % 4"
+
+
+@query(
+    over(
+        f"""SELECT business_date, market_type, CASE {_ANSWER} WHEN 0 THEN 'Answered ' || market_type ELSE r.t END AS title, CASE {_ANSWER} WHEN 0 THEN 'a,b' ELSE '' END AS tags,
+        CASE WHEN {_ANSWER} = 0 AND k.c > 1 THEN b.id ELSE r.id END AS representative_article_id, {_ANSWER} > 1 AS fallback_used,
+        CASE {_ANSWER} WHEN 2 THEN 'The answer is not a JSON object.' END AS error
+        FROM r JOIN k USING ({GROUP}) LEFT JOIN (SELECT business_date, market_type, id FROM r WHERE n = 2) b USING ({GROUP}) WHERE r.n = 1""",
+        "news_article_processed",
+        r=_RANKED,
+        k=f"SELECT {GROUP}, COUNT(*) AS c FROM r GROUP BY {GROUP}",
+    )
+)
+def groups_answered(spark, d):
+    """A model's answers over what stands in for them, field by field; broken-off and missing ones fall back."""
+    keys = ["business_date", "market_type"]
+    groups = G.described(Shapes(spark, d).read("news_article_processed"), keys).withColumn("tags_json", F.array().cast("array<string>"))
+    kind = F.dayofmonth("business_date") % 4
+    answer = (
+        F.when(kind == 0, F.concat(F.lit('```json\n{"title":"Answered '), "market_type", F.lit('","tags":["a","b"],"representative_article_index":1}\n```')))
+        .when(kind == 1, F.lit('{"title":"","tags":[],"representative_article_index":99}')).otherwise(F.lit('{"title":'))
+    )
+    raw = groups.where(kind < 3).select(*keys, answer.alias("answer"))
+    fields = "title string, summary_short string, summary_long string, tags array<string>, analysis_paragraphs array<string>, representative_article_index int"
+    got = G.answered(groups, feeds.model_answers(raw, fields, keys), keys)
+    return got.select(*keys, "title", F.array_join("tags_json", ",").alias("tags"), "representative_article_id", "fallback_used", "error")
+
+
 @query(over("SELECT CAST(COUNT(*) FILTER (WHERE fallback_used) AS BIGINT) AS fallback_count FROM ai_summary", "ai_summary"))
 def fallbacks_counted(spark, d):
     """A10."""

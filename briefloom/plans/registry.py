@@ -56,7 +56,8 @@ def latest_per_key(spark, d):
 @query("SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_one(spark, d):
     """T1."""
-    return table(spark, d, "events").select("event_id", "ts", "user_id").orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
+    pages = table(spark, d, "events").select(F.col("event_id").alias("version_no"), F.col("ts").alias("business_date"), "user_id")
+    return R.latest_page(pages).select(F.col("version_no").alias("event_id"), F.col("business_date").alias("ts"), "user_id")
 
 
 @query("""SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderstatus = 'O'
@@ -103,17 +104,25 @@ def enum_sort_rank(spark, d):
 @query("SELECT c.c_custkey, c.c_name, n.n_name FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1")
 def left_rep_join(spark, d):
     """Kept without a partner."""
-    n = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", "c_name", "n_name")
+    none = F.lit(None).cast("string")
+    articles = table(spark, d, "nation").where("n_regionkey = 1").select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("canonical_title"), *[none.alias(c) for c in ("publisher_name", "published_at", "origin_link", "naver_link")]
+    )
+    clusters = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("representative_article_id"), F.lit("US").alias("market_type"), F.col("c_custkey").alias("cluster_rank"))
+    return J.clusters_with_representative(clusters, articles).select("c_custkey", "c_name", F.col("representative_title").alias("n_name"))
 
 
 @query("""SELECT o.o_orderkey, l.l_linenumber, p.p_name, l.l_quantity FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey WHERE o.o_orderstatus = 'P'""")
 def three_way_links(spark, d):
     """J2."""
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_linenumber", "l_quantity")
-    return o.join(l, "o_orderkey").join(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").drop("p_partkey")
+    none, o = F.lit(None).cast("string"), table(spark, d, "orders").where("o_orderstatus = 'P'")
+    clusters = o.select(F.col("o_orderkey").alias("id"), none.alias("cluster_uid"), none.alias("title"), F.lit("US").alias("market_type"), F.col("o_orderkey").alias("cluster_rank"))
+    line = F.struct("l_linenumber", "l_quantity")
+    members = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cluster_id"), F.col("l_partkey").alias("processed_article_id"), line.alias("article_rank"))
+    articles = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_title"), *[none.alias(c) for c in ("publisher_name", "published_at", "origin_link", "naver_link")])
+    got = J.cluster_article_links(clusters, members, articles)
+    return got.select(F.col("cluster_id").alias("o_orderkey"), "article_rank.l_linenumber", F.col("title").alias("p_name"), "article_rank.l_quantity")
 
 
 @query("""SELECT o.o_orderkey, COALESCE(string_agg(l.l_linenumber || ':' || l.l_partkey, ',' ORDER BY l.l_linenumber, l.l_partkey), '') AS lines
@@ -154,9 +163,7 @@ def semi_in(spark, d):
 def request_order(spark, d):
     """in the order asked for; the place stands in a column, since results are compared as sets."""
     ids = [7, 3, 999999999, 11, 3]
-    asked = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "p_partkey long, place int")
-    got = L.in_request_order(table(spark, d, "part").select("p_partkey", "p_name"), sorted(set(ids)), "p_partkey")
-    return got.join(asked, "p_partkey")
+    return L.in_request_order(table(spark, d, "part").select("p_partkey", "p_name"), ids, "p_partkey", "place")
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, CAST(value AS DECIMAL(20,8)) AS close FROM events WHERE ts <= TIMESTAMP '2024-06-30'),
@@ -394,8 +401,7 @@ def first_tags(spark, d):
 @query("""SELECT event_type, COUNT(*) AS n, CAST(SUM(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS fallback_count FROM events GROUP BY event_type""")
 def fallback_counts(spark, d):
     """Rows and flags of each group."""
-    e = table(spark, d, "events").withColumn("fallback_used", F.col("value") > 50)
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.col("fallback_used").cast("int")).alias("fallback_count"))
+    return A.fallback_counts(table(spark, d, "events").withColumn("fallback_used", F.col("value") > 50), ["event_type"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 0 ELSE GREATEST(CAST(ROUND(epoch_us(o_orderdate + INTERVAL 1500 MILLISECOND) / 1000000.0 - epoch_us(o_orderdate) / 1000000.0) AS INT), 0) END AS seconds FROM orders""")

@@ -425,7 +425,7 @@ def snapshot_step(t: Tables, c: Run, inputs: Inputs) -> None:
     two = t.spark.createDataFrame([(first, "US", 1), (first + 1, "KR", 2)], "id long, market_type string, display_order short")
     s = summaries.where(F.col("summary_type") == "MARKET_SUMMARY").select(
         "market_type", F.col("title").alias("summary_title"), F.col("body").alias("summary_body"),
-        F.from_json("metadata_json", "background array<string>, keyThemes array<string>, outlook string").alias("m"),
+        X.market_fields(F.col("metadata_json")).alias("m"),
     )
     empty = F.array().cast("array<string>")
     page_market = two.join(s, "market_type", "left").join(clusters.groupBy("market_type").agg(F.count("*").alias("cluster_count")), "market_type", "left")
