@@ -44,6 +44,13 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete every table that :func:`written` made in this application; when no result is read from them any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Components of the undirected graph ``edges(u long, v long)``.
 

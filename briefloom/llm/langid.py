@@ -20,7 +20,9 @@ UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Training rows of a language and bytes taken from one of them; all of them make its dictionary (33 kB).
 SAMPLE_ROWS, ROW_BYTES = 128, 256
-#: Languages whose numbers of rows are broadcast; more are joined by shuffle.
+#: Languages that are learned: those with the most rows.  Each text is encoded with every one's dictionary.
+LANGUAGES = 64
+#: Values whose numbers of rows are broadcast; more are joined by shuffle.
 BROADCAST_VALUES = 10_000
 #: Bytes encoded at once, and the level.
 WINDOW, LEVEL = 512, 9
@@ -65,11 +67,15 @@ def train_languages(labelled: DataFrame) -> dict[str, bytes]:
 
     Takes a stretch of ``ROW_BYTES`` of each of a language's ``SAMPLE_ROWS`` rows, from a place
     the id's hash gives (documented bounds of the training sample); no rows give no languages.
+    Of more than ``LANGUAGES`` values of ``lang`` those with the most rows are learned (ties by
+    name); rarer ones, which may be junk, are never predicted.
     """
     letters = 4 * ROW_BYTES
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - letters, F.lit(0)) + 1) + 1
     stretch = F.substring(F.col("text"), start.cast("int"), F.lit(letters)).alias("text")
-    own = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", stretch)
+    own = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", stretch)
+    learned = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    own = own.join(F.broadcast(learned), "lang", "left_semi").select("doc_id", "lang", "text")
     rows = sample(own, "lang", "doc_id", SAMPLE_ROWS).orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").collect()
     parts: dict[str, list[bytes]] = {}
     for r in rows:

@@ -181,6 +181,12 @@ def test_language_of_hard_rows(hard):
     assert langid.identify(hard.limit(0), model).count() == 0
 
 
+def test_languages_with_the_most_rows_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(k, "words of this row", lang) for k, lang in enumerate(["b"] * 5 + ["c"] * 3 + ["a"] * 3 + ["junk", None])]
+    assert list(langid.train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == ["a", "b"]
+
+
 def test_languages_by_the_smallest_encoding(spark):
     """Every prediction against sizes worked out anew, window by window, and the bounds of the training sample."""
     r = random.Random(13)
