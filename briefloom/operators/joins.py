@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +44,22 @@ def nested(children: DataFrame, key: str | Sequence[str], order: Sequence[str],
     return children.groupBy(*([key] if isinstance(key, str) else key)).agg(F.transform(ordered, lambda x: x["__child"]).alias(name))
 
 
-def with_nested(parents: DataFrame, key: str, kids: DataFrame, name: str) -> DataFrame:
-    """Parents with the array of :func:`nested`, empty where there are none."""
-    kind = dict(kids.dtypes)[name]
-    return parents.join(kids, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+def nested_kinds(key: str, order: Sequence[str], kinds: dict[str, tuple[DataFrame, Sequence[str | Column]]]) -> DataFrame:
+    """As :func:`nested` for several kinds of children by name, with one aggregation over all of them."""
+    parts = [df.select(key, *order, F.struct(*fields).alias(name)) for name, (df, fields) in kinds.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def array(name: str) -> Column:
+        own = F.collect_list(F.when(F.col(name).isNotNull(), F.struct(*order, F.col(name).alias("__child"))))
+        return F.transform(F.array_sort(own), lambda x: x["__child"]).alias(name)
+
+    return rows.groupBy(key).agg(*[array(name) for name in kinds])
+
+
+def with_nested(parents: DataFrame, key: str, kids: DataFrame, *names: str) -> DataFrame:
+    """Parents with the arrays of :func:`nested`, empty where there are none."""
+    kind = dict(kids.dtypes)
+    return parents.join(kids, key, "left").withColumns({n: F.coalesce(n, F.array().cast(kind[n])) for n in names})
 
 
 def last_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

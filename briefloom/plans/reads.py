@@ -28,28 +28,25 @@ def _fields(**names: str | Column) -> list[Column]:
 
 def daily_page(header: DataFrame, markets: DataFrame, indices: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFrame:
     """Pages with their markets, and these with index cards, cluster cards and article links, all in display order."""
-    i = J.nested(
-        indices, "page_market_id", ["display_order"],
-        _fields(indexCode="index_code", indexName="index_name", closePrice="close_price", changeValue="change_value", changePercent="change_percent",
-                highPrice="high_price", lowPrice="low_price"), "indices",
+    card = _fields(
+        indexCode="index_code", indexName="index_name", closePrice="close_price", changeValue="change_value", changePercent="change_percent",
+        highPrice="high_price", lowPrice="low_price",
     )
     representative = F.struct(*_fields(
         title="representative_title", publisherName="representative_publisher_name", publishedAt=V.iso(F.col("representative_published_at")),
         originLink="representative_origin_link", naverLink="representative_naver_link",
     ))
-    c = J.nested(
-        clusters, "page_market_id", ["display_order"],
-        _fields(clusterId="cluster_uid", title="title", summary="summary", articleCount="article_count",
-                tags=F.coalesce("tags_json", F.array().cast("array<string>")), representativeArticle=representative), "topClusters",
+    cluster = _fields(
+        clusterId="cluster_uid", title="title", summary="summary", articleCount="article_count",
+        tags=F.coalesce("tags_json", F.array().cast("array<string>")), representativeArticle=representative,
     )
-    a = J.nested(
-        links, "page_market_id", ["display_order"],
-        _fields(processedArticleId="processed_article_id", clusterId="cluster_uid", clusterTitle="cluster_title", title="title", publisherName="publisher_name",
-                publishedAt=V.iso(F.col("published_at")), originLink="origin_link", naverLink="naver_link"), "articleLinks",
+    link = _fields(
+        processedArticleId="processed_article_id", clusterId="cluster_uid", clusterTitle="cluster_title", title="title", publisherName="publisher_name",
+        publishedAt=V.iso(F.col("published_at")), originLink="origin_link", naverLink="naver_link",
     )
+    kids = J.nested_kinds("page_market_id", ["display_order"], {"indices": (indices, card), "topClusters": (clusters, cluster), "articleLinks": (links, link)})
     m = L.children_of(markets, header, "page_id").withColumnRenamed("id", "page_market_id")
-    for kids, name in ((i, "indices"), (c, "topClusters"), (a, "articleLinks")):
-        m = J.with_nested(m, "page_market_id", kids, name)
+    m = J.with_nested(m, "page_market_id", kids, "indices", "topClusters", "articleLinks")
     empty = F.array().cast("array<string>")
     sections = J.nested(
         m, "page_id", ["display_order"],
