@@ -8,20 +8,25 @@ h and y to c, then y lies on c's side of the plane between them, so
 x.(h - c) <= |x - y| |h - c|, and |x - y| is bounded by the threshold; this holds on both
 levels.  A pair is compared once, in the lower of its two home cells, so no link is lost.
 Cells are compared in blocks; a task returns counts and spanning edges, not pairs.
+
+Where vectors have no cluster structure the bound excludes little.  A vector that would visit more
+than ``VISITS`` cells isn't copied to them: such wide vectors are broadcast, a bounded chunk at a time, and
+every chunk meets the vectors of lower home cells where they are read.  So what is written and
+shuffled stays in proportion to the vectors, whatever their structure.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.blocks import block_cells, compared
+from briefloom.llm.blocks import block_cells, compared, spanning
 from briefloom.llm.common import connected_components, table, written
 from briefloom.llm.langid import hash_share
 
@@ -29,6 +34,8 @@ from briefloom.llm.langid import hash_share
 CELL, PER_CELL, SAMPLE = 2048, 16, 65_536
 #: Vectors of one side of a comparison, and of one task that assigns cells.
 BLOCK, ASSIGNED = 2048, 4096
+#: Cells that a vector is copied to at most, bytes of a chunk of wide vectors on average, and of these vectors compared at once.
+VISITS, CHUNK_BYTES, STRIPE = 16, 32_000_000, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
@@ -132,13 +139,66 @@ def _placed(classes: DataFrame, far: float) -> DataFrame:
             top, *below = [arrays[name] for name in arrays.files]
             x = unit(np.array(vectors["vector"].combine_chunks().flatten()).reshape(vectors.num_rows, -1))
             cells = cells_visited(x, top, below, far)
-        return vectors.select(["rep", "mult", "group", "vector"]).append_column("cells", pa.array(cells, pa.list_(pa.int32())))
+        wide = [len(c) > VISITS + 1 for c in cells]
+        own = vectors.select(["rep", "mult", "group", "vector"]).append_column("wide", pa.array(wide, pa.bool_()))
+        return own.append_column("cells", pa.array([c[:1] if w else c for c, w in zip(cells, wide)], pa.list_(pa.int32())))
 
     return dealt.groupBy("group", "part").cogroup(models.groupBy("of", "of_part")).applyInArrow(
-        assign, "rep long, mult long, group string, vector array<double>, cells array<int>"
+        assign, "rep long, mult long, group string, vector array<double>, wide boolean, cells array<int>"
     )
 
 
+def _compared_with(shared, threshold: float):
+    """Maps batches of (rep, mult, group, cell, vector) to (rep, links, root) rows of their links with the vectors of ``shared`` in higher home cells."""
+
+    def rows(ids: np.ndarray, root: np.ndarray, count: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        got = root >= 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(count[got].astype(np.int64)), pa.array(of[root[got]])], ["rep", "links", "root"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            groups = batch.column("group").to_numpy(zero_copy_only=False)
+            for g in set(groups) & set(held):
+                own = batch.take(pa.array(np.flatnonzero(groups == g)))
+                rep, mult, cell = (own.column(c).to_numpy() for c in ("rep", "mult", "cell"))
+                y = unit(np.array(own.column("vector").flatten()).reshape(own.num_rows, -1))
+                reps, mults, cells, x = held[g]
+                for at in range(0, len(reps), STRIPE):
+                    part = slice(at, at + STRIPE)
+                    hit = (y @ x[part].T >= threshold) & (cell[:, None] < cells[part][None])
+                    if hit.any():
+                        r, c = spanning(hit, False)
+                        yield rows(rep, r, hit @ mults[part], rep)
+                        yield rows(reps[part], c, mult @ hit, rep)
+
+    return compare
+
+
+def _wide_links(visits: DataFrame, threshold: float) -> DataFrame | None:
+    """(rep, links, root) of wide vectors with all of lower home cells; a pass over the vectors for each chunk."""
+    homes = visits.where("not visits").select("rep", "mult", "group", "cell", "vector", "wide")
+    wide = homes.where("wide")
+    size = wide.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if not size.n:
+        return None
+    chunks = math.ceil(8 * size.n * size.dims / CHUNK_BYTES)
+    spark, found = visits.sparkSession, None
+    for k in range(chunks):
+        t = wide.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(chunks)) == k).toArrow()
+        groups, chunk = t["group"].to_numpy(), {}
+        for g in set(groups):
+            own = t.take(np.flatnonzero(groups == g))
+            x = unit(own["vector"].combine_chunks().flatten().to_numpy().reshape(own.num_rows, -1))
+            chunk[g] = (*(own[c].to_numpy() for c in ("rep", "mult", "cell")), x)
+        shared = spark.sparkContext.broadcast(chunk)
+        part = homes.drop("wide").mapInArrow(_compared_with(shared, threshold), "rep long, links long, root long")
+        part = written(part.groupBy("rep", "root").agg(F.sum("links").alias("links")).select("rep", "links", "root"), "wide")
+        found = part if found is None else found.unionByName(part)
+        shared.unpersist()
+    return found
+
+
 def near_duplicates(
     rows: DataFrame, threshold: float = 0.93, id_column: str = "vec_id", vector: str = "embedding", label: str = "label"
 ) -> DataFrame:
@@ -173,7 +233,7 @@ def near_duplicates(
     )
     placed = _placed(classes, math.sqrt(2 - 2 * threshold) + 1e-9)
     visits = written(
-        placed.select("rep", "mult", "group", "vector", F.posexplode("cells").alias("visits", "cell")).withColumn("visits", F.col("visits") > 0), "visits"
+        placed.select("rep", "mult", "group", "vector", "wide", F.posexplode("cells").alias("visits", "cell")).withColumn("visits", F.col("visits") > 0), "visits"
     )
     n = visits.groupBy("group", "cell").agg(
         F.count(F.when(~F.col("visits"), 1)).alias("homes"), F.count(F.when(F.col("visits"), 1)).alias("guests")
@@ -215,6 +275,8 @@ def near_duplicates(
         .select("task", "sub", "side", "rep", "mult", "vector")
     )
     found = written(compared(members, "vector", cosine_hits(threshold)), "cosines")
+    more = _wide_links(visits, threshold)
+    found = found if more is None else found.unionByName(more)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     linked = (

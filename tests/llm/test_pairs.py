@@ -155,6 +155,28 @@ def test_cells_lose_no_link(spark, monkeypatch):
     assert all(got[k].n_links == s[k].sum() and got[k].component_id == root[k] for k in got) and s.sum() > 50
 
 
+@pytest.mark.parametrize("visits, chunk", [(0, 2_000), (2, 10**9), (5, 700)])
+def test_wide_vectors_equal_brute_force(spark, monkeypatch, visits, chunk):
+    """All vectors, or those of many cells, by chunks of a few, beside others that are copied; copies, labels, two lengths."""
+    for name, value in {"CELL": 8, "PER_CELL": 4, "BLOCK": 16, "VISITS": visits, "CHUNK_BYTES": chunk, "STRIPE": 7}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    r = np.random.RandomState(visits)
+    rows = []
+    for label, dims in ((0, 6), (1, 6), (1, 5)):
+        x = r.normal(size=(90, dims))
+        x = np.concatenate([x, x[:50] + r.normal(size=(50, dims)) * 0.25, x[:4]])
+        rows += [(len(rows) + k, v.tolist(), label) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    link = lambda a, b: a[2] == b[2] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.93
+    edges = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if link(a, b)]
+    root, links = components([k for k, *_ in rows], edges), {k: 0 for k, *_ in rows}
+    for a, b in edges:
+        links[a] += 1
+        links[b] += 1
+    got = embeddings.near_duplicates(df).collect()
+    assert {(x.vec_id, x.n_links, x.component_id) for x in got} == {(k, links[k], root[k]) for k in links} and len(edges) > 60
+
+
 def test_visited_cells_hold_every_partner():
     """The rule itself: a partner at home in a lower cell is always visited, on both levels."""
     r = np.random.RandomState(5)
