@@ -62,6 +62,7 @@ class Run:
     rebuild_page_only: bool = False
     counts: Counter = field(default_factory=Counter)
     notes: list[tuple[str, str]] = field(default_factory=list)
+    events: list[tuple] = field(default_factory=list)
     page: tuple[int, int] | None = None
     failure: tuple[str, str] | None = None
 
@@ -105,9 +106,18 @@ class Inputs:
     model_name: str = "model"
 
 
-def _event(t: Tables, c: Run, step: str, level: str, message: str, context_json: str | None = None) -> None:
-    row = [(t.top("batch_job_event") + 1, c.job_id, step, level, message, context_json, dt.datetime.now(dt.timezone.utc))]
-    t.append("batch_job_event", t.spark.createDataFrame(row, "id long, batch_job_id long, step_code string, level string, message string, context_json string, created_at timestamp"))
+def _event(c: Run, step: str, level: str, message: str, context_json: str | None = None) -> None:
+    """An event of the job; put down with those before it by :func:`_tell`."""
+    c.events.append((step, level, message, context_json, dt.datetime.now(dt.timezone.utc)))
+
+
+def _tell(t: Tables, c: Run) -> None:
+    """Append the events that wait, in their order, in one write."""
+    top = t.top("batch_job_event")
+    rows = [(top + k, c.job_id, *e) for k, e in enumerate(c.events, 1)]
+    c.events.clear()
+    if rows:
+        t.append("batch_job_event", t.spark.createDataFrame(rows, "id long, batch_job_id long, step_code string, level string, message string, context_json string, created_at timestamp"))
 
 
 def status_policy(df: DataFrame) -> DataFrame:
@@ -136,7 +146,8 @@ def start_job(t: Tables, day: dt.date, user: str | None = None, force: bool = Fa
     c = Run(job_id, day, rebuild_page_only)
     with t.transaction():
         t.append("batch_job", t.spark.createDataFrame([tuple(row.get(f.name) for f in schema)], schema))
-        _event(t, c, "CREATE_JOB", "INFO", "Batch job created.")
+        _event(c, "CREATE_JOB", "INFO", "Batch job created.")
+        _tell(t, c)
     return c
 
 
@@ -147,7 +158,7 @@ def create_job_step(t: Tables, c: Run, inputs: Inputs) -> None:
 def collect_news_step(t: Tables, c: Run, inputs: Inputs) -> None:
     keywords = L.list_keywords(t.read("news_search_keyword"), is_active=True)
     if keywords.isEmpty():
-        _event(t, c, "COLLECT_NEWS", "WARN", "No active keywords.")
+        _event(c, "COLLECT_NEWS", "WARN", "No active keywords.")
         return
     if inputs.items is None:
         raise ValueError("active keywords but no feed items")
@@ -167,7 +178,7 @@ def dedupe_articles_step(t: Tables, c: Run, inputs: Inputs) -> None:
         return
     raw = L.list_articles(t.read("news_article_raw", [c.day]), c.day)
     if raw.isEmpty():
-        _event(t, c, "DEDUPE_ARTICLES", "WARN", "No raw articles.")
+        _event(c, "DEDUPE_ARTICLES", "WARN", "No raw articles.")
         c.note("log", "No raw articles to deduplicate.")
         return
     link = X.first_link(F.col("origin_link"), F.col("naver_link"))
@@ -206,7 +217,7 @@ def build_clusters_step(t: Tables, c: Run, inputs: Inputs) -> None:
         return
     articles = t.read("news_article_processed", [c.day]).where(F.col("business_date") == F.lit(c.day))
     if articles.isEmpty():
-        _event(t, c, "BUILD_CLUSTERS", "WARN", "No processed articles.")
+        _event(c, "BUILD_CLUSTERS", "WARN", "No processed articles.")
         c.note("log", "No processed articles to cluster.")
         return
     keys = ["market_type", "group_no"]
@@ -272,6 +283,7 @@ def _cluster_events(t: Tables, c: Run, clusters: DataFrame) -> None:
     rows = rows.select("__market", "cluster_rank", "e.*").withColumns(
         {"batch_job_id": F.lit(c.job_id), "step_code": F.lit("BUILD_CLUSTERS"), "created_at": F.current_timestamp()}
     )
+    _tell(t, c)
     t.append("batch_job_event", S.with_ids(rows, t.top("batch_job_event"), ["__market", "cluster_rank", "place"]))
 
 
@@ -396,7 +408,7 @@ def summaries_step(t: Tables, c: Run, inputs: Inputs) -> None:
     c.counts["summaries"] = t.append("ai_summary", S.with_ids(rows, t.top("ai_summary"), ["place"]).drop("place")).rows
     c.counts["fallbacks"] += A.fallback_count(L.by_value(t.read("ai_summary", [c.day]), "batch_job_id", c.job_id)).first()[0]
     if c.counts["fallbacks"]:
-        _event(t, c, "GENERATE_SUMMARIES", "WARN", "Summaries are fallbacks.", f'{{"fallbackCount":{c.counts["fallbacks"]}}}')
+        _event(c, "GENERATE_SUMMARIES", "WARN", "Summaries are fallbacks.", f'{{"fallbackCount":{c.counts["fallbacks"]}}}')
     c.note("log", f"Made {c.counts['summaries']} summaries.")
 
 
@@ -449,13 +461,13 @@ def snapshot_step(t: Tables, c: Run, inputs: Inputs) -> None:
     add("market_daily_page_article_link", placed(links, ["cluster_rank", "article_rank", F.col("published_at").desc_nulls_first(), "processed_article_id"]))
     c.page = (page_id, version)
     if status == "PARTIAL":
-        _event(t, c, "BUILD_SNAPSHOT", "WARN", "The page is partial.")
+        _event(c, "BUILD_SNAPSHOT", "WARN", "The page is partial.")
     c.note("log", f"Built page {page_id}, version {version}.")
 
 
 def finalize_step(t: Tables, c: Run, inputs: Inputs) -> None:
     _complete(t, c)
-    _event(t, c, "FINALIZE_JOB", "INFO", f"Job ended as {c.status}.")
+    _event(c, "FINALIZE_JOB", "INFO", f"Job ended as {c.status}.")
 
 
 def _complete(t: Tables, c: Run) -> None:
@@ -489,13 +501,16 @@ def run_daily(t: Tables, c: Run, inputs: Inputs, steps=STEPS) -> Run:
     for name, step in steps:
         try:
             with t.transaction():
-                _event(t, c, name, "INFO", "Step started.")
+                _event(c, name, "INFO", "Step started.")
                 step(t, c, inputs)
-                _event(t, c, name, "INFO", "Step completed.")
+                _event(c, name, "INFO", "Step completed.")
+                _tell(t, c)
         except Exception as e:
             c.failure = ("BATCH_FAILED", str(e)[:500])
+            c.events.clear()
             with t.transaction():
-                _event(t, c, name, "ERROR", "Step failed.")
+                _event(c, name, "ERROR", "Step failed.")
+                _tell(t, c)
                 _complete(t, c)
             raise
     return c
