@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from briefloom.functions.html import bound
+
 #: Business days are UTC+9; labels of the two markets.
 BUSINESS_OFFSET = "+09:00"
 PAGE_LABELS = ("미국 증시 일간 요약", "한국 증시 일간 요약")
@@ -18,15 +20,36 @@ MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 PUB_DATE = r"(?i)^\s*+(?:[a-z]++\.?\s*+,?\s*+)?(\d{1,2})[\s-]++([a-z]{3})[a-z]*+\.?,?[\s-]++(\d{2}|\d{4})\s++(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s*+([+-]\d{4}|[a-z]++)?\s*+(?:\(.*\))?\s*$"
 
 
+def _parts(c: Column) -> Column:
+    """What the pattern finds in a date, each part once."""
+    names = ("day", "month", "year", "hour", "minute", "second", "zone")
+    return F.struct(*[F.regexp_extract(c, PUB_DATE, k).alias(n) for k, n in enumerate(names, 1)])
+
+
+def _offset(zone: Column) -> Column:
+    def seconds(z: Column) -> Column:
+        number = lambda at: F.substring(z, at, 2).try_cast("int")
+        stated = F.when(z.startswith("-"), -1).otherwise(1) * (number(2) * 3600 + number(4) * 60)
+        hours = F.create_map(*[F.lit(x) for item in ZONES.items() for x in item])
+        return F.when(z.rlike(r"^[+-]\d{4}$"), F.when(z != "-0000", stated)).otherwise(F.try_element_at(hours, z) * 3600)
+
+    return bound(F.lower(zone), seconds)
+
+
+def _instant(p: Column) -> Column:
+    """The instant of the parts of a date."""
+    part = lambda n: F.nullif(p[n], F.lit("")).try_cast("int")
+    place = F.instr(F.lit(MONTHS), F.lower(F.nullif(p["month"], F.lit(""))))
+    month = F.when((place > 0) & (place % 3 == 1), F.floor((place + 2) / 3).cast("int"))
+    year = F.when(part("year") >= 100, part("year")).when(part("year") > 68, part("year") + 1900).otherwise(part("year") + 2000)
+    second = F.coalesce(part("second"), F.lit(0))
+    local = F.try_make_timestamp(year, month, part("day"), part("hour"), part("minute"), F.when(second < 60, second), F.lit("UTC"))
+    return F.timestamp_micros(F.unix_micros(local) - _offset(p["zone"]).cast("long") * 1_000_000)
+
+
 def pub_offset(c: Column) -> Column:
     """Seconds from UTC of an RFC 2822 date; null without an offset, with an unknown zone and with ``-0000``, which states none."""
-    zone = F.lower(F.regexp_extract(c, PUB_DATE, 7))
-    number = lambda at: F.substring(zone, at, 2).try_cast("int")
-    seconds = F.when(zone.startswith("-"), -1).otherwise(1) * (number(2) * 3600 + number(4) * 60)
-    out = F.when(zone.rlike(r"^[+-]\d{4}$") & (zone != "-0000"), seconds)
-    for name, hours in ZONES.items():
-        out = out.when(zone == name, hours * 3600)
-    return out
+    return _offset(F.regexp_extract(c, PUB_DATE, 7))
 
 
 def parse_pub_date(c: Column) -> Column:
@@ -34,22 +57,20 @@ def parse_pub_date(c: Column) -> Column:
 
     Day names and seconds may be missing; two digits of a year are 1969 to 2068.
     """
-    part = lambda k: F.nullif(F.regexp_extract(c, PUB_DATE, k), F.lit("")).try_cast("int")
-    place = F.instr(F.lit(MONTHS), F.lower(F.nullif(F.regexp_extract(c, PUB_DATE, 2), F.lit(""))))
-    month = F.when((place > 0) & (place % 3 == 1), F.floor((place + 2) / 3).cast("int"))
-    year = F.when(part(3) >= 100, part(3)).when(part(3) > 68, part(3) + 1900).otherwise(part(3) + 2000)
-    second = F.coalesce(part(6), F.lit(0))
-    local = F.try_make_timestamp(year, month, part(1), part(4), part(5), F.when(second < 60, second), F.lit("UTC"))
-    return F.timestamp_micros(F.unix_micros(local) - pub_offset(c).cast("long") * 1_000_000)
+    return bound(_parts(c), _instant)
 
 
 def pub_iso(c: Column) -> Column:
     """An RFC 2822 date as ISO text with the offset it came with."""
-    offset = pub_offset(c)
-    local = F.timestamp_micros(F.unix_micros(parse_pub_date(c)) + offset.cast("long") * 1_000_000)
     two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
-    sign, size = F.when(offset < 0, "-").otherwise("+"), F.abs(offset)
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, two(F.floor(size / 3600)), F.lit(":"), two(F.floor(size % 3600 / 60)))
+
+    def text(x: Column) -> Column:
+        local = F.timestamp_micros(F.unix_micros(x["instant"]) + x["offset"].cast("long") * 1_000_000)
+        sign, size = F.when(x["offset"] < 0, "-").otherwise("+"), F.abs(x["offset"])
+        return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, two(F.floor(size / 3600)), F.lit(":"), two(F.floor(size % 3600 / 60)))
+
+    whole = lambda p: F.struct(_instant(p).alias("instant"), _offset(p["zone"]).alias("offset"))
+    return bound(bound(_parts(c), whole), text)
 
 
 def business_date(instant: Column) -> Column:
