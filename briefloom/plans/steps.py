@@ -165,7 +165,8 @@ def collect_news_step(t: Tables, c: Run, inputs: Inputs) -> None:
     now = F.current_timestamp()
     found = feeds.articles_of_day(inputs.items, keywords, c.day)
     keys = ["provider_name", "provider_article_key"]
-    new = t.unknown("news_article_raw", R.first_per_key(found, keys, [F.col("keyword_id"), F.col("place")]))
+    first = S.staged(R.first_per_key(found, keys, [F.col("keyword_id"), F.col("place")]))
+    new = t.unknown("news_article_raw", first)
     rows = S.with_ids(new.withColumn("collected_at", now).withColumn("created_at", now), t.top("news_article_raw"), ["keyword_id", "place"]).drop("keyword_id", "place")
     added = t.append("news_article_raw", rows).rows
     c.counts["raw_news"] += added

@@ -127,7 +127,7 @@ UNION ALL SELECT 'event', row_number() OVER (ORDER BY s, k), v FROM told"""
 
 @query(_DAY_SQL)
 def daily_batch(spark, d):
-    """B1-B9, B7a-d, B8a, B8b, B11, B12, E6, E10, A7, A9, S18: a day from its feed to its page, job and events, read back from the store."""
+    """S1, S2, S20, B1-B9, B7a-d, B8a, B8b, B11, B12, E6, E10, A7, A9: a day from its feed to its page, job and events, read back from the store."""
     t, now = new_store(spark), F.lit("2026-03-18 06:00:00").cast("timestamp")
     keywords = spark.sql(_KEYWORDS.replace("FROM nation", "FROM {t}"), t=table(spark, d, "nation"))
     t.append("news_search_keyword", keywords.withColumns({"provider_name": F.lit("FEED"), "priority": F.lit(1), "created_at": now, "updated_at": now}))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from briefloom.operators.ranking import first_per_key
 from briefloom.sources.store import Tables
-from briefloom.sources.tables import with_ids
+from briefloom.sources.tables import staged, with_ids
 
 KEYS = ["provider_name", "provider_article_key"]
 
@@ -16,7 +16,7 @@ KEYS = ["provider_name", "provider_article_key"]
 def append_new(tables: Tables, batch: DataFrame) -> None:
     """Append a batch's new raw articles; running it twice appends nothing more."""
     rows = batch.withColumn("collected_at", F.current_timestamp()).withColumn("created_at", F.current_timestamp())
-    first = first_per_key(rows, KEYS, [F.col("published_at").desc_nulls_last(), F.col("title")])
+    first = staged(first_per_key(rows, KEYS, [F.col("published_at").desc_nulls_last(), F.col("title")]))
     new = with_ids(tables.unknown("news_article_raw", first), tables.top("news_article_raw"), KEYS)
     tables.append("news_article_raw", new)
 
