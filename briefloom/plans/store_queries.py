@@ -75,11 +75,12 @@ def asof_all_events(spark, d):
 
 # A whole day ---------------------------------------------------------------------------------
 
-#: Nations stand for keywords, documents for feed items, events for prices.
+#: Nations stand for keywords, documents for feed items, two for a story, events for prices.  A keyword's last fifth is of the day before; a feed serves 1,000.
 _KEYWORDS = "SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_regionkey % 2 WHEN 0 THEN 'US' ELSE 'KR' END AS market_type, n_name AS keyword, n_nationkey % 5 > 0 AS is_active FROM nation"
-_ITEMS = """SELECT doc_id, doc_id % 25 AS keyword_id, doc_id % 400 AS story, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) - 1 AS place FROM documents"""
+_ITEMS = """SELECT doc_id, doc_id % 25 AS keyword_id, CAST(FLOOR(doc_id / 2) AS BIGINT) AS story, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) - 1 AS place,
+COUNT(*) OVER (PARTITION BY doc_id % 25) AS n FROM documents"""
 _PRICES = """SELECT event_id % 4 AS n, CAST(event_id % 8 AS INT) AS back, CAST(MAX(ROUND(value, 2)) AS DECIMAL(20, 4)) AS close FROM events WHERE value IS NOT NULL GROUP BY 1, 2"""
-_HOUR = "CASE WHEN place >= 33 THEN -1 WHEN story % 7 = 0 THEN 99 WHEN story % 7 = 6 THEN 8 ELSE story % 7 END"
+_HOUR = "CASE WHEN place * 5 >= n * 4 THEN -1 WHEN story % 7 = 0 THEN 99 WHEN story % 7 = 6 THEN 8 ELSE story % 7 END"
 
 
 def day_inputs(spark: SparkSession, d: str) -> steps.Inputs:
@@ -103,7 +104,7 @@ def day_inputs(spark: SparkSession, d: str) -> steps.Inputs:
 
 
 _DAY_SQL = f"""WITH k AS ({_KEYWORDS}), i AS (SELECT *, {_HOUR} AS hour FROM ({_ITEMS})),
-taken AS (SELECT i.*, k.market_type, CASE k.market_type WHEN 'US' THEN 1 ELSE 2 END AS m FROM i JOIN k ON k.id = i.keyword_id AND k.is_active WHERE place < 33 AND hour <> 99),
+taken AS (SELECT i.*, k.market_type, CASE k.market_type WHEN 'US' THEN 1 ELSE 2 END AS m FROM i JOIN k ON k.id = i.keyword_id AND k.is_active WHERE place * 5 < n * 4 AND place < 1000 AND hour <> 99),
 raw AS (SELECT *, row_number() OVER (ORDER BY keyword_id, place) AS id FROM taken QUALIFY row_number() OVER (PARTITION BY story, hour ORDER BY keyword_id, place) = 1),
 processed AS (SELECT *, 'Story ' || story || ' & more' AS title, 'Text ' || story AS summary FROM raw QUALIFY row_number() OVER (PARTITION BY story ORDER BY m, hour DESC, id) = 1),
 member AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY hour DESC, id DESC) AS rank FROM processed),
