@@ -18,8 +18,8 @@ from pyspark.sql.types import StructType
 
 #: Buckets of a key table; bits of a filter a key it is made for, look-ups a key (1 in 70,000 unknown keys passes).
 BUCKETS, BITS, LOOKS = 64, 24, 12
-#: Keys that the smallest filter is made for.
-LEAST = 1024
+#: Keys that the smallest filter is made for, and keys whose bits are worked out at once.
+LEAST, PIECE = 1024, 100_000
 KEY_COLUMNS = StructType().add("bucket", "integer").add("key", "string").add("id", "long")
 FILTER_COLUMNS = StructType().add("bucket", "integer").add("made_for", "long").add("n", "long").add("bits", "binary")
 
@@ -52,13 +52,14 @@ def filters_with(filters: DataFrame, keys: DataFrame, outgrown: Sequence[int]) -
         if not len(pdf):
             return pd.DataFrame({"bucket": [], "made_for": [], "n": [], "bits": []})
         if len(old):
-            made_for, n, bits = int(old["made_for"].iloc[0]), int(old["n"].iloc[0]), np.unpackbits(np.frombuffer(old["bits"].iloc[0], np.uint8))
+            made_for, n, bits = int(old["made_for"].iloc[0]), int(old["n"].iloc[0]), np.frombuffer(old["bits"].iloc[0], np.uint8).copy()
         else:
             made_for, n = max(LEAST, 1 << (2 * len(pdf) - 1).bit_length()), 0
-            bits = np.zeros(made_for * BITS, np.uint8)
-        for at in range(0, len(pdf), 100_000):
-            bits[_bits_of(pdf.iloc[at : at + 100_000], made_for).ravel()] = 1
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "made_for": [made_for], "n": [n + len(pdf)], "bits": [np.packbits(bits).tobytes()]})
+            bits = np.zeros(made_for * BITS // 8, np.uint8)
+        for at in range(0, len(pdf), PIECE):
+            spots = _bits_of(pdf.iloc[at : at + PIECE], made_for).ravel()
+            np.bitwise_or.at(bits, spots >> np.uint64(3), np.uint8(1) << (spots & np.uint64(7)).astype(np.uint8))
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "made_for": [made_for], "n": [n + len(pdf)], "bits": [bits.tobytes()]})
 
     kept = filters.where(~F.col("bucket").isin(list(outgrown))) if outgrown else filters
     return _hashed(keys).groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInPandas(merged, FILTER_COLUMNS)
@@ -70,8 +71,13 @@ def may_hold(filters: DataFrame, keys: DataFrame) -> DataFrame:
     def passed(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(own):
             return pdf.iloc[:0][["bucket", "key"]]
-        bits = np.unpackbits(np.frombuffer(own["bits"].iloc[0], np.uint8))
-        return pdf[bits[_bits_of(pdf, int(own["made_for"].iloc[0]))].all(axis=1)][["bucket", "key"]]
+        bits, made_for, out = np.frombuffer(own["bits"].iloc[0], np.uint8), int(own["made_for"].iloc[0]), []
+        for at in range(0, len(pdf), PIECE):
+            part = pdf.iloc[at : at + PIECE]
+            spots = _bits_of(part, made_for)
+            set_ = bits[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1
+            out.append(part[set_.all(axis=1)][["bucket", "key"]])
+        return pd.concat(out)
 
     return _hashed(keys).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(passed, "bucket int, key string")
 
