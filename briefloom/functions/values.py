@@ -105,17 +105,20 @@ def change(close: Column, previous: Column) -> tuple[Column, Column]:
     """(difference, percent of the previous close), each rounded once, half to even; 0 percent where that is 0.
 
     A decimal division would round before: the percent is a whole quotient of ten-thousandths and
-    its remainder.  Prices have 14 digits before and after the point.
+    its remainder.  Prices have 14 digits before and after the point.  The percent has room for any
+    change on a price of at least 0.0000000001, beyond the ten digits that the index table keeps.
     """
     before = previous.cast("decimal(28,14)")
     diff = close.cast("decimal(28,14)") - before
     divisor = F.nullif(before, F.lit(0).cast("decimal(28,14)"))
     scaled = diff * F.lit(1_000_000).cast("decimal(7,0)")
-    whole, rest = F.call_function("div", scaled, divisor), F.abs(scaled % divisor) * 2
+    over = scaled % divisor
+    # not div, which is a long: what divides evenly isn't rounded
+    whole, rest = ((scaled - over) / divisor).cast("decimal(32,0)"), F.abs(over) * 2
     up = (rest > F.abs(divisor)) | ((rest == F.abs(divisor)) & (whole % 2 != 0))
     away = F.when((scaled < 0) != (divisor < 0), -1).otherwise(1)
-    percent = (whole + F.when(up, away).otherwise(0)).cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")
-    return quantized(diff), F.when(before == 0, F.lit(0)).otherwise(percent).cast("decimal(10,4)")
+    percent = (whole + F.when(up, away).otherwise(0)).cast("decimal(32,0)") * F.lit("0.0001").cast("decimal(4,4)")
+    return quantized(diff), F.when(before == 0, F.lit(0)).otherwise(percent).cast("decimal(32,4)")
 
 
 def page_label(market: Column) -> Column:

@@ -298,7 +298,7 @@ def index_quotes(history: DataFrame, tickers: DataFrame, day: dt.date) -> DataFr
         .join(tickers, "ticker")
         .select(
             "market_type", F.col("ticker").alias("index_code"), "index_name", "currency_code", F.col("date").alias("source_date"),
-            V.quantized(F.col("close")).alias("close_price"), diff.alias("change_value"), percent.alias("change_percent"),
+            V.quantized(F.col("close")).alias("close_price"), diff.alias("change_value"), percent.cast("decimal(10,4)").alias("change_percent"),
             V.quantized(F.col("high")).alias("high_price"), V.quantized(F.col("low")).alias("low_price"),
         )
     )

@@ -4,7 +4,7 @@ import datetime as dt
 import hashlib
 import html
 import re
-from decimal import ROUND_HALF_EVEN, Decimal
+from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 from urllib.parse import urlsplit, urlunsplit
 
 from pyspark.sql import functions as F
@@ -171,3 +171,14 @@ def test_body_text():
     assert body_text_of(page.format("<div class='z article_body'>one<div>two</div></div>three")) == "one two"
     assert body_text_of(page.format("nothing marked")) == "short & sweet"
     assert body_text_of("<p>plain</p>") is None and body_text_of("") is None and body_text_of(None) is None
+
+
+def test_change_percent_has_room_for_any_change(spark):
+    """A close of 560 on one of 0.01 is a change of 5,599,900 percent, more than decimal(10,4) holds."""
+    rows = [("560.00", "0.01"), ("0.01", "560.00"), ("999999999999.99999999", "0.00000001"), ("-999999999999.99999999", "0.00000003"), ("0.00000001", "999999999999.99999999"), ("1.00015", "-1.0"), ("5", "0")]
+    df = spark.createDataFrame([(k, *map(Decimal, r)) for k, r in enumerate(rows)], "k int, close decimal(20,8), before decimal(20,8)")
+    got = {r.k: r.p for r in df.select("k", V.change(F.col("close"), F.col("before"))[1].alias("p")).collect()}
+    with localcontext() as c:
+        c.prec = 80
+        for k, (close, before) in enumerate(map(lambda r: map(Decimal, r), rows)):
+            assert got[k] == ((close - before) * 100 / before if before else Decimal(0)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)
