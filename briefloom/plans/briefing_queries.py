@@ -350,9 +350,10 @@ def article_bodies(spark, d):
     own = F.concat(F.lit("<html><nav>n</nav><article>Body <b>"), number, F.lit("</b><script>x()</script><template>no</template></article>"))
     other = F.concat(F.lit("<div class='a article_view'>Portal "), number, F.lit(" &amp; more</div>"))
     empty = F.lit("<html><body><p>nothing</p></body></html>")
-    fetched = p.where("page_id % 4 < 3").select(F.col("url"), F.when(F.col("page_id") % 4 == 0, own).otherwise(empty).alias("html"))
-    fetched = fetched.unionByName(p.where("page_id % 4 = 1").select(portal.alias("url"), other.alias("html")))
-    got = feeds.article_content(articles, fetched.dropDuplicates(["url"]), F.concat(F.lit("summary "), number))
+    fetched = p.where("page_id % 4 < 3").select("page_id", "url", F.when(F.col("page_id") % 4 == 0, own).otherwise(empty).alias("html"))
+    fetched = fetched.unionByName(p.where("page_id % 4 = 1").select("page_id", portal.alias("url"), other.alias("html")))
+    # pages may share a url: each has what was fetched for it
+    got = feeds.article_content(articles, fetched.dropDuplicates(["page_id", "url"]), F.concat(F.lit("summary "), number), ["page_id"])
     return got.select("page_id", "body_text", "fetched_url", "content_fallback_used", "source_domain")
 
 

@@ -6,6 +6,7 @@ All of it arrives as tables; nothing here opens a connection to the outside.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +72,16 @@ def articles_of_day(items: DataFrame, keywords: DataFrame, day: dt.date) -> Data
     )
 
 
-def article_content(articles: DataFrame, pages: DataFrame, summary: Column) -> DataFrame:
-    """Body text from fetched ``pages(url, html)``: the origin link's, else the portal link's, else the summary."""
-    bodies = pages.select("url", body_text("html").alias("body")).where("body is not null")
-    a = bodies.select(F.col("url").alias("origin_link"), F.col("body").alias("__a"))
-    b = bodies.select(F.col("url").alias("naver_link"), F.col("body").alias("__b"))
-    joined = articles.withColumn("source_summary", summary).join(a, "origin_link", "left").join(b, "naver_link", "left")
+def article_content(articles: DataFrame, pages: DataFrame, summary: Column, own: Sequence[str] = ()) -> DataFrame:
+    """Body text from fetched ``pages(url, html)``: the origin link's, else the portal link's, else the summary.
+
+    A url stands once in ``pages``, or once an article where each has its own fetches: ``own`` are
+    columns of both tables that name the article, as one url may give other content at another time.
+    """
+    bodies = pages.select(*own, "url", body_text("html").alias("body")).where("body is not null")
+    a = bodies.select(*own, F.col("url").alias("origin_link"), F.col("body").alias("__a"))
+    b = bodies.select(*own, F.col("url").alias("naver_link"), F.col("body").alias("__b"))
+    joined = articles.withColumn("source_summary", summary).join(a, [*own, "origin_link"], "left").join(b, [*own, "naver_link"], "left")
     link = X.first_link(F.col("origin_link"), F.col("naver_link"))
     fetched = F.when(F.col("__a").isNotNull(), F.col("origin_link")).when(F.col("__b").isNotNull(), F.col("naver_link")).otherwise(link)
     body = F.coalesce("__a", "__b", "source_summary")

@@ -99,3 +99,19 @@ def test_percent_equals_decimals(spark, small):
         last, before = ([v for *_, v in sorted(rows, reverse=True)] * 2)[:2] if len(rows) > 1 else (rows[0][2], rows[0][2])
         want[user] = ((last - before) * 100 / before if before else Decimal(0)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)
     assert {r.user_id: r.change_percent for r in registry.QUERIES["asof_percent"](spark, small).collect()} == want
+
+
+def equals_sql(spark, folder, name, **views):
+    """A query over tables of a test's own against its SQL."""
+    con = duckdb.connect()
+    for t, rows in views.items():
+        rows.coalesce(1).write.parquet(f"file://{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    key = lambda rows: sorted(repr([plain(x) for x in r]) for r in rows)
+    assert key(map(tuple, registry.QUERIES[name](spark, f"file://{folder}").select(*names).collect())) == key(want.fetchall())
+
+
+def test_articles_of_one_url_have_bodies_of_their_own(spark, tmp_path):
+    equals_sql(spark, tmp_path, "article_bodies", pages=spark.range(24).selectExpr("id AS page_id", "concat('http://h/', id % 8) AS url"))
