@@ -470,7 +470,8 @@ def groups_answered(spark, d):
     kind = F.dayofmonth("business_date") % 4
     answer = (
         F.when(kind == 0, F.concat(F.lit('```json\n{"title":"Answered '), "market_type", F.lit('","tags":["a","b"],"representative_article_index":1}\n```')))
-        .when(kind == 1, F.lit('{"title":"","tags":[],"representative_article_index":99}')).otherwise(F.lit('{"title":'))
+        # the first index outside the group, however large that is
+        .when(kind == 1, F.concat(F.lit('{"title":"","tags":[],"representative_article_index":'), "article_count", F.lit("}"))).otherwise(F.lit('{"title":'))
     )
     raw = groups.where(kind < 3).select(*keys, answer.alias("answer"))
     fields = "title string, summary_short string, summary_long string, tags array<string>, analysis_paragraphs array<string>, representative_article_index int"

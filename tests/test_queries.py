@@ -115,3 +115,12 @@ def equals_sql(spark, folder, name, **views):
 
 def test_articles_of_one_url_have_bodies_of_their_own(spark, tmp_path):
     equals_sql(spark, tmp_path, "article_bodies", pages=spark.range(24).selectExpr("id AS page_id", "concat('http://h/', id % 8) AS url"))
+
+
+def test_an_index_outside_a_large_group_counts_as_0(spark, tmp_path):
+    """Days 1, 2, 3 and 4 of 250 articles a market: the answer of the first names an index outside the group."""
+    orders = spark.range(2000).selectExpr(
+        "id AS o_orderkey", "id % 500 AS o_custkey", "'O' AS o_orderstatus", "id * 1.5D AS o_totalprice",
+        "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(id DIV 500 AS int)) AS o_orderdate", "'5-LOW' AS o_orderpriority",
+    )
+    equals_sql(spark, tmp_path, "groups_answered", orders=orders)
