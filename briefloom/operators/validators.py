@@ -2,7 +2,7 @@
 
 Every table is read once: a row gives a record for each rule of its table (its key, a key it
 refers to, a key it offers to others, or a condition it fails), and one aggregation over the
-records of all tables, by rule and key, decides.
+records of all tables, by rule and key, decides.  Records hold numbers where keys are numbers.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from briefloom.schemas import ENUMS
 
+#: Types of keys that are compared as numbers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
 
 @dataclass(frozen=True)
 class Unique:
@@ -128,41 +131,72 @@ def _key(keys: Sequence[str]) -> Column:
     return F.concat(*[p for k, p in enumerate(parts) for p in ([F.lit("|"), p] if k else [p])])
 
 
-def _record(rule: str, role: str, key: Column, when: Column | None = None) -> Column:
-    made = F.struct(F.lit(rule).alias("rule"), F.lit(role).alias("role"), key.alias("key"))
-    counts = key.isNotNull() if when is None else key.isNotNull() & F.coalesce(when, F.lit(False))
-    return F.when(counts, made)
-
-
-def records_of(name: str, rows: DataFrame, rules: Sequence) -> DataFrame | None:
-    """(rule, role, key) of one table's rows, from one scan; None if no rule is about it."""
-    out = []
-    for r in rules:
-        if isinstance(r, Unique) and r.table == name:
-            out.append(_record(r.rule, "own", _key(r.keys), None if r.when is None else F.expr(r.when)))
-        if isinstance(r, Belongs):
-            if r.table == name:
-                out.append(_record(r.rule, "refers", _key(r.keys)))
-            if r.parent == name:
-                out.append(_record(r.rule, "offers", _key(r.parent_keys)))
-        if isinstance(r, Holds) and r.table == name:
-            out.append(_record(r.rule, "fails", F.coalesce(F.expr(r.detail).cast("string"), F.lit("")), ~F.expr(r.condition)))
-    if not out:
+def _numbers(r, t: dict[str, DataFrame]) -> bool:
+    """Whether a rule's keys are one or two whole numbers, on both sides; they are compared as such, other keys as text."""
+    if isinstance(r, Holds) or len(r.keys) > 2:
+        return False
+    sides = [(r.table, r.keys), *([(r.parent, r.parent_keys)] if isinstance(r, Belongs) else [])]
+    return all(dict(t[n].dtypes).get(k) in WHOLE for n, keys in sides for k in keys)
+
+
+def records_of(name: str, t: dict[str, DataFrame], rules: Sequence) -> DataFrame | None:
+    """(rule, a, b, key, n) of one table's rows, from one scan; None if no rule is about it.
+
+    ``rule`` is the rule's place.  Its keys are the numbers ``a`` and ``b`` or the text ``key``.
+    ``n`` rows have, refer to or fail it; 0 where it is offered.
+    """
+    made, rows, weight = [], t[name], F.lit(1).cast("long")
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def record(place: int, keys: Sequence[str], offers: bool = False, when: Column | None = None) -> None:
+        if _numbers(rules[place], t):
+            a, b = [F.col(k).cast("long") for k in keys] + [null("long")] * (2 - len(keys))
+            full, text = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), null("string")
+        else:
+            a, b, text = null("long"), null("long"), _key(keys)
+            full = text.isNotNull()
+        made.append((F.lit(place), a, b, text, F.lit(0).cast("long") if offers else weight, full if when is None else full & F.coalesce(when, F.lit(False))))
+
+    about = [(k, r) for k, r in enumerate(rules) if r.table == name or isinstance(r, Belongs) and r.parent == name]
+    if about and all(isinstance(r, Holds) for _, r in about):  # few different rows: counted where they are read
+        rows = rows.groupBy(*[F.expr(r.condition).alias(f"c{k}") for k, r in about], *[F.expr(r.detail).cast("string").alias(f"d{k}") for k, r in about]).agg(F.count("*").alias("n"))
+        weight, about = F.col("n"), [(k, Holds(r.rule, name, f"c{k}", f"d{k}")) for k, r in about]
+    for k, r in about:
+        if isinstance(r, Holds):
+            made.append((F.lit(k), null("long"), null("long"), F.coalesce(F.expr(r.detail).cast("string"), F.lit("")), weight, F.coalesce(~F.expr(r.condition), F.lit(False))))
+            continue
+        if r.table == name:
+            record(k, r.keys, when=None if not isinstance(r, Unique) or r.when is None else F.expr(r.when))
+        if isinstance(r, Belongs) and r.parent == name:
+            record(k, r.parent_keys, offers=True)
+    if not made:
         return None
-    return rows.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("r")).select("r.*")
+    own = F.explode(F.array(*[F.lit(at) for at in range(len(made))])).alias("__at")
+    pick = lambda field: reduce(lambda c, x: c.when(F.col("__at") == x[0], x[1]), list(enumerate(m[field] for m in made))[1:], F.when(F.col("__at") == 0, made[0][field]))
+    return rows.select("*", own).where(pick(5)).select(
+        pick(0).alias("rule"), pick(1).alias("a"), pick(2).alias("b"), pick(3).alias("key"), pick(4).alias("n")
+    )
+
 
+def violations(t: dict[str, DataFrame], rules: Sequence = RULES, tasks: int | None = None) -> DataFrame:
+    """What breaks the rules in the tables given by name, and in how many rows; rules whose tables are missing are left out.
 
-def violations(t: dict[str, DataFrame], rules: Sequence = RULES) -> DataFrame:
-    """What breaks the rules in the tables given by name, and in how many rows; rules whose tables are missing are left out."""
+    ``tasks`` is the number of tasks that the records are dealt to by rule and key, for tables too
+    large for Spark's number of shuffle partitions: a task holds its share of all keys.
+    """
     able = [r for r in rules if r.table in t and (not isinstance(r, Belongs) or r.parent in t)]
-    parts = [p for p in (records_of(n, df, able) for n, df in t.items()) if p is not None]
+    parts = [p for p in (records_of(n, t, able) for n in t) if p is not None]
     if not parts:
         raise ValueError("no table to validate")
-    count = lambda role: F.count(F.when(F.col("role") == role, 1))
-    seen = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(
-        count("own").alias("own"), count("refers").alias("refers"), count("offers").alias("offers"), count("fails").alias("fails")
+    keys, records = ["rule", "a", "b", "key"], reduce(DataFrame.unionByName, parts)
+    # keys are mostly different: counted once, where they meet
+    dealt = records.repartition(*keys) if tasks is None else records.repartition(tasks, *keys)
+    seen = dealt.groupBy(*keys).agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("offered"))
+    of = lambda *kinds: F.col("rule").isin([k for k, r in enumerate(able) if isinstance(r, kinds)])
+    broken_ = (of(Unique) & (F.col("n") > 1)) | (of(Belongs) & (F.col("n") > 0) & ~F.col("offered")) | of(Holds)
+    first = F.col("rule").isin([k for k, r in enumerate(able) if isinstance(r, Belongs) and len(r.keys) > 1])
+    number = F.when(first, F.col("a").cast("string")).otherwise(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")))
+    text = F.when(first, F.substring_index("key", "|", 1)).otherwise(F.col("key"))
+    return seen.where(broken_).select(
+        F.get(F.array(*[F.lit(r.rule) for r in able]), F.col("rule")).alias("rule"), F.when(F.col("key").isNull(), number).otherwise(text).alias("detail"), F.col("n").alias("n_rows")
     )
-    n = F.when(F.col("own") > 1, F.col("own")).when((F.col("refers") > 0) & (F.col("offers") == 0), F.col("refers")).otherwise(F.col("fails"))
-    first = F.col("rule").isin([r.rule for r in able if isinstance(r, Belongs) and len(r.keys) > 1])
-    detail = F.when(first, F.substring_index("key", "|", 1)).otherwise(F.col("key"))
-    return seen.select("rule", detail.alias("detail"), n.alias("n_rows")).where("n_rows > 0")

@@ -537,5 +537,5 @@ _VIOLATIONS = " UNION ALL ".join(
 @query(over(_VIOLATIONS, *VALIDATED))
 def violations_listed(spark, d):
     """Every rule over all tables that the shapes have, one scan a table."""
-    t = Shapes(spark, d)
-    return validators.violations({n: t.read(n) for n in VALIDATED})
+    t = Shapes(spark, d, dealt=True)
+    return validators.violations({n: t.read(n) for n in VALIDATED}, tasks=t.tasks(*VALIDATED))

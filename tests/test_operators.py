@@ -201,3 +201,39 @@ def test_a_deep_page_sorts_its_range_only(spark):
     assert [r.x for r in got.limit(3).collect()] == [r.x for r in df.orderBy("x").offset(149_900).limit(3).collect()]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and int(plan.split("Offset ")[1].split()[0].rstrip(",")) < 20_000
+
+
+def test_violations_deal_their_records_to_the_tasks_asked_for(spark, small):
+    """Tasks follow the input; keys that are numbers are dealt as numbers; a rule asked for alone makes no other's records."""
+    from briefloom.plans.shapes import SHARE, Shapes
+
+    t = Shapes(spark, small, dealt=True)
+    t.sizes = {"lineitem": 50 * SHARE, "part": 3}
+    names = ("news_cluster", "news_cluster_article")
+    assert t.tasks(*names) == 51 and Shapes(spark, small).tasks(*names) == 4
+    rules = [r for r in validators.RULES if r.rule == "representative is a member"]
+    got = validators.violations({n: t.read(n) for n in names}, rules, t.tasks(*names))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and all(n in " ".join(dealt) for n in (", 51)", ", 50)")) and "as string)" not in " ".join(x for x in plan.splitlines() if "Generate" in x)
+    every = validators.violations({n: Shapes(spark, small).read(n) for n in names}).where("rule = 'representative is a member'")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_violations_of_numbers_and_texts(spark):
+    """Keys of one or two numbers, of a number and a text, of a long and the text of it, nulls, rules of conditions alone."""
+    from briefloom.operators.validators import Belongs, Holds, Unique
+
+    rules = (
+        Unique("two", "a", ("x", "y")), Unique("one", "a", ("x",), "y > 1"), Unique("mixed", "a", ("x", "z")), Belongs("pair", "a", ("x", "y"), "p", ("i", "j")),
+        Belongs("text", "a", ("x",), "s", ("i",)), Belongs("int", "a", ("y",), "p", ("j",)), Holds("h", "o", "v > 0", "w"),
+    )
+    a = spark.createDataFrame([(1, 1, "q"), (1, 1, "q"), (1, 2, "q|"), (1, 3, None), (None, 3, "q"), (2, None, "q"), (2**40, 2, "q")], "x long, y int, z string")
+    p = spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "i int, j long")
+    s = spark.createDataFrame([("1",), ("x",)], "i string")
+    o = spark.createDataFrame([(0, "w"), (-1, "w"), (1, "w"), (None, "w"), (-2, None), (-2, None)], "v int, w string")
+    got = sorted(map(tuple, validators.violations({"a": a, "p": p, "s": s, "o": o}, rules).collect()))
+    big = str(2**40)
+    assert got == [
+        ("h", "", 2), ("h", "w", 2), ("mixed", "1|q", 2), ("one", "1", 2), ("pair", "1", 1), ("pair", big, 1), ("text", big, 1), ("text", "2", 1), ("two", "1|1", 2)
+    ]
