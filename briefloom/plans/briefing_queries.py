@@ -488,8 +488,9 @@ def fallbacks_counted(spark, d):
 @query(over("SELECT 'counts' AS rule, CAST(job_id AS VARCHAR) AS detail FROM batch_job WHERE raw_news_count > 50 UNION ALL SELECT 'member', CAST(c.id AS VARCHAR) FROM news_cluster c WHERE NOT EXISTS (SELECT 1 FROM news_cluster_article m WHERE m.cluster_id = c.id AND m.processed_article_id = c.representative_article_id)", "batch_job", "news_cluster", "news_cluster_article"))
 def rules_broken(spark, d):
     """A representative that is no member; a count outside its range."""
-    t = Shapes(spark, d)
-    found = validators.violations({n: t.read(n) for n in ("news_cluster", "news_cluster_article")}).where("rule = 'representative is a member'").drop("n_rows")
+    t, names = Shapes(spark, d, dealt=True), ("news_cluster", "news_cluster_article")
+    rules = [r for r in validators.RULES if r.rule == "representative is a member"]
+    found = validators.violations({n: t.read(n) for n in names}, rules, t.tasks(*names)).drop("n_rows")
     jobs = validators.broken(t.read("batch_job"), "counts", F.col("raw_news_count") <= 50, F.col("job_id"))
     return jobs.unionByName(found.withColumn("rule", F.lit("member")))
 
