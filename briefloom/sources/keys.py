@@ -8,7 +8,7 @@ read again only when it has outgrown its filter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -45,41 +45,73 @@ def _bits_of(pdf: pd.DataFrame, made_for: int) -> np.ndarray:
     return ((a[:, None] + np.arange(LOOKS, dtype=np.uint64)[None, :] * b[:, None]) >> np.uint64(3)) % np.uint64(made_for * BITS)
 
 
+def _met(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows by bucket: first its filter ``(made_for, n, more, bits)``, then its keys; numbers are 0 where they don't apply."""
+    zero = lambda *names: {c: F.lit(0).cast("long") for c in names}
+    heads = filters.select("bucket", "made_for", "n", "more", "bits").withColumns({"place": F.lit(0), "key": F.lit("")} | zero("a", "b"))
+    rows = _hashed(keys).withColumns({"place": F.lit(1), "bits": F.lit(None).cast("binary")} | zero("made_for", "n", "more"))
+    return heads.unionByName(rows).repartition("bucket").sortWithinPartitions("bucket", "place")
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series | None, pd.DataFrame]]:
+    """(filter, keys) of each run of one bucket in each batch; the filter only where the bucket begins, None after that."""
+    for pdf in batches:
+        ends = [*np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1, len(pdf)]
+        for start, end in zip([0, *ends], ends):
+            run = pdf.iloc[start:end]
+            begins = end > start and run["place"].iloc[0] == 0
+            yield (run.iloc[0] if begins else None), run[run["place"] == 1]
+
+
 def filters_with(filters: DataFrame, keys: DataFrame, outgrown: Sequence[int]) -> DataFrame:
-    """Filters of the buckets of ``keys(bucket, key)``: the old ones with the keys' bits set, new ones for ``outgrown`` and new buckets."""
-
-    def merged(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"bucket": [], "made_for": [], "n": [], "bits": []})
-        if len(old):
-            made_for, n, bits = int(old["made_for"].iloc[0]), int(old["n"].iloc[0]), np.frombuffer(old["bits"].iloc[0], np.uint8).copy()
-        else:
-            made_for, n = max(LEAST, 1 << (2 * len(pdf) - 1).bit_length()), 0
-            bits = np.zeros(made_for * BITS // 8, np.uint8)
-        for at in range(0, len(pdf), PIECE):
-            spots = _bits_of(pdf.iloc[at : at + PIECE], made_for).ravel()
-            np.bitwise_or.at(bits, spots >> np.uint64(3), np.uint8(1) << (spots & np.uint64(7)).astype(np.uint8))
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "made_for": [made_for], "n": [n + len(pdf)], "bits": [bits.tobytes()]})
+    """Filters of the buckets of ``keys(bucket, key)``: the old ones with the keys' bits set, new ones for ``outgrown`` and new buckets.
+
+    Keys stream past their bucket's filter; a task holds a filter and some keys.
+    """
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = bits = None
+        made = lambda: pd.DataFrame({"bucket": [bucket], "made_for": [made_for], "n": [n], "bits": [bits.tobytes()]})
+        for head, run in _runs(batches):
+            if head is not None:
+                if bits is not None:
+                    yield made()
+                bucket, made_for, n = int(head["bucket"]), int(head["made_for"]), int(head["n"])
+                if head["bits"] is None:
+                    made_for = max(LEAST, 1 << (2 * int(head["more"]) - 1).bit_length())
+                    bits = np.zeros(made_for * BITS // 8, np.uint8)
+                else:
+                    bits = np.frombuffer(head["bits"], np.uint8).copy()
+            n += len(run)
+            for at in range(0, len(run), PIECE):
+                spots = _bits_of(run.iloc[at : at + PIECE], made_for).ravel()
+                np.bitwise_or.at(bits, spots >> np.uint64(3), np.uint8(1) << (spots & np.uint64(7)).astype(np.uint8))
+        if bits is not None:
+            yield made()
 
     kept = filters.where(~F.col("bucket").isin(list(outgrown))) if outgrown else filters
-    return _hashed(keys).groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInPandas(merged, FILTER_COLUMNS)
+    none = F.lit(0).cast("long")
+    heads = keys.groupBy("bucket").agg(F.count("*").alias("more")).join(kept, "bucket", "left").withColumns({c: F.coalesce(c, none) for c in ("made_for", "n")})
+    return _met(heads, keys).drop("key").mapInPandas(merged, FILTER_COLUMNS)
 
 
 def may_hold(filters: DataFrame, keys: DataFrame) -> DataFrame:
     """(bucket, key) of those ``keys(bucket, key)`` that their bucket's filter lets pass: all that are known, and few others."""
 
-    def passed(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(own):
-            return pdf.iloc[:0][["bucket", "key"]]
-        bits, made_for, out = np.frombuffer(own["bits"].iloc[0], np.uint8), int(own["made_for"].iloc[0]), []
-        for at in range(0, len(pdf), PIECE):
-            part = pdf.iloc[at : at + PIECE]
-            spots = _bits_of(part, made_for)
-            set_ = bits[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1
-            out.append(part[set_.all(axis=1)][["bucket", "key"]])
-        return pd.concat(out)
-
-    return _hashed(keys).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(passed, "bucket int, key string")
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = None
+        for head, run in _runs(batches):
+            if head is not None:
+                bucket, made_for, bits = int(head["bucket"]), int(head["made_for"]), np.frombuffer(head["bits"], np.uint8)
+            for at in range(0, len(run), PIECE):
+                part = run.iloc[at : at + PIECE]
+                if part["bucket"].iloc[0] != bucket:  # it has no filter
+                    continue
+                spots = _bits_of(part, made_for)
+                set_ = bits[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8) & 1
+                yield part[set_.all(axis=1)][["bucket", "key"]]
+
+    return _met(filters.withColumn("more", F.lit(0).cast("long")), keys).mapInPandas(passed, "bucket int, key string")
 
 
 def outgrown_by(filters: DataFrame, keys: DataFrame) -> list[int]:

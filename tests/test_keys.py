@@ -60,3 +60,23 @@ def test_overwritten_tables_have_their_keys_anew(spark, tmp_path):
         t.replace("news_article_raw", raw(spark, [1]), [dt.date(2026, 3, 17)])
     null = raw(spark, [9]).withColumn("provider_article_key", F.lit(None).cast("string"))
     assert t.unknown("news_article_raw", null).count() == 1
+
+
+def test_keys_stream_past_their_filters(spark):
+    """No bucket is handed to Python whole: buckets of many batches, filters that are kept, outgrown, new and missing."""
+    keys = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 3 + 1).cast("int").alias("bucket"), "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        none = spark.createDataFrame([], K.FILTER_COLUMNS)
+        old = K.filters_with(none, keys.where("id < 1000"), []).localCheckpoint()
+        new = K.filters_with(old.where("bucket < 3"), keys.where("id >= 1000 or bucket = 0"), [0])
+        passed = K.may_hold(new.where("bucket <> 2"), keys)
+        for df in (new, passed):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "MapInPandas" in plan and "CoGroup" not in plan
+        assert {r.bucket: (r.made_for, r.n) for r in old.collect()} == {0: (2048, 900), 1: (1024, 34), 2: (1024, 33), 3: (1024, 33)}
+        assert {r.bucket: (r.made_for, r.n) for r in new.collect()} == {0: (8192, 3600), 1: (1024, 134), 2: (1024, 133), 3: (1024, 100)}
+        got, of = {r.key for r in passed.collect()}, {r.key: (r.bucket, r.id) for r in keys.collect()}
+        assert got == {k for k, (b, i) in of.items() if b in (0, 1) or b == 3 and i >= 1000}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
